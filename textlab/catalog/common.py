@@ -30,3 +30,10 @@ def r6(c) -> F.Column:
 
 table = fx.table
 with_ctes = fx.with_ctes
+
+
+def sql_hash(seed, *key_sql: str) -> str:
+    """DuckDB twin of ``textlab.functions.hashing.hash_u32``."""
+    key = key_sql[0] + "::VARCHAR" if len(key_sql) == 1 else \
+        " || ':' || ".join(f"{k}::VARCHAR" for k in key_sql)
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT"
