@@ -143,5 +143,5 @@ def with_ctes(*names: str, extra: str = "") -> str:
                 order.append(dep)
     parts = [SQL[n] for n in order]
     if extra:
-        parts.append(extra.strip().rstrip(","))
+        parts.append(extra.strip().lstrip(",").strip().rstrip(","))
     return "WITH " + ",\n".join(parts) + "\n"
