@@ -18,17 +18,21 @@ def assign_row_id(df: DataFrame, order: Sequence, name: str = "row_id",
                   partitions: int | None = None) -> DataFrame:
     """0-based dense position of each row in ``order`` (which must be unique).
 
-    Plan: range exchange on ``order`` -> sort inside partitions -> per-row
-    position in its partition; per-partition counts -> prefix sums (a window
-    over at most ``partitions`` rows) -> broadcast back.  The range exchange
-    is computed once and reused by both branches.
+    Plan: range exchange on ``order`` -> sort inside partitions -> position
+    inside the partition; that sorted, partition-tagged table is written once
+    to the shared checkpoint folder (a reliable checkpoint), so the count
+    branch and the row branch read the same partitions.  (Two independent
+    range exchanges may sample different bounds.)  Per-partition counts (one
+    row per partition) become prefix-sum offsets, broadcast back.
     """
+    from textlab.session import cut_lineage
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     r = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
          .withColumn("_p", F.spark_partition_id())
          .withColumn("_m", F.monotonically_increasing_id()))
+    r = cut_lineage(r)
     counts = r.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_p", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -37,6 +41,24 @@ def assign_row_id(df: DataFrame, order: Sequence, name: str = "row_id",
         .drop("_p", "_m", "_m0", "_off")
 
 
+def hash_dense_index(df: DataFrame, hash_col: str, tiebreak: Sequence[str], name: str,
+                     bits: int = 16) -> DataFrame:
+    """0-based dense position in (hash_col, *tiebreak) order, for unsigned
+    32-bit hash values.  Buckets are the top ``bits`` bits, a pure function of
+    the row, so the count branch and the row branch always agree; the bucket
+    histogram (at most 2^bits rows) gives offsets; rows are ranked inside
+    their bucket after a shuffle on the bucket (uniform by construction)."""
+    shift = 32 - bits
+    d = df.withColumn("_b", F.shiftright(F.col(hash_col), shift))
+    hist = d.groupBy("_b").agg(F.count("*").alias("_c"))
+    wcum = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = hist.select("_b", F.coalesce(F.sum("_c").over(wcum), F.lit(0)).alias("_off"))
+    rw = Window.partitionBy("_b").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
+    ranked = d.withColumn("_r", F.row_number().over(rw))
+    out = ranked.join(F.broadcast(offs), "_b")
+    return out.withColumn(name, (F.col("_off") + F.col("_r") - 1).cast("bigint")).drop("_b", "_r", "_off")
+
+
 def take_smallest(df: DataFrame, rank_col: str, tiebreak: Sequence[str], k: Column,
                   bits: int = 16, flag: str | None = None) -> DataFrame:
     """Rows whose position in (rank_col, *tiebreak) order is below ``k``.

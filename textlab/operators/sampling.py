@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from textlab.functions.hashing import fraction_threshold, hash_u32
-from textlab.operators.indexing import assign_row_id, take_smallest
+from textlab.operators.indexing import hash_dense_index, take_smallest
 
 
 def _keys(key) -> list[str]:
@@ -63,7 +63,7 @@ def shuffle_order(df: DataFrame, seed: int, key, name: str = "shuffle_pos") -> D
     """Dense position in a seeded random order: sort by (hash(seed:key), key)."""
     keys = _keys(key)
     h = df.withColumn("_h", hash_u32(seed, *keys))
-    return assign_row_id(h, ["_h", *keys], name).drop("_h")
+    return hash_dense_index(h, "_h", keys, name).drop("_h")
 
 
 def shuffle_rows(df: DataFrame, seed: int, key) -> DataFrame:

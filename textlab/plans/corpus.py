@@ -39,3 +39,17 @@ def with_row_id(df: DataFrame, order=("pub_order", "pos")) -> DataFrame:
     """Stable 64-bit row id from a unique order key pair (no global sort)."""
     a, b = order
     return df.withColumn("row_id", (F.col(a).cast("bigint") * F.lit(1 << 20) + F.col(b)).cast("bigint"))
+
+
+def span_corpus(folds: DataFrame, split: str = "train", order=("fold", "file_id", "pos", "span_no"),
+                text: str = "text") -> DataFrame:
+    """Second-corpus stage: train rows of every fold (a partition-pruned scan) ->
+    one row per mention span -> drop null text -> keep the first row of each
+    (text, label)."""
+    from textlab.operators import spans as sp
+    rows = folds.filter(F.col("split") == split)
+    ex = sp.explode_mentions(rows, text=text).withColumnRenamed(text, "section_txt")
+    ex = cleaning.drop_null_text(ex, "section_txt")
+    ex = ex.withColumn("span_no", F.coalesce("span_no", F.lit(-1)))
+    keep = ["id", "section_txt", "label", "dataset", *order]
+    return cleaning.dedup_keep_first(ex.select(*dict.fromkeys(keep)), ["section_txt", "label"], list(order))
