@@ -82,7 +82,7 @@ def q_shuffle(spark, sf_dir):
     return longs(sampling.shuffle_order(labels(spark, sf_dir), 42, "doc_id").select("doc_id", "shuffle_pos"))
 
 
-@query("train_test_split", f"WITH {LABELS}, {EXACT20}" + """
+@query("train_test_split_80_20", f"WITH {LABELS}, {EXACT20}" + """
 SELECT doc_id::BIGINT AS doc_id, label::BIGINT AS label,
        CASE WHEN rn <= round_even(n * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM ranked""")
 def q_train_test(spark, sf_dir):

@@ -66,3 +66,10 @@ def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder (reliable, not local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_dir(spark: SparkSession, name: str = "io") -> str:
+    """A fresh folder under the shared checkpoint folder (for interchange files)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/textlab-{name}-{uuid.uuid4().hex}"
