@@ -15,10 +15,18 @@ def measured_bytes(df: DataFrame) -> int:
     return int(row["b"])
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None,
+                       materialize: bool = True) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` when the measured size is at most ``max_bytes``,
-    else ``(df, False)`` and the join shuffles (AQE splits skewed keys)."""
+    else ``(df, False)`` and the join shuffles (AQE splits skewed keys).
+
+    With ``materialize`` the side is first written to the shared checkpoint
+    folder, so measuring it and joining it do not compute it twice.
+    """
+    from textlab.session import cut_lineage
     limit = DEFAULT_BROADCAST_BYTES if max_bytes is None else max_bytes
+    if materialize:
+        df = cut_lineage(df)
     if measured_bytes(df) <= limit:
         return F.broadcast(df), True
     return df, False

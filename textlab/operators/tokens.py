@@ -6,11 +6,10 @@ The vocabulary reserves 0 = PAD, 1 = UNK, 2 = CLS, 3 = SEP (so a mask of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textlab.functions.arrays import add_special_tokens, attention_mask, head_tail_window, pad_to_length
 from textlab.functions.text import tokenize_text
-from textlab.operators.indexing import assign_row_id
 from textlab.operators.joins import broadcast_if_small
 
 # fixed values: reserved ids and their tokens
@@ -33,8 +32,9 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
               .groupBy("token").agg(F.count("*").cast("bigint").alias("n"))
               .filter(F.col("n") >= min_count))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(max_size)
-    ranked = assign_row_id(top, [F.desc("n"), F.asc("token")], "_r")
-    return ranked.select("token", (F.col("_r") + len(SPECIAL_TOKENS)).cast("int").alias("id"), "n")
+    # the ranking window sees at most ``max_size`` rows (the top-k is the feature)
+    w = Window.orderBy(F.desc("n"), F.asc("token"))
+    return top.select("token", (F.row_number().over(w) - 1 + len(SPECIAL_TOKENS)).cast("int").alias("id"), "n")
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "tokens",

@@ -130,22 +130,29 @@ def _prepare(feats: DataFrame, rows: DataFrame, alpha, key: str, g: list[str]):
 
 def _epoch_update(f: DataFrame, weights: DataFrame, n: DataFrame, gamma: float, lr: float, l2: float,
                   key: str, g: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One gradient step for every group at once; returns (new weights, mean loss per group)."""
+    """One gradient step for every group at once; returns (new weights, mean loss per group).
+
+    One aggregation per epoch: every row carries the bias feature with value
+    1, so the sum of row losses rides along as a third sum at that feature.
+    """
     s = (f.join(F.broadcast(weights), [*g, "feature"], "inner")
          .groupBy(*g, key, "label", "cw").agg(F.sum(F.col("value") * F.col("w0")).alias("z0"),
                                               F.sum(F.col("value") * F.col("w1")).alias("z1")))
     loss, d0, d1 = _row_gradient(gamma)
-    rg = cut_lineage(s.select(*g, key, loss.alias("loss"), d0.alias("d0"), d1.alias("d1")))
+    rg = s.select(*g, key, loss.alias("loss"), d0.alias("d0"), d1.alias("d1"))
     grad = (f.select(*g, key, "feature", "value").join(rg, [*g, key], "inner")
             .groupBy(*g, "feature").agg(F.sum(F.col("value") * F.col("d0")).alias("g0"),
-                                        F.sum(F.col("value") * F.col("d1")).alias("g1")))
+                                        F.sum(F.col("value") * F.col("d1")).alias("g1"),
+                                        F.sum(F.col("value") * F.col("loss")).alias("_loss")))
     upd = weights.join(grad, [*g, "feature"], "left").join(F.broadcast(n), g, "inner")
 
     def step(w, gr):
         return F.col(w) - F.lit(lr) * (F.coalesce(F.col(gr), F.lit(0.0)) / F.col("_n") + F.lit(l2) * F.col(w))
 
-    new = cut_lineage(upd.select(*g, "feature", step("w0", "g0").alias("w0"), step("w1", "g1").alias("w1")))
-    return new, rg.groupBy(*g).agg(F.avg("loss").alias("loss"))
+    new = cut_lineage(upd.select(*g, "feature", step("w0", "g0").alias("w0"), step("w1", "g1").alias("w1"),
+                                 (F.col("_loss") / F.col("_n")).alias("_loss")))
+    loss_df = new.filter(F.col("feature") == BIAS_FEATURE).select(*g, F.col("_loss").alias("loss"))
+    return new.drop("_loss"), loss_df
 
 
 def train_focal(feats: DataFrame, rows: DataFrame, gamma: float = 4.0, alpha: float | None = 0.12,
