@@ -25,7 +25,7 @@ FROM (SELECT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {NF} AS f
 GROUP BY doc_id""")
 def q_text_features(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    f = X.text_features(d, "doc_id", "text", NF)
+    f = X.text_features(d, "doc_id", "text", NF, normalize=False)
     return longs(f.groupBy("doc_id").agg(F.count("*").alias("n_features"), F.sum("value").cast("bigint").alias("total")))
 
 

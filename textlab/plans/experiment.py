@@ -68,12 +68,16 @@ PRESETS = {
 
 
 def text_features(df: DataFrame, key: str = "row_id", text: str = "text", n_features: int = 1 << 18,
-                  group: tuple = (), head: int | None = None, tail: int | None = None) -> DataFrame:
+                  group: tuple = (), head: int | None = None, tail: int | None = None,
+                  normalize: bool = True) -> DataFrame:
     """M1: hashed token counts as a tall sparse table ``(*group, key, feature, value)``
-    plus a bias feature per row.  The bucket is ``md5(token)`` mod ``n_features``
-    (the same in DuckDB).  Tokens of one row never leave its partition before
-    the count, so the partial aggregate is final and the shuffle moves one row
-    per (row, feature)."""
+    plus a bias feature (value 1) per row.  The bucket is ``md5(token)`` mod
+    ``n_features`` (the same in DuckDB).  Tokens of one row never leave its
+    partition before the count, so the partial aggregate is final and the
+    shuffle moves one row per (row, feature).  ``normalize`` scales each
+    row's counts to unit L2 norm (a window over the row's features)."""
+    from pyspark.sql import Window
+
     from textlab.functions.arrays import head_tail_window
     toks = F.split(F.lower(F.col(text)), " ", -1)
     if head is not None:
@@ -82,6 +86,9 @@ def text_features(df: DataFrame, key: str = "row_id", text: str = "text", n_feat
     ex = df.select(*g, key, F.explode(toks).alias("_t"))
     feat = F.pmod(F.conv(F.substring(F.md5(F.col("_t")), 1, 8), 16, 10).cast("bigint"), F.lit(n_features))
     counts = ex.groupBy(*g, key, feat.alias("feature")).agg(F.count("*").cast("double").alias("value"))
+    if normalize:
+        norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*g, key)))
+        counts = counts.withColumn("value", F.col("value") / norm)
     bias = df.select(*g, key, F.lit(BIAS_FEATURE).cast("bigint").alias("feature"), F.lit(1.0).alias("value"))
     return counts.unionByName(bias)
 
@@ -121,7 +128,9 @@ def _row_gradient(gamma: float):
 
 def _prepare(feats: DataFrame, rows: DataFrame, alpha, key: str, g: list[str]):
     lab = rows.select(*g, key, "label", class_weight(F.col("label"), alpha).alias("cw"))
-    f = cut_lineage(feats.join(lab, [*g, key], "inner").repartition(*g, key))
+    # the join leaves the features hash-partitioned by (group, row): every
+    # per-row aggregation below runs without another shuffle
+    f = cut_lineage(feats.join(lab, [*g, key], "inner"))
     n = lab.groupBy(*g).agg(F.count("*").cast("double").alias("_n"))
     w0 = cut_lineage(f.select(*g, "feature").distinct()
                      .withColumn("w0", F.lit(0.0)).withColumn("w1", F.lit(0.0)))
