@@ -73,10 +73,11 @@ padded AS (SELECT doc_id, list_concat(w, [0 for x in range(512 - len(w))]) AS p
 
 
 def padded(spark, sf_dir):
-    d = doc_tokens(spark, sf_dir)
+    """window the tokens first, then encode (element-wise, so the same ids as
+    encoding everything and windowing the ids), then CLS/SEP and padding."""
+    d = tokens.window_tokens(doc_tokens(spark, sf_dir), "tokens", 382, 128)
     e = tokens.encode_tokens(d, vocab(spark, sf_dir), "doc_id", "tokens", "ids")
-    e = e.withColumn("w", F.concat(F.array(F.lit(2)), A.head_tail_window(F.col("ids"), 382, 128),
-                                   F.array(F.lit(3))))
+    e = e.withColumn("w", F.concat(F.array(F.lit(2)), F.col("ids"), F.array(F.lit(3))))
     return e.withColumn("p", A.pad_to_length(F.col("w"), 512))
 
 

@@ -29,20 +29,23 @@ def read_annotations(spark: SparkSession, path: str, schema: T.StructType = ANNO
         .option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def read_sections_json(spark: SparkSession, root: str, id_from: str = "file_name") -> DataFrame:
-    """One JSON file per publication holding an array of ``{section_title, text}``.
+def read_sections_json(spark: SparkSession, root: str, id_from: str = "file_name",
+                       chunk_size: int = 10000) -> DataFrame:
+    """JSON files holding arrays of ``{section_title, text}``, one publication per file
+    (``<id>.json``) or per ``file_id=<id>/chunk=<c>/`` directory.
 
     Each file is one row (``wholetext``); the array is parsed with a fixed
-    schema and ``posexplode`` keeps the section order.  The file id comes from
-    the file name (``<id>.json``) or, for ``id_from="partition"``, from a
-    ``file_id=<id>`` directory.
+    schema and ``posexplode`` keeps the section order (a chunk adds
+    ``chunk * chunk_size``).
     """
     raw = spark.read.option("recursiveFileLookup", id_from == "file_name").text(root, wholetext=True)
     if id_from == "file_name":
         raw = raw.withColumn("file_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
-    parsed = raw.select("file_id", F.posexplode(F.from_json("value", SECTIONS_JSON)).alias("pos", "s"))
-    return parsed.select("file_id", "pos", F.col("s.section_title").alias("section_title"),
-                         F.col("s.text").alias("section_txt"))
+    if "chunk" not in raw.columns:
+        raw = raw.withColumn("chunk", F.lit(0))
+    parsed = raw.select("file_id", "chunk", F.posexplode(F.from_json("value", SECTIONS_JSON)).alias("pos", "s"))
+    return parsed.select("file_id", (F.col("chunk") * chunk_size + F.col("pos")).cast("int").alias("pos"),
+                         F.col("s.section_title").alias("section_title"), F.col("s.text").alias("section_txt"))
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = "$") -> DataFrame:

@@ -16,16 +16,21 @@ def write_delimited(df: DataFrame, path: str, sep: str = "$", mode: str = "overw
 
 
 def write_sections_json(sections: DataFrame, root: str, key: str = "file_id", pos: str = "pos",
-                        title: str = "section_title", text: str = "section_txt") -> None:
-    """One JSON array of ``{section_title, text}`` per publication, in section
-    order, under ``<root>/<key>=<id>/``.  Each publication is one row (its
-    sections are gathered by key), so each lands in one file."""
-    per_pub = (sections.groupBy(key)
+                        title: str = "section_title", text: str = "section_txt",
+                        chunk_size: int = 10000) -> None:
+    """JSON arrays of ``{section_title, text}`` per publication, in section order,
+    under ``<root>/<key>=<id>/chunk=<c>/``.  A publication's sections are
+    gathered in chunks of at most ``chunk_size`` (a publication holding a third
+    of the corpus still spreads over many tasks); most publications are one
+    chunk, i.e. one file."""
+    chunk = (F.col(pos) / F.lit(chunk_size)).cast("bigint")
+    per_pub = (sections.groupBy(key, chunk.alias("chunk"))
                .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(title).alias("section_title"),
                                                          F.col(text).alias("text")))).alias("_s"))
-               .select(key, F.to_json(F.transform("_s", lambda s: F.struct(s["section_title"].alias("section_title"),
-                                                                           s["text"].alias("text")))).alias("value")))
-    per_pub.write.mode("overwrite").partitionBy(key).text(root)
+               .select(key, "chunk",
+                       F.to_json(F.transform("_s", lambda s: F.struct(s["section_title"].alias("section_title"),
+                                                                      s["text"].alias("text")))).alias("value")))
+    per_pub.write.mode("overwrite").partitionBy(key, "chunk").text(root)
 
 
 def write_folds(folds: DataFrame, root: str) -> None:
