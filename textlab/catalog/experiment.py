@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textlab.catalog.common import longs, r6, table
 from textlab.plans import experiment as X
+from textlab.operators.joins import broadcast_if_small
 from textlab.registry import query
 
 NF = 1 << 18
@@ -15,7 +16,8 @@ def labelled_docs(spark, sf_dir):
     """(row_id, text, label): documents with a toxicity label."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("toxic").alias("label"))
-    return d.join(lab, "row_id", "inner")
+    side, _ = broadcast_if_small(lab)
+    return d.join(side, "row_id", "inner")
 
 
 @query("text_features", f"""
@@ -25,7 +27,7 @@ FROM (SELECT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {NF} AS f
 GROUP BY doc_id""")
 def q_text_features(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    f = X.text_features(d, "doc_id", "text", NF, normalize=False)
+    f = X.text_features(d, "doc_id", "text", NF)
     return longs(f.groupBy("doc_id").agg(F.count("*").alias("n_features"), F.sum("value").cast("bigint").alias("total")))
 
 
@@ -37,8 +39,9 @@ def fixed_weights(spark, dim=64):
 
 
 @query("score_rows", """
-SELECT vec_id::BIGINT AS vec_id, round(sum(v * ((i % 7) - 3) / 10.0), 6) AS z0,
-       round(sum(v * ((i % 5) - 2) / 10.0), 6) AS z1
+SELECT vec_id::BIGINT AS vec_id,
+       round(CASE WHEN sum(v * v) > 0 THEN sum(v * ((i % 7) - 3) / 10.0) / sqrt(sum(v * v)) ELSE 0 END, 6) AS z0,
+       round(CASE WHEN sum(v * v) > 0 THEN sum(v * ((i % 5) - 2) / 10.0) / sqrt(sum(v * v)) ELSE 0 END, 6) AS z1
 FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
 GROUP BY vec_id""")
 def q_score_rows(spark, sf_dir):

@@ -117,8 +117,10 @@ def contain_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", do
     d = docs.select(F.col(doc_key).alias("doc_id"), F.col(doc_text).alias("doc_text"))
     toks = d.select("doc_id", F.explode(F.array_distinct(F.split("doc_text", r"\s+", -1))).alias("anchor"))
     cand = toks.join(keyed_side, "anchor", "inner").select("doc_id", "item_id", "item_text")
-    # verify against the document text: candidates are few, the join back is by doc id
-    verified = (cand.join(d, "doc_id", "inner")
+    # verify against the document text: the candidate side is measured and
+    # broadcast when small, so documents are read once more but not shuffled
+    cand_side, _ = broadcast_if_small(cand, max_broadcast_bytes)
+    verified = (d.join(cand_side, "doc_id", "inner")
                 .filter(F.contains(F.col("doc_text"), F.col("item_text")))
                 .select("doc_id", "item_id"))
 

@@ -68,16 +68,13 @@ PRESETS = {
 
 
 def text_features(df: DataFrame, key: str = "row_id", text: str = "text", n_features: int = 1 << 18,
-                  group: tuple = (), head: int | None = None, tail: int | None = None,
-                  normalize: bool = True) -> DataFrame:
+                  group: tuple = (), head: int | None = None, tail: int | None = None) -> DataFrame:
     """M1: hashed token counts as a tall sparse table ``(*group, key, feature, value)``
     plus a bias feature (value 1) per row.  The bucket is ``md5(token)`` mod
     ``n_features`` (the same in DuckDB).  Tokens of one row never leave its
     partition before the count, so the partial aggregate is final and the
-    shuffle moves one row per (row, feature).  ``normalize`` scales each
-    row's counts to unit L2 norm (a window over the row's features)."""
-    from pyspark.sql import Window
-
+    shuffle moves one row per (row, feature).  Rows are scaled to unit L2 norm
+    inside the scoring aggregate, not here (that would cost a second shuffle)."""
     from textlab.functions.arrays import head_tail_window
     toks = F.split(F.lower(F.col(text)), " ", -1)
     if head is not None:
@@ -86,24 +83,35 @@ def text_features(df: DataFrame, key: str = "row_id", text: str = "text", n_feat
     ex = df.select(*g, key, F.explode(toks).alias("_t"))
     feat = F.pmod(F.conv(F.substring(F.md5(F.col("_t")), 1, 8), 16, 10).cast("bigint"), F.lit(n_features))
     counts = ex.groupBy(*g, key, feat.alias("feature")).agg(F.count("*").cast("double").alias("value"))
-    if normalize:
-        norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*g, key)))
-        counts = counts.withColumn("value", F.col("value") / norm)
     bias = df.select(*g, key, F.lit(BIAS_FEATURE).cast("bigint").alias("feature"), F.lit(1.0).alias("value"))
     return counts.unionByName(bias)
 
 
-def _scores(feats: DataFrame, weights: DataFrame, key: str, group: list[str]) -> DataFrame:
-    w = F.broadcast(weights)
-    j = feats.join(w, [*group, "feature"], "inner")
-    return j.groupBy(*group, key).agg(F.sum(F.col("value") * F.col("w0")).alias("z0"),
-                                      F.sum(F.col("value") * F.col("w1")).alias("z1"))
+def _is_bias():
+    return F.col("feature") == BIAS_FEATURE
+
+
+def _row_scores(f: DataFrame, weights: DataFrame, keys: list[str], g: list[str]) -> DataFrame:
+    """Per-row logits of the L2-normalised counts (bias unscaled), one aggregate:
+    ``z_c = b_c + sum(v * w_c) / sqrt(sum(v^2))``.  The weights join is a
+    broadcast left join, so features without a weight still count in the norm."""
+    j = f.join(F.broadcast(weights), [*g, "feature"], "left").fillna(0.0, ["w0", "w1"])
+    nb = ~_is_bias()
+    a = j.groupBy(*keys).agg(
+        F.sum(F.when(_is_bias(), F.col("w0"))).alias("_b0"), F.sum(F.when(_is_bias(), F.col("w1"))).alias("_b1"),
+        F.sum(F.when(nb, F.col("value") * F.col("w0"))).alias("_s0"),
+        F.sum(F.when(nb, F.col("value") * F.col("w1"))).alias("_s1"),
+        F.sum(F.when(nb, F.col("value") * F.col("value"))).alias("_nn"))
+    inv = F.when(F.col("_nn") > 0, 1.0 / F.sqrt("_nn")).otherwise(F.lit(0.0))
+    return a.select(*keys, (F.coalesce("_b0", F.lit(0.0)) + F.coalesce("_s0", F.lit(0.0)) * inv).alias("z0"),
+                    (F.coalesce("_b1", F.lit(0.0)) + F.coalesce("_s1", F.lit(0.0)) * inv).alias("z1"),
+                    inv.alias("_inv"))
 
 
 def score_rows(feats: DataFrame, weights: DataFrame, key: str = "row_id", group: tuple = ()) -> DataFrame:
     """M4: logits ``z = [z0, z1]`` per row; features missing from the weights count 0."""
-    s = _scores(feats, weights, key, list(group))
-    return s.withColumn("z", F.array("z0", "z1"))
+    s = _row_scores(feats, weights, [*group, key], list(group))
+    return s.drop("_inv").withColumn("z", F.array("z0", "z1"))
 
 
 def _row_gradient(gamma: float):
@@ -126,11 +134,27 @@ def _row_gradient(gamma: float):
     return loss, -g1, g1  # softmax over two logits: dz0 = -dz1
 
 
+def bucketed_table(df: DataFrame, cols: list[str], buckets: int | None = None, name: str = "features") -> DataFrame:
+    """Write ``df`` once as a table bucketed and sorted by ``cols`` in the shared
+    checkpoint folder and read it back.  Scans of a bucketed table report hash
+    partitioning on ``cols``, so later aggregations and joins on those columns
+    need no exchange, job after job (a checkpoint does not keep that promise)."""
+    import uuid
+
+    from textlab.session import scratch_dir
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"textlab_{name}_{uuid.uuid4().hex}"
+    (df.write.bucketBy(n, *cols).sortBy(*cols).option("path", scratch_dir(spark, name))
+     .mode("overwrite").saveAsTable(table))
+    return spark.table(table)
+
+
 def _prepare(feats: DataFrame, rows: DataFrame, alpha, key: str, g: list[str]):
     lab = rows.select(*g, key, "label", class_weight(F.col("label"), alpha).alias("cw"))
-    # the join leaves the features hash-partitioned by (group, row): every
-    # per-row aggregation below runs without another shuffle
-    f = cut_lineage(feats.join(lab, [*g, key], "inner"))
+    # bucketed by (group, row) once: every per-row aggregate and the
+    # row-gradient join of every epoch run without shuffling the features
+    f = bucketed_table(feats.join(lab, [*g, key], "inner"), [*g, key])
     n = lab.groupBy(*g).agg(F.count("*").cast("double").alias("_n"))
     w0 = cut_lineage(f.select(*g, "feature").distinct()
                      .withColumn("w0", F.lit(0.0)).withColumn("w1", F.lit(0.0)))
@@ -144,15 +168,14 @@ def _epoch_update(f: DataFrame, weights: DataFrame, n: DataFrame, gamma: float,
     One aggregation per epoch: every row carries the bias feature with value
     1, so the sum of row losses rides along as a third sum at that feature.
     """
-    s = (f.join(F.broadcast(weights), [*g, "feature"], "inner")
-         .groupBy(*g, key, "label", "cw").agg(F.sum(F.col("value") * F.col("w0")).alias("z0"),
-                                              F.sum(F.col("value") * F.col("w1")).alias("z1")))
+    s = _row_scores(f, weights, [*g, key, "label", "cw"], g)
     loss, d0, d1 = _row_gradient(gamma)
-    rg = s.select(*g, key, loss.alias("loss"), d0.alias("d0"), d1.alias("d1"))
+    rg = s.select(*g, key, loss.alias("loss"), d0.alias("d0"), d1.alias("d1"), "_inv")
+    scale = F.when(_is_bias(), F.lit(1.0)).otherwise(F.col("_inv")) * F.col("value")
     grad = (f.select(*g, key, "feature", "value").join(rg, [*g, key], "inner")
-            .groupBy(*g, "feature").agg(F.sum(F.col("value") * F.col("d0")).alias("g0"),
-                                        F.sum(F.col("value") * F.col("d1")).alias("g1"),
-                                        F.sum(F.col("value") * F.col("loss")).alias("_loss")))
+            .groupBy(*g, "feature").agg(F.sum(scale * F.col("d0")).alias("g0"),
+                                        F.sum(scale * F.col("d1")).alias("g1"),
+                                        F.sum(F.when(_is_bias(), F.col("loss"))).alias("_loss")))
     upd = weights.join(grad, [*g, "feature"], "left").join(F.broadcast(n), g, "inner")
 
     def step(w, gr):
@@ -160,7 +183,7 @@ def _epoch_update(f: DataFrame, weights: DataFrame, n: DataFrame, gamma: float,
 
     new = cut_lineage(upd.select(*g, "feature", step("w0", "g0").alias("w0"), step("w1", "g1").alias("w1"),
                                  (F.col("_loss") / F.col("_n")).alias("_loss")))
-    loss_df = new.filter(F.col("feature") == BIAS_FEATURE).select(*g, F.col("_loss").alias("loss"))
+    loss_df = new.filter(_is_bias()).select(*g, F.col("_loss").alias("loss"))
     return new.drop("_loss"), loss_df
 
 

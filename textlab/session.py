@@ -10,7 +10,11 @@ from pyspark.sql import SparkSession
 # Settings every textlab job relies on.  AQE re-plans joins at run time
 # (broadcast when the measured side is small, skew splits otherwise);
 # ANSI stays on, so operators use try_divide / get instead of raising forms.
+# Static broadcast from file-size estimates is off: a side is broadcast only
+# after textlab measured it, or when AQE measured its shuffle output.
 DEFAULT_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
