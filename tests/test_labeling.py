@@ -72,3 +72,12 @@ def test_contain_pairs_short_and_long_passages(spark):
     brute = sorted((d, i) for d, dt in [(1, "xabcx one two three four"), (2, "no match"), (3, "one two three")]
                    for i, it in [(10, "abc"), (11, "one two three"), (12, "two thr"), (13, "zzz yyy")] if it in dt)
     assert got == brute
+
+
+def test_contain_pairs_chunked_short_passages_exact(spark):
+    docs = spark.createDataFrame([(i, f"w{i} ab cd ef{i % 3} gh") for i in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(100 + j, t) for j, t in enumerate(["ab", "cd ef1", "f2 g", "zz", "b c", "h"])],
+                                  "item_id long, text string")
+    got = sorted(tuple(r) for r in labeling.contain_pairs(docs, items, max_broadcast_bytes=40).collect())
+    brute = sorted((r.doc_id, it.item_id) for r in docs.collect() for it in items.collect() if it.text in r.text)
+    assert got == brute and len(got) > 30

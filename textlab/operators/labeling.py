@@ -124,16 +124,26 @@ def contain_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", do
                 .filter(F.contains(F.col("doc_text"), F.col("item_text")))
                 .select("doc_id", "item_id"))
 
-    # the short passages travel as one size-checked array value (a scalar
-    # subquery evaluated once), matched inside each document row
-    shorts_df = short.agg(F.collect_list(F.struct("item_id", "item_text")).alias("shorts"))
-    _, fits = broadcast_if_small(shorts_df, max_broadcast_bytes)
-    if not fits:
-        raise ValueError("too many one- and two-word passages to match inside rows")
-    small = (d.withColumn("shorts", shorts_df.scalar())
-             .select("doc_id", F.explode(F.filter("shorts", lambda s: F.contains(F.col("doc_text"),
-                                                                                 s["item_text"])))
-                     .alias("s"))
-             .select("doc_id", F.col("s.item_id").alias("item_id")))
-    # an item is either keyed or short, so the two parts are disjoint
-    return verified.unionByName(small)
+    # the short passages travel as size-checked array values (scalar
+    # subqueries evaluated once), matched inside each document row; when they
+    # do not fit one value they are cut into hash chunks of bounded size and
+    # each chunk is matched in its own pass, so no passage is ever dropped
+    from textlab.operators.joins import DEFAULT_BROADCAST_BYTES, measured_bytes
+    from textlab.session import cut_lineage
+    limit = DEFAULT_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
+    short = cut_lineage(short)
+    n_chunks = max(1, -(-measured_bytes(short) // max(limit, 1)))
+    parts = [verified]
+    for c in range(n_chunks):
+        chunk = short if n_chunks == 1 else short.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_chunks)) == c)
+        arr = chunk.agg(F.collect_list(F.struct("item_id", "item_text")).alias("shorts")).scalar()
+        parts.append(d.withColumn("shorts", arr)
+                     .select("doc_id", F.explode(F.filter("shorts", lambda x: F.contains(F.col("doc_text"),
+                                                                                         x["item_text"])))
+                             .alias("s"))
+                     .select("doc_id", F.col("s.item_id").alias("item_id")))
+    # an item is either keyed or short, and chunks are disjoint: no duplicates
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
