@@ -66,3 +66,14 @@ def test_dense_index_and_batches(spark):
 def test_seed_grid_has_every_seed(spark):
     g = sampling.seed_grid(_df(spark, 10), [42, 67, 330, 2004, 945]).collect()
     assert len(g) == 50 and {r.seed for r in g} == {42, 67, 330, 2004, 945}
+
+
+def test_exact_cut_per_group(spark):
+    df = spark.range(600).select((F.col("id") % 3).alias("seed"), F.col("id").alias("row_id"))
+    s = sampling.sample_fraction(df, 0.3, F.col("seed"), "row_id", exact=True, group=["seed"]).collect()
+    per = {}
+    for r in s:
+        per[r.seed] = per.get(r.seed, 0) + 1
+    assert per == {0: 60, 1: 60, 2: 60}
+    v = sampling.validation_split(df, 0.2, F.col("seed"), "row_id", group=["seed"]).collect()
+    assert sum(r.split == "validation" for r in v) == 3 * 40

@@ -19,9 +19,11 @@ def hash_key(*cols) -> Column:
     return parts[0] if len(parts) == 1 else F.concat_ws(":", *parts)
 
 
-def hash_u32(seed: int | str, *key_cols) -> Column:
-    """Unsigned 32-bit value in [0, 2^32) from the first 8 hex digits of md5(seed:key)."""
-    s = F.concat(F.lit(f"{seed}:"), hash_key(*key_cols))
+def hash_u32(seed, *key_cols) -> Column:
+    """Unsigned 32-bit value in [0, 2^32) from the first 8 hex digits of md5(seed:key).
+    ``seed`` is a constant or a column (e.g. one seed per row of a seed grid)."""
+    prefix = F.concat(seed.cast("string"), F.lit(":")) if isinstance(seed, Column) else F.lit(f"{seed}:")
+    s = F.concat(prefix, hash_key(*key_cols))
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
 
 

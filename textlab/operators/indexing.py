@@ -60,30 +60,31 @@ def hash_dense_index(df: DataFrame, hash_col: str, tiebreak: Sequence[str], name
 
 
 def take_smallest(df: DataFrame, rank_col: str, tiebreak: Sequence[str], k: Column,
-                  bits: int = 16, flag: str | None = None) -> DataFrame:
-    """Rows whose position in (rank_col, *tiebreak) order is below ``k``.
+                  bits: int = 16, flag: str | None = None, group: Sequence[str] = ()) -> DataFrame:
+    """Rows whose position in (rank_col, *tiebreak) order is below ``k``, per ``group``.
 
     ``rank_col`` holds unsigned 32-bit hash values.  A histogram over its top
-    ``bits`` bits (at most 2^bits rows, broadcast) finds the bucket the cut
-    falls in; only rows of that one bucket are ranked.  ``k`` is a column
-    expression over ``n`` (the total row count), e.g. ``F.col("n") * 0.2``
-    rounded.  With ``flag`` set, all rows are kept and ``flag`` says whether
-    the row is among the smallest.
+    ``bits`` bits (at most 2^bits rows per group, broadcast) finds the bucket
+    the cut falls in; only rows of that one bucket are ranked.  ``k`` is a
+    column expression over ``n`` (the group's row count), e.g.
+    ``F.bround(F.col("n") * 0.2, 0)``.  With ``flag`` set, all rows are kept and
+    ``flag`` says whether the row is among the smallest.
     """
+    g = list(group)
     shift = 32 - bits
-    b = F.shiftright(F.col(rank_col), shift)
-    d = df.withColumn("_b", b)
-    hist = d.groupBy("_b").agg(F.count("*").alias("_c"))
-    wall = Window.partitionBy(F.lit(0))
-    wcum = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    d = df.withColumn("_b", F.shiftright(F.col(rank_col), shift))
+    hist = d.groupBy(*g, "_b").agg(F.count("*").alias("_c"))
+    wall = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
+    wcum = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
     hist = (hist.withColumn("n", F.sum("_c").over(wall))
             .withColumn("_before", F.coalesce(F.sum("_c").over(wcum), F.lit(0)))
             .withColumn("_k", k.cast("bigint"))
-            .select("_b", "_c", "_before", "_k"))
-    j = d.join(F.broadcast(hist), "_b")
+            .select(*g, "_b", "_c", "_before", "_k"))
+    j = d.join(F.broadcast(hist), [*g, "_b"])
     inside = F.col("_before") + F.col("_c") <= F.col("_k")
     cut = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") > F.col("_k"))
-    rw = Window.partitionBy("_b").orderBy(F.col(rank_col), *[F.col(c) for c in tiebreak])
+    rw = Window.partitionBy(*g, "_b").orderBy(F.col(rank_col), *[F.col(c) for c in tiebreak])
     cut_rows = j.filter(cut).withColumn("_r", F.row_number().over(rw))
     helper = ["_b", "_c", "_before", "_k"]
     if flag is None:

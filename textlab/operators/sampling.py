@@ -15,23 +15,25 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def sample_fraction(df: DataFrame, frac: float, seed: int, key, exact: bool = False) -> DataFrame:
+def sample_fraction(df: DataFrame, frac: float, seed, key, exact: bool = False,
+                    group: Sequence[str] = ()) -> DataFrame:
     """Rows whose hash of (seed, key) falls below ``frac``.  ``exact=True`` keeps
-    ``round(frac * n)`` rows (half to even, as pandas), the smallest hashes."""
+    ``round(frac * n)`` rows (half to even, as pandas) per ``group``, the
+    smallest hashes.  ``seed`` may be a column (one seed per row)."""
     keys = _keys(key)
     h = df.withColumn("_h", hash_u32(seed, *keys))
     if not exact:
         return h.filter(F.col("_h") < F.lit(fraction_threshold(frac))).drop("_h")
-    return take_smallest(h, "_h", keys, F.bround(F.col("n") * F.lit(float(frac)), 0)).drop("_h")
+    return take_smallest(h, "_h", keys, F.bround(F.col("n") * F.lit(float(frac)), 0), group=group).drop("_h")
 
 
-def undersample(df: DataFrame, fractions: Mapping[int, float], seed: int, key, label: str = "label",
-                exact: bool = False) -> DataFrame:
+def undersample(df: DataFrame, fractions: Mapping[int, float], seed, key, label: str = "label",
+                exact: bool = False, group: Sequence[str] = ()) -> DataFrame:
     """Thin the listed classes to their fraction; other classes pass whole (a repeatable sampleBy)."""
     parts = []
     rest = df
     for cls, frac in fractions.items():
-        parts.append(sample_fraction(df.filter(F.col(label) == cls), frac, seed, key, exact))
+        parts.append(sample_fraction(df.filter(F.col(label) == cls), frac, seed, key, exact, group))
         rest = rest.filter(F.col(label) != cls)
     return reduce(DataFrame.unionByName, parts, rest)
 
@@ -110,8 +112,8 @@ def ordered_split(df: DataFrame, frac: float = 0.8, seed: int = 42, key="row_id"
     return t.withColumn(name, F.when(F.col("_in"), "train").otherwise("test")).drop("_h", "_in")
 
 
-def validation_split(df: DataFrame, frac: float = 0.1, seed: int = 42, key="row_id",
-                     name: str = "split") -> DataFrame:
+def validation_split(df: DataFrame, frac: float = 0.1, seed=42, key="row_id",
+                     name: str = "split", group: Sequence[str] = ()) -> DataFrame:
     """After a seeded shuffle, the last ``int(n * frac)`` rows are validation and
     the first ``n - int(n * frac)`` train.  A cut of zero gives an empty validation
     set.  ``key`` may be a list; pass the original row id alone to keep copies of
@@ -119,7 +121,7 @@ def validation_split(df: DataFrame, frac: float = 0.1, seed: int = 42, key="row_
     keys = _keys(key)
     h = df.withColumn("_h", hash_u32(seed, *keys))
     k = F.col("n") - F.floor(F.col("n") * F.lit(float(frac)))
-    t = take_smallest(h, "_h", keys, k, flag="_in")
+    t = take_smallest(h, "_h", keys, k, flag="_in", group=group)
     return t.withColumn(name, F.when(F.col("_in"), "train").otherwise("validation")).drop("_h", "_in")
 
 

@@ -274,14 +274,17 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
         df = sp.filter(F.col("split") == "train").drop("split")
     grid = sampling.seed_grid(df.select(key, label), cfg.seeds, "seed")
     if cfg.neg_frac is not None:
-        thin = sampling.undersample(grid, {0: cfg.neg_frac}, 0, ["seed", key], label)
+        # exact per seed: round(neg_frac * n_neg) negatives with the smallest hash of (seed, row)
+        thin = sampling.undersample(grid, {0: cfg.neg_frac}, F.col("seed"), key, label, exact=True,
+                                    group=["seed"])
         bal = sampling.oversample(thin, {1: cfg.pos_copies}, label)
     else:
         bal = grid.withColumn("copy_no", F.lit(1))
-    # validation cut by original row id: copies of a row stay on one side
-    vh = hash_u32(1, "seed", key)
-    bal = bal.withColumn("split", F.when(vh < F.lit(int(cfg.val_frac * (1 << 32))), "validation")
-                         .otherwise("train"))
+    # exact validation cut per seed over the original rows (copies follow their row):
+    # the last int(n * val_frac) rows of the seed's shuffled order
+    orig = bal.filter(F.col("copy_no") == 1).select("seed", key)
+    sides = sampling.validation_split(orig, cfg.val_frac, F.col("seed"), key, "split", group=["seed"])
+    bal = bal.join(sides, ["seed", key], "inner")
     train_rows = (bal.filter(F.col("split") == "train")
                   .withColumn("row_key", F.concat_ws(":", F.col(key).cast("string"), F.col("copy_no").cast("string"))))
     val_rows = bal.filter((F.col("split") == "validation") & (F.col("copy_no") == 1)).select("seed", key, label)
