@@ -77,3 +77,17 @@ def test_exact_cut_per_group(spark):
     assert per == {0: 60, 1: 60, 2: 60}
     v = sampling.validation_split(df, 0.2, F.col("seed"), "row_id", group=["seed"]).collect()
     assert sum(r.split == "validation" for r in v) == 3 * 40
+
+
+def test_hash_batches_per_group(spark):
+    from textlab.functions.hashing import hash_u32
+    df = spark.range(60).select((F.col("id") % 2).alias("seed"), F.col("id").alias("row_id"))
+    df = df.withColumn("_h", hash_u32(F.col("seed"), "row_id"))
+    b = indexing.assign_hash_batches(df, 8, "_h", ["row_id"], group=["seed"]).collect()
+    for seed in (0, 1):
+        rows = [r for r in b if r.seed == seed]
+        assert sorted(r.row_pos for r in rows) == list(range(30))
+        sizes = {}
+        for r in rows:
+            sizes[r.batch_id] = sizes.get(r.batch_id, 0) + 1
+        assert sizes == {0: 8, 1: 8, 2: 8, 3: 6}

@@ -42,20 +42,22 @@ def assign_row_id(df: DataFrame, order: Sequence, name: str = "row_id",
 
 
 def hash_dense_index(df: DataFrame, hash_col: str, tiebreak: Sequence[str], name: str,
-                     bits: int = 16) -> DataFrame:
-    """0-based dense position in (hash_col, *tiebreak) order, for unsigned
-    32-bit hash values.  Buckets are the top ``bits`` bits, a pure function of
-    the row, so the count branch and the row branch always agree; the bucket
-    histogram (at most 2^bits rows) gives offsets; rows are ranked inside
-    their bucket after a shuffle on the bucket (uniform by construction)."""
+                     bits: int = 16, group: Sequence[str] = ()) -> DataFrame:
+    """0-based dense position in (hash_col, *tiebreak) order, per ``group``, for
+    unsigned 32-bit hash values.  Buckets are the top ``bits`` bits, a pure
+    function of the row, so the count branch and the row branch always agree;
+    the bucket histogram (at most 2^bits rows per group) gives offsets; rows
+    are ranked inside their bucket after a shuffle on (group, bucket)."""
+    g = list(group)
     shift = 32 - bits
     d = df.withColumn("_b", F.shiftright(F.col(hash_col), shift))
-    hist = d.groupBy("_b").agg(F.count("*").alias("_c"))
-    wcum = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = hist.select("_b", F.coalesce(F.sum("_c").over(wcum), F.lit(0)).alias("_off"))
-    rw = Window.partitionBy("_b").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
+    hist = d.groupBy(*g, "_b").agg(F.count("*").alias("_c"))
+    wcum = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offs = hist.select(*g, "_b", F.coalesce(F.sum("_c").over(wcum), F.lit(0)).alias("_off"))
+    rw = Window.partitionBy(*g, "_b").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
     ranked = d.withColumn("_r", F.row_number().over(rw))
-    out = ranked.join(F.broadcast(offs), "_b")
+    out = ranked.join(F.broadcast(offs), [*g, "_b"])
     return out.withColumn(name, (F.col("_off") + F.col("_r") - 1).cast("bigint")).drop("_b", "_r", "_off")
 
 
@@ -101,3 +103,11 @@ def assign_batches(df: DataFrame, size: int, order: Sequence, name: str = "batch
     """Consecutive rows in ``order`` cut into groups of ``size``; the last may be short."""
     idx = assign_row_id(df, order, position)
     return idx.withColumn(name, (F.col(position) / F.lit(size)).cast("bigint"))
+
+
+def assign_hash_batches(df: DataFrame, size: int, hash_col: str, tiebreak: Sequence[str],
+                        group: Sequence[str] = (), name: str = "batch_id",
+                        position: str = "row_pos") -> DataFrame:
+    """Batches of ``size`` over a seeded random order (a 32-bit hash column), per group."""
+    idx = hash_dense_index(df, hash_col, tiebreak, position, group=group)
+    return idx.withColumn(name, (F.col(position) / F.lit(size)).cast("bigint"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from textlab.functions.hashing import hash_u32
 from textlab.functions.mathfn import class_weight
 from textlab.operators import checkpoints, metrics, reports, sampling
-from textlab.operators.indexing import assign_batches
+from textlab.operators.indexing import assign_hash_batches
 from textlab.session import cut_lineage
 
 BIAS_FEATURE = -1
@@ -236,8 +236,8 @@ def validate_epoch(scored: DataFrame, seed_col: str = "seed", key: str = "row_id
     """M5: validation rows in a seeded random order cut into batches; batch
     accuracy / recall / F-beta; unweighted mean over batches per seed."""
     s = metrics.with_predictions(scored, "z", "pred")
-    s = s.withColumn("_h", hash_u32(0, seed_col, key))
-    b = assign_batches(s, batch_size, ["_h", seed_col, key], "batch_id")
+    s = s.withColumn("_h", hash_u32(F.col(seed_col), key))
+    b = assign_hash_batches(s, batch_size, "_h", [key], group=[seed_col])
     bm = metrics.batch_metrics(b, [seed_col, "batch_id"], "label", "pred", beta, compat)
     return metrics.mean_over_batches(bm, [seed_col])
 
@@ -284,7 +284,8 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     # the last int(n * val_frac) rows of the seed's shuffled order
     orig = bal.filter(F.col("copy_no") == 1).select("seed", key)
     sides = sampling.validation_split(orig, cfg.val_frac, F.col("seed"), key, "split", group=["seed"])
-    bal = bal.join(sides, ["seed", key], "inner")
+    # the balanced, split seed grid is written once: every epoch reads it
+    bal = cut_lineage(bal.join(sides, ["seed", key], "inner"))
     train_rows = (bal.filter(F.col("split") == "train")
                   .withColumn("row_key", F.concat_ws(":", F.col(key).cast("string"), F.col("copy_no").cast("string"))))
     val_rows = bal.filter((F.col("split") == "validation") & (F.col("copy_no") == 1)).select("seed", key, label)
