@@ -151,38 +151,65 @@ def bucketed_table(df: DataFrame, cols: list[str], buckets: int | None = None, n
 
 
 def _prepare(feats: DataFrame, rows: DataFrame, alpha, key: str, g: list[str]):
+    """Bucketed features and initial weights ``(group, feature, w0, w1, _n)``.
+
+    ``_n`` (rows per group) rides in the weights table: every row has exactly
+    one bias feature, so it is the bias feature's count, spread over the
+    group's features by a window on the weights table (at most n_features
+    rows per group); no join with a separate count table is needed."""
+    from pyspark.sql import Window
+
     lab = rows.select(*g, key, "label", class_weight(F.col("label"), alpha).alias("cw"))
-    # bucketed by (group, row) once: every per-row aggregate and the
-    # row-gradient join of every epoch run without shuffling the features
+    # bucketed by (group, row) once: every per-row window of every epoch
+    # runs without shuffling the features
     f = bucketed_table(feats.join(lab, [*g, key], "inner"), [*g, key])
-    n = lab.groupBy(*g).agg(F.count("*").cast("double").alias("_n"))
-    w0 = cut_lineage(f.select(*g, "feature").distinct()
-                     .withColumn("w0", F.lit(0.0)).withColumn("w1", F.lit(0.0)))
-    return f, n, w0
+    cnt = f.groupBy(*g, "feature").agg(F.count("*").alias("_cnt"))
+    wg = Window.partitionBy(*g)
+    w0 = cut_lineage(cnt.select(*g, "feature", F.lit(0.0).alias("w0"), F.lit(0.0).alias("w1"),
+                                F.max(F.when(_is_bias(), F.col("_cnt"))).over(wg).cast("double").alias("_n")))
+    return f, None, w0
 
 
 def _epoch_update(f: DataFrame, weights: DataFrame, n: DataFrame, gamma: float, lr: float, l2: float,
                   key: str, g: list[str]) -> tuple[DataFrame, DataFrame]:
     """One gradient step for every group at once; returns (new weights, mean loss per group).
 
-    One aggregation per epoch: every row carries the bias feature with value
-    1, so the sum of row losses rides along as a third sum at that feature.
+    One pass over the bucketed features: a window over each (group, row)
+    gives the row's logits on every one of its feature rows (the buckets
+    already cluster rows, so the window needs no exchange), the row's
+    gradient scales each feature value, and the per-feature sums are
+    combined map-side before the only shuffle.  Every row carries the bias
+    feature (value 1), so the row losses ride along as a third sum there.
     """
-    s = _row_scores(f, weights, [*g, key, "label", "cw"], g)
+    from pyspark.sql import Window
+
+    j = f.join(F.broadcast(weights.select(*g, "feature", "w0", "w1")), [*g, "feature"], "left") \
+        .fillna(0.0, ["w0", "w1"])
+    w = Window.partitionBy(*g, key)
+    nb = ~_is_bias()
+    # all per-row sums in one select, so they share one Window operator
+    j = j.select("*",
+                 F.sum(F.when(_is_bias(), F.col("w0"))).over(w).alias("_b0"),
+                 F.sum(F.when(_is_bias(), F.col("w1"))).over(w).alias("_b1"),
+                 F.sum(F.when(nb, F.col("value") * F.col("w0"))).over(w).alias("_s0"),
+                 F.sum(F.when(nb, F.col("value") * F.col("w1"))).over(w).alias("_s1"),
+                 F.sum(F.when(nb, F.col("value") * F.col("value"))).over(w).alias("_nn"))
+    j = j.withColumn("_inv", F.when(F.col("_nn") > 0, 1.0 / F.sqrt("_nn")).otherwise(F.lit(0.0)))
+    j = (j.withColumn("z0", F.coalesce("_b0", F.lit(0.0)) + F.coalesce("_s0", F.lit(0.0)) * F.col("_inv"))
+         .withColumn("z1", F.coalesce("_b1", F.lit(0.0)) + F.coalesce("_s1", F.lit(0.0)) * F.col("_inv")))
     loss, d0, d1 = _row_gradient(gamma)
-    rg = s.select(*g, key, loss.alias("loss"), d0.alias("d0"), d1.alias("d1"), "_inv")
     scale = F.when(_is_bias(), F.lit(1.0)).otherwise(F.col("_inv")) * F.col("value")
-    grad = (f.select(*g, key, "feature", "value").join(rg, [*g, key], "inner")
-            .groupBy(*g, "feature").agg(F.sum(scale * F.col("d0")).alias("g0"),
-                                        F.sum(scale * F.col("d1")).alias("g1"),
-                                        F.sum(F.when(_is_bias(), F.col("loss"))).alias("_loss")))
-    upd = weights.join(grad, [*g, "feature"], "left").join(F.broadcast(n), g, "inner")
+    grad = (j.select(*g, "feature", (scale * d0).alias("_g0"), (scale * d1).alias("_g1"),
+                     F.when(_is_bias(), loss).alias("_l"))
+            .groupBy(*g, "feature").agg(F.sum("_g0").alias("g0"), F.sum("_g1").alias("g1"),
+                                        F.sum("_l").alias("_loss")))
+    upd = weights.join(grad, [*g, "feature"], "left")
 
-    def step(w, gr):
-        return F.col(w) - F.lit(lr) * (F.coalesce(F.col(gr), F.lit(0.0)) / F.col("_n") + F.lit(l2) * F.col(w))
+    def step(wc, gr):
+        return F.col(wc) - F.lit(lr) * (F.coalesce(F.col(gr), F.lit(0.0)) / F.col("_n") + F.lit(l2) * F.col(wc))
 
     new = cut_lineage(upd.select(*g, "feature", step("w0", "g0").alias("w0"), step("w1", "g1").alias("w1"),
-                                 (F.col("_loss") / F.col("_n")).alias("_loss")))
+                                 "_n", (F.col("_loss") / F.col("_n")).alias("_loss")))
     loss_df = new.filter(_is_bias()).select(*g, F.col("_loss").alias("loss"))
     return new.drop("_loss"), loss_df
 
@@ -210,6 +237,7 @@ def train_focal(feats: DataFrame, rows: DataFrame, gamma: float = 4.0, alpha: fl
     log = logs[0]
     for x in logs[1:]:
         log = log.unionByName(x)
+    weights = weights.drop("_n")
     if "_grp" in g:
         weights, log = weights.drop("_grp"), log.drop("_grp")
     return weights, log
@@ -342,5 +370,5 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     out["validation"] = union(vals)
     out["decisions"] = checkpoints.selected_checkpoint(decisions, "run", "epoch")
     out["averages"] = metrics.average_runs(out["report"], "seed")
-    out["weights"] = saved
+    out["weights"] = saved.drop("_n")
     return out

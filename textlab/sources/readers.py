@@ -21,6 +21,38 @@ SECTION_TABLE = T.StructType([
 ])
 
 
+def read_parquet(spark: SparkSession, path: str, min_split_bytes: int = 1 << 20) -> DataFrame:
+    """Parquet scan with a parallelism floor.
+
+    A large file written as one row group arrives as one scan task, and all
+    per-row text work after the scan would then run on one core.  When the
+    scan has fewer partitions than the default parallelism and at least
+    ``min_split_bytes`` per missing partition, rows are spread round-robin
+    (deterministic: Spark sorts before a round-robin repartition).  On a
+    real cluster input (many files and row groups) this is a no-op.
+    """
+    df = spark.read.parquet(path)
+    want = spark.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    if have >= want:
+        return df
+    size = _path_bytes(spark, path)
+    if size >= min_split_bytes * 2:
+        return df.repartition(min(want, max(2, size // min_split_bytes)))
+    return df
+
+
+def _path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes under ``path`` as the Hadoop file system lists them (no data read)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    total, it = 0, fs.listFiles(hpath, True)
+    while it.hasNext():
+        total += it.next().getLen()
+    return total
+
+
 def read_annotations(spark: SparkSession, path: str, schema: T.StructType = ANNOTATION_SCHEMA) -> DataFrame:
     """Comma CSV with a header; columns by name, a row number from file order
     is not needed (``build_publications`` takes an explicit order column)."""
