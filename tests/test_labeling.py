@@ -81,3 +81,14 @@ def test_contain_pairs_chunked_short_passages_exact(spark):
     got = sorted(tuple(r) for r in labeling.contain_pairs(docs, items, max_broadcast_bytes=40).collect())
     brute = sorted((r.doc_id, it.item_id) for r in docs.collect() for it in items.collect() if it.text in r.text)
     assert got == brute and len(got) > 30
+
+
+def test_label_corpus_repeatable_under_repartitioning(spark):
+    from textlab.plans import corpus
+    from textlab.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    ann, secs = fx.annotations(spark, SF_SMALL), fx.sections(spark, SF_SMALL)
+    base = sorted(tuple(r) for r in corpus.label_corpus(ann, secs).collect())
+    for parts in (1, 17):
+        again = corpus.label_corpus(ann.repartition(parts), secs.repartition(parts, "pos"))
+        assert sorted(tuple(r) for r in again.collect()) == base
