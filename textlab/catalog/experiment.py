@@ -55,7 +55,7 @@ def q_score_rows(spark, sf_dir):
 @query("train_focal")
 def q_train_focal(spark, sf_dir):
     d = labelled_docs(spark, sf_dir)
-    feats = X.text_features(d, "row_id", "text", NF)
+    feats = X.text_features(d, "row_id", "text", NF, hashing="xxhash64")
     _, log = X.train_focal(feats, d.select("row_id", "label"), 4.0, 0.12, 4, 0.5, group=())
     return log.select("epoch", r6("loss").alias("loss"))
 

@@ -349,3 +349,19 @@ FROM (SELECT event_id, floor(s / 86400)::BIGINT AS d, (s - floor(s / 86400)::BIG
 def q_elapsed(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return longs(e.select("event_id", formats.format_elapsed(F.col("value") * 1000).alias("elapsed")))
+
+
+@query("average_appended_reports", with_ctes("logits", extra=cm_sql(True)) + f""",
+rk AS (SELECT run, tp, fp, fn, tn, dense_rank() OVER (ORDER BY run) - 1 AS rec FROM cm)
+SELECT round(avg(printf('%.3f', {reports.MCC_SQL})::DOUBLE), 6) AS mcc,
+       round(avg(({reports.ratio_sql("tp", "(tp + fp)", "duckdb")})::DOUBLE), 6) AS precision_1,
+       round(avg(({reports.ratio_sql("tp + tn", "(tp + fp + fn + tn)", "duckdb")})::DOUBLE), 6) AS accuracy,
+       count(*)::BIGINT AS n_records
+FROM rk WHERE rec < 5""")
+def q_average_appended(spark, sf_dir):
+    """Append-mode reports: framed into 12-line records, parsed, averaged."""
+    cm = metrics.confusion_matrix(logits(spark, sf_dir, 5), ["run"])
+    framed = reports.frame_report_records(reports.format_appended_report(cm))
+    parsed = reports.parse_appended_report(framed)
+    return parsed.agg(r6(F.avg("mcc")).alias("mcc"), r6(F.avg("precision_1")).alias("precision_1"),
+                      r6(F.avg("accuracy")).alias("accuracy"), F.count("*").cast("bigint").alias("n_records"))

@@ -50,6 +50,7 @@ class ExperimentConfig:
     seeds: tuple = tuple(SEEDS)
     text_col: str = "text"
     policy: str = "previous"
+    hashing: str = "xxhash64"
     n_features: int = 1 << 18
     extra: dict = field(default_factory=dict)
 
@@ -68,7 +69,8 @@ PRESETS = {
 
 
 def text_features(df: DataFrame, key: str = "row_id", text: str = "text", n_features: int = 1 << 18,
-                  group: tuple = (), head: int | None = None, tail: int | None = None) -> DataFrame:
+                  group: tuple = (), head: int | None = None, tail: int | None = None,
+                  hashing: str = "md5") -> DataFrame:
     """M1: hashed token counts as a tall sparse table ``(*group, key, feature, value)``
     plus a bias feature (value 1) per row.  The bucket is ``md5(token)`` mod
     ``n_features`` (the same in DuckDB).  Tokens of one row never leave its
@@ -81,7 +83,12 @@ def text_features(df: DataFrame, key: str = "row_id", text: str = "text", n_feat
         toks = head_tail_window(toks, head, tail or 0)
     g = list(group)
     ex = df.select(*g, key, F.explode(toks).alias("_t"))
-    feat = F.pmod(F.conv(F.substring(F.md5(F.col("_t")), 1, 8), 16, 10).cast("bigint"), F.lit(n_features))
+    if hashing == "md5":  # reproducible in DuckDB
+        feat = F.pmod(F.conv(F.substring(F.md5(F.col("_t")), 1, 8), 16, 10).cast("bigint"), F.lit(n_features))
+    elif hashing == "xxhash64":  # Spark's native hash, far cheaper per token
+        feat = F.pmod(F.xxhash64(F.col("_t")), F.lit(n_features))
+    else:
+        raise ValueError("hashing is 'md5' or 'xxhash64'")
     counts = ex.groupBy(*g, key, feat.alias("feature")).agg(F.count("*").cast("double").alias("value"))
     bias = df.select(*g, key, F.lit(BIAS_FEATURE).cast("bigint").alias("feature"), F.lit(1.0).alias("value"))
     return counts.unionByName(bias)
@@ -319,7 +326,7 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     val_rows = bal.filter((F.col("split") == "validation") & (F.col("copy_no") == 1)).select("seed", key, label)
 
     feats = cut_lineage(text_features(df.select(key, cfg.text_col), key, cfg.text_col, cfg.n_features,
-                                      head=cfg.head, tail=cfg.tail))
+                                      head=cfg.head, tail=cfg.tail, hashing=cfg.hashing))
     tr_feats = train_rows.select("seed", key, "row_key").join(feats, key).drop(key).withColumnRenamed("row_key", key)
     tr_rows = train_rows.select("seed", F.col("row_key").alias(key), label)
     g = ["seed"]
@@ -360,7 +367,7 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
         return out
 
     test_feats = text_features(test.select(key, cfg.text_col), key, cfg.text_col, cfg.n_features,
-                               head=cfg.test_head, tail=cfg.test_tail)
+                               head=cfg.test_head, tail=cfg.test_tail, hashing=cfg.hashing)
     tgrid = sampling.seed_grid(test.select(key, label), cfg.seeds, "seed")
     scored_test = (score_rows(tgrid.select("seed", key).join(test_feats, key), saved, key, ("seed",))
                    .join(tgrid, ["seed", key]))
