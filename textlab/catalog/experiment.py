@@ -71,7 +71,7 @@ def q_train_weighted(spark, sf_dir):
 _RUNS: dict = {}
 
 
-def _run(spark, sf_dir, preset="tab_6"):
+def _run(spark, sf_dir, preset="focal_balanced_fbeta"):
     """One experiment per (session, data folder, preset); the three experiment
     queries read different outputs of the same run (all checkpoint-backed)."""
     memo = (id(spark), sf_dir, preset)

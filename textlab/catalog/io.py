@@ -11,7 +11,6 @@ from textlab.catalog.metrics import cm_sql, _report_sql, report_lines, batch_tab
 from textlab.registry import query
 from textlab.session import scratch_dir
 from textlab.sources import fixtures as fx, readers, writers
-from textlab.operators import reports
 
 
 @query("read_delimited", "SELECT doc_id::BIGINT AS doc_id, text, lang FROM documents")
@@ -114,5 +113,3 @@ def q_log_metrics(spark, sf_dir):
     back = spark.read.parquet(path)
     return longs(back.groupBy("tag").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total")))
 
-
-_ = reports

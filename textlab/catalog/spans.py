@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlab.catalog.common import longs, sql_hash, with_ctes
-from textlab.operators import cleaning, indexing, sampling, setops, spans
+from textlab.operators import cleaning, indexing, sampling, spans
 from textlab.plans import corpus
 from textlab.registry import query
 from textlab.sources import fixtures as fx
@@ -116,5 +116,3 @@ def q_span_profile(spark, sf_dir):
                                   F.count_if(F.col("label") == 1).cast("bigint").alias("n_pos"),
                                   F.count_distinct("dataset").cast("bigint").alias("n_names"))
 
-
-_ = setops  # split_profile also applies to the span corpus

@@ -26,7 +26,8 @@ from textlab.session import cut_lineage
 BIAS_FEATURE = -1
 
 
-# fixed values: the experiment grid of the reference (one preset per module)
+# fixed values: the experiment grid (window, balancing, validation share, loss,
+# checkpoint metric per setting) and the five seeds
 SEEDS = [42, 67, 330, 2004, 945]
 
 
@@ -56,14 +57,14 @@ class ExperimentConfig:
 
 
 PRESETS = {
-    "tab_1": ExperimentConfig(head=128, tail=382, test_head=128, test_tail=382, pad_test=512, val_frac=0.1),
-    "tab_2": ExperimentConfig(neg_frac=0.55, pos_copies=4, test_head=382, pad_test=512, val_frac=0.1),
-    "tab_3": ExperimentConfig(val_frac=0.1, gamma=4.0, alpha=0.12),
-    "tab_4": ExperimentConfig(neg_frac=0.55, pos_copies=4, val_frac=0.1, gamma=4.0, alpha=0.12),
-    "tab_5": ExperimentConfig(val_frac=0.2, gamma=4.0, alpha=0.12, checkpoint_metric="recall"),
-    "tab_6": ExperimentConfig(neg_frac=0.55, pos_copies=4, pad_train="max", val_frac=0.2, gamma=4.0,
+    "ce_head128": ExperimentConfig(head=128, tail=382, test_head=128, test_tail=382, pad_test=512, val_frac=0.1),
+    "ce_balanced": ExperimentConfig(neg_frac=0.55, pos_copies=4, test_head=382, pad_test=512, val_frac=0.1),
+    "focal": ExperimentConfig(val_frac=0.1, gamma=4.0, alpha=0.12),
+    "focal_balanced": ExperimentConfig(neg_frac=0.55, pos_copies=4, val_frac=0.1, gamma=4.0, alpha=0.12),
+    "focal_recall": ExperimentConfig(val_frac=0.2, gamma=4.0, alpha=0.12, checkpoint_metric="recall"),
+    "focal_balanced_fbeta": ExperimentConfig(neg_frac=0.55, pos_copies=4, pad_train="max", val_frac=0.2, gamma=4.0,
                               alpha=0.12, checkpoint_metric="fbeta"),
-    "span": ExperimentConfig(neg_frac=0.55, pos_copies=2, pad_train="max", val_frac=0.2, gamma=4.0,
+    "span_focal_balanced_fbeta": ExperimentConfig(neg_frac=0.55, pos_copies=2, pad_train="max", val_frac=0.2, gamma=4.0,
                              alpha=0.12, checkpoint_metric="fbeta"),
 }
 
