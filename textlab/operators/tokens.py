@@ -25,16 +25,35 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "tokens", pattern: st
 def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
                 min_count: int = 1) -> DataFrame:
     """(token, id, n): the ``max_size`` most frequent tokens (ties by token), ids
-    after the reserved ones.  Token counts combine map-side, so a token that
-    fills a third of the corpus is one row per map task; the top-k keeps at
-    most ``max_size`` rows per partition."""
-    counts = (df.select(F.explode(tokens).alias("token"))
-              .groupBy("token").agg(F.count("*").cast("bigint").alias("n"))
-              .filter(F.col("n") >= min_count))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(max_size)
-    # the ranking window sees at most ``max_size`` rows (the top-k is the feature)
+    after the reserved ones.
+
+    Token counts combine map-side, so a token that fills a third of the corpus
+    is one row per map task.  The top-k never funnels k rows from every
+    partition into one task: a histogram over the count values (one row per
+    distinct count) finds the count ``c`` at which the k-th token falls; all
+    tokens counted above ``c`` are in (fewer than k), and only the tokens
+    counted exactly ``c`` are ranked by token, with the range-partitioned dense
+    index.  The final ranking window sees at most ``max_size`` rows.
+    """
+    from textlab.operators.indexing import assign_row_id
+    from textlab.session import cut_lineage
+
+    counts = cut_lineage(df.select(F.explode(tokens).alias("token"))
+                         .groupBy("token").agg(F.count("*").cast("bigint").alias("n"))
+                         .filter(F.col("n") >= min_count))
+    hist = counts.groupBy("n").agg(F.count("*").alias("_m"))
+    wdesc = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_above", F.coalesce(F.sum("_m").over(wdesc), F.lit(0)))
+    # threshold: the count whose group holds the k-th token (the smallest count if fewer tokens)
+    cut = hist.filter(F.col("_above") < max_size).agg(F.min("n").alias("c"))
+    cut = cut.join(hist, F.col("c") == F.col("n")).select("c", F.col("_above").alias("above"))
+    c_val, above = cut.select("c").scalar(), cut.select("above").scalar()
+    top = counts.filter(F.col("n") > c_val)
+    ties = counts.filter(F.col("n") == c_val)
+    ranked_ties = assign_row_id(ties, ["token"], "_r").filter(F.col("_r") < F.lit(max_size) - above).drop("_r")
+    chosen = top.unionByName(ranked_ties)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
-    return top.select("token", (F.row_number().over(w) - 1 + len(SPECIAL_TOKENS)).cast("int").alias("id"), "n")
+    return chosen.select("token", (F.row_number().over(w) - 1 + len(SPECIAL_TOKENS)).cast("int").alias("id"), "n")
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "tokens",
