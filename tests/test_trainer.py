@@ -30,3 +30,13 @@ def test_run_experiment_produces_reports(spark):
     lines = out["report_lines"].filter(F.col("line_no") == 9).collect()
     assert all(r.line.startswith("MCC: ") for r in lines)
     assert {r.row for r in out["averages"].collect()} >= {"0", "1", "macro avg", "weighted avg"}
+
+
+def test_validate_epoch_compat_fbeta(spark):
+    rows = [(42, i, i % 3 == 0, 0.0, 1.0 if i % 2 else -1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "seed long, row_id long, label boolean, z0 double, z1 double") \
+        .withColumn("label", F.col("label").cast("int")).withColumn("z", F.array("z0", "z1"))
+    compat = X.validate_epoch(df, "seed", "row_id", 8, compat=True).first()
+    assert compat.fbeta == 1.0  # every batch of 8 holds a positive, so labels-vs-labels scores 1
+    true = X.validate_epoch(df, "seed", "row_id", 8).first()
+    assert 0.0 <= true.fbeta < 1.0

@@ -51,6 +51,7 @@ class ExperimentConfig:
     seeds: tuple = tuple(SEEDS)
     text_col: str = "text"
     policy: str = "previous"
+    fbeta_compat: bool = False  # True: the reference's labels-against-labels F-beta
     hashing: str = "xxhash64"
     n_features: int = 1 << 18
     extra: dict = field(default_factory=dict)
@@ -340,7 +341,8 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     for epoch in range(cfg.epochs):
         cur, loss = _epoch_update(f, weights, n, cfg.gamma, lr, l2, key, g)
         scored = score_rows(val_feats, cur, key, ("seed",)).join(val_rows, ["seed", key])
-        v = cut_lineage(validate_epoch(scored, "seed", key, cfg.batch_size).withColumn("epoch", F.lit(epoch)))
+        v = cut_lineage(validate_epoch(scored, "seed", key, cfg.batch_size, compat=cfg.fbeta_compat)
+                        .withColumn("epoch", F.lit(epoch)))
         m = v.select("seed", "epoch", F.col(cfg.checkpoint_metric).alias("metric"))
         if prev is None:
             dec = m.withColumn("action", F.lit("save"))
