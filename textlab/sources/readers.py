@@ -32,11 +32,14 @@ def read_parquet(spark: SparkSession, path: str, min_split_bytes: int = 1 << 20)
     real cluster input (many files and row groups) this is a no-op.
     """
     df = spark.read.parquet(path)
-    want = spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    if have >= want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+        if have >= want:
+            return df
+        size = _path_bytes(spark, path)
+    except Exception:  # noqa: BLE001 - no JVM handles (e.g. a Spark Connect session): plain scan
         return df
-    size = _path_bytes(spark, path)
     if size >= min_split_bytes * 2:
         return df.repartition(min(want, max(2, size // min_split_bytes)))
     return df
