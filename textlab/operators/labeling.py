@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textlab.operators.joins import broadcast_if_small
+from textlab.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small, measured_bytes
+from textlab.session import cut_lineage
 
 
 def build_publications(ann: DataFrame, id_col: str = "id", title_col: str = "pub_title",
@@ -105,8 +106,9 @@ def contain_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", do
     keyed by its longest interior token; documents emit their distinct tokens,
     which meet the passages in an equi-join, and only those candidates are
     verified with ``contains``.  Passages without an interior token (one or two
-    words) can sit inside a longer word, so they are checked against every
-    document inside the row (a short array filter, no pair rows).
+    words) can sit inside a longer word, so they are checked inside each
+    document row against size-bounded arrays of such passages (one pass per
+    chunk; no pair rows are formed and no passage is dropped).
     """
     it = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item_text"))
     it = it.withColumn("anchor", interior_anchor(F.col("item_text")))
@@ -128,8 +130,6 @@ def contain_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", do
     # subqueries evaluated once), matched inside each document row; when they
     # do not fit one value they are cut into hash chunks of bounded size and
     # each chunk is matched in its own pass, so no passage is ever dropped
-    from textlab.operators.joins import DEFAULT_BROADCAST_BYTES, measured_bytes
-    from textlab.session import cut_lineage
     limit = DEFAULT_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
     short = cut_lineage(short)
     n_chunks = max(1, -(-measured_bytes(short) // max(limit, 1)))
