@@ -10,7 +10,9 @@ LABELLED_COLUMNS = ["file_id", "publication_name", "section_title", "dataset", "
 
 
 def label_corpus(annotations: DataFrame, sections: DataFrame, min_chars: int = 5, gt: int = 20,
-                 keep_order: bool = False, max_broadcast_bytes: int | None = None) -> DataFrame:
+                 keep_order: bool = False, max_broadcast_bytes: int | None = None,
+                 id_col: str = "id", title_col: str = "pub_title", mention_cols=("mention",),
+                 order_col: str = "row_no") -> DataFrame:
     """The whole first stage: publications -> labelled sections -> cleaned, deduplicated rows.
 
     Plan: aggregate annotations by id (shuffle of the small side), broadcast
@@ -18,7 +20,7 @@ def label_corpus(annotations: DataFrame, sections: DataFrame, min_chars: int = 5
     filter by length before anything shuffles, then one map-side-combined
     aggregate keeps the first row of each (text, label).
     """
-    pubs = labeling.build_publications(annotations)
+    pubs = labeling.build_publications(annotations, id_col, title_col, mention_cols, order_col)
     secs = cleaning.skip_tiny_sections(sections, "section_txt", min_chars)
     secs = cleaning.min_length_filter(secs, "section_txt", gt)
     labelled = labeling.label_sections(secs, pubs, max_broadcast_bytes=max_broadcast_bytes)
