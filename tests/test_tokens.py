@@ -42,3 +42,13 @@ def test_vocab_reserves_ids_and_encodes_unknown(spark):
     assert enc == {1: [4, 5, 4, 1], 2: [4, 1]}
     full = tokens.encode_text(df, v, "row_id", "text", 1, 1, pad_to="max").collect()
     assert {r.row_id: r.input_ids for r in full} == {1: [2, 4, 1, 3], 2: [2, 4, 1, 3]}
+
+
+def test_vocab_tie_paths_agree(spark):
+    text = " ".join(["common"] * 5 + [f"w{i}" for i in range(30)] + [f"v{i}" for i in range(10)] * 2)
+    df = tokens.tokenize(spark.createDataFrame([(1, text)], "row_id long, text string"), "text")
+    small = sorted(tuple(r) for r in tokens.build_vocab(df, max_size=15).collect())
+    forced = sorted(tuple(r) for r in tokens.build_vocab(df, max_size=15, max_tie_rows=1).collect())
+    assert small == forced and len(small) == 15
+    got = {r[0] for r in small}
+    assert "common" in got and all(f"v{i}" in got for i in range(10))  # counts 5 and 2 beat the ties at 1

@@ -23,7 +23,7 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "tokens", pattern: st
 
 
 def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
-                min_count: int = 1) -> DataFrame:
+                min_count: int = 1, max_tie_rows: int = 5_000_000) -> DataFrame:
     """(token, id, n): the ``max_size`` most frequent tokens (ties by token), ids
     after the reserved ones.
 
@@ -32,7 +32,8 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
     partition into one task: a histogram over the count values (one row per
     distinct count) finds the count ``c`` at which the k-th token falls; all
     tokens counted above ``c`` are in (fewer than k), and only the tokens
-    counted exactly ``c`` are ranked by token, with the range-partitioned dense
+    counted exactly ``c`` are ranked by token: an ordered limit when that tie
+    group has at most ``max_tie_rows`` rows, else the range-partitioned dense
     index.  The final ranking window sees at most ``max_size`` rows.
     """
     from textlab.operators.indexing import assign_row_id
@@ -44,13 +45,22 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
     hist = counts.groupBy("n").agg(F.count("*").alias("_m"))
     wdesc = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_above", F.coalesce(F.sum("_m").over(wdesc), F.lit(0)))
-    # threshold: the count whose group holds the k-th token (the smallest count if fewer tokens)
-    cut = hist.filter(F.col("_above") < max_size).agg(F.min("n").alias("c"))
-    cut = cut.join(hist, F.col("c") == F.col("n")).select("c", F.col("_above").alias("above"))
-    c_val, above = cut.select("c").scalar(), cut.select("above").scalar()
+    # threshold: the count whose group holds the k-th token (the smallest count
+    # if there are fewer tokens); one row, read on the driver
+    cut = hist.filter(F.col("_above") < max_size).orderBy("n").limit(1).first()
+    if cut is None:
+        return counts.select("token", F.lit(None).cast("int").alias("id"), "n").limit(0)
+    c_val, above, ties_n = int(cut["n"]), int(cut["_above"]), int(cut["_m"])
+    need = max_size - above
     top = counts.filter(F.col("n") > c_val)
     ties = counts.filter(F.col("n") == c_val)
-    ranked_ties = assign_row_id(ties, ["token"], "_r").filter(F.col("_r") < F.lit(max_size) - above).drop("_r")
+    if ties_n <= need:
+        ranked_ties = ties
+    elif ties_n <= max_tie_rows:
+        # the ordered limit merges at most ``ties_n`` rows: bounded by the histogram
+        ranked_ties = ties.orderBy("token").limit(need)
+    else:
+        ranked_ties = assign_row_id(ties, ["token"], "_r").filter(F.col("_r") < need).drop("_r")
     chosen = top.unionByName(ranked_ties)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
     return chosen.select("token", (F.row_number().over(w) - 1 + len(SPECIAL_TOKENS)).cast("int").alias("id"), "n")
