@@ -30,3 +30,15 @@ def test_dollar_csv_written_by_python_csv_module(spark):
     df = readers.read_delimited(spark, d, readers.SECTION_TABLE)
     got = sorted((r.file_id, r.dataset, r.label, r.section_txt) for r in df.collect())
     assert got == [("a", "None", 0, 'costs $5 and "quoted"'), ("b", "ds", 1, "two\nlines $ here")]
+
+
+def test_epoch_log_overwrites_only_its_run(spark):
+    from textlab.session import scratch_dir
+    from textlab.sources import writers
+    path = scratch_dir(spark, "epochs")
+    a = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.6), (2, 0, 0.7)], "run long, epoch long, loss double")
+    writers.write_epoch_log(a, path)
+    b = spark.createDataFrame([(1, 0, 0.9)], "run long, epoch long, loss double")
+    writers.write_epoch_log(b, path)  # run 1 is replaced, run 2 stays
+    got = sorted(tuple(r) for r in spark.read.parquet(path).select("run", "epoch", "loss").collect())
+    assert got == [(1, 0, 0.9), (2, 0, 0.7)]
