@@ -40,3 +40,14 @@ def test_validate_epoch_compat_fbeta(spark):
     assert compat.fbeta == 1.0  # every batch of 8 holds a positive, so labels-vs-labels scores 1
     true = X.validate_epoch(df, "seed", "row_id", 8).first()
     assert 0.0 <= true.fbeta < 1.0
+
+
+def test_adagrad_moves_focal_loss_further(spark):
+    d = labelled_docs(spark, SF_SMALL)
+    feats = X.text_features(d, "row_id", "text", 1 << 12, hashing="xxhash64")
+    rows = d.select("row_id", "label")
+    _, gd = X.train_focal(feats, rows, 4.0, 0.12, 3, 0.5, group=())
+    _, ada = X.train_focal(feats, rows, 4.0, 0.12, 3, 0.05, group=(), optimizer="adagrad")
+    g = [r.loss for r in gd.orderBy("epoch").collect()]
+    a = [r.loss for r in ada.orderBy("epoch").collect()]
+    assert a[-1] < a[0] and (a[0] - a[-1]) > (g[0] - g[-1])

@@ -53,6 +53,7 @@ class ExperimentConfig:
     policy: str = "previous"
     fbeta_compat: bool = False  # True: the reference's labels-against-labels F-beta
     hashing: str = "xxhash64"
+    optimizer: str = "gd"  # or "adagrad"
     n_features: int = 1 << 18
     extra: dict = field(default_factory=dict)
 
@@ -175,12 +176,13 @@ def _prepare(feats: DataFrame, rows: DataFrame, alpha, key: str, g: list[str]):
     cnt = f.groupBy(*g, "feature").agg(F.count("*").alias("_cnt"))
     wg = Window.partitionBy(*g)
     w0 = cut_lineage(cnt.select(*g, "feature", F.lit(0.0).alias("w0"), F.lit(0.0).alias("w1"),
-                                F.max(F.when(_is_bias(), F.col("_cnt"))).over(wg).cast("double").alias("_n")))
+                                F.max(F.when(_is_bias(), F.col("_cnt"))).over(wg).cast("double").alias("_n"),
+                                F.lit(0.0).alias("_a0"), F.lit(0.0).alias("_a1")))
     return f, None, w0
 
 
 def _epoch_update(f: DataFrame, weights: DataFrame, n: DataFrame, gamma: float, lr: float, l2: float,
-                  key: str, g: list[str]) -> tuple[DataFrame, DataFrame]:
+                  key: str, g: list[str], optimizer: str = "gd") -> tuple[DataFrame, DataFrame]:
     """One gradient step for every group at once; returns (new weights, mean loss per group).
 
     One pass over the bucketed features: a window over each (group, row)
@@ -214,18 +216,29 @@ def _epoch_update(f: DataFrame, weights: DataFrame, n: DataFrame, gamma: float,
                                         F.sum("_l").alias("_loss")))
     upd = weights.join(grad, [*g, "feature"], "left")
 
-    def step(wc, gr):
-        return F.col(wc) - F.lit(lr) * (F.coalesce(F.col(gr), F.lit(0.0)) / F.col("_n") + F.lit(l2) * F.col(wc))
-
-    new = cut_lineage(upd.select(*g, "feature", step("w0", "g0").alias("w0"), step("w1", "g1").alias("w1"),
-                                 "_n", (F.col("_loss") / F.col("_n")).alias("_loss")))
+    def full_grad(wc, gr):
+        return F.coalesce(F.col(gr), F.lit(0.0)) / F.col("_n") + F.lit(l2) * F.col(wc)
+
+    if optimizer == "gd":
+        cols = [(F.col(wc) - F.lit(lr) * full_grad(wc, gr)).alias(wc) for wc, gr in (("w0", "g0"), ("w1", "g1"))]
+        acc = [F.col("_a0"), F.col("_a1")]
+    elif optimizer == "adagrad":
+        # per-feature step lr / sqrt(sum of squared gradients): the accumulator rides in the weights table
+        acc = [(F.col(a) + full_grad(wc, gr) * full_grad(wc, gr)).alias(a)
+               for a, wc, gr in (("_a0", "w0", "g0"), ("_a1", "w1", "g1"))]
+        cols = [(F.col(wc) - F.lit(lr) * full_grad(wc, gr) / (F.sqrt(F.col(a) + full_grad(wc, gr) * full_grad(wc, gr))
+                                                             + F.lit(1e-8))).alias(wc)
+                for a, wc, gr in (("_a0", "w0", "g0"), ("_a1", "w1", "g1"))]
+    else:
+        raise ValueError("optimizer is 'gd' or 'adagrad'")
+    new = cut_lineage(upd.select(*g, "feature", *cols, "_n", *acc, (F.col("_loss") / F.col("_n")).alias("_loss")))
     loss_df = new.filter(_is_bias()).select(*g, F.col("_loss").alias("loss"))
     return new.drop("_loss"), loss_df
 
 
 def train_focal(feats: DataFrame, rows: DataFrame, gamma: float = 4.0, alpha: float | None = 0.12,
                 epochs: int = 4, lr: float = 0.5, l2: float = 1e-4, key: str = "row_id",
-                group: tuple = ("seed",)) -> tuple[DataFrame, DataFrame]:
+                group: tuple = ("seed",), optimizer: str = "gd") -> tuple[DataFrame, DataFrame]:
     """M3: full-batch gradient descent on focal loss (``gamma=0``, ``alpha=None``
     is plain cross entropy).  ``rows`` holds ``(*group, key, label)``.
 
@@ -241,12 +254,12 @@ def train_focal(feats: DataFrame, rows: DataFrame, gamma: float = 4.0, alpha: fl
     f, n, weights = _prepare(feats, rows, alpha, key, g)
     logs = []
     for epoch in range(epochs):
-        weights, loss = _epoch_update(f, weights, n, gamma, lr, l2, key, g)
+        weights, loss = _epoch_update(f, weights, n, gamma, lr, l2, key, g, optimizer)
         logs.append(loss.withColumn("epoch", F.lit(epoch)))
     log = logs[0]
     for x in logs[1:]:
         log = log.unionByName(x)
-    weights = weights.drop("_n")
+    weights = weights.drop("_n", "_a0", "_a1")
     if "_grp" in g:
         weights, log = weights.drop("_grp"), log.drop("_grp")
     return weights, log
@@ -339,7 +352,7 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     prev = None
     logs, vals, decs = [], [], []
     for epoch in range(cfg.epochs):
-        cur, loss = _epoch_update(f, weights, n, cfg.gamma, lr, l2, key, g)
+        cur, loss = _epoch_update(f, weights, n, cfg.gamma, lr, l2, key, g, cfg.optimizer)
         scored = score_rows(val_feats, cur, key, ("seed",)).join(val_rows, ["seed", key])
         v = cut_lineage(validate_epoch(scored, "seed", key, cfg.batch_size, compat=cfg.fbeta_compat)
                         .withColumn("epoch", F.lit(epoch)))
@@ -380,5 +393,5 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     out["validation"] = union(vals)
     out["decisions"] = checkpoints.selected_checkpoint(decisions, "run", "epoch")
     out["averages"] = metrics.average_runs(out["report"], "seed")
-    out["weights"] = saved.drop("_n")
+    out["weights"] = saved.drop("_n", "_a0", "_a1")
     return out
