@@ -41,3 +41,24 @@ def test_no_registered_query_uses_a_cartesian_product(spark):
         if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
             bad.append(key)
     assert not bad
+
+
+def test_read_folds_prunes_partitions(spark):
+    from textlab.session import scratch_dir
+    from textlab.sources import fixtures as fx, readers, writers
+    root = scratch_dir(spark, "folds")
+    writers.write_folds(fx.folds(spark, SF_SMALL), root)
+    df = readers.read_folds(spark, root, "train")
+    plan = _plan(df)
+    import re
+    assert re.search(r"PartitionFilters: \[isnotnull\(split#\d+\), \(split#\d+ = train\)\]", plan)
+    assert df.select("split").distinct().collect()[0][0] == "train"
+
+
+def test_label_corpus_filters_below_the_join(spark):
+    df = QUERIES["label_corpus"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    join_at = plan.index("BroadcastHashJoin")
+    # the length filters sit under the join, on the section side
+    import re
+    assert re.search(r"length\(section_txt#\d+\)", plan[join_at:])
