@@ -58,3 +58,30 @@ def test_mcc_and_rates_match_formulas(spark):
         assert math.isclose(r.mcc, mcc, abs_tol=1e-12)
         assert math.isclose(r.precision, tp / (tp + fp) if tp + fp else 0.0, abs_tol=1e-12)
         assert math.isclose(r.recall, tp / (tp + fn) if tp + fn else 0.0, abs_tol=1e-12)
+
+
+def test_label_sections_matches_brute_force(spark):
+    from textlab.operators import labeling
+    rnd = random.Random(13)
+    alphabet = ["ab", "ba", "abc", "c", "data", "set", " ", "x"]
+    pubs, secs = {}, []
+    for fid in range(25):
+        pubs[fid] = sorted({"".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 3)))
+                            for _ in range(rnd.randint(0, 4))})
+        for pos in range(rnd.randint(0, 6)):
+            secs.append((fid, pos, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12)))))
+    ann = [(i, fid, "T", m) for i, (fid, m) in enumerate((f, m) for f, ms in pubs.items() for m in ms)]
+    ann_df = spark.createDataFrame(ann or [(0, 999, "T", "zz")], "row_no long, id long, pub_title string, mention string")
+    sec_df = spark.createDataFrame([(f, p, "t", s) for f, p, s in secs],
+                                   "file_id long, pos int, section_title string, section_txt string")
+    got = {(r.file_id, r.pos): (r.dataset, r.label)
+           for r in labeling.label_sections(sec_df, labeling.build_publications(ann_df)).collect()}
+    annotated = {a[1] for a in ann}  # inner join: a file without annotations is never opened
+    want = {}
+    for f, p, text in secs:
+        if f not in annotated:
+            continue
+        hits = [m for m in pubs[f] if m in text]
+        best = sorted(hits, key=lambda m: (-len(m), m.encode()))[0] if hits else "None"
+        want[(f, p)] = (best, 1 if hits else 0)
+    assert got == want
