@@ -85,3 +85,30 @@ def test_label_sections_matches_brute_force(spark):
         best = sorted(hits, key=lambda m: (-len(m), m.encode()))[0] if hits else "None"
         want[(f, p)] = (best, 1 if hits else 0)
     assert got == want
+
+
+def test_funnel_and_fused_dedup_match_pandas_cascade(spark):
+    import pandas as pd
+
+    from textlab.operators import cleaning
+    rnd = random.Random(17)
+    texts = ["short", "a" * 21, "b" * 25, "c" * 30, "the same long text here", "another long section text"]
+    rows = [(i, rnd.choice(["f1", "f2", "f3"]), rnd.choice(texts), rnd.choice(["None", "ds1", "ds2"]),
+             rnd.randint(0, 1), i // 7, i % 7) for i in range(400)]
+    cols = ["i", "file_id", "section_txt", "dataset", "label", "pub_order", "pos"]
+    pdf = pd.DataFrame(rows, columns=cols)  # file order = i
+    n0 = len(pdf)
+    pdf = pdf[pdf.section_txt.str.len().gt(20)]
+    n1 = len(pdf)
+    pdf = pdf[~pdf.duplicated(["file_id", "section_txt", "dataset", "label"], keep="first")]
+    n2 = len(pdf)
+    pdf = pdf[~pdf.duplicated(["section_txt", "dataset", "label"], keep="first")]
+    n3 = len(pdf)
+    pdf = pdf[~pdf.duplicated(["section_txt", "label"], keep="first")]
+    n4 = len(pdf)
+    df = spark.createDataFrame(rows, "i long, file_id string, section_txt string, dataset string, label int, "
+                                     "pub_order long, pos long")
+    f = cleaning.clean_funnel(df).first()
+    assert (f.n_labelled, f.n_long, f.n_dedup_file, f.n_dedup_mention, f.n_dedup_text) == (n0, n1, n2, n3, n4)
+    fused = cleaning.dedup_cascade(cleaning.min_length_filter(df), order=("pub_order", "pos"))
+    assert sorted(r.i for r in fused.collect()) == sorted(pdf.i.tolist())
