@@ -112,3 +112,30 @@ def test_funnel_and_fused_dedup_match_pandas_cascade(spark):
     assert (f.n_labelled, f.n_long, f.n_dedup_file, f.n_dedup_mention, f.n_dedup_text) == (n0, n1, n2, n3, n4)
     fused = cleaning.dedup_cascade(cleaning.min_length_filter(df), order=("pub_order", "pos"))
     assert sorted(r.i for r in fused.collect()) == sorted(pdf.i.tolist())
+
+
+def test_pr_curve_matches_numpy_histogram_formula(spark):
+    import numpy as np
+
+    from textlab.operators import metrics
+    rnd = np.random.default_rng(23)
+    n, t = 300, 127
+    z = rnd.normal(size=(n, 2))
+    y = rnd.integers(0, 2, size=n)
+    df = spark.createDataFrame([(int(y[i]), float(z[i, 0]), float(z[i, 1])) for i in range(n)],
+                               "label int, z0 double, z1 double").withColumn("z", F.array("z0", "z1"))
+    got = {(r.cls, r.bucket): r for r in metrics.pr_curve(df, "z", "label", 2, t).collect()}
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p = p / p.sum(axis=1, keepdims=True)
+    for c in (0, 1):
+        lab = (y == c).astype(np.float64)
+        idx = np.floor(p[:, c] * (t - 1)).astype(np.int64)
+        tpb, _ = np.histogram(idx, bins=t, range=(0, t - 1), weights=lab)
+        fpb, _ = np.histogram(idx, bins=t, range=(0, t - 1), weights=1 - lab)
+        tp, fp = np.cumsum(tpb[::-1])[::-1], np.cumsum(fpb[::-1])[::-1]
+        prec = tp / np.maximum(1e-7, tp + fp)
+        rec = tp / np.maximum(1e-7, tp + (tp[0] - tp))
+        for b in range(t):
+            r = got[(c, b)]
+            assert (r.tp, r.fp) == (tp[b], fp[b])
+            assert math.isclose(r.precision, prec[b], abs_tol=1e-12) and math.isclose(r.recall, rec[b], abs_tol=1e-12)
