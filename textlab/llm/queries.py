@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import mixing
+from textlab.llm import mixing, near_dedup, pii
 from textlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,15 @@ FROM c""")
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capped water-filling over all documents: sources weigh 1, 2, 3 in turn, at most 3 epochs."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents; the smallest doc_id of each is kept."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: fixed forms and what bootstrapped contexts add."""
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
