@@ -104,6 +104,7 @@ class Rolling:
         return out
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._powers(len(prefix))  # a task's own copy of this object may not have made them yet
         return (prefix[end] - prefix[start]) * self.inv[start]
 
 

@@ -26,6 +26,7 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: a lexical pattern is the two words before an identifier, within so many characters
 PATTERN, REACH = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 64
 
+BLOCK = 256
 _FOUND = "array<struct<start:int,m:string,before:string>>"
 
 
@@ -35,11 +36,21 @@ def _located(form: str) -> Column:
     found = F.regexp_extract_all("text", F.lit(form), F.lit(0))
     pieces = F.split("text", form, -1)
     both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("p"), F.right(p, F.lit(REACH)).alias("before"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-    return F.aggregate(both, start, lambda s, x: F.when(x["m"].isNull(), s).otherwise(F.struct(
-        (s["at"] + x["p"] + F.length(x["m"])).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + x["p"]).alias("start"), x["m"].alias("m"), x["before"].alias("before")))).alias("out"))),
-        lambda s: s["out"])
+
+    def step(s, x):
+        return F.when(x["m"].isNull(), s).otherwise(F.struct(
+            (s["at"] + x["p"] + F.length(x["m"])).alias("at"),
+            F.concat(s["out"], F.array(F.struct((s["at"] + x["p"]).alias("start"), x["m"].alias("m"), x["before"].alias("before")))).alias("out")))
+
+    def block(s, part):
+        inner = F.aggregate(part, F.struct(s["at"].alias("at"), F.array().cast(_FOUND).alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(s["out"], F.array(inner["out"])).alias("out"))
+
+    # appending is a copy, so it is done in blocks and over blocks: texts with many matches stay cheap
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_FOUND}>").alias("out"))
+    return F.element_at(F.transform(F.array(both), lambda v: F.flatten(F.aggregate(
+        F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK)), lambda b: F.slice(v, b + 1, BLOCK)),
+        start, block, lambda s: s["out"]))), 1)
 
 
 def _digits(m: Column) -> Column:

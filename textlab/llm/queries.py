@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import mixing, near_dedup, pii
+from textlab.llm import mixing, near_dedup, pii, suffix_dedup
 from textlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: fixed forms and what bootstrapped contexts add."""
     return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat 100 bytes found earlier, and what remains."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
