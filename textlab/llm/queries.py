@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import mixing, near_dedup, pii, suffix_dedup
+from textlab.llm import decontaminate, mixing, near_dedup, pii, suffix_dedup
 from textlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that repeat 100 bytes found earlier, and what remains."""
     return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words in all documents, by FM-indexes of training shards."""
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
