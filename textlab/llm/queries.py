@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import decontaminate, mixing, near_dedup, pii, quality, suffix_dedup, topk
+from textlab.llm import decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, topk
 from textlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,25 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by weighted tree rules over their statistics."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(sql=r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(strlen(text), 0)::BIGINT AS bytes,
+         ('0x' || substr(md5('shard:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+l AS (SELECT range AS depth FROM range(61)),
+n AS (SELECT depth, h >> (60 - depth) AS node, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM d, l GROUP BY ALL),
+f AS (SELECT r, min(depth) AS depth FROM d, l JOIN n USING (depth) WHERE n.node = d.h >> (60 - l.depth)
+      AND (shard_bytes <= 1048576 OR depth = 60) GROUP BY r)
+SELECT doc_id, bytes, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(h >> (60 - f.depth)), f.depth::INTEGER, '0') END AS shard,
+       f.depth::INTEGER AS depth, shard_bytes, shard_docs
+FROM d JOIN f USING (r) JOIN n ON n.depth = f.depth AND n.node = d.h >> (60 - f.depth)""")
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most 1 MiB of text over all documents."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), 1 << 20).drop("k")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks of all documents, and what remains."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
