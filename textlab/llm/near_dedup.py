@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textlab.llm.common import (SPACE_WORD, Rolling, chunks, mix64, text_key, utf8, word_ranges, written)
 from textlab.llm.components import components
+from textlab.operators.joins import broadcast_if_small
 
 #: shingle width in words, and the similarity of a link in hundredths
 WIDTH, PERCENT = 5, 75
@@ -17,9 +18,8 @@ WIDTH, PERCENT = 5, 75
 #: At similarity 0.75 a pair misses every table with probability 1 - (1 - (1 - 0.75**2)**10)**2 = 0.0005,
 #: for 40 minhashes; 100 separate tables of 4 would take 400.
 GROUPS, ROWS = 10, 2
-#: the same for the members of large buckets, with narrower keys: 0.75**5 each way
-DEEP_GROUPS, DEEP_ROWS = 24, 4
-#: buckets of more members are linked through their smallest member and searched again with the narrower keys
+#: the members of larger buckets are compared with the smallest one, their hub, and with each other only
+#: where what tells them from the hub leaves a link possible
 SMALL = 16
 
 _WORDS = Rolling(11, fold_case=True)
@@ -126,14 +126,6 @@ def _fits(x: str, y: str) -> str:
     return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
 
 
-def _buckets(sig: DataFrame, groups: int) -> DataFrame:
-    """Entries of buckets with more than one member, with the bucket's size and smallest member."""
-    e = _entries(sig, groups)
-    g = (e.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "k", "n")).alias("least"))
-         .filter("size > 1").withColumnRenamed("key", "_key"))
-    return e.join(g, e["key"] == g["_key"]).drop("_key")
-
-
 def _pairs_within(entries: DataFrame) -> DataFrame:
     """All pairs within buckets of bounded size."""
     met = entries.groupBy("key").agg(F.collect_list(F.struct("id", "k", "n")).alias("m"))
@@ -142,30 +134,86 @@ def _pairs_within(entries: DataFrame) -> DataFrame:
     return met.select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def _to_least(entries: DataFrame) -> DataFrame:
-    return (entries.filter("id > least.id and " + _fits("n", "least.n"))
-            .select(F.col("least.id").alias("a"), F.col("least.k").alias("ak"), F.col("id").alias("b"), F.col("k").alias("bk")))
+def _to_hub(entries: DataFrame) -> DataFrame:
+    """Each member of a bucket with the smallest one."""
+    return (entries.filter("id > least.id or (id = least.id and k > least.k)")
+            .select(F.col("least.id").alias("a"), F.col("least.k").alias("ak"), F.col("id").alias("b"), F.col("k").alias("bk")).distinct())
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= 75 * union. Texts are dealt by
-    document once and meet the pairs twice; the sets of a pair are compared where its texts meet."""
-    texts = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_k"), "text")
+def apart(hub: np.ndarray, other: np.ndarray) -> tuple[int, np.ndarray]:
+    """What tells a set from the hub: the size of the symmetric difference, and a bitmap with a bit set
+    for each element's hash, two bits wide for each shingle of the hub."""
+    d = np.setxor1d(hub, other, assume_unique=True)
+    words = len(hub) // 32 + 1
+    bits = np.zeros(words * 64, np.uint8)
+    bits[d % np.uint64(words * 64)] = 1
+    return len(d), np.packbits(bits).view(np.int64)
+
+
+def _met(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, ak, b, bk) with their texts."""
+    ids = written(pairs.select(F.col("a").alias("i"), F.col("ak").alias("ik"))
+                  .unionByName(pairs.select(F.col("b").alias("i"), F.col("bk").alias("ik"))).distinct(), "ids")
+    ids, _ = broadcast_if_small(ids, max_bytes=8 << 20, materialize=False)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_k"), "text").join(
+        ids, (F.col("_id") == F.col("i")) & (F.col("_k") == F.col("ik"))).select("_id", "_k", "text")
     left = texts.select(F.col("_id").alias("a"), F.col("_k").alias("ak"), F.col("text").alias("ta"))
     right = texts.select(F.col("_id").alias("b"), F.col("_k").alias("bk"), F.col("text").alias("tb"))
-    met = pairs.join(left, ["a", "ak"]).join(right, ["b", "bk"]).select("a", "b", "ta", "tb")
+    return pairs.join(left, ["a", "ak"]).join(right, ["b", "bk"])
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, ak, b, bk, star) with ``linked``, whether their full shingle sets have
+    100 * intersection >= 75 * union; for stars also the size n of b's set and what tells it from a's."""
 
     def run(batches):
         for batch in batches:
             x = [s for _, _, sets in shingle_sets(batch.column("ta")) for s in sets]
             y = [s for _, _, sets in shingle_sets(batch.column("tb")) for s in sets]
-            keep = []
-            for s, t in zip(x, y):
-                both = len(s) + len(t) - len(np.union1d(s, t)) if len(s) and len(t) else 0
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return met.mapInArrow(run, "u long, v long")
+            linked, far, bits = [], [], []
+            for s, t, star in zip(x, y, batch.column("star").to_pylist()):
+                both = len(s) + len(t) - len(np.union1d(s, t))
+                linked.append(both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
+                d, b = apart(s, t) if star else (0, np.zeros(0, np.int64))
+                far.append(d)
+                bits.append(b)
+            at = np.cumsum([0, *map(len, bits)]).astype(np.int32)
+            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("a", "ak", "b", "bk", "star")), pa.array(linked, pa.bool_()),
+                 pa.array([len(t) for t in y], pa.int64()), pa.array(far, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)],
+                names=["a", "ak", "b", "bk", "star", "linked", "n", "far", "bits"])
+
+    met = _met(pairs, docs).select("a", "ak", "b", "bk", "star", "ta", "tb")
+    return met.mapInArrow(run, "a long, ak long, b long, bk long, star boolean, linked boolean, n long, far long, bits array<long>")
+
+
+def _past_hub(judged: DataFrame) -> DataFrame:
+    """Pairs of sets with a common hub that may be linked although one of them, y, is not linked to it.
+
+    Let X and Y be what tells x and y from the hub (their symmetric differences with it). A link asks for
+    |X xor Y| <= (|x| + |y|) / 7, so X and Y share at least (|X| + |Y| - (|x| + |y|) / 7) / 2 elements.
+    A bit of X's map that Y's lacks stands for an element that is not shared: pairs that differ in too
+    many bits are no link, and the join's condition leaves them out. No linked pair is lost.
+    """
+    s = judged.filter("star").select("a", "ak", F.col("b").alias("y"), F.col("bk").alias("yk"), F.col("n").alias("ny"),
+                                     F.col("far").alias("fy"), F.col("bits").alias("by"), F.col("linked").alias("ly"))
+    o = s.toDF("a2", "ak2", "x", "xk", "nx", "fx", "bx", "lx")
+    lost = "aggregate(zip_with({0}, {1}, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)"
+    shared = f"least(fx - {lost.format('bx', 'by')}, fy - {lost.format('by', 'bx')})"
+    may = (f"a = a2 and ak = ak2 and (lx or x < y) and x <> y and {_fits('nx', 'ny')} and "
+           f"14 * least(fx, fy) >= 7 * (fx + fy) - (nx + ny) and 14 * {shared} >= 7 * (fx + fy) - (nx + ny)")
+    met = s.filter("not ly").join(o, F.expr(may))
+    first = F.expr("x < y")
+    return met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("xk")).otherwise(F.col("yk")).alias("ak"),
+                      F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), F.when(first, F.col("yk")).otherwise(F.col("xk")).alias("bk")).distinct()
+
+
+def _grouped(e: DataFrame) -> DataFrame:
+    """Entries (key, id, k, n) of buckets with several members, with the bucket's size and smallest member."""
+    g = (e.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "k")).alias("least"))
+         .filter("size > 1").withColumnRenamed("key", "_key"))
+    return e.join(g, e["key"] == g["_key"]).drop("_key")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -173,9 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. Each row gets its set's digest and its minhash groups; equal sets become one class, searched once.
     2. Tables are keyed by pairs of groups, one from either collection. Buckets of up to SMALL classes
-       give all their pairs; in larger ones every member is paired with the smallest, and the members
-       are searched again with narrower keys. Buckets still larger there, if they are not yet one
-       component, give the pairs across their components.
+       give all their pairs, larger ones the pairs of their smallest member, the hub, with the others.
+       Members of a large bucket that may be linked past the hub are told by how they differ from it.
     3. Each pair is confirmed on the two full sets; components come from the confirmed links and from
        the classes' members.
 
@@ -189,38 +236,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                   .select("n", "d1", "d2", F.col("least.doc_id").alias("id"), F.col("least.k").alias("k")), "classes")
     reps = (known.withColumnRenamed("doc_id", "id").dropDuplicates(["id", "k"])
             .join(cls.select("id", "k"), ["id", "k"], "left_semi"))
-    found = written(_buckets(reps, GROUPS), "buckets")
-    pairs = _pairs_within(found.filter(F.col("size") <= SMALL)).unionByName(_to_least(found.filter(F.col("size") > SMALL)))
-    crowd = found.filter(F.col("size") > SMALL).select("id", "k").distinct()
-    deep_docs = docs.withColumn("k", text_key()).join(crowd.withColumnRenamed("id", "doc_id"), ["doc_id", "k"], "left_semi")
-    deep = written(_buckets(signatures(deep_docs, 2, DEEP_GROUPS, DEEP_ROWS)
-                            .withColumnRenamed("doc_id", "id").dropDuplicates(["id", "k"]), DEEP_GROUPS), "deep")
-    pairs = (pairs.unionByName(_pairs_within(deep.filter(F.col("size") <= SMALL)))
-             .unionByName(_to_least(deep.filter(F.col("size") > SMALL))).distinct())
+    found = written(_grouped(_entries(reps, GROUPS)), "buckets")
+    pairs = (_pairs_within(found.filter(F.col("size") <= SMALL)).withColumn("star", F.lit(False))
+             .unionByName(_to_hub(found.filter(F.col("size") > SMALL)).withColumn("star", F.lit(True)))
+             .groupBy("a", "ak", "b", "bk").agg(F.max("star").alias("star")))
+    judged = written(_confirmed(written(pairs, "pairs"), docs), "judged")
+    past = written(_past_hub(judged).join(judged, ["a", "ak", "b", "bk"], "left_anti").withColumn("star", F.lit(False)), "past")
+    more = written(_confirmed(past, docs), "judged")
+    links = judged.unionByName(more).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     member = (known.join(cls.withColumnRenamed("id", "rep").drop("k"), ["n", "d1", "d2"])
               .select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v").distinct())
-    links = written(_confirmed(pairs, docs), "links")
-    comp = components(links.unionByName(member))
-    large = deep.filter(F.col("size") > SMALL)
-    if large.limit(1).count():
-        more = _across(large, comp)
-        if more.limit(1).count():
-            links = links.unionByName(written(_confirmed(more, docs), "links"))
-            comp = components(links.unionByName(member))
-    comp = comp.withColumnRenamed("node", "_node")
+    comp = components(links.unionByName(member)).withColumnRenamed("node", "_node")
     out = sig.join(comp, F.col("doc_id") == F.col("_node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
                       F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("doc_id")), F.lit(True)).alias("kept"))
-
-
-def _across(entries: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs across components within buckets that hold more than one: what remains when all else has
-    been tried. Their number is that of the pairs which no narrower key tells apart."""
-    e = entries.join(comp.withColumnRenamed("node", "_node"), F.col("id") == F.col("_node"), "left") \
-        .withColumn("c", F.coalesce("component", "id")).drop("component", "_node", "least", "size")
-    mixed = e.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    e = written(e.join(mixed, "key", "left_semi"), "mixed")
-    o = e.select(*[F.col(c).alias(f"_{c}") for c in e.columns])
-    return (e.join(o, (F.col("key") == F.col("_key")) & (F.col("id") < F.col("_id")) & (F.col("c") != F.col("_c")))
-            .filter(_fits("n", "_n")).select(F.col("id").alias("a"), F.col("k").alias("ak"), F.col("_id").alias("b"),
-                                             F.col("_k").alias("bk")).distinct())
