@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, topk
+from textlab.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, topk
 from textlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,9 @@ def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks of all documents, and what remains."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered roles and canonical form of all turns of all conversations."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
