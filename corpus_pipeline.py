@@ -1,0 +1,82 @@
+"""A training corpus from raw documents: filter by quality, drop near duplicates and leaked benchmark
+passages, mix the sources, and deal the result out to shards.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``docs``, whatever else these hold. Between stages the documents are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from textlab.llm import decontaminate, mixing, near_dedup, quality, sharding
+from textlab.llm.common import table, text_key, written
+from textlab.operators.joins import broadcast_if_small
+
+#: score from which a document stays, bytes of text in a shard, and bytes of a side that may be broadcast
+KEEP_FROM, SHARD_BYTES, SMALL = 0.3, 1 << 20, 8 << 20
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text) is not in ``gone`` (doc_id, k)."""
+    gone, _ = broadcast_if_small(gone.select(F.col("doc_id").alias("_gone"), F.col("k").alias("_gone_k")).distinct(), SMALL)
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_key(docs["text"]) == gone["_gone_k"])
+    return docs.join(gone, same, "left_anti")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble scores KEEP_FROM or higher; it learns from the labels of those
+    documents that are still there."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.with_scores(docs, model).filter(F.col("_score") >= KEEP_FROM).drop("_score")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id. Of rows that
+    repeat a doc_id one stays, with the smallest text key."""
+    keys = docs.select("doc_id", text_key().alias("k")).filter("doc_id is not null")
+    twice = written(keys.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("k").alias("least")).filter("n > 1"), "twice")
+    groups = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone, _ = broadcast_if_small(groups, SMALL)
+    rest = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    again, _ = broadcast_if_small(twice.select(F.col("doc_id").alias("_id"), F.col("least").alias("_least")), SMALL)
+    once = rest.join(again, rest["doc_id"] == again["_id"], "left_anti")
+    first = rest.join(again, (rest["doc_id"] == again["_id"]) & (text_key(rest["text"]) == again["_least"])).drop("_id", "_least")
+    return once.unionByName(first.dropDuplicates(["doc_id"]))
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs. A document with one is dropped whole: what stands
+    around a leaked passage often leaks with it."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter(F.size("spans") > 0))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents repeated whole, or left out, as the mix takes them;
+    the document at a source's cut is a row with its leading words."""
+    return mixing.repeated(docs, mixing.mix(docs))
+
+
+def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard of each document of the mix: doc_id, bytes, shard, depth, shard_bytes, shard_docs."""
+    return sharding.assign_shards(docs, SHARD_BYTES).drop("k")
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("mix", mix_stage),
+    ("shard", shard_stage),
+]
+
+#: the classifier is fitted and near duplicates are reached transitively: no SQL for the rows as a whole
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

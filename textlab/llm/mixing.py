@@ -92,17 +92,17 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, cycle: tuple[in
                                               "source")
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, mixed: DataFrame, max_broadcast: int = 8 << 20) -> DataFrame:
     """The mix itself: rows of ``docs`` (same columns), each whole repetition one row and the fractional
     one a row with the leading words of the text. ``mixed`` is ``mix(docs)``; rows meet by doc_id,
-    source and size, and equal ones share what their group takes evenly."""
-    key = ["doc_id", "source", "size"]
-    take = mixed.groupBy(*key).agg(F.min("taken").alias("_taken"), F.max("taken").alias("_most"))
-    take = take.select(*[F.col(c).alias(f"_{c}") for c in key], "_taken")
-    d = docs.withColumn("_n", word_count("text"))
-    d = d.join(take, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
-               & (F.col("_n") == F.col("_size")))
-    part = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _taken % _n, '}+'), 0)")
-    whole = d.filter("_n > 0 and _taken >= _n").withColumn("_k", F.explode(F.sequence(F.lit(1), F.expr("_taken div _n"))))
-    some = d.filter("_n > 0 and _taken % _n > 0").withColumn("text", part)
+    source and size, and rows that repeat these share what their group takes evenly, rounded down."""
+    take = (mixed.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"))
+            .agg(F.expr("sum(taken) div count(*)").alias("_taken")).filter("_taken > 0"))
+    take, _ = broadcast_if_small(take, max_broadcast)
+    d = docs.join(take, docs["doc_id"].eqNullSafe(take["_d"]) & docs["source"].eqNullSafe(take["_s"])
+                  & (word_count(docs["text"]) == take["_n"]))
+    whole = d.withColumn("_k", F.explode(F.when(F.expr("_taken >= _n"), F.sequence(F.lit(1).cast("long"), F.expr("_taken div _n")))))
+    some = d.filter("_taken % _n > 0")
+    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.expr("cast(_taken % _n as string)"), F.lit("}+"))
+    some = some.withColumn("text", F.regexp_substr("text", head))
     return whole.select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -91,7 +91,7 @@ def text_stats(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def with_stats(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep`` and an array of STATS, from ``text``, for each row."""
-    src = docs.select(*keep, "text")
+    src = docs.select(*keep, *(["text"] if "text" not in keep else []))
 
     def run(batches):
         for batch in batches:
@@ -101,7 +101,7 @@ def with_stats(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATS)), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, "_stats"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("text").schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keep).schema)
     return src.mapInArrow(run, f"{kinds}, _stats array<double>")
 
 
@@ -147,7 +147,7 @@ def tree_rules(node, path: dict | None = None) -> set[Rule]:
     return out | tree_rules(node.leftChild(), left) | tree_rules(node.rightChild(), right)
 
 
-def fit(rows: DataFrame, trees: int = 20, depth: int = 3, penalty: float = 0.0005, seed: int = 7) -> RuleEnsemble:
+def fit(rows: DataFrame, trees: int = 20, depth: int = 3, penalty: float = 0.0001, seed: int = 7) -> RuleEnsemble:
     """Rules and weights from (_stats, label 0/1). With one class only, or no rows, the score is constant."""
     mean = rows.agg(F.avg("label"), F.count("*")).first()
     if mean[0] is None or mean[0] in (0.0, 1.0):
@@ -193,9 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsem
     return fit(written(with_stats(known, ("label",)).coalesce(4), "labelled"))
 
 
-def scored(docs: DataFrame, model: RuleEnsemble, keep: tuple[str, ...], threshold: float = 0.3) -> DataFrame:
-    out = with_stats(docs, keep).withColumn("score", model.score())
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_stats")
+def with_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """``docs`` with all its columns and ``_score``."""
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    out = with_stats(docs.toDF(*names), tuple(names)).withColumn("_score", model.score()).drop("_stats")
+    return out.toDF(*docs.columns, "_score")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -206,4 +208,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     columns are not read.
     """
     model = train(docs, labels, sample)
-    return scored(docs, model, ("doc_id",), threshold).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    scored = with_stats(docs, ("doc_id",)).withColumn("score", model.score())
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

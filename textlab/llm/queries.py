@@ -8,6 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from textlab.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, topk
 from textlab.llm.common import table
 
@@ -141,3 +142,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovered roles and canonical form of all turns of all conversations."""
     return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by way of all stages of the corpus pipeline: the shards of the final mix."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
