@@ -2,7 +2,7 @@
 passages, mix the sources, and deal the result out to shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``docs``, whatever else these hold. Between stages the documents are written as Parquet and read again.
+``docs``, whatever else these hold. Between stages the documents are written as Parquet and read again. Columns may have any names but ones that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ KEEP_FROM, SHARD_BYTES, SMALL = 0.3, 1 << 20, 8 << 20
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) is not in ``gone`` (doc_id, k)."""
-    gone, _ = broadcast_if_small(gone.select(F.col("doc_id").alias("_gone"), F.col("k").alias("_gone_k")).distinct(), SMALL)
-    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_key(docs["text"]) == gone["_gone_k"])
+    gone, _ = broadcast_if_small(gone.select(F.col("doc_id").alias("__gone"), F.col("k").alias("__gone_k")).distinct(), SMALL)
+    same = docs["doc_id"].eqNullSafe(gone["__gone"]) & (text_key(docs["text"]) == gone["__gone_k"])
     return docs.join(gone, same, "left_anti")
 
 
@@ -28,7 +28,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the rule ensemble scores KEEP_FROM or higher; it learns from the labels of those
     documents that are still there."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_scores(docs, model).filter(F.col("_score") >= KEEP_FROM).drop("_score")
+    return quality.good(docs, model, KEEP_FROM)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +36,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeat a doc_id one stays, with the smallest text key."""
     keys = docs.select("doc_id", text_key().alias("k")).filter("doc_id is not null")
     twice = written(keys.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("k").alias("least")).filter("n > 1"), "twice")
-    groups = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    groups = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     gone, _ = broadcast_if_small(groups, SMALL)
-    rest = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again, _ = broadcast_if_small(twice.select(F.col("doc_id").alias("_id"), F.col("least").alias("_least")), SMALL)
-    once = rest.join(again, rest["doc_id"] == again["_id"], "left_anti")
-    first = rest.join(again, (rest["doc_id"] == again["_id"]) & (text_key(rest["text"]) == again["_least"])).drop("_id", "_least")
+    rest = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    again, _ = broadcast_if_small(twice.select(F.col("doc_id").alias("__id"), F.col("least").alias("__least")), SMALL)
+    once = rest.join(again, rest["doc_id"] == again["__id"], "left_anti")
+    first = rest.join(again, (rest["doc_id"] == again["__id"]) & (text_key(rest["text"]) == again["__least"])).drop("__id", "__least")
     return once.unionByName(first.dropDuplicates(["doc_id"]))
 
 

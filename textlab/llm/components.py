@@ -22,8 +22,8 @@ def _towards_min(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the undirected edges (u, v), component being the smallest
-    node reachable. Alternates links to the smallest among the larger and the smaller neighbours until
+    """(node, component) for every node of the undirected edges (u, v) that can reach a smaller one,
+    component being the smallest reachable. Alternates links to the smallest among the larger and the smaller neighbours until
     every tree is a star; the number of rounds grows with the logarithm of a component's extent.
     Nulls and loops are no edges; without edges there are no rows."""
     e = edges.filter("u is not null and v is not null and u <> v").select(

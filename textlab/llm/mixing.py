@@ -96,13 +96,13 @@ def repeated(docs: DataFrame, mixed: DataFrame, max_broadcast: int = 8 << 20) ->
     """The mix itself: rows of ``docs`` (same columns), each whole repetition one row and the fractional
     one a row with the leading words of the text. ``mixed`` is ``mix(docs)``; rows meet by doc_id,
     source and size, and rows that repeat these share what their group takes evenly, rounded down."""
-    take = (mixed.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"))
-            .agg(F.expr("sum(taken) div count(*)").alias("_taken")).filter("_taken > 0"))
+    take = (mixed.groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"))
+            .agg(F.expr("sum(taken) div count(*)").alias("__taken")).filter("__taken > 0"))
     take, _ = broadcast_if_small(take, max_broadcast)
-    d = docs.join(take, docs["doc_id"].eqNullSafe(take["_d"]) & docs["source"].eqNullSafe(take["_s"])
-                  & (word_count(docs["text"]) == take["_n"]))
-    whole = d.withColumn("_k", F.explode(F.when(F.expr("_taken >= _n"), F.sequence(F.lit(1).cast("long"), F.expr("_taken div _n")))))
-    some = d.filter("_taken % _n > 0")
-    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.expr("cast(_taken % _n as string)"), F.lit("}+"))
+    d = docs.join(take, docs["doc_id"].eqNullSafe(take["__d"]) & docs["source"].eqNullSafe(take["__s"])
+                  & (word_count(docs["text"]) == take["__n"]))
+    whole = d.withColumn("__k", F.explode(F.when(F.expr("__taken >= __n"), F.sequence(F.lit(1).cast("long"), F.expr("__taken div __n")))))
+    some = d.filter("__taken % __n > 0")
+    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.expr("cast(__taken % __n as string)"), F.lit("}+"))
     some = some.withColumn("text", F.regexp_substr("text", head))
     return whole.select(*docs.columns).unionByName(some.select(*docs.columns))

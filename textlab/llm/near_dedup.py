@@ -189,19 +189,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _past_hub(judged: DataFrame) -> DataFrame:
-    """Pairs of sets with a common hub that may be linked although one of them, y, is not linked to it.
+    """Pairs of sets with a common hub, in different components so far, that may be linked although one
+    of them, y, is not linked to the hub.
 
     Let X and Y be what tells x and y from the hub (their symmetric differences with it). A link asks for
     |X xor Y| <= (|x| + |y|) / 7, so X and Y share at least (|X| + |Y| - (|x| + |y|) / 7) / 2 elements.
     A bit of X's map that Y's lacks stands for an element that is not shared: pairs that differ in too
     many bits are no link, and the join's condition leaves them out. No linked pair is lost.
     """
-    s = judged.filter("star").select("a", "ak", F.col("b").alias("y"), F.col("bk").alias("yk"), F.col("n").alias("ny"),
-                                     F.col("far").alias("fy"), F.col("bits").alias("by"), F.col("linked").alias("ly"))
-    o = s.toDF("a2", "ak2", "x", "xk", "nx", "fx", "bx", "lx")
+    comp = components(judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    stars = judged.filter("star").join(comp, F.col("b") == F.col("node"), "left")
+    s = stars.select("a", "ak", F.col("b").alias("y"), F.col("bk").alias("yk"), F.col("n").alias("ny"),
+                                     F.col("far").alias("fy"), F.col("bits").alias("by"), F.col("linked").alias("ly"),
+                     F.coalesce("component", "b").alias("cy"))
+    o = s.toDF("a2", "ak2", "x", "xk", "nx", "fx", "bx", "lx", "cx")
     lost = "aggregate(zip_with({0}, {1}, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)"
     shared = f"least(fx - {lost.format('bx', 'by')}, fy - {lost.format('by', 'bx')})"
-    may = (f"a = a2 and ak = ak2 and (lx or x < y) and x <> y and {_fits('nx', 'ny')} and "
+    may = (f"a = a2 and ak = ak2 and (lx or x < y) and cx <> cy and {_fits('nx', 'ny')} and "
            f"14 * least(fx, fy) >= 7 * (fx + fy) - (nx + ny) and 14 * {shared} >= 7 * (fx + fy) - (nx + ny)")
     met = s.filter("not ly").join(o, F.expr(may))
     first = F.expr("x < y")

@@ -179,5 +179,5 @@ def find_personal_data(docs: DataFrame, confidence: float = 0.6, support: int =
 
 def digests(found: DataFrame) -> DataFrame:
     """The contract's columns of ``find_personal_data``."""
-    count = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    count = [F.expr(f"cast(size(filter(base, b -> b.kind = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

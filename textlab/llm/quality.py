@@ -148,15 +148,18 @@ def tree_rules(node, path: dict | None = None) -> set[Rule]:
 
 
 def fit(rows: DataFrame, trees: int = 20, depth: int = 3, penalty: float = 0.0001, seed: int = 7) -> RuleEnsemble:
-    """Rules and weights from (_stats, label 0/1). With one class only, or no rows, the score is constant."""
+    """Rules and weights from (_stats, label 0/1). With one class only, or too few rows, the score is constant."""
     mean = rows.agg(F.avg("label"), F.count("*")).first()
+    share = 0.5 if mean[0] is None else (mean[0] * mean[1] + 0.5) / (mean[1] + 1)
+    constant = RuleEnsemble(float(np.log(share / (1 - share))), ())
     if mean[0] is None or mean[0] in (0.0, 1.0):
-        share = 0.5 if mean[0] is None else (mean[0] * mean[1] + 0.5) / (mean[1] + 1)
-        return RuleEnsemble(float(np.log(share / (1 - share))), ())
+        return constant
     x = rows.select(array_to_vector("_stats").alias("features"), F.col("label").cast("double").alias("label"), "_stats")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=5, featureSubsetStrategy="onethird",
                                     subsamplingRate=0.7, seed=seed).fit(x.select("features", "label"))
     rules = sorted(set().union(*(tree_rules(t._call_java("rootNode")) for t in forest.trees)), key=lambda r: r.terms)
+    if not rules:  # too few rows for any split
+        return constant
     # the rules' truth values as a vector: one task evaluates them for a batch of rows
     terms = [r.terms for r in rules]
 
@@ -193,11 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsem
     return fit(written(with_stats(known, ("label",)).coalesce(4), "labelled"))
 
 
-def with_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """``docs`` with all its columns and ``_score``."""
-    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
-    out = with_stats(docs.toDF(*names), tuple(names)).withColumn("_score", model.score()).drop("_stats")
-    return out.toDF(*docs.columns, "_score")
+def good(docs: DataFrame, model: RuleEnsemble, threshold: float) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose score is ``threshold`` or more."""
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # docs may have any names
+    out = with_stats(docs.toDF(*names), tuple(names)).filter(model.score() >= threshold)
+    return out.drop("_stats").toDF(*docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:

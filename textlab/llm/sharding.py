@@ -59,7 +59,7 @@ def assign_shards(docs: DataFrame, limit_bytes: int, seed: str = "shard") -> Dat
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
     """The documents as Parquet under ``path``, one folder for each shard. A shard is written by one
     task; its size is bounded by the limit it was made for."""
-    a = assigned.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.concat(F.lit("b"), F.col("shard")).alias("shard")).distinct()
-    d = docs.drop("shard").withColumn("_t", text_key())
-    rows = d.join(a, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k"))).drop("_d", "_k", "_t")
+    d = docs.drop("shard")
+    a = assigned.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), F.concat(F.lit("b"), F.col("shard")).alias("shard")).distinct()
+    rows = d.join(a, d["doc_id"].eqNullSafe(a["__id"]) & (text_key(d["text"]) == a["__k"])).drop("__id", "__k")
     rows.repartition("shard").write.partitionBy("shard").parquet(path)
