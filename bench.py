@@ -26,9 +26,12 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from textlab.registry import QUERIES, load_catalog
     from textlab.session import build_session
+    from textlab.sources.readers import INPUT_PARTITIONS
 
     load_catalog()
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app="textlab-bench")
+    # the tables are files of one row group each: dealt out, or one core would do all the work on a text
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app="textlab-bench",
+                          extra={INPUT_PARTITIONS: str(cpus)})
     # steady state: run every headline query once on the smallest data set so
     # class loading and code generation are not billed to the first query
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")

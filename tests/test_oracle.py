@@ -5,10 +5,10 @@ import math
 import pytest
 
 import __spark_entry__ as E
+from textlab.registry import ORACLE, QUERIES, load_catalog
 from tests.conftest import SF_SMALL
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+load_catalog()  # the training-data queries are compared in tests/llm
 
 
 def _norm(v):

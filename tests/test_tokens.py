@@ -38,17 +38,27 @@ def test_vocab_reserves_ids_and_encodes_unknown(spark):
     v = tokens.build_vocab(t, max_size=2)
     ids = {r.token: r.id for r in v.collect()}
     assert ids == {"a": 4, "b": 5}
-    enc = {r.row_id: r.ids for r in tokens.encode_tokens(t, v, "row_id").collect()}
+    enc = {r.row_id: r.ids for r in tokens.encode_tokens(t, v).collect()}
     assert enc == {1: [4, 5, 4, 1], 2: [4, 1]}
-    full = tokens.encode_text(df, v, "row_id", "text", 1, 1, pad_to="max").collect()
+    full = tokens.encode_text(df, v, "text", 1, 1, pad_to="max").collect()
     assert {r.row_id: r.input_ids for r in full} == {1: [2, 4, 1, 3], 2: [2, 4, 1, 3]}
 
 
-def test_vocab_tie_paths_agree(spark):
+def test_encode_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(1, ["a", "b", None]), (1, ["a", "b", None]), (None, ["b"]), (2, None), (3, [])],
+                               "row_id long, tokens array<string>")
+    v = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id int")
+    e = tokens.encode_tokens(df, v)
+    assert sorted(map(str, (r.ids for r in e.collect()))) == sorted(map(str, ([4, 5, 1], [4, 5, 1], [5], [], [])))
+    assert "Exchange" not in e._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        tokens.encode_tokens(df, v, max_vocab=1)
+
+
+def test_vocab_ties_at_the_cut(spark):
     text = " ".join(["common"] * 5 + [f"w{i}" for i in range(30)] + [f"v{i}" for i in range(10)] * 2)
     df = tokens.tokenize(spark.createDataFrame([(1, text)], "row_id long, text string"), "text")
     small = sorted(tuple(r) for r in tokens.build_vocab(df, max_size=15).collect())
-    forced = sorted(tuple(r) for r in tokens.build_vocab(df, max_size=15, max_tie_rows=1).collect())
-    assert small == forced and len(small) == 15
+    assert len(small) == 15
     got = {r[0] for r in small}
     assert "common" in got and all(f"v{i}" in got for i in range(10))  # counts 5 and 2 beat the ties at 1

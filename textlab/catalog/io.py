@@ -60,7 +60,7 @@ def q_read_json(spark, sf_dir):
     root = scratch_dir(spark, "json")
     writers.write_sections_json(s, root)
     back = readers.read_sections_json(spark, root, id_from="partition")
-    return longs(back.withColumn("file_id", F.col("file_id").cast("string")))
+    return longs(back)
 
 
 @query("read_folds", with_ctes("folds") + """
@@ -79,7 +79,7 @@ def q_read_report(spark, sf_dir):
     path = scratch_dir(spark, "report")
     writers.write_test_report(report_lines(spark, sf_dir), path)
     back = readers.read_report_lines(spark, path, "run")
-    return longs(back.select("run", "line_no", "line"))
+    return longs(back.select(F.col("run").cast("bigint").alias("run"), "line_no", "line"))
 
 
 @query("write_test_report", with_ctes("logits", extra=cm_sql(True) + _report_sql()) + """
@@ -90,7 +90,7 @@ def q_write_report_append(spark, sf_dir):
     writers.write_test_report(lines, path, mode="append")
     writers.write_test_report(lines, path, mode="append")
     back = readers.read_report_lines(spark, path, "run")
-    return longs(back.groupBy("run").agg(F.count("*").alias("n_lines")))
+    return longs(back.groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("n_lines")))
 
 
 @query("write_epoch_log", with_ctes("epochs") + """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlab.functions.hashing import digest
 from textlab.catalog.common import longs, with_ctes
 from textlab.operators import cleaning, labeling
 from textlab.plans import corpus
@@ -156,12 +157,11 @@ def q_title_length(spark, sf_dir):
 
 
 @query("choose_text_column", with_ctes("sections") + """
-SELECT (file_id * 1048576 + pos)::BIGINT AS row_id, section_title AS text, 0::BIGINT AS label
+SELECT file_id::BIGINT AS file_id, pos::BIGINT AS pos, section_title AS text, 0::BIGINT AS label
 FROM sections WHERE section_title IS NOT NULL""")
 def q_choose_text(spark, sf_dir):
-    s = fx.sections(spark, sf_dir).withColumn("row_id", F.col("file_id") * 1048576 + F.col("pos")) \
-        .withColumn("label", F.lit(0))
-    return longs(cleaning.choose_text_column(s, "section_title"))
+    s = fx.sections(spark, sf_dir).withColumn("label", F.lit(0))
+    return longs(cleaning.choose_text_column(s, "section_title", ["file_id", "pos"]))
 
 
 @query("dedup_keep_first", with_ctes("sections") + """
@@ -176,6 +176,6 @@ def q_dedup_keep_first(spark, sf_dir):
 SELECT count(*)::BIGINT AS n_rows, sum(label)::BIGINT AS n_pos,
        count(DISTINCT section_txt)::BIGINT AS n_texts FROM corpus""")
 def q_dedup_cascade(spark, sf_dir):
-    c = labelled_corpus(spark, sf_dir)
+    c = labelled_corpus(spark, sf_dir).select("label", digest("section_txt").alias("text_key"))
     return c.agg(F.count("*").cast("bigint").alias("n_rows"), F.sum("label").cast("bigint").alias("n_pos"),
-                 F.count_distinct("section_txt").cast("bigint").alias("n_texts"))
+                 F.count_distinct("text_key").cast("bigint").alias("n_texts"))

@@ -19,10 +19,10 @@ splitc AS (SELECT * EXCLUDE (rn, n), CASE WHEN rn <= round_even(n * 0.2, 0) THEN
 def split_corpus(spark, sf_dir):
     """label_corpus with an exact, seeded 20 % test split keyed by (file_id, pos).
 
-    The labelled corpus is written once to the shared folder (the reference
-    writes processed_data.csv too); the exact split reads it twice."""
+    What the profile counts, names and labels, is written once to the shared
+    folder without the texts; the exact split reads it twice."""
     from textlab.session import cut_lineage
-    c = cut_lineage(labelled_corpus(spark, sf_dir, keep_order=True))
+    c = cut_lineage(labelled_corpus(spark, sf_dir, keep_order=True).select("file_id", "pos", "dataset", "label"))
     return sampling.train_test_split(c, 0.2, 42, ["file_id", "pos"])
 
 

@@ -149,11 +149,10 @@ def q_assign_batches(spark, sf_dir):
 
 
 @query("project_text_label", with_ctes("sections") + """
-SELECT (file_id * 1048576 + pos)::BIGINT AS row_id, section_txt, (file_id % 2)::BIGINT AS label FROM sections""")
+SELECT file_id::BIGINT AS file_id, pos::BIGINT AS pos, section_txt, (file_id % 2)::BIGINT AS label FROM sections""")
 def q_project(spark, sf_dir):
-    s = fx.sections(spark, sf_dir).select((F.col("file_id") * 1048576 + F.col("pos")).alias("row_id"),
-                                         "section_txt", (F.col("file_id") % 2).alias("label"), "source")
-    return longs(cleaning.project_text_label(s))
+    s = fx.sections(spark, sf_dir).select("file_id", "pos", "section_txt", (F.col("file_id") % 2).alias("label"), "source")
+    return longs(cleaning.project_text_label(s, ["file_id", "pos"]))
 
 
 @query("preview", with_ctes("sections") + """

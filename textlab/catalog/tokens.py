@@ -46,7 +46,7 @@ def q_build_vocab(spark, sf_dir):
 @query("encode_tokens", with_ctes("doc_tokens", extra=VOCAB_SQL) + """
 SELECT doc_id::BIGINT AS doc_id, len(ids)::BIGINT AS n_ids, array_to_string(ids, ' ') AS ids FROM enc""")
 def q_encode(spark, sf_dir):
-    e = tokens.encode_tokens(doc_tokens(spark, sf_dir), vocab(spark, sf_dir), "doc_id", "tokens", "ids")
+    e = tokens.encode_tokens(doc_tokens(spark, sf_dir), vocab(spark, sf_dir), "tokens", "ids")
     return longs(e.select("doc_id", F.size("ids").alias("n_ids"), A.array_to_text("ids").alias("ids")))
 
 
@@ -76,7 +76,7 @@ def padded(spark, sf_dir):
     """window the tokens first, then encode (element-wise, so the same ids as
     encoding everything and windowing the ids), then CLS/SEP and padding."""
     d = tokens.window_tokens(doc_tokens(spark, sf_dir), "tokens", 382, 128)
-    e = tokens.encode_tokens(d, vocab(spark, sf_dir), "doc_id", "tokens", "ids")
+    e = tokens.encode_tokens(d, vocab(spark, sf_dir), "tokens", "ids")
     e = e.withColumn("w", F.concat(F.array(F.lit(2)), F.col("ids"), F.array(F.lit(3))))
     return e.withColumn("p", A.pad_to_length(F.col("w"), 512))
 
@@ -100,7 +100,7 @@ def q_mask(spark, sf_dir):
 @query("max_tokens", with_ctes("doc_tokens", extra=VOCAB_SQL) + """
 SELECT max(len(ids) + 2)::BIGINT AS max_len FROM enc""")
 def q_max_tokens(spark, sf_dir):
-    e = tokens.encode_tokens(doc_tokens(spark, sf_dir), vocab(spark, sf_dir), "doc_id", "tokens", "ids")
+    e = tokens.encode_tokens(doc_tokens(spark, sf_dir), vocab(spark, sf_dir), "tokens", "ids")
     return stats.max_tokens(e.withColumn("ids", A.add_special_tokens("ids", F.lit(2), F.lit(3))), "ids")
 
 
@@ -109,7 +109,7 @@ SELECT d.doc_id::BIGINT AS doc_id, 512::BIGINT AS n, (len(w) + 2)::BIGINT AS n_a
 FROM (SELECT doc_id, """ + WIN.format(t="tokens") + """ AS w FROM doc_tokens) d""")
 def q_encode_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = tokens.encode_text(d, None, "doc_id", "text", 382, 128, 512)
+    e = tokens.encode_text(d, None, "text", 382, 128, 512)
     return longs(e.select("doc_id", F.size("input_ids").alias("n"),
                           F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attend")))
 

@@ -14,9 +14,10 @@ TWO_32 = 4294967296
 
 
 def hash_key(*cols) -> Column:
-    """String key of one or more columns, joined with ':'."""
+    """String key of one or more columns, joined with ':'; nulls count as empty, so that rows with a
+    null key hash like any other."""
     parts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
-    return parts[0] if len(parts) == 1 else F.concat_ws(":", *parts)
+    return F.coalesce(parts[0], F.lit("")) if len(parts) == 1 else F.concat_ws(":", *parts)
 
 
 def hash_u32(seed, *key_cols) -> Column:
@@ -27,6 +28,16 @@ def hash_u32(seed, *key_cols) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
 
 
+def digest(*cols) -> Column:
+    """128-bit digest of one or more columns (nulls told apart from empty strings): what rows are
+    grouped by in place of a text, so that texts are never a shuffle key."""
+    parts = []
+    for c in cols:
+        s = (F.col(c) if isinstance(c, str) else c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")))
+    return F.md5(F.concat(*parts))
+
+
 def fraction_threshold(frac: float) -> int:
     if not 0.0 <= frac <= 1.0:
         raise ValueError("fraction must be in [0, 1]")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from textlab.functions.hashing import digest
+
 
 def drop_null_text(df: DataFrame, col: str = "section_txt") -> DataFrame:
     return df.filter(F.col(col).isNotNull())
@@ -35,16 +37,18 @@ def label_filter(df: DataFrame, value: int, col: str = "label") -> DataFrame:
     return df.filter(F.col(col) == value)
 
 
-def project_text_label(df: DataFrame, key: str = "row_id", text: str = "section_txt",
-                       label: str = "label") -> DataFrame:
-    return df.select(key, text, label)
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def project_text_label(df: DataFrame, key="row_id", text: str = "section_txt", label: str = "label") -> DataFrame:
+    return df.select(*_keys(key), text, label)
 
 
-def choose_text_column(df: DataFrame, col: str = "section_txt", key: str = "row_id",
-                       label: str = "label") -> DataFrame:
+def choose_text_column(df: DataFrame, col: str = "section_txt", key="row_id", label: str = "label") -> DataFrame:
     """Run the same pipeline on section content or on section title: the chosen
     column becomes ``text`` and rows without it are dropped."""
-    return df.select(key, F.col(col).alias("text"), label).filter(F.col("text").isNotNull())
+    return df.select(*_keys(key), F.col(col).alias("text"), label).filter(F.col("text").isNotNull())
 
 
 def title_length_filter(df: DataFrame, col: str = "section_title", lt: int = 100) -> DataFrame:
@@ -63,17 +67,18 @@ def preview(df: DataFrame, order: Sequence[str], n: int = 2) -> DataFrame:
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row (by ``order``) of every ``keys`` group.
 
-    One aggregate: ``min(struct(order..., rest...))`` per key, combined
-    map-side, so a text repeated across a third of the corpus leaves each map
-    task as one row.  ``order`` should be unique; otherwise ties fall to the
-    remaining columns, still deterministically (``dropDuplicates`` keeps an
-    arbitrary row).
+    One aggregate: ``min(struct(order..., rest...))`` per digest of the keys,
+    combined map-side, so a text repeated across a third of the corpus leaves
+    each map task as one row, and rows are sorted and dealt out by 16 bytes
+    whatever the keys' length.  ``order`` should be unique; otherwise ties fall
+    to the remaining columns, still deterministically (``dropDuplicates`` keeps
+    an arbitrary row).
     """
     keys, order = list(keys), list(order)
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    w = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_w")
-    agg = df.groupBy(*keys).agg(w)
-    return agg.select(*[F.col(c) if c in keys else F.col(f"_w.{c}").alias(c) for c in df.columns])
+    rest = [c for c in df.columns if c not in order]
+    first = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_w")
+    agg = df.groupBy(digest(*keys).alias("_key")).agg(first)
+    return agg.select(*[F.col(f"_w.{c}").alias(c) for c in df.columns])
 
 
 def dedup_cascade(df: DataFrame, text: str = "section_txt", label: str = "label",
@@ -93,9 +98,11 @@ def clean_funnel(df: DataFrame, text: str = "section_txt", gt: int = 20,
     """Row counts after every cleaning step, in one aggregation pass.
 
     The counts after each dedup step are distinct counts of that step's key
-    over the length-filtered rows (a dedup cascade keeps one row per key).
+    over the length-filtered rows (a dedup cascade keeps one row per key); the
+    text takes part as its digest, computed once.
     """
-    long_ = F.length(text) > gt
+    df = df.select(file_col, mention, label, (F.length(text) > gt).alias("_long"), digest(text).alias("_text"))
+    long_, text = F.col("_long"), "_text"
 
     def on_long(*cols):
         return F.when(long_, F.struct(*[F.col(c) for c in cols]))

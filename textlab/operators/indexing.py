@@ -102,7 +102,7 @@ def assign_batches(df: DataFrame, size: int, order: Sequence, name: str = "batch
                    position: str = "row_pos") -> DataFrame:
     """Consecutive rows in ``order`` cut into groups of ``size``; the last may be short."""
     idx = assign_row_id(df, order, position)
-    return idx.withColumn(name, (F.col(position) / F.lit(size)).cast("bigint"))
+    return idx.withColumn(name, F.expr(f"`{position}` div {int(size)}"))
 
 
 def assign_hash_batches(df: DataFrame, size: int, hash_col: str, tiebreak: Sequence[str],
@@ -110,4 +110,4 @@ def assign_hash_batches(df: DataFrame, size: int, hash_col: str, tiebreak: Seque
                         position: str = "row_pos") -> DataFrame:
     """Batches of ``size`` over a seeded random order (a 32-bit hash column), per group."""
     idx = hash_dense_index(df, hash_col, tiebreak, position, group=group)
-    return idx.withColumn(name, (F.col(position) / F.lit(size)).cast("bigint"))
+    return idx.withColumn(name, F.expr(f"`{position}` div {int(size)}"))

@@ -149,12 +149,10 @@ def format_appended_report(cm: DataFrame, run: str = "run") -> DataFrame:
     return (out.join(rank, run).select(run, ((F.col("_rec") - 1) * 12 + F.col("off")).alias("line_no"), "line"))
 
 
-def frame_report_records(lines: DataFrame, size: int = 12, max_records: int = 5,
-                         line_no: str = "line_no") -> DataFrame:
-    """Cut a line stream into fixed-size records: (record, offset), at most ``max_records``."""
-    d = lines.withColumn("record", (F.col(line_no) / size).cast("bigint")) \
+def frame_report_records(lines: DataFrame, size: int = 12, line_no: str = "line_no") -> DataFrame:
+    """Cut a line stream into fixed-size records: (record, offset) for every line."""
+    return lines.withColumn("record", F.expr(f"cast({line_no} as bigint) div {int(size)}")) \
         .withColumn("offset", F.col(line_no) % size)
-    return d.filter(F.col("record") < max_records)
 
 
 def parse_report(lines: DataFrame, run: str = "run", line_no: str = "line_no") -> DataFrame:
@@ -166,7 +164,7 @@ def parse_report(lines: DataFrame, run: str = "run", line_no: str = "line_no") -
         for m, (a, b) in CLASS_SLICES.items():
             vals.append(F.max(F.when(ln == ln_no, report_slice("line", a, b))).alias(f"{m}_{cls}"))
     vals.append(F.max(F.when(ln == 5, report_slice("line", *ACCURACY_SLICE))).alias("accuracy"))
-    vals.append(F.max(F.when(ln == 9, F.trim(F.substring("line", MCC_OFFSET + 1, 1 << 20)).try_cast("double")))
+    vals.append(F.max(F.when(ln == 9, F.trim(F.expr(f"substring(line, {MCC_OFFSET + 1})")).try_cast("double")))
                 .alias("mcc"))
     return lines.groupBy(run).agg(*vals)
 
@@ -174,7 +172,7 @@ def parse_report(lines: DataFrame, run: str = "run", line_no: str = "line_no") -
 def parse_appended_report(framed: DataFrame) -> DataFrame:
     """Numbers from framed append-mode records: MCC at offset 0, classes at 3/4, accuracy at 6."""
     o = F.col("offset")
-    vals = [F.max(F.when(o == 0, F.trim(F.substring("line", MCC_OFFSET + 1, 1 << 20)).try_cast("double"))).alias("mcc")]
+    vals = [F.max(F.when(o == 0, F.trim(F.expr(f"substring(line, {MCC_OFFSET + 1})")).try_cast("double"))).alias("mcc")]
     for cls, off in (("0", 3), ("1", 4)):
         for m, (a, b) in CLASS_SLICES.items():
             vals.append(F.max(F.when(o == off, report_slice("line", a, b))).alias(f"{m}_{cls}"))

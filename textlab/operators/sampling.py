@@ -34,7 +34,7 @@ def undersample(df: DataFrame, fractions: Mapping[int, float], seed, key, label:
     rest = df
     for cls, frac in fractions.items():
         parts.append(sample_fraction(df.filter(F.col(label) == cls), frac, seed, key, exact, group))
-        rest = rest.filter(F.col(label) != cls)
+        rest = rest.filter(~F.col(label).eqNullSafe(F.lit(cls)))
     return reduce(DataFrame.unionByName, parts, rest)
 
 

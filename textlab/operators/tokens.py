@@ -6,11 +6,12 @@ The vocabulary reserves 0 = PAD, 1 = UNK, 2 = CLS, 3 = SEP (so a mask of
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textlab.functions.arrays import add_special_tokens, attention_mask, head_tail_window, pad_to_length
 from textlab.functions.text import tokenize_text
-from textlab.operators.joins import broadcast_if_small
 
 # fixed values: reserved ids and their tokens
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
@@ -23,7 +24,7 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "tokens", pattern: st
 
 
 def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
-                min_count: int = 1, max_tie_rows: int = 5_000_000) -> DataFrame:
+                min_count: int = 1) -> DataFrame:
     """(token, id, n): the ``max_size`` most frequent tokens (ties by token), ids
     after the reserved ones.
 
@@ -32,8 +33,7 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
     partition into one task: a histogram over the count values (one row per
     distinct count) finds the count ``c`` at which the k-th token falls; all
     tokens counted above ``c`` are in (fewer than k), and only the tokens
-    counted exactly ``c`` are ranked by token: an ordered limit when that tie
-    group has at most ``max_tie_rows`` rows, else the range-partitioned dense
+    counted exactly ``c`` are ranked by token, by the range-partitioned dense
     index.  The final ranking window sees at most ``max_size`` rows.
     """
     from textlab.operators.indexing import assign_row_id
@@ -50,39 +50,37 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
     cut = hist.filter(F.col("_above") < max_size).orderBy("n").limit(1).first()
     if cut is None:
         return counts.select("token", F.lit(None).cast("int").alias("id"), "n").limit(0)
-    c_val, above, ties_n = int(cut["n"]), int(cut["_above"]), int(cut["_m"])
-    need = max_size - above
+    c_val, above = int(cut["n"]), int(cut["_above"])
     top = counts.filter(F.col("n") > c_val)
     ties = counts.filter(F.col("n") == c_val)
-    if ties_n <= need:
-        ranked_ties = ties
-    elif ties_n <= max_tie_rows:
-        # the ordered limit merges at most ``ties_n`` rows: bounded by the histogram
-        ranked_ties = ties.orderBy("token").limit(need)
-    else:
-        ranked_ties = assign_row_id(ties, ["token"], "_r").filter(F.col("_r") < need).drop("_r")
-    chosen = top.unionByName(ranked_ties)
+    ties = assign_row_id(ties, ["token"], "_r").filter(F.col("_r") < max_size - above).drop("_r")
+    chosen = top.unionByName(ties)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
     return chosen.select("token", (F.row_number().over(w) - 1 + len(SPECIAL_TOKENS)).cast("int").alias("id"), "n")
 
 
-def encode_tokens(df: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "tokens",
-                  out: str = "ids", max_broadcast_bytes: int | None = None) -> DataFrame:
-    """Token -> id lookup, unknown tokens -> UNK.
+def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids",
+                  max_vocab: int = 1_000_000) -> DataFrame:
+    """Token -> id lookup inside each row, unknown and null tokens -> UNK; a null list is empty.
 
-    Tokens are exploded with their position and looked up in the vocabulary
-    (broadcast when its measured size allows).  All tokens of a row stay in
-    the row's input partition, so the partial ``collect_list`` rebuilds each
-    row map-side and the shuffle moves one id array per row.
+    Rows need no key and nothing is shuffled: Arrow batches of token lists are looked up in the
+    vocabulary, which travels with the task.  A vocabulary is bounded by the size it was built for;
+    one of more than ``max_vocab`` tokens is an error.
     """
-    v, _ = broadcast_if_small(vocab.select("token", "id"), max_broadcast_bytes)
-    ex = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token"))
-    hit = ex.join(v, "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "id"))
-    enc = (hit.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
-           .select(key, F.transform("_p", lambda s: s["id"]).alias(out)))
-    # the other columns rejoin by key; the token array is not shipped twice
-    return df.drop(tokens).join(enc, key, "inner")
+    rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
+    if len(rows) > max_vocab:
+        raise ValueError(f"the vocabulary has more than {max_vocab} tokens")
+    names, ids = [r[0] for r in rows], [r[1] for r in rows]
+
+    @F.arrow_udf("array<int>")
+    def lookup(lists: pa.Array) -> pa.Array:
+        lists = pc.if_else(pc.is_null(lists), pa.scalar([], lists.type), lists) if lists.null_count else lists
+        at = pc.index_in(lists.flatten(), value_set=pa.array(names, lists.type.value_type))
+        found = pc.fill_null(pa.array(ids, pa.int32()).take(at), UNK_ID)
+        ends = pc.cumulative_sum(pc.list_value_length(lists)).cast(pa.int32())
+        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), found)
+
+    return df.withColumn(out, lookup(F.col(tokens)))
 
 
 def hash_encode(df: DataFrame, tokens: str = "tokens", out: str = "ids", buckets: int = 1 << 18) -> DataFrame:
@@ -96,7 +94,7 @@ def window_tokens(df: DataFrame, tokens: str = "tokens", head: int = 382, tail:
     return df.withColumn(out or tokens, head_tail_window(F.col(tokens), head, tail))
 
 
-def encode_text(df: DataFrame, vocab: DataFrame | None, key: str = "row_id", text: str = "text",
+def encode_text(df: DataFrame, vocab: DataFrame | None, text: str = "text",
                 head: int = 382, tail: int = 128, pad_to: int | str = 512,
                 buckets: int = 1 << 18) -> DataFrame:
     """text -> tokens -> head/tail window -> CLS ... SEP ids -> padded ids + mask.
@@ -109,7 +107,7 @@ def encode_text(df: DataFrame, vocab: DataFrame | None, key: str = "row_id", tex
     if vocab is None:
         e = hash_encode(t, "_tok", "_ids", buckets)
     else:
-        e = encode_tokens(t, vocab, key, "_tok", "_ids")
+        e = encode_tokens(t, vocab, "_tok", "_ids")
     e = e.withColumn("_ids", F.concat(F.array(F.lit(CLS_ID)), F.col("_ids"), F.array(F.lit(SEP_ID))))
     if pad_to == "max":
         length = e.agg(F.max(F.size("_ids"))).scalar()

@@ -37,12 +37,6 @@ def labelled_with_funnel(annotations: DataFrame, sections: DataFrame, min_chars:
     return labeling.label_sections(secs, pubs, max_broadcast_bytes=max_broadcast_bytes)
 
 
-def with_row_id(df: DataFrame, order=("pub_order", "pos")) -> DataFrame:
-    """Stable 64-bit row id from a unique order key pair (no global sort)."""
-    a, b = order
-    return df.withColumn("row_id", (F.col(a).cast("bigint") * F.lit(1 << 20) + F.col(b)).cast("bigint"))
-
-
 def span_corpus(folds: DataFrame, split: str = "train", order=("fold", "file_id", "pos", "span_no"),
                 text: str = "text") -> DataFrame:
     """Second-corpus stage: train rows of every fold (a partition-pruned scan) ->

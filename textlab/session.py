@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every textlab job relies on.  AQE re-plans joins at run time
+# Settings of local sessions.  AQE re-plans joins at run time
 # (broadcast when the measured side is small, skew splits otherwise);
 # ANSI stays on, so operators use try_divide / get instead of raising forms.
 # Static broadcast from file-size estimates is off: a side is broadcast only
@@ -27,15 +27,19 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "textlab", extra: dict | None = None) -> SparkSession:
-    """Local/test session.  On a cluster, pass no master and let spark-submit decide."""
+    """A session.  Without a master (a cluster, spark-submit) every submitted setting is kept and
+    only what is passed here is set; with one (tests, the bench) DEFAULT_CONF applies too."""
     b = SparkSession.builder.appName(app)
+    conf = {}
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("TEXTLAB_DRIVER_MEMORY", "16g")
+        conf = dict(DEFAULT_CONF)
+        conf["spark.sql.shuffle.partitions"] = "8"
+        conf["spark.driver.memory"] = os.environ.get("TEXTLAB_DRIVER_MEMORY", "16g")
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

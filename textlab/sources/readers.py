@@ -21,47 +21,26 @@ SECTION_TABLE = T.StructType([
 ])
 
 
-def read_parquet(spark: SparkSession, path: str, min_split_bytes: int = 1 << 20) -> DataFrame:
-    """Parquet scan with a parallelism floor.
-
-    A large file written as one row group arrives as one scan task, and all
-    per-row text work after the scan would then run on one core.  When the
-    scan has fewer partitions than the default parallelism and at least
-    ``min_split_bytes`` per missing partition, rows are spread round-robin
-    (deterministic: Spark sorts before a round-robin repartition).  On a
-    real cluster input (many files and row groups) this is a no-op.
-    """
+#: session setting: partitions that input tables are dealt out to before any work (unset: as scanned)
+INPUT_PARTITIONS = "spark.textlab.input.partitions"
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan; dealt out round-robin only where the session asks for it (``INPUT_PARTITIONS``),
+    for files whose single row group would keep all work in one task."""
     df = spark.read.parquet(path)
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-        if have >= want:
-            return df
-        size = _path_bytes(spark, path)
-    except Exception:  # noqa: BLE001 - no JVM handles (e.g. a Spark Connect session): plain scan
-        return df
-    if size >= min_split_bytes * 2:
-        return df.repartition(min(want, max(2, size // min_split_bytes)))
-    return df
-
-
-def _path_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes under ``path`` as the Hadoop file system lists them (no data read)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    total, it = 0, fs.listFiles(hpath, True)
-    while it.hasNext():
-        total += it.next().getLen()
-    return total
+    n = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def read_annotations(spark: SparkSession, path: str, schema: T.StructType = ANNOTATION_SCHEMA) -> DataFrame:
-    """Comma CSV with a header; columns by name, a row number from file order
-    is not needed (``build_publications`` takes an explicit order column)."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True) \
+    """Comma CSV with a header; columns by name, and ``row_no``, an orderable (file, line) of each row:
+    a multi-line CSV file is one split, so ids that grow within a partition grow with the file's lines."""
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True) \
         .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
         .option("ignoreTrailingWhiteSpace", False).csv(path)
+    return rows.withColumn("row_no", F.struct(F.col("_metadata.file_path").alias("file"),
+                                              F.monotonically_increasing_id().alias("line")))
 
 
 def read_sections_json(spark: SparkSession, root: str, id_from: str = "file_name",
@@ -73,7 +52,10 @@ def read_sections_json(spark: SparkSession, root: str, id_from: str = "file_name
     schema and ``posexplode`` keeps the section order (a chunk adds
     ``chunk * chunk_size``).
     """
-    raw = spark.read.option("recursiveFileLookup", id_from == "file_name").text(root, wholetext=True)
+    reader = spark.read.option("recursiveFileLookup", id_from == "file_name")
+    if id_from != "file_name":  # ids are text: "007" stays "007"
+        reader = reader.schema("value string, file_id string, chunk int")
+    raw = reader.text(root, wholetext=True)
     if id_from == "file_name":
         raw = raw.withColumn("file_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
     if "chunk" not in raw.columns:
@@ -104,9 +86,11 @@ def read_folds(spark: SparkSession, root: str, split: str | None = "train") -> D
 def read_report_lines(spark: SparkSession, path: str, key: str = "run") -> DataFrame:
     """Text reports -> ``(key, line_no, line)``: one row per line, numbered from 0
     as a Python file loop sees them (a final newline adds no empty line).
-    ``key`` comes from a ``<key>=<value>`` directory when present, else the file name."""
+    ``key`` is text: from a ``<key>=<value>`` directory when present, else the file name."""
     raw = spark.read.text(path, wholetext=True)
-    if key not in raw.columns:
+    if key in raw.columns:
+        raw = spark.read.schema(f"value string, `{key}` string").text(path, wholetext=True)
+    else:
         raw = raw.withColumn(key, F.col("_metadata.file_name"))
     body = F.regexp_replace("value", r"\n$", "")
     return raw.select(key, F.posexplode(F.split(body, "\n", -1)).alias("line_no", "line")) \

@@ -23,7 +23,7 @@ def write_sections_json(sections: DataFrame, root: str, key: str = "file_id", po
     gathered in chunks of at most ``chunk_size`` (a publication holding a third
     of the corpus still spreads over many tasks); most publications are one
     chunk, i.e. one file."""
-    chunk = (F.col(pos) / F.lit(chunk_size)).cast("bigint")
+    chunk = F.expr(f"cast(`{pos}` as bigint) div {int(chunk_size)}")
     per_pub = (sections.groupBy(key, chunk.alias("chunk"))
                .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(title).alias("section_title"),
                                                          F.col(text).alias("text")))).alias("_s"))
