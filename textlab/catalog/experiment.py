@@ -52,10 +52,36 @@ def q_score_rows(spark, sf_dir):
     return longs(s.select("vec_id", r6("z0").alias("z0"), r6("z1").alias("z1")))
 
 
-@query("train_focal")
+def _focal_sql(epochs: int = 4, gamma: int = 4, alpha: float = 0.12, lr: float = 0.5, l2: float = 1e-4) -> str:
+    """Full-batch gradient steps as one chain of tables. Class 0's weights stay the negatives of class 1's,
+    so one weight a feature is enough."""
+    out = [f"""WITH t AS MATERIALIZED (
+  SELECT d.doc_id AS r, l.toxic AS y, unnest(string_split(lower(d.text), ' ')) AS tok
+  FROM documents d JOIN labels l USING (doc_id)),
+c AS (SELECT r, y, (('0x' || substr(md5(tok), 1, 8))::BIGINT) % {NF} AS f, count(*)::DOUBLE AS v FROM t GROUP BY ALL),
+x AS MATERIALIZED (
+  SELECT r, y, f, v / sqrt(sum(v * v) OVER (PARTITION BY r)) AS x FROM c
+  UNION ALL SELECT doc_id, toxic, -1, 1.0 FROM documents JOIN labels USING (doc_id)),
+n AS (SELECT count(*)::DOUBLE AS n FROM x WHERE f = -1),
+w0 AS (SELECT f, 0.0::DOUBLE AS w FROM x GROUP BY f)"""]
+    for e in range(epochs):
+        out.append(f"""z{e} AS MATERIALIZED (
+  SELECT r, y, greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-12) AS pt, p, CASE WHEN y = 0 THEN {alpha} ELSE {1 - alpha} END AS cw
+  FROM (SELECT r, y, 1 / (1 + exp(-2 * sum(x * w))) AS p FROM x JOIN w{e} USING (f) GROUP BY r, y)),
+g{e} AS MATERIALIZED (
+  SELECT r, -cw * pow(1 - pt, {gamma}) * ln(pt) AS loss,
+         cw * ({gamma} * pow(1 - pt, {gamma - 1}) * ln(pt) - pow(1 - pt, {gamma}) / pt) * pt * (y - p) AS g FROM z{e}),
+w{e + 1} AS MATERIALIZED (
+  SELECT f, any_value(w) - {lr} * (sum(x * g) / any_value(n.n) + {l2} * any_value(w)) AS w
+  FROM x JOIN g{e} USING (r) JOIN w{e} USING (f), n GROUP BY f)""")
+    return ",\n".join(out) + "\n" + "\nUNION ALL ".join(
+        f"SELECT {e}::INTEGER AS epoch, round((SELECT sum(loss) FROM g{e}) / n, 6) AS loss FROM n" for e in range(epochs))
+
+
+@query("train_focal", _focal_sql())
 def q_train_focal(spark, sf_dir):
     d = labelled_docs(spark, sf_dir)
-    feats = X.text_features(d, "row_id", "text", NF, hashing="xxhash64")
+    feats = X.text_features(d, "row_id", "text", NF, hashing="md5")
     _, log = X.train_focal(feats, d.select("row_id", "label"), 4.0, 0.12, 4, 0.5, group=())
     return log.select("epoch", r6("loss").alias("loss"))
 
@@ -68,35 +94,59 @@ def q_train_weighted(spark, sf_dir):
     return longs(pred.select("row_id", "label", F.col("prediction").cast("int").alias("pred")))
 
 
-_RUNS: dict = {}
+SEEDS = (1, 2, 3)
 
+#: embeddings scored with fixed weights that differ by seed: w0 = (i * seed % 7 - 3) / 10, w1 = (i * seed % 5 - 2) / 10
+SCORED_SQL = f"""WITH e AS (SELECT vec_id, label % 2 AS y, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+z AS (SELECT seed, vec_id, any_value(y) AS y,
+             sum(v * ((i * seed % 7) - 3) / 10.0) AS z0, sum(v * ((i * seed % 5) - 2) / 10.0) AS z1
+      FROM e, (SELECT unnest({list(SEEDS)}) AS seed) GROUP BY seed, vec_id),
+p AS (SELECT seed, y, (z1 > z0)::INT AS pred, (row_number() OVER (
+             PARTITION BY seed ORDER BY ('0x' || substr(md5(seed || ':' || vec_id), 1, 8))::BIGINT, vec_id) - 1) // 8 AS batch FROM z)"""
 
-def _run(spark, sf_dir, preset="focal_balanced_fbeta"):
-    """One experiment per (session, data folder, preset); the three experiment
-    queries read different outputs of the same run (all checkpoint-backed)."""
-    memo = (id(spark), sf_dir, preset)
-    if memo not in _RUNS:
-        cfg = X.PRESETS[preset]
-        cfg = X.ExperimentConfig(**{**cfg.__dict__, "n_features": 1 << 16})
-        _RUNS[memo] = X.run_experiment(labelled_docs(spark, sf_dir), cfg)
-    return _RUNS[memo]
 
-
-@query("validate_epoch")
+def scored(spark, sf_dir):
+    """(seed, row_id, label, z): every embedding scored once for each seed."""
+    e = table(spark, sf_dir, "embeddings")
+    feats = e.select(F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed"), F.col("vec_id").alias("row_id"),
+                     F.posexplode("embedding").alias("feature", "value"))
+    feats = feats.withColumn("feature", F.col("feature").cast("bigint")).withColumn("value", F.col("value").cast("double"))
+    longest = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    i = F.col("feature") * F.col("seed")
+    w = spark.range(longest).select(F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed"), F.col("id").alias("feature"))
+    w = w.select("seed", "feature", ((i % 7 - 3) / 10.0).alias("w0"), ((i % 5 - 2) / 10.0).alias("w1"))
+    labels = e.select(F.col("vec_id").alias("row_id"), (F.col("label") % 2).alias("label"))
+    return X.score_rows(feats, w, "row_id", ("seed",)).join(labels, "row_id")
+
+
+@query("validate_epoch", SCORED_SQL + """,
+b AS (SELECT seed, batch, avg((pred = y)::INT::DOUBLE) AS accuracy, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp,
+             count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp FROM p GROUP BY seed, batch)
+SELECT seed::BIGINT AS seed, round(avg(accuracy), 6) AS accuracy,
+       round(avg(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END), 6) AS recall,
+       round(avg(CASE WHEN 10 * tp + 9 * fn + fp = 0 THEN 0.0 ELSE 10.0 * tp / (10.0 * tp + 9.0 * fn + fp) END), 6) AS fbeta,
+       count(*)::BIGINT AS n_batches FROM b GROUP BY seed""")
 def q_validate_epoch(spark, sf_dir):
-    out = _run(spark, sf_dir)
-    return out["validation"].select("seed", "epoch", r6("accuracy").alias("accuracy"), r6("recall").alias("recall"),
-                                    r6("fbeta").alias("fbeta"), "n_batches")
-
-
-@query("evaluate_test")
+    v = X.validate_epoch(scored(spark, sf_dir))
+    return longs(v.select("seed", r6("accuracy").alias("accuracy"), r6("recall").alias("recall"), r6("fbeta").alias("fbeta"), "n_batches"))
+
+
+@query("evaluate_test", SCORED_SQL + """,
+m AS (SELECT seed, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+             count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn FROM p GROUP BY seed)
+SELECT seed::BIGINT AS seed, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn,
+       round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0 ELSE (tp::DOUBLE * tn - fp::DOUBLE * fn)
+             / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END, 6) AS mcc FROM m""")
 def q_evaluate_test(spark, sf_dir):
-    out = _run(spark, sf_dir)
-    return out["metrics"].select("seed", "tp", "fp", "fn", "tn", r6("precision").alias("precision"),
-                                 r6("recall").alias("recall"), r6("mcc").alias("mcc"))
+    t = X.evaluate_test(scored(spark, sf_dir))["metrics"]
+    return longs(t.select("seed", "tp", "fp", "fn", "tn", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("mcc").alias("mcc")))
 
 
 @query("run_experiment")
 def q_run_experiment(spark, sf_dir):
-    out = _run(spark, sf_dir)
+    cfg = X.PRESETS["focal_balanced_fbeta"]
+    cfg = X.ExperimentConfig(**{**cfg.__dict__, "n_features": 1 << 16})
+    out = X.run_experiment(labelled_docs(spark, sf_dir), cfg)
     return out["averages"].select("row", "metric", r6("value").alias("value"), "n_runs")
