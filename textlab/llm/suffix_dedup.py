@@ -167,8 +167,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("k16", text_key().bitwiseAND(65535)).select("doc_id", "k16", "text")
     whole, edge = _sorted_groups(_run_table(texts), "runs")
-    blocks, edge = _sorted_groups(_blocks(_with_text(edge, texts), single=False), "blocks")
-    single = written(_blocks(_with_text(edge, texts), single=True), "windows")
+    # only texts with undecided runs are dealt out again
+    open_ = written(_with_text(edge, texts), "open")
+    blocks, edge = _sorted_groups(_blocks(open_, single=False), "blocks")
+    single = written(_blocks(_with_text(edge, open_.drop("at")), single=True), "windows")
     least = single.groupBy(F.col("h").alias("_h")).agg(F.min(F.struct("doc_id", F.shiftright("pos", 30).alias("at"))).alias("least"), F.count("*").alias("n")).filter("n > 1")
     ones = (single.join(least, single["h"] == least["_h"]).filter(F.expr("struct(doc_id, shiftright(pos, 30) as at) > least"))
             .select("doc_id", "pos"))
