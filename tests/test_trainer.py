@@ -51,3 +51,54 @@ def test_adagrad_moves_focal_loss_further(spark):
     g = [r.loss for r in gd.orderBy("epoch").collect()]
     a = [r.loss for r in ada.orderBy("epoch").collect()]
     assert a[-1] < a[0] and (a[0] - a[-1]) > (g[0] - g[-1])
+
+
+def test_policy_best_compares_with_the_best_so_far(spark):
+    from pyspark.sql import functions as F
+
+    from textlab.plans import experiment as X
+    for policy, want in (("previous", ["save", "reload", "save"]), ("best", ["save", "reload", "reload"])):
+        ref, got = None, []
+        for epoch, value in enumerate((0.9, 0.7, 0.8)):
+            m = spark.range(1).select(F.lit(1).alias("seed"), F.lit(epoch).alias("epoch"), F.lit(value).alias("metric"))
+            got.append(X.decide(m, ref).first().action)
+            ref = X.reference_metric(m, ref, policy)
+        assert got == want
+
+
+def test_gradient_steps_equal_a_separate_computation(spark):
+    import numpy as np
+
+    from textlab.plans import experiment as X
+    rng = np.random.default_rng(3)
+    made = [(i, " ".join(rng.choice(list("abcdefg"), 6)), int(i % 3 == 0)) for i in range(30)]
+    df = spark.createDataFrame(made, "row_id long, text string, label int")
+    feats = X.text_features(df, n_features=32)
+    before = spark.catalog.listTables()
+    for gamma, alpha in ((0.0, None), (2.0, 0.3)):
+        _, log = X.train_focal(feats, df.select("row_id", "label"), gamma, alpha, 4, 0.5, 1e-4, group=())
+        got = [r.loss for r in log.orderBy("epoch").collect()]
+        rows = {}
+        for r in feats.collect():
+            rows.setdefault(r.row_id, {})[r.feature] = r.value
+        names = sorted({f for r in rows.values() for f in r})
+        x = np.array([[rows[i].get(f, 0.0) for f in names] for i, _, _ in made])
+        bias = names.index(X.BIAS_FEATURE)
+        norm = np.sqrt((x ** 2).sum(1) - x[:, bias] ** 2)
+        x[:, [j for j in range(len(names)) if j != bias]] /= norm[:, None]
+        y = np.array([lab for _, _, lab in made])
+        cw = np.ones(len(y)) if alpha is None else np.where(y == 0, alpha, 1 - alpha)
+
+        def loss(w):
+            z = x @ w.reshape(2, -1).T
+            logp = z - np.log(np.exp(z).sum(1, keepdims=True))
+            lp = logp[np.arange(len(y)), y]
+            return (cw * (1 - np.exp(lp)) ** gamma * -lp).mean()
+
+        w, want = np.zeros(2 * len(names)), []
+        for _ in range(4):
+            want.append(loss(w))
+            step = np.array([(loss(w + e) - loss(w - e)) / 2e-6 for e in np.eye(len(w)) * 1e-6])
+            w = w - 0.5 * (step + 1e-4 * w)
+        assert np.allclose(got, want, atol=1e-6)
+    assert spark.catalog.listTables() == before

@@ -13,7 +13,7 @@ aggregation of per-row gradients into per-feature sums (combined map-side).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,6 +21,7 @@ from textlab.functions.hashing import hash_u32
 from textlab.functions.mathfn import class_weight
 from textlab.operators import checkpoints, metrics, reports, sampling
 from textlab.operators.indexing import assign_hash_batches
+from textlab.operators.joins import broadcast_if_small
 from textlab.session import cut_lineage
 
 BIAS_FEATURE = -1
@@ -39,34 +40,31 @@ class ExperimentConfig:
     tail: int = 128
     test_head: int = 328
     test_tail: int = 128
-    pad_train: int | str = 512
-    pad_test: int | str = "max"
     val_frac: float = 0.1
     gamma: float = 0.0
     alpha: float | None = None
     checkpoint_metric: str = "accuracy"  # accuracy | recall | fbeta
     epochs: int = 4
     batch_size: int = 8
-    lr: float = 2e-5
+    lr: float = 0.5  # step of the full-batch descent of a linear model (fine-tuning rates do not carry over)
     seeds: tuple = tuple(SEEDS)
     text_col: str = "text"
-    policy: str = "previous"
+    policy: str = "previous"  # compare an epoch with the one before, or "best": with the best so far
     fbeta_compat: bool = False  # True: the reference's labels-against-labels F-beta
     hashing: str = "xxhash64"
     optimizer: str = "gd"  # or "adagrad"
     n_features: int = 1 << 18
-    extra: dict = field(default_factory=dict)
 
 
 PRESETS = {
-    "ce_head128": ExperimentConfig(head=128, tail=382, test_head=128, test_tail=382, pad_test=512, val_frac=0.1),
-    "ce_balanced": ExperimentConfig(neg_frac=0.55, pos_copies=4, test_head=382, pad_test=512, val_frac=0.1),
+    "ce_head128": ExperimentConfig(head=128, tail=382, test_head=128, test_tail=382, val_frac=0.1),
+    "ce_balanced": ExperimentConfig(neg_frac=0.55, pos_copies=4, test_head=382, val_frac=0.1),
     "focal": ExperimentConfig(val_frac=0.1, gamma=4.0, alpha=0.12),
     "focal_balanced": ExperimentConfig(neg_frac=0.55, pos_copies=4, val_frac=0.1, gamma=4.0, alpha=0.12),
     "focal_recall": ExperimentConfig(val_frac=0.2, gamma=4.0, alpha=0.12, checkpoint_metric="recall"),
-    "focal_balanced_fbeta": ExperimentConfig(neg_frac=0.55, pos_copies=4, pad_train="max", val_frac=0.2, gamma=4.0,
+    "focal_balanced_fbeta": ExperimentConfig(neg_frac=0.55, pos_copies=4, val_frac=0.2, gamma=4.0,
                               alpha=0.12, checkpoint_metric="fbeta"),
-    "span_focal_balanced_fbeta": ExperimentConfig(neg_frac=0.55, pos_copies=2, pad_train="max", val_frac=0.2, gamma=4.0,
+    "span_focal_balanced_fbeta": ExperimentConfig(neg_frac=0.55, pos_copies=2, val_frac=0.2, gamma=4.0,
                              alpha=0.12, checkpoint_metric="fbeta"),
 }
 
@@ -104,8 +102,9 @@ def _is_bias():
 def _row_scores(f: DataFrame, weights: DataFrame, keys: list[str], g: list[str]) -> DataFrame:
     """Per-row logits of the L2-normalised counts (bias unscaled), one aggregate:
     ``z_c = b_c + sum(v * w_c) / sqrt(sum(v^2))``.  The weights join is a
-    broadcast left join, so features without a weight still count in the norm."""
-    j = f.join(F.broadcast(weights), [*g, "feature"], "left").fillna(0.0, ["w0", "w1"])
+    left join (broadcast where the weights' measured size allows), so features without a weight still count in the norm."""
+    side, _ = broadcast_if_small(weights, materialize=False)
+    j = f.join(side, [*g, "feature"], "left").fillna(0.0, ["w0", "w1"])
     nb = ~_is_bias()
     a = j.groupBy(*keys).agg(
         F.sum(F.when(_is_bias(), F.col("w0"))).alias("_b0"), F.sum(F.when(_is_bias(), F.col("w1"))).alias("_b1"),
@@ -157,7 +156,14 @@ def bucketed_table(df: DataFrame, cols: list[str], buckets: int | None = None, n
     table = f"textlab_{name}_{uuid.uuid4().hex}"
     (df.write.bucketBy(n, *cols).sortBy(*cols).option("path", scratch_dir(spark, name))
      .mode("overwrite").saveAsTable(table))
-    return spark.table(table)
+    out = spark.table(table)
+    out.bucketed_as = table
+    return out
+
+
+def drop_table(bucketed: DataFrame) -> None:
+    """Takes a ``bucketed_table`` out of the catalog once nothing will read it again."""
+    bucketed.sparkSession.sql(f"DROP TABLE IF EXISTS {bucketed.bucketed_as}")
 
 
 def _prepare(feats: DataFrame, rows: DataFrame, alpha, key: str, g: list[str]):
@@ -194,7 +200,8 @@ def _epoch_update(f: DataFrame, weights: DataFrame, n: DataFrame, gamma: float,
     """
     from pyspark.sql import Window
 
-    j = f.join(F.broadcast(weights.select(*g, "feature", "w0", "w1")), [*g, "feature"], "left") \
+    side, _ = broadcast_if_small(weights.select(*g, "feature", "w0", "w1"), materialize=False)
+    j = f.join(side, [*g, "feature"], "left") \
         .fillna(0.0, ["w0", "w1"])
     w = Window.partitionBy(*g, key)
     nb = ~_is_bias()
@@ -256,6 +263,7 @@ def train_focal(feats: DataFrame, rows: DataFrame, gamma: float = 4.0, alpha: fl
     for epoch in range(epochs):
         weights, loss = _epoch_update(f, weights, n, gamma, lr, l2, key, g, optimizer)
         logs.append(loss.withColumn("epoch", F.lit(epoch)))
+    drop_table(f)  # weights and losses are checkpointed
     log = logs[0]
     for x in logs[1:]:
         log = log.unionByName(x)
@@ -306,8 +314,27 @@ def evaluate_test(scored: DataFrame, seed_col: str = "seed") -> dict[str, DataFr
     }
 
 
+def decide(metric: DataFrame, reference: DataFrame | None) -> DataFrame:
+    """(seed, epoch, metric, action): save above the reference metric, reload below, keep when equal."""
+    if reference is None:
+        return metric.withColumn("action", F.lit("save"))
+    j = metric.join(reference.select("seed", F.col("metric").alias("_ref")), "seed", "left")
+    return j.withColumn("action", F.when(F.col("_ref").isNull() | (F.col("metric") > F.col("_ref")), "save")
+                        .when(F.col("metric") < F.col("_ref"), "reload").otherwise("keep")).drop("_ref")
+
+
+def reference_metric(metric: DataFrame, reference: DataFrame | None, policy: str = "previous") -> DataFrame:
+    """What the next epoch is compared with: this epoch's metric, or the best so far."""
+    if policy not in ("previous", "best"):
+        raise ValueError("policy is 'previous' or 'best'")
+    if policy == "previous" or reference is None:
+        return metric
+    both = metric.select("seed", "metric").unionByName(reference.select("seed", "metric"))
+    return cut_lineage(both.groupBy("seed").agg(F.max("metric").alias("metric")))
+
+
 def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", label: str = "label",
-                   test: DataFrame | None = None, lr: float = 0.5, l2: float = 1e-4) -> dict[str, DataFrame]:
+                   test: DataFrame | None = None, l2: float = 1e-4) -> dict[str, DataFrame]:
     """M7: all seeds at once -> balance -> validation cut -> per epoch: train
     step, validation pass, save / reload / keep -> test on the saved weights
     -> report and averages over seeds.
@@ -315,7 +342,7 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     ``df`` is ``(key, text, label)``; ``test`` the held-out rows (default: an
     exact 20 % hash split of ``df``).  Text is featurised once per window
     setting and shared by all seeds.  The decision compares with the previous
-    epoch's validation metric; a reload puts the last saved weights back
+    epoch's validation metric or the best so far (``policy``); a reload puts the last saved weights back
     before the next epoch, as the reference does.
     """
     if test is None:
@@ -352,18 +379,12 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     prev = None
     logs, vals, decs = [], [], []
     for epoch in range(cfg.epochs):
-        cur, loss = _epoch_update(f, weights, n, cfg.gamma, lr, l2, key, g, cfg.optimizer)
+        cur, loss = _epoch_update(f, weights, n, cfg.gamma, cfg.lr, l2, key, g, cfg.optimizer)
         scored = score_rows(val_feats, cur, key, ("seed",)).join(val_rows, ["seed", key])
         v = cut_lineage(validate_epoch(scored, "seed", key, cfg.batch_size, compat=cfg.fbeta_compat)
                         .withColumn("epoch", F.lit(epoch)))
         m = v.select("seed", "epoch", F.col(cfg.checkpoint_metric).alias("metric"))
-        if prev is None:
-            dec = m.withColumn("action", F.lit("save"))
-        else:
-            j = m.join(prev.select("seed", F.col("metric").alias("_prev")), "seed", "left")
-            dec = j.withColumn("action", F.when(F.col("_prev").isNull() | (F.col("metric") > F.col("_prev")), "save")
-                               .when(F.col("metric") < F.col("_prev"), "reload").otherwise("keep")).drop("_prev")
-        dec = cut_lineage(dec)
+        dec = cut_lineage(decide(m, prev))
         act = F.broadcast(dec.select("seed", "action"))
         # saved checkpoint: this epoch's weights where saved, else the old ones
         saved = cut_lineage(cur.join(act.filter(F.col("action") == "save"), "seed", "left_semi")
@@ -371,7 +392,7 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
         # next epoch starts from the saved weights where reloaded
         weights = cut_lineage(cur.join(act.filter(F.col("action") != "reload"), "seed", "left_semi")
                               .unionByName(saved.join(act.filter(F.col("action") == "reload"), "seed", "left_semi")))
-        prev = m
+        prev = reference_metric(m, prev, cfg.policy)
         logs.append(loss.withColumn("epoch", F.lit(epoch)))
         vals.append(v)
         decs.append(dec)
@@ -394,4 +415,5 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
     out["decisions"] = checkpoints.selected_checkpoint(decisions, "run", "epoch")
     out["averages"] = metrics.average_runs(out["report"], "seed")
     out["weights"] = saved.drop("_n", "_a0", "_a1")
+    drop_table(f)
     return out
