@@ -138,10 +138,12 @@ def q_class_weight(spark, sf_dir):
 
 
 @query("confusion_matrix", with_ctes("logits") + f"""
-SELECT label01::BIGINT AS label, ({PRED})::BIGINT AS pred, count(*)::BIGINT AS n FROM logits GROUP BY 1, 2""")
+SELECT batch_id::BIGINT AS batch_id, count(*) FILTER (WHERE label01 = 1 AND {PRED} = 1) AS tp,
+       count(*) FILTER (WHERE label01 = 0 AND {PRED} = 1) AS fp, count(*) FILTER (WHERE label01 = 1 AND {PRED} = 0) AS fn,
+       count(*) FILTER (WHERE label01 = 0 AND {PRED} = 0) AS tn FROM logits GROUP BY batch_id""")
 def q_confusion(spark, sf_dir):
-    lg = logits(spark, sf_dir)
-    return longs(lg.groupBy("label", "pred").agg(F.count("*").alias("n")))
+    cm = metrics.confusion_matrix(logits(spark, sf_dir), ["batch_id"])
+    return longs(cm.select("batch_id", "tp", "fp", "fn", "tn"))
 
 
 CM_SQL = f""",
@@ -235,13 +237,14 @@ def q_pr_curve(spark, sf_dir):
 
 
 @query("reverse_cumulative", with_ctes("logits") + """
-SELECT batch_id::BIGINT AS batch_id,
-       sum(n) OVER (ORDER BY batch_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM (
-  SELECT batch_id, count(*) FILTER (WHERE label01 = 1) AS n FROM logits GROUP BY batch_id)""")
+SELECT run::BIGINT AS run, bucket::BIGINT AS bucket,
+       sum(n) OVER (PARTITION BY run ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM (
+  SELECT vec_id % 5 AS run, batch_id % 127 AS bucket, count(*) FILTER (WHERE label01 = 1) AS n FROM logits GROUP BY ALL)""")
 def q_reverse_cum(spark, sf_dir):
-    lg = logits(spark, sf_dir)
-    b = lg.groupBy("batch_id").agg(F.count_if(F.col("label") == 1).alias("n")).withColumn("g", F.lit(0))
-    return longs(metrics.reverse_cumulative(b, ["g"], "batch_id", "n").select("batch_id", "cum"))
+    """At most 127 buckets in a window, as for the curve's thresholds."""
+    b = (logits(spark, sf_dir, 5).withColumn("bucket", F.col("batch_id") % 127).groupBy("run", "bucket")
+         .agg(F.count_if(F.col("label") == 1).alias("n")))
+    return longs(metrics.reverse_cumulative(b, ["run"], "bucket", "n").select("run", "bucket", "cum"))
 
 
 @query("align_predictions", with_ctes("logits") + f"""
@@ -328,14 +331,18 @@ def q_frame(spark, sf_dir):
     return longs(f.select("record", "offset", "run"))
 
 
-@query("concat_reports", with_ctes("logits", extra=cm_sql(True)) + """
-SELECT count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE starts_with(line, 'EXP'))::BIGINT AS n_headers
-FROM (SELECT 'Results on test set' AS line UNION ALL SELECT 'EXP ' || run FROM cm
-      UNION ALL SELECT '-' FROM cm UNION ALL SELECT 'x' FROM cm, range(10))""")
+@query("concat_reports", with_ctes("logits", "epochs", extra=cm_sql(True) + _report_sql()) + """,
+doc AS (
+  SELECT min(run)::VARCHAR AS run, 0 AS section, 0 AS line_no, 'Results on test set' AS line FROM cm
+  UNION ALL SELECT DISTINCT run::VARCHAR, 1, 0, 'EXP ' || run || ' ' FROM cm
+  UNION ALL SELECT run::VARCHAR, 2, line_no, line FROM lines
+  UNION ALL SELECT run::VARCHAR, 3, epoch, 'epoch ' || epoch FROM epochs WHERE run < 5
+  UNION ALL SELECT DISTINCT run::VARCHAR, 4, 0, repeat('-', 64) FROM cm)
+SELECT (row_number() OVER (ORDER BY run, section, line_no) - 1)::BIGINT AS doc_line, line FROM doc""")
 def q_concat(spark, sf_dir):
-    doc = reports.concat_reports(report_lines(spark, sf_dir))
-    return doc.agg(F.count("*").cast("bigint").alias("n_lines"),
-                   F.count_if(F.col("line").startswith("EXP")).cast("bigint").alias("n_headers"))
+    epochs = fx.epochs(spark, sf_dir).filter("run < 5").select("run", F.col("epoch").alias("line_no"),
+                                                               F.concat(F.lit("epoch "), F.col("epoch").cast("string")).alias("line"))
+    return longs(reports.concat_reports(report_lines(spark, sf_dir), epochs).select("doc_line", "line"))
 
 
 @query("format_elapsed", """

@@ -59,24 +59,22 @@ def q_mask(spark, sf_dir):
 
 
 @query("qa_records", with_ctes("spans") + """,
-num AS (SELECT id, row_number() OVER (ORDER BY file_id, pos) - 1 AS qa_id FROM spans),
-hits AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k, st, en, text FROM (
-  SELECT id, text, unnest(range(3)) AS i, unnest(stacked_start) AS st, unnest(stacked_end) AS en,
+hits AS (SELECT id, file_id, pos, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k, st, en, text FROM (
+  SELECT id, file_id, pos, text, unnest(range(3)) AS i, unnest(stacked_start) AS st, unnest(stacked_end) AS en,
          unnest(stacked_label) AS lb FROM spans) WHERE lb = 3)
-SELECT num.qa_id::VARCHAR AS id, substring(h.text, h.st + 1, h.en - h.st) AS answer_text,
+SELECT (row_number() OVER (ORDER BY h.file_id, h.pos, h.k))::VARCHAR AS id, h.text AS context, substring(h.text, h.st + 1, h.en - h.st) AS answer_text,
        h.st::BIGINT AS answer_start, h.k::BIGINT AS span_no, '' AS question
-FROM hits h JOIN num USING (id)""")
+FROM hits h""")
 def q_qa(spark, sf_dir):
-    s = indexing.assign_row_id(fx.spans(spark, sf_dir), ["file_id", "pos"], "qa_id")
-    q = spans.qa_records(s)
-    return longs(q.select("id", F.col("answers.text")[0].alias("answer_text"),
+    q = spans.qa_records(fx.spans(spark, sf_dir))
+    return longs(q.select("id", "context", F.col("answers.text")[0].alias("answer_text"),
                           F.col("answers.answer_start")[0].alias("answer_start"), "span_no", "question"))
 
 
 @query("union_folds", with_ctes("folds") + """
 SELECT fold::BIGINT AS fold, count(*)::BIGINT AS n FROM folds WHERE split = 'train' GROUP BY fold""")
 def q_union_folds(spark, sf_dir):
-    f = fx.folds(spark, sf_dir).filter(F.col("split") == "train")
+    f = spans.union_folds(fx.folds(spark, sf_dir))
     return longs(f.groupBy("fold").agg(F.count("*").alias("n")))
 
 

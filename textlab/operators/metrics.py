@@ -120,13 +120,15 @@ def classification_report(cm: DataFrame, group: Sequence[str] = ()) -> DataFrame
 
 
 def average_runs(per_run: DataFrame, run: str = "run", keys: Sequence[str] = ("row",),
-                 metrics: Sequence[str] = ("precision", "recall", "f1")) -> DataFrame:
-    """Mean over runs (seeds) of each metric, from exact values (not rounded text)."""
+                 metrics: Sequence[str] = ("precision", "recall", "f1"), digits: int | None = None) -> DataFrame:
+    """Mean over runs (seeds) of each metric, from exact values (not rounded text); the mean itself is
+    rounded to ``digits`` where asked for."""
     tall = per_run.select(run, *keys, F.explode(F.map_from_arrays(
         F.array(*[F.lit(m) for m in metrics]), F.array(*[F.col(m).cast("double") for m in metrics])))
         .alias("metric", "value"))
     return (tall.filter(F.col("value").isNotNull()).groupBy(*keys, "metric")
-            .agg(F.avg("value").alias("value"), F.count("*").cast("bigint").alias("n_runs")))
+            .agg((F.avg("value") if digits is None else F.round(F.avg("value"), digits)).alias("value"),
+                 F.count("*").cast("bigint").alias("n_runs")))
 
 
 def pr_curve(df: DataFrame, z: str = "z", label: str = "label", n_classes: int = 2,

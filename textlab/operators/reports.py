@@ -186,18 +186,24 @@ def average_parsed(parsed: DataFrame, metrics: Sequence[str] | None = None) -> D
     return parsed.agg(*[F.avg(c).alias(c) for c in cols], F.count("*").cast("bigint").alias("n_runs"))
 
 
-def concat_reports(lines: DataFrame, run: str = "run", line_no: str = "line_no",
+def concat_reports(lines: DataFrame, epoch_log: DataFrame | None = None, run: str = "run", line_no: str = "line_no",
                    title: str = "Results on test set") -> DataFrame:
-    """All runs' reports in one ordered document: a title, then per run an
-    ``EXP i`` header, its lines, and a separator.  Output ``(doc_line, line)``
-    with a global order key ``(run, section, line_no)`` kept as columns."""
-    body = lines.select(run, F.lit(1).alias("section"), line_no, "line")
+    """All runs in one ordered document ``(doc_line, run, section, line)``: a title, then per run an
+    ``EXP i`` header, its report, its epoch log (lines in the same layout) and a separator. ``doc_line``
+    counts from 0 over the document; runs are in text order."""
+    from textlab.operators.indexing import assign_row_id
+
+    def part(df: DataFrame, section: int, no, line) -> DataFrame:
+        return df.select(F.col(run).cast("string").alias(run), F.lit(section).alias("section"), no.cast("bigint").alias(line_no), line.alias("line"))
+
     runs = lines.select(run).distinct()
-    head = runs.select(run, F.lit(0).alias("section"), F.lit(0).cast("bigint").alias(line_no),
-                       F.concat(F.lit("EXP "), F.col(run).cast("string"), F.lit(" ")).alias("line"))
-    sep = runs.select(run, F.lit(2).alias("section"), F.lit(0).cast("bigint").alias(line_no),
-                      F.lit("-" * 64).alias("line"))
-    top = runs.agg(F.min(run).alias(run)).select(F.col(run) - 1, F.lit(0), F.lit(0).cast("bigint"),
-                                                  F.lit(title)).toDF(run, "section", line_no, "line")
-    return (top.unionByName(head).unionByName(body.withColumn(line_no, F.col(line_no).cast("bigint")))
-            .unionByName(sep))
+    name = F.col(run).cast("string")
+    parts = [part(runs.agg(F.min(name).alias(run)).filter(F.col(run).isNotNull()), 0, F.lit(0), F.lit(title)),
+             part(runs, 1, F.lit(0), F.concat(F.lit("EXP "), name, F.lit(" "))), part(lines, 2, F.col(line_no), F.col("line")),
+             part(runs, 4, F.lit(0), F.lit("-" * 64))]
+    if epoch_log is not None:
+        parts.append(part(epoch_log, 3, F.col(line_no), F.col("line")))
+    doc = parts[0]
+    for p in parts[1:]:
+        doc = doc.unionByName(p)
+    return assign_row_id(doc, [run, "section", line_no], "doc_line").select("doc_line", run, "section", "line")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from textlab.functions.text import extract_spans, mask_mentions
+from textlab.operators.indexing import assign_row_id
 
 MENTION_CODE = 3  # fixed value: span label code of a dataset mention
 
@@ -46,17 +47,27 @@ def span_corpus_stats(exploded: DataFrame, label: str = "label") -> DataFrame:
                         F.count_if(F.col(label) == 0).cast("bigint").alias("n_neg"))
 
 
-def qa_records(df: DataFrame, id_col: str = "qa_id", text: str = "text", starts: str = "stacked_start",
+def union_folds(folds: DataFrame, split: str = "train", col: str = "split") -> DataFrame:
+    """The rows of one split of every fold, one frame (folds are a partition column, so a filter on
+    the split reads only its folders)."""
+    return folds.filter(F.col(col) == split).drop(col)
+
+
+def qa_records(df: DataFrame, order=("file_id", "pos"), text: str = "text", starts: str = "stacked_start",
                ends: str = "stacked_end", labels: str = "stacked_label", code: int = MENTION_CODE) -> DataFrame:
     """One question-answering record per mention span:
     ``(id, context, question, answers{text[], answer_start[]}, label, masked_context)``.
-    ``id_col`` must already hold a dense running number (see ``assign_row_id``)."""
+    ``id`` counts the spans from 1 in ``order`` (unique per paragraph) and span order; only the order
+    key is numbered, texts meet their numbers in one join."""
     m = mention_spans(df, text, starts, ends, labels, code, "_m")
     hits = F.filter(_zipped(starts, ends, labels), lambda x: x["l"] == code)
+    order = list(order)
     d = m.select("*", F.posexplode(hits).alias("_k", "_x"))
+    ids = assign_row_id(df.select(*order, F.posexplode(hits).alias("_k", "_x")).drop("_x"), [*order, "_k"], "_id")
+    d = d.join(ids, [*order, "_k"])
     span = F.substring(F.col(text), F.col("_x.s") + 1, F.col("_x.e") - F.col("_x.s"))
     return d.select(
-        F.col(id_col).cast("string").alias("id"),
+        (F.col("_id") + 1).cast("string").alias("id"),
         F.col(text).alias("context"), F.lit("").alias("question"),
         F.struct(F.array(span).alias("text"), F.array(F.col("_x.s")).alias("answer_start")).alias("answers"),
         F.lit(0).alias("label"),

@@ -28,9 +28,10 @@ def positive_rate(df: DataFrame, label: str = "label") -> DataFrame:
                   (ratio_half_even(pos * F.lit(100), n, 2) / F.lit(100.0)).alias("pct_pos"))
 
 
-def distinct_mentions(df: DataFrame, col: str = "dataset") -> DataFrame:
-    """The set of names; the negative marker 'None' counts as a name here."""
-    return df.select(col).distinct()
+def distinct_mentions(df: DataFrame, col: str = "dataset", include_none: bool = True) -> DataFrame:
+    """The set of names; the negative marker 'None' counts as a name unless ``include_none`` is off."""
+    names = df.select(col).distinct()
+    return names if include_none else names.filter(~F.col(col).eqNullSafe(F.lit("None")))
 
 
 def nunique_mentions(df: DataFrame, col: str = "dataset", approx: bool = False) -> DataFrame:
