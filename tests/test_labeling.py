@@ -83,6 +83,15 @@ def test_contain_pairs_chunked_short_passages_exact(spark):
     assert got == brute and len(got) > 30
 
 
+def test_contain_pairs_hot_words_and_blank_passages(spark):
+    made = [(i, f"the of the w{i} the of x{i % 5} the of") for i in range(60)] + [(100, None), (101, "")]
+    items = [(1, "the w7 the"), (2, "of the w9 the of"), (3, "the of x3 the"), (4, "the nowhere the"), (5, ""), (6, " "), (7, None), (8, "e o"), (9, "w1")]
+    docs, its = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((d, i) for d, t in made for i, p in items if t is not None and p is not None and p in t)
+    for limit in (None, 1):
+        assert sorted(tuple(r) for r in labeling.contain_pairs(docs, its, max_broadcast_bytes=limit).collect()) == want
+
+
 def test_label_corpus_repeatable_under_repartitioning(spark):
     from textlab.plans import corpus
     from textlab.sources import fixtures as fx

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textlab.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small, measured_bytes
+from textlab.operators.joins import broadcast_if_small
 from textlab.session import cut_lineage
 
 
@@ -83,17 +83,24 @@ def match_mentions(sections: DataFrame, pubs: DataFrame, text_col: str = "sectio
             .drop("mentions"))
 
 
-def interior_anchor(text: Column) -> Column:
-    """Longest interior whitespace token of a passage (smallest on ties).
+def interior_tokens(text: Column) -> Column:
+    """Distinct interior whitespace tokens of a passage.
 
     When the passage occurs in a document, each interior token (one with
     whitespace on both sides inside the passage) is also a whole
-    whitespace-delimited token of the document, so it is an exact blocking key.
+    whitespace-delimited token of the document, so any is an exact blocking key.
     """
     toks = F.split(text, r"\s+", -1)
     inner = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
-    inner = F.filter(inner, lambda t: F.length(t) > 0)
-    return F.try_element_at(_longest_first(inner), F.lit(1))
+    return F.array_distinct(F.filter(inner, lambda t: F.length(t) > 0))
+
+
+def _grams(token: Column) -> Column:
+    """Distinct character runs of one to three characters."""
+    def of(n):
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: i + (n - 1) <= F.length(token))
+        return F.transform(starts, lambda i: F.substring(token, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[of(n) for n in (1, 2, 3)]))
 
 
 def contain_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
@@ -102,48 +109,45 @@ def contain_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", do
     """All (document, item) pairs where the document contains the item's text,
     for a corpus-wide dictionary of passages.
 
-    Blocking instead of a nested loop: every passage with an interior token is
-    keyed by its longest interior token; documents emit their distinct tokens,
-    which meet the passages in an equi-join, and only those candidates are
-    verified with ``contains``.  Passages without an interior token (one or two
-    words) can sit inside a longer word, so they are checked inside each
-    document row against size-bounded arrays of such passages (one pass per
-    chunk; no pair rows are formed and no passage is dropped).
+    Blocking instead of a nested loop, by equi-joins on tokens.  A passage with
+    interior tokens is keyed by the one that the fewest documents hold.  A
+    shorter one (one or two words) can sit inside longer words: its first word
+    meets the corpus's distinct tokens by a run of up to three characters, and
+    the tokens that contain it are its keys.  Candidates are (document, item)
+    keys only; texts meet them once, to be verified with ``contains``.  A
+    passage without any word is compared with every document, as its result is.
     """
-    it = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item_text"))
-    it = it.withColumn("anchor", interior_anchor(F.col("item_text")))
-    keyed = it.filter(F.col("anchor").isNotNull())
-    short = it.filter(F.col("anchor").isNull()).select("item_id", "item_text")
-
-    keyed_side, _ = broadcast_if_small(keyed, max_broadcast_bytes)
+    it = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_text is not null")
+    it = it.withColumn("inner", interior_tokens(F.col("item_text")))
+    first_word = F.get(F.filter(F.split("item_text", r"\s+", -1), lambda t: F.length(t) > 0), 0)
+    it = cut_lineage(it.withColumn("word", F.when(F.size("inner") == 0, first_word)))
     d = docs.select(F.col(doc_key).alias("doc_id"), F.col(doc_text).alias("doc_text"))
-    toks = d.select("doc_id", F.explode(F.array_distinct(F.split("doc_text", r"\s+", -1))).alias("anchor"))
-    cand = toks.join(keyed_side, "anchor", "inner").select("doc_id", "item_id", "item_text")
-    # verify against the document text: the candidate side is measured and
-    # broadcast when small, so documents are read once more but not shuffled
-    cand_side, _ = broadcast_if_small(cand, max_broadcast_bytes)
-    verified = (d.join(cand_side, "doc_id", "inner")
-                .filter(F.contains(F.col("doc_text"), F.col("item_text")))
-                .select("doc_id", "item_id"))
-
-    # the short passages travel as size-checked array values (scalar
-    # subqueries evaluated once), matched inside each document row; when they
-    # do not fit one value they are cut into hash chunks of bounded size and
-    # each chunk is matched in its own pass, so no passage is ever dropped
-    limit = DEFAULT_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
-    short = cut_lineage(short)
-    n_chunks = max(1, -(-measured_bytes(short) // max(limit, 1)))
-    parts = [verified]
-    for c in range(n_chunks):
-        chunk = short if n_chunks == 1 else short.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_chunks)) == c)
-        arr = chunk.agg(F.collect_list(F.struct("item_id", "item_text")).alias("shorts")).scalar()
-        parts.append(d.withColumn("shorts", arr)
-                     .select("doc_id", F.explode(F.filter("shorts", lambda x: F.contains(F.col("doc_text"),
-                                                                                         x["item_text"])))
-                             .alias("s"))
-                     .select("doc_id", F.col("s.item_id").alias("item_id")))
-    # an item is either keyed or short, and chunks are disjoint: no duplicates
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    toks = d.select("doc_id", F.explode(F.array_distinct(F.split("doc_text", r"\s+", -1))).alias("token"))
+
+    # document frequency of the words that passages can be keyed by
+    inner = it.select("item_id", "item_text", F.explode("inner").alias("token"))
+    words, _ = broadcast_if_small(inner.select("token").distinct(), max_broadcast_bytes)
+    df = toks.join(words, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    keyed = (inner.join(df, "token").groupBy("item_id", "item_text")
+             .agg(F.min(F.struct("df", "token")).alias("k"), F.count("*").alias("found")))
+    # a passage one of whose words no document holds occurs nowhere
+    need = it.select("item_id", "item_text", F.size("inner").alias("need"))
+    keyed = keyed.join(need, ["item_id", "item_text"]).filter("found >= need").select("item_id", F.col("k.token").alias("token"))
+
+    short = it.filter("word is not null").select("item_id", "word", F.substring("word", 1, 3).alias("gram"))
+    short, _ = broadcast_if_small(short, max_broadcast_bytes)
+    grams = toks.select("token").distinct().select("token", F.explode(_grams(F.col("token"))).alias("gram"))
+    inside = grams.join(short, "gram").filter(F.contains("token", F.col("word"))).select("item_id", "token")
+
+    keys, _ = broadcast_if_small(keyed.unionByName(inside).distinct(), max_broadcast_bytes)
+    cand = toks.join(keys, "token").select("doc_id", "item_id").distinct()
+    cand, _ = broadcast_if_small(cand, max_broadcast_bytes)
+    texts, _ = broadcast_if_small(it.select("item_id", "item_text"), max_broadcast_bytes)
+    verified = (d.join(cand, "doc_id").join(texts, "item_id")
+                .filter(F.contains("doc_text", F.col("item_text"))).select("doc_id", "item_id"))
+    blank = it.filter("size(inner) = 0 and word is null").select("item_id", "item_text")
+    if not blank.limit(1).count():
+        return verified
+    blanks = blank.agg(F.collect_set(F.struct("item_id", "item_text")).alias("b")).scalar()
+    every = d.withColumn("blanks", blanks).select("doc_id", F.explode(F.filter("blanks", lambda x: F.contains(F.col("doc_text"), x["item_text"]))).alias("b"))
+    return verified.unionByName(every.select("doc_id", F.col("b.item_id").alias("item_id")))
