@@ -71,7 +71,8 @@ def viterbi(emit, first, after):
     return path[::-1]
 
 
-def test_blocks_decode_like_one_pass(spark):
+def test_blocks_decode_like_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(chat, "GROUP", 3)
     rng = np.random.default_rng(7)
     made = [(c, t, str(rng.choice(["user", "assistant"])), "x" * int(rng.integers(1, 900))) for c, n in ((1, 90), (2, 1), (3, 37), (4, 8)) for t in range(n)]
     made += [(None, 1, None, None), (None, 2, "user", "?"), (5, None, "user", ""), (5, 1, "robot", "why?"), (4, 3, "user", "same turn")]

@@ -4,8 +4,9 @@ The hidden state is the speaker's role; it stays within a turn and changes betwe
 observed by its speaker marker ("User:", "### Assistant", "<|system|>" ...), the size of the line and
 whether it asks. Viterbi finds the most likely roles. A conversation is never gathered: rows are cut into
 blocks of their order; a block's part of a conversation that goes on in other blocks is summed up by
-the best scores between its first and last states (max-plus matrices), the chain of those matrices fixes
-the states at the cuts, and each block then decodes its own part.
+the best scores between its first and last states (max-plus matrices), chains of those matrices fix the
+states at the cuts, and each block then decodes its own part. Chains are bounded too: the matrices of GROUP
+blocks are joined to one first.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ NAMES = {
 #: observed categories of a line: no marker or one of each role, bits of its length, asks or not
 MARKERS, SIZES = 1 + len(ROLES), 12
 FEATURES = MARKERS + SIZES + 2
-#: rows of a block
-BLOCK = 512
+#: rows of a block, and blocks of a group
+BLOCK, GROUP = 1024, 1024
 
 _ROLE_OF = {n: i for i, r in enumerate(ROLES) for n in NAMES[r]}
 _MARKER = re.compile(r"^[\s#>*<|\[(]{0,8}(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) +
@@ -106,27 +107,37 @@ def decode(emit: np.ndarray, after: np.ndarray, start: np.ndarray, end: np.ndarr
     return np.array(out[::-1])
 
 
-def chain(parts: list[np.ndarray], model: Model) -> list[tuple[int, int]]:
-    """First and last state of each consecutive part of one conversation, from their span scores."""
-    best, starts = model.first, []
+def joined(parts: list[np.ndarray], after: np.ndarray) -> np.ndarray:
+    """Span scores of consecutive parts as one."""
+    best = parts[0]
+    for p in parts[1:]:
+        step = (best[:, :, None] + after[None]).max(axis=1)
+        best = (step[:, :, None] + p[None]).max(axis=1)
+    return best
+
+
+def chain(parts: list[np.ndarray], after: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """First and last state of each consecutive part, from their span scores and from what the first
+    state of all and the last state of all score besides."""
+    starts, ends = [], []
     for k, p in enumerate(parts):
-        starts.append(best if k == 0 else (best[:, None] + model.after).max(axis=0))
-        best = (starts[-1][:, None] + p).max(axis=0)
-    out, after = [], np.zeros(len(best))
+        starts.append(start if k == 0 else (ends[-1][:, None] + after).max(axis=0))
+        ends.append((starts[-1][:, None] + p).max(axis=0))
+    out = []
     for k in range(len(parts) - 1, -1, -1):
-        score = starts[k][:, None] + parts[k] + after[None]
-        i, j = np.unravel_index(int(score.argmax()), score.shape)
-        out.append((int(i), int(j)))
-        # the part before must end where a step to state i scores best
-        after = model.after[:, i]
-        if k:
-            prev = (starts[k - 1][:, None] + parts[k - 1]).max(axis=0) + after
-            only = np.full(len(prev), -np.inf)
-            only[int(prev.argmax())] = 0.0
-            after = only
+        j = int((ends[k] + end).argmax())
+        i = int((starts[k] + parts[k][:, j]).argmax())
+        out.append((i, j))
+        end = after[:, i]
     return out[::-1]
 
 
+def only(state: int) -> np.ndarray:
+    out = np.full(len(ROLES), -np.inf)
+    out[state] = 0.0
+    return out
+
+
 def observed(turns: DataFrame) -> DataFrame:
     """Turns in order, with ``row_id`` (dense over all), ``conv`` (the conversation as text) and ``seen``."""
     t = turns.select("conv_id", "turn", "role", "text").withColumn("_k", text_key())
@@ -186,25 +197,34 @@ def roles(seen: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
         found = [(pdf["block"].iloc[0], c, i[0], span_scores(e, model.after).ravel().tolist()) for c, i, e, edge in parts(pdf) if edge]
         return pd.DataFrame(found, columns=["block", "conv", "at", "scores"])
 
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+    def square(pdf: pd.DataFrame) -> list[np.ndarray]:
+        return [np.reshape(x, (len(ROLES),) * 2) for x in pdf["scores"]]
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
-        n = len(ROLES)
-        ends = chain([np.reshape(s, (n, n)) for s in pdf["scores"]], model)
+        return pd.DataFrame({"conv": pdf["conv"].iloc[:1], "group": pdf["group"].iloc[:1], "scores": [joined(square(pdf), model.after).ravel().tolist()]})
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("group")
+        ends = chain(square(pdf), model.after, model.first, np.zeros(len(ROLES)))
+        return pd.DataFrame({"conv": pdf["conv"], "group": pdf["group"], "start": [i for i, _ in ends], "end": [j for _, j in ends]})
+
+    def within(pdf: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        ends = chain(square(pdf), model.after, only(fixed["start"].iloc[0]), only(fixed["end"].iloc[0]))
         return pd.DataFrame({"block": pdf["block"], "at": pdf["at"], "start": [i for i, _ in ends], "end": [j for _, j in ends]})
 
-    def outer(key, pdf: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
+    def outer(pdf: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
         ends = {a: (i, j) for a, i, j in zip(fixed["at"], fixed["start"], fixed["end"])}
-        out = []
-        for _, i, e, edge in parts(pdf):
-            if edge:
-                start, end = (np.full(len(ROLES), -np.inf) for _ in range(2))
-                start[ends[i[0]][0]], end[ends[i[0]][1]] = 0.0, 0.0
-                out.append((i, decode(e, model.after, start, end)))
-        return _states(out)
+        return _states([(i, decode(e, model.after, only(ends[i[0]][0]), only(ends[i[0]][1]))) for _, i, e, edge in parts(pdf) if edge])
 
     by_block = rows.groupBy("block")
-    ends = by_block.applyInPandas(edges, "block long, conv string, at long, scores array<double>")
-    ends = ends.groupBy("conv").applyInPandas(chained, "block long, at long, start int, end int")
+    cut = by_block.applyInPandas(edges, "block long, conv string, at long, scores array<double>")
+    cut = written(cut.withColumn("group", F.expr(f"block div {GROUP}")), "cuts")
+    groups = cut.groupBy("conv", "group").applyInPandas(group, "conv string, group long, scores array<double>")
+    groups = groups.groupBy("conv").applyInPandas(between, "conv string, group long, start int, end int")
+    ends = (cut.groupBy("conv", "group").cogroup(groups.groupBy("conv", "group"))
+            .applyInPandas(within, "block long, at long, start int, end int"))
     kind = "row_id long, state int"
     return by_block.applyInPandas(inner, kind).unionByName(by_block.cogroup(written(ends, "ends").groupBy("block")).applyInPandas(outer, kind))
 
