@@ -17,7 +17,7 @@ HEADLINE = [
     "label_corpus", "clean_funnel", "split_profile", "contain_pairs", "match_mentions",
     "balance_classes", "validation_split", "assign_row_id", "build_vocab", "encode_tokens",
     "pad_to_length", "text_features", "span_corpus", "pr_curve", "classification_report",
-    "format_report", "checkpoint_decisions", "focal_loss", "train_focal",
+    "format_report", "checkpoint_decisions", "focal_loss", "train_focal", "train_weighted", "run_experiment",
 ]
 
 

@@ -18,10 +18,10 @@ KEEP = re.compile(r"(Exchange \w+|BroadcastExchange|\w*Join\w*|\w*Aggregate|Wind
 
 NOTES = {
     "label_corpus": "publication side measured and broadcast; sections never shuffled; one shuffle for the dedup",
-    "clean_funnel": "one Expand + shuffle for the three distinct counts; final count on one row",
+    "clean_funnel": "one Expand + shuffle of digests for the three distinct counts; final count on one row",
     "split_profile": "labelled corpus read from its checkpoint; one (split, name) aggregate feeds all measures",
-    "contain_pairs": "anchor-token equi-join on a broadcast dictionary; candidates broadcast back; no nested loop",
-    "encode_tokens": "vocabulary broadcast; one shuffle rebuilds id arrays per row, one joins them back",
+    "contain_pairs": "equi-joins on the rarest word of each passage; candidate keys meet the texts once; no nested loop",
+    "encode_tokens": "looked up inside each row in Arrow batches; no exchange beyond the vocabulary's own",
     "train_focal": "features bucketed by row: the per-epoch window needs no exchange",
 }
 
