@@ -284,7 +284,7 @@ def _report_sql():
     rows = reports.report_rows_sql("duckdb")
     parts = [f"SELECT run, {i} AS line_no, {e} AS line FROM cm" for i, e in rows]
     parts.append(f"SELECT run, 8, '{reports.RULE_LINE}' FROM cm")
-    parts.append(f"SELECT run, 9, 'MCC: ' || printf('%.4f', {reports.MCC_SQL}) FROM cm")
+    parts.append(f"SELECT run, 9, 'MCC: ' || printf('%.12f', {reports.MCC_SQL}) FROM cm")
     return ",\nlines AS (" + "\nUNION ALL ".join(parts) + ")"
 
 

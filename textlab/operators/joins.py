@@ -8,10 +8,11 @@ DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of ``df`` as JSON text: one aggregate pass, an upper bound on the
-    in-memory row data for strings and arrays."""
-    row = df.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))),
-                               F.lit(0)).alias("b")).first()
+    """Bytes that ``df`` takes as a broadcast hash table: one aggregate pass over its values as text
+    (nulls included), plus the row format's fixed part and a table slot for each row."""
+    fixed = 64 + 24 * len(df.columns)
+    values = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    row = df.select(F.coalesce(F.sum(values + F.lit(fixed)), F.lit(0)).alias("b")).first()
     return int(row["b"])
 
 

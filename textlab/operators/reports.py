@@ -122,13 +122,13 @@ MCC_SQL = ("(CASE WHEN tp + fp = 0 OR tp + fn = 0 OR tn + fp = 0 OR tn + fn = 0
 
 def format_report(cm: DataFrame, run: str = "run") -> DataFrame:
     """Per-run report lines ``(run, line_no, line)`` from confusion counts:
-    the classification table, a rule, and ``MCC: x`` with 4 decimals."""
+    the classification table, a rule, and ``MCC: x`` in full (12 decimals), so that averages over text lose nothing."""
     staged = _report_text_columns(cm, [run])
     rows = _lines_sql({k: f"_t_{k}" for k in ratio_parts()}, "spark")
     lines = [F.struct(F.lit(i).alias("line_no"), F.expr(e).alias("line")) for i, e in rows]
     lines.append(F.struct(F.lit(8).alias("line_no"), F.lit(RULE_LINE).alias("line")))
     lines.append(F.struct(F.lit(9).alias("line_no"),
-                          F.concat(F.lit("MCC: "), F.format_string("%.4f", F.expr(MCC_SQL))).alias("line")))
+                          F.concat(F.lit("MCC: "), F.format_string("%.12f", F.expr(MCC_SQL))).alias("line")))
     return staged.select(run, F.inline(F.array(*lines)))
 
 
