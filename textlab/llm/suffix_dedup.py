@@ -98,28 +98,47 @@ def _run_table(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, d long, doc_id long, pos long")
 
 
-def _blocks(rows: DataFrame, single: bool) -> DataFrame:
-    """From (doc_id, k16, text, at: array<pos>): one record for each block of windows of the runs in
-    ``at`` (aligned by the windows' distance from the anchor), or for each window of the given blocks:
-    digest of the bytes common to the block's windows, digest of all its bytes, position."""
+def _run_bytes(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, run, bytes): the bytes that the windows of each run in ``places`` span. Texts are dealt
+    out once for it, each with the list of its runs (bounded by the text)."""
+    p = (places.withColumn("_k", F.col("pos").bitwiseAND(65535)).groupBy(F.col("doc_id").alias("_d"), "_k")
+         .agg(F.collect_list("pos").alias("at")))
+    rows = texts.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k16") == F.col("_k"))).select("doc_id", "text", "at")
 
     def run(batches):
         for batch in batches:
             data, off = utf8(batch.column("text"))
             at = batch.column("at")
-            key = np.asarray(batch.column("k16"))
-            ids = batch.column("doc_id")
-            starts, where = np.asarray(at.offsets) - at.offsets[0].as_py(), np.asarray(at.flatten())
+            pos = np.asarray(at.flatten())
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(at.offsets)))
+            for i in range(0, len(pos), 1 << 14):
+                q, r = pos[i:i + (1 << 14)], row[i:i + (1 << 14)]
+                start = off[r] + (q >> 30)
+                size = ((q >> 23) & 127) + WIDTH
+                ends = np.cumsum(size)
+                cut = data[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+                column = pa.Array.from_buffers(pa.binary(), len(q), [None, offsets, pa.py_buffer(cut)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r)), pa.array(q), column], names=["doc_id", "run", "bytes"])
+
+    return rows.mapInArrow(run, "doc_id long, run long, bytes binary")
+
+
+def _blocks(rows: DataFrame, single: bool) -> DataFrame:
+    """From (doc_id, run, bytes, pos): a record for each block of the windows in ``pos``, a part of the
+    run (blocks are aligned by the windows' distance from the anchor), with the digest of the bytes common to
+    a whole block's windows and the digest of all its bytes; or one for each single window."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = utf8(batch.column("bytes"))
+            whole, part = np.asarray(batch.column("run")), np.asarray(batch.column("pos"))
             for i, j in chunks(off):
-                o, part = off[i:j + 1] - off[i], data[off[i]:off[j]]
-                pos = where[starts[i]:starts[j]]
-                if not len(pos):
-                    continue
-                row = np.repeat(np.arange(j - i), np.diff(starts[i:j + 1]))
-                first = (pos >> 30) + o[row]
+                bytes_, base, pos = data[off[i]:off[j]], off[i:j] - off[i], part[i:j]
+                first = base + (pos >> 30) - (whole[i:j] >> 30)
                 more = (pos >> 23) & 127
                 anchor = first + more + ((pos >> 16) & 127)
-                one, two = _ONE.prefix(part), _TWO.prefix(part)
+                one, two = _ONE.prefix(bytes_), _TWO.prefix(bytes_)
                 # distances of the windows' starts from the anchor, cut at multiples of the block's size
                 far, near = anchor - first, anchor - first - more
                 size = 1 if single else BLOCK
@@ -129,54 +148,52 @@ def _blocks(rows: DataFrame, single: bool) -> DataFrame:
                 hi = np.minimum(far[src], b * size + size - 1)
                 lo = np.maximum(near[src], b * size)
                 s, e = anchor[src] - hi, anchor[src] - lo
-                r = row[src]
                 # common to the windows of the whole block, also where a run has only some of them
                 core = _digest(one, two, anchor[src] - b * size, anchor[src] - b * size - size + 1 + WIDTH, b)
-                full = core if single else _digest(one, two, s, e + WIDTH, b + (hi << 8))
-                p = _pack(s - o[r], e - s, lo, key[i + r])
-                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(full), ids.take(pa.array(i + r)), pa.array(p)],
-                                                 names=["h", "d", "doc_id", "pos"])
+                p = _pack(s - base[src] + (whole[i:j] >> 30)[src], e - s, lo, pos[src] & 65535)
+                ids = batch.column("doc_id").take(pa.array(i + src))
+                if single:
+                    yield pa.RecordBatch.from_arrays([pa.array(core), ids, pa.array(p)], names=["h", "doc_id", "pos"])
+                else:
+                    full = _digest(one, two, s, e + WIDTH, b + (hi << 8))
+                    yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(full), ids, pa.array(p), pa.array(whole[i:j][src])],
+                                                     names=["h", "d", "doc_id", "pos", "run"])
 
-    return rows.mapInArrow(run, "h long, d long, doc_id long, pos long")
+    return rows.mapInArrow(run, "h long, doc_id long, pos long" if single else "h long, d long, doc_id long, pos long, run long")
 
 
 def _sorted_groups(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """One pass over records (h, d, doc_id, pos): records whose h occurs once leave; of equal (h, d)
-    all but the first are decided; the first ones of the h that have several d go on."""
+    """One pass over records (h, d, doc_id, pos and further columns): records whose h occurs once leave; of
+    equal (h, d) all but the first are decided; the first ones of the h that have several d go on."""
     often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("_h"))
     kept = written(found.join(often, found["h"] == often["_h"]).drop("_h"), name)
-    groups = kept.groupBy("h", "d").agg(F.min(F.struct("doc_id", "pos")).alias("least"), F.count("*").alias("n"))
+    further = [c for c in kept.columns if c not in ("h", "d")]
+    groups = kept.groupBy("h", "d").agg(F.min(F.struct(*further)).alias("least"), F.count("*").alias("n"))
     lead = groups.filter("n > 1").select(F.col("h").alias("_h"), F.col("d").alias("_d"), F.expr("struct(least.doc_id as doc_id, shiftright(least.pos, 30) as at)").alias("least"))
     decided = (kept.join(lead, (kept["h"] == lead["_h"]) & (kept["d"] == lead["_d"]))
                .filter(F.expr("struct(doc_id, shiftright(pos, 30) as at) > least")).select("doc_id", "pos"))
     several = groups.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("h").alias("_h"))
-    on = groups.join(several, F.col("h") == F.col("_h")).select("least.doc_id", "least.pos")
+    on = groups.join(several, F.col("h") == F.col("_h")).select("least.*")
     return decided, on
 
 
-def _with_text(places: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of ``texts`` that have places, each with the list of them (bounded by its text)."""
-    p = (places.withColumn("_k", F.col("pos").bitwiseAND(65535)).groupBy(F.col("doc_id").alias("_d"), "_k")
-         .agg(F.collect_list("pos").alias("at")))
-    return texts.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k16") == F.col("_k"))).select("doc_id", "k16", "text", "at")
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, k16, spans): for each row of (doc_id, text) with any, the packed runs of windows of
     WIDTH bytes that also start earlier. See the module for the method and ``removed`` for nulls."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("k16", text_key().bitwiseAND(65535)).select("doc_id", "k16", "text")
     whole, edge = _sorted_groups(_run_table(texts), "runs")
-    # only texts with undecided runs are dealt out again
-    open_ = written(_with_text(edge, texts), "open")
-    blocks, edge = _sorted_groups(_blocks(open_, single=False), "blocks")
-    single = written(_blocks(_with_text(edge, open_.drop("at")), single=True), "windows")
+    cut = written(_run_bytes(edge, texts), "bytes")
+    blocks, edge = _sorted_groups(_blocks(cut.withColumn("pos", F.col("run")), single=False), "blocks")
+    part = edge.select(F.col("doc_id").alias("_d"), F.col("run").alias("_r"), "pos")
+    part = cut.join(part, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("run") == F.col("_r"))).drop("_d", "_r")
+    single = written(_blocks(part, single=True), "windows")
     least = single.groupBy(F.col("h").alias("_h")).agg(F.min(F.struct("doc_id", F.shiftright("pos", 30).alias("at"))).alias("least"), F.count("*").alias("n")).filter("n > 1")
     ones = (single.join(least, single["h"] == least["_h"]).filter(F.expr("struct(doc_id, shiftright(pos, 30) as at) > least"))
             .select("doc_id", "pos"))
-    spans = whole.unionByName(blocks).unionByName(ones).distinct()
+    spans = whole.unionByName(blocks).unionByName(ones)
     return (spans.withColumn("k16", F.col("pos").bitwiseAND(65535)).groupBy("doc_id", "k16")
-            .agg(F.collect_list("pos").alias("spans")))
+            .agg(F.collect_set("pos").alias("spans")))
 
 
 def covered(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
