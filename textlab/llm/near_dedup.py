@@ -167,22 +167,24 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     100 * intersection >= 75 * union; for stars also the size n of b's set and what tells it from a's."""
 
     def run(batches):
-        for batch in batches:
-            x = [s for _, _, sets in shingle_sets(batch.column("ta")) for s in sets]
-            y = [s for _, _, sets in shingle_sets(batch.column("tb")) for s in sets]
-            linked, far, bits = [], [], []
-            for s, t, star in zip(x, y, batch.column("star").to_pylist()):
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                linked.append(both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
-                d, b = apart(s, t) if star else (0, np.zeros(0, np.int64))
-                far.append(d)
-                bits.append(b)
-            at = np.cumsum([0, *map(len, bits)]).astype(np.int32)
-            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("a", "ak", "b", "bk", "star")), pa.array(linked, pa.bool_()),
-                 pa.array([len(t) for t in y], pa.int64()), pa.array(far, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)],
-                names=["a", "ak", "b", "bk", "star", "linked", "n", "far", "bits"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):  # the sets of a few pairs at a time
+                batch = whole.slice(i, 256)
+                x = [s for _, _, sets in shingle_sets(batch.column("ta")) for s in sets]
+                y = [s for _, _, sets in shingle_sets(batch.column("tb")) for s in sets]
+                linked, far, bits = [], [], []
+                for s, t, star in zip(x, y, batch.column("star").to_pylist()):
+                    both = len(s) + len(t) - len(np.union1d(s, t))
+                    linked.append(both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
+                    d, b = apart(s, t) if star else (0, np.zeros(0, np.int64))
+                    far.append(d)
+                    bits.append(b)
+                at = np.cumsum([0, *map(len, bits)]).astype(np.int32)
+                flat = pa.array(np.concatenate(bits))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("a", "ak", "b", "bk", "star")), pa.array(linked, pa.bool_()),
+                     pa.array([len(t) for t in y], pa.int64()), pa.array(far, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)],
+                    names=["a", "ak", "b", "bk", "star", "linked", "n", "far", "bits"])
 
     met = _met(pairs, docs).select("a", "ak", "b", "bk", "star", "ta", "tb")
     return met.mapInArrow(run, "a long, ak long, b long, bk long, star boolean, linked boolean, n long, far long, bits array<long>")
