@@ -178,6 +178,37 @@ def test_chunks_survive_insertions(spark):
     assert got[0]["n_removed_lines"] == 0 and all(r["n_removed_lines"] > 40 for r in got[1:])
 
 
+def test_recall_of_short_passages():
+    """Passages of two documents, with four own lines before and after: how many of their lines are found."""
+    rng = random.Random(4)
+
+    def own(n):
+        return [f"{rng.random()}" for _ in range(n)]
+
+    found = {}
+    for size in (2, 4, 6, 10, 20):
+        for _ in range(300):
+            passage = own(size)
+            b = ["\n".join(own(4) + passage + own(4)).encode() for _ in range(2)]
+            off = np.array([0, len(b[0]), len(b[0]) + len(b[1])])
+            _, _, n, d, row = line_dedup.chunk_lines(np.frombuffer(b"".join(b), np.uint8), off)
+            assert set(n) <= {2, 3}
+            found[size] = found.get(size, 0) + n[(row == 1) & np.isin(d, d[row == 0])].sum() / size / 300
+    assert all(found[n] > share for n, share in {2: 0.07, 4: 0.3, 6: 0.5, 10: 0.68, 20: 0.83}.items())
+
+
+def test_boundaries_are_those_of_one_by_one():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        group = np.sort(rng.integers(0, 3, rng.integers(0, 40)))
+        rank = rng.integers(0, rng.choice([2, 5, 1000]), len(group))
+        taken = set()
+        for i in sorted(range(len(rank)), key=lambda i: (rank[i], i)):
+            if not any(j in taken and group[j] == group[i] for j in (i - 1, i + 1)):
+                taken.add(i)
+        assert set(np.flatnonzero(line_dedup.boundaries(rank, group))) == taken
+
+
 # ---- personal data ----
 
 HARD = ["a@b.c_x@d.e 1.2.3.4.5.6.7.8 999.1.1.1 +1 (988) 555-2485 4111 1111 1111 1111x4111111111111111", "😀 é a@b.co +123456789012 ",

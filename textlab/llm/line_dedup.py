@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of SPAN consecutive lines ends a chunk where it is divisible by AVERAGE,
-so that boundaries move with the lines when others are inserted before them. Multi-line chunks whose
-bytes occur at several places are removed at all but the first.
+Each end of a line is ranked by the hash of that line; taken in this order, an end becomes a boundary
+unless a neighbouring one already is. So chunks have two or three lines, and boundaries move with the
+lines when others are inserted before them. Multi-line chunks whose bytes occur at several places are
+removed at all but the first.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from textlab.llm.common import Rolling, chunks, mix64, text_key, utf8, written
 
-#: lines in the rolling window, and lines of a chunk on average; chunks of fewer than LEAST lines stay
-SPAN, AVERAGE, LEAST = 2, 4, 2
+#: chunks of fewer lines stay; only a text of one line is such a chunk
+LEAST = 2
 
 _LINES = Rolling(51)
 
@@ -32,7 +33,25 @@ def line_ranges(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, np.searchsorted(start, off)
 
 
-def chunk_lines(data: np.ndarray, off: np.ndarray, span: int = SPAN, average: int = AVERAGE):
+def _steps(up: np.ndarray) -> np.ndarray:
+    """For each place how many steps up end there without a break."""
+    at = np.arange(len(up))
+    return at - np.maximum.accumulate(np.where(up, 0, at))
+
+
+def boundaries(rank: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which places are taken if, group by group, they are tried by (rank, position) and a neighbour of a
+    taken one is not. From each local minimum upwards every second place is taken; a peak is if both its
+    slopes leave it free. One pass, whatever the ranks."""
+    if not len(rank):
+        return np.zeros(0, bool)
+    near, higher = group[1:] == group[:-1], rank[1:] >= rank[:-1]
+    left = _steps(np.append(False, near & higher))
+    right = _steps(np.append(False, (near & ~higher)[::-1]))[::-1]
+    return (left % 2 == 0) & (right % 2 == 0)
+
+
+def chunk_lines(data: np.ndarray, off: np.ndarray):
     """Chunks of the rows of a chunk of texts: byte range, number of lines, digest, row."""
     start, end, first = line_ranges(data, off)
     if not len(start):
@@ -41,13 +60,10 @@ def chunk_lines(data: np.ndarray, off: np.ndarray, span: int = SPAN, average: in
     prefix = _LINES.prefix(data)
     line = mix64(_LINES.ranges(prefix, start, end) + (end - start).astype(np.uint64))
     row = np.searchsorted(off, start, side="right") - 1
-    rolling = np.zeros(len(line), np.uint64)
-    for j in range(span):  # hash of the last ``span`` lines of the same row
-        back = np.concatenate([np.zeros(j, np.uint64), line[:len(line) - j]])
-        same = np.concatenate([np.full(min(j, len(row)), -1), row[:len(row) - j]])[:len(row)] == row
-        rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + np.where(same, back[:len(line)], np.uint64(j))
-    stop = mix64(rolling) % np.uint64(average) == 0
-    stop[np.concatenate([row[1:] != row[:-1], [True]])] = True
+    at = np.arange(len(line))
+    inner = np.flatnonzero((at > first[row]) & (at < first[row + 1] - 2))  # two lines at least on either side
+    stop = np.append(row[1:] != row[:-1], True)
+    stop[inner[boundaries(line[inner], row[inner])]] = True
     last = np.flatnonzero(stop)
     head = np.concatenate([[0], last[:-1] + 1])
     s, e = start[head], end[last]
