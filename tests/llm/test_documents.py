@@ -240,6 +240,27 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[40]["spans"] == got[41]["spans"] == ""
 
 
+def test_contexts_reach_over_other_identifiers(spark):
+    made = [(i, f"ref {i} phone +1 (555) 555-{i:04d} fax +1 (555) 556-{i:04d}") for i in range(12)]
+    made += [(20 + i, f"Phone: +1 (555) 557-{i:04d}") for i in range(12)]
+    made += [(40, "ref 17 phone 555-0001 fax 555-0002"), (41, "Phone: 5550001"), (42, "ref 3 phone 555 123 4567, fax (555) 123 4568."),
+             (43, "ref 5 phone 555 1234 1.2.3.4 fax 5559"), (44, "room 17 5550001 here")]
+    got = {r[0]: r["spans"] for r in pii.digests(pii.find_personal_data(spark.createDataFrame(made, "doc_id long, text string"))).collect()}
+    assert got[40] == "phone:13:21,phone:26:34"
+    assert got[41] == "phone:7:14"
+    assert got[42] == "phone:12:24,phone:30:44"
+    assert got[43] == "phone:12:20,ip:21:28,phone:33:37"
+    assert got[44] == ""
+
+
+def test_contexts_are_whole_words_however_long(spark):
+    long = "w" * 100
+    made = [(i, f"{long}{i % 2} {long} +1 (555) 555-{i:04d}") for i in range(12)] + [(20, f"{long}1 {long} 555-0001"), (21, f"other {long} 555-0001")]
+    made += [(30, f'kindly call me ("+1 (555) 555-{i:04d}")') for i in range(12)] + [(50, 'kindly call me ("555-0001")')]
+    got = {r[0]: r["spans"] for r in pii.digests(pii.find_personal_data(spark.createDataFrame(made, "doc_id long, text string"))).collect()}
+    assert got[20] == "phone:203:211" and got[21] == "" and got[50] == "phone:17:25"
+
+
 # ---- quality ----
 
 def test_quality_on_held_out_rows(spark):

@@ -23,31 +23,41 @@ _MARK = {"email": "@", "ip": ".", "phone": "+"}
 
 #: identifier-like tokens: runs without white space that hold a digit or an at sign
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: a lexical pattern is the two words before an identifier, within so many characters
-PATTERN, REACH = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 64
+#: a number that a further group of digits may follow, and such a group
+OPENS, GROUP = r"^[+(]*[0-9][0-9()./-]*(?<![./-])$", r"^\(?[0-9][0-9()./-]*[.,;:!?)\]>}\"']*$"
+#: what may stand around a token; a bracket stays that holds its first digits
+LEAD, TRAIL = r"^(?:[\[<{\"']|\((?![0-9]+\)[^0-9]{0,2}[0-9]))*+", r"[.,;:!?)\]>}\"']+$"
+#: a lexical pattern is the two words before an identifier, or the one where there are no two
+PATTERN = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+\z"
 
 BLOCK = 256
-_FOUND = "array<struct<start:int,m:string,before:string>>"
+_FOUND = "array<struct<start:int,m:string,before:string,near:boolean>>"
 
 
 def _located(form: str) -> Column:
-    """Matches of ``form`` in ``text``, leftmost and non-overlapping, with their code point offsets and
-    the text just before: the pieces between matches give the offsets."""
+    """Matches of ``form`` in ``text``, leftmost and non-overlapping, with their code point offsets, the
+    last two words before them, and whether just a space parts them from the match before: the pieces
+    between matches give the offsets."""
     found = F.regexp_extract_all("text", F.lit(form), F.lit(0))
     pieces = F.split("text", form, -1)
-    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("p"), F.right(p, F.lit(REACH)).alias("before"), m.alias("m")))
+    both = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
 
     def step(s, x):
-        return F.when(x["m"].isNull(), s).otherwise(F.struct(
-            (s["at"] + x["p"] + F.length(x["m"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["p"]).alias("start"), x["m"].alias("m"), x["before"].alias("before")))).alias("out")))
+        # the words go on through earlier matches; brackets and quotes that open belong to no word
+        def add(before):
+            at = s["at"] + F.length(x["p"])
+            return F.struct((at + F.length(x["m"])).alias("at"), F.concat(before, x["m"]).alias("tail"), F.concat(s["out"], F.array(F.struct(
+                at.alias("start"), x["m"].alias("m"), before.alias("before"), (x["p"] == " ").alias("near")))).alias("out"))
+
+        before = F.regexp_extract(F.rtrim(F.concat(s["tail"], x["p"]), F.lit("([<{\"'")), PATTERN, 0)
+        return F.when(x["m"].isNull(), s).otherwise(F.element_at(F.transform(F.array(before), add), 1))
 
     def block(s, part):
-        inner = F.aggregate(part, F.struct(s["at"].alias("at"), F.array().cast(_FOUND).alias("out")), step)
-        return F.struct(inner["at"].alias("at"), F.concat(s["out"], F.array(inner["out"])).alias("out"))
+        inner = F.aggregate(part, F.struct(s["at"].alias("at"), s["tail"].alias("tail"), F.array().cast(_FOUND).alias("out")), step)
+        return F.transform(F.array(inner), lambda v: F.struct(v["at"].alias("at"), v["tail"].alias("tail"), F.concat(s["out"], F.array(v["out"])).alias("out")))[0]
 
     # appending is a copy, so it is done in blocks and over blocks: texts with many matches stay cheap
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_FOUND}>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{_FOUND}>").alias("out"))
     return F.element_at(F.transform(F.array(both), lambda v: F.flatten(F.aggregate(
         F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK)), lambda b: F.slice(v, b + 1, BLOCK)),
         start, block, lambda s: s["out"]))), 1)
@@ -94,15 +104,42 @@ def base_spans() -> Column:
     return F.array_sort(F.concat(*[_base(k) for k in KINDS]))
 
 
+_TOKENS = "array<struct<start:int,end:int,m:string,before:string,at:int,opens:boolean,goes:boolean>>"
+
+
+def _trimmed(m: Column) -> tuple[Column, Column]:
+    """How much punctuation stands before a token, and the token without what stands around it."""
+    return F.length(F.regexp_extract(m, LEAD, 0)), F.regexp_replace(F.regexp_replace(m, LEAD, ""), TRAIL, "")
+
+
 def _tokens() -> Column:
-    """Identifier-like tokens of ``text`` without the punctuation around them."""
+    """Identifier-like tokens of ``text``: where they are without the punctuation around them, as they
+    stand there (``m`` from ``at`` on), and whether a number may go on after them or goes on in them."""
     def cut(x):
-        lead = F.length(F.regexp_extract(x["m"], r"^[(\[<{\"']*", 0))
-        body = F.regexp_replace(F.regexp_replace(x["m"], r"^[(\[<{\"']+", ""), r"[.,;:!?)\]>}\"']+$", "")
-        return F.struct((x["start"] + lead).alias("start"), F.lit(-1).alias("kind"),
-                        (x["start"] + lead + F.length(body)).alias("end"), body.alias("m"), x["before"].alias("before"))
+        lead, body = _trimmed(x["m"])
+        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(body)).alias("end"), x["m"].alias("m"),
+                        x["before"].alias("before"), x["start"].alias("at"), x["m"].rlike(OPENS).alias("opens"), (x["near"] & x["m"].rlike(GROUP)).alias("goes"))
     may = F.col("text").rlike("[0-9@]")
-    return F.coalesce(F.when(may, F.transform(_located(TOKEN), cut)), F.array().cast(_SPANS))
+    return F.coalesce(F.when(may, F.transform(_located(TOKEN), cut)), F.array().cast(_TOKENS))
+
+
+def _candidates(tokens: Column) -> Column:
+    """Tokens as spans, the groups of digits of one number together."""
+    def whole(run):
+        first = F.element_at(run, 1)
+        lead, body = _trimmed(F.array_join(F.transform(run, lambda t: t["m"]), " "))
+        return F.struct((first["at"] + lead).alias("start"), F.lit(-1).alias("kind"), (first["at"] + lead + F.length(body)).alias("end"),
+                        body.alias("m"), first["before"].alias("before"))
+
+    def runs(v):
+        def goes_on(i):
+            last = F.get(v, i - 2)
+            return F.coalesce(F.get(v, i - 1)["goes"] & last["opens"] & (last["at"] + F.length(last["m"]) + 1 == F.get(v, i - 1)["at"]), F.lit(False))
+        heads = F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: ~goes_on(i))
+        return F.element_at(F.transform(F.array(heads), lambda h: F.transform(
+            h, lambda i, j: whole(F.slice(v, i, F.coalesce(F.get(h, j + 1), F.size(v) + 1) - i)))), 1)
+
+    return F.coalesce(F.when(F.size(tokens) > 0, F.element_at(F.transform(F.array(tokens), runs), 1)), F.array().cast(_SPANS))
 
 
 def _joined(spans: Column) -> Column:
@@ -112,11 +149,12 @@ def _joined(spans: Column) -> Column:
 
 
 def _edges(rows: DataFrame, spans: str) -> DataFrame:
-    """Occurrences (doc_id, k, start, end, kind, pattern, instance) of spans that have two words before them."""
+    """Occurrences (doc_id, k, start, end, kind, pattern, instance) of spans that have a word before them.
+    In patterns all words that hold a digit or an at sign are one."""
     s = rows.select("doc_id", "k", F.explode(spans).alias("s"))
-    word = [F.lower(F.regexp_extract("s.before", PATTERN, i)) for i in (1, 2)]
-    return s.select("doc_id", "k", "s.start", "s.end", "s.kind", F.concat_ws(" ", *word).alias("pattern"),
-                    F.lower("s.m").alias("instance"), word[1].alias("_w")).filter("_w <> ''").drop("_w")
+    words = F.filter(F.split("s.before", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    pattern = F.array_join(F.transform(words, lambda w: F.when(w.rlike("[0-9@]"), "#").otherwise(F.lower(w))), " ")
+    return s.select("doc_id", "k", "s.start", "s.end", "s.kind", pattern.alias("pattern"), F.lower("s.m").alias("instance")).filter("pattern <> ''")
 
 
 def learn_patterns(seeds: DataFrame, unknown: DataFrame, confidence: float = 0.6, support: int = 4, rounds: int = 3
@@ -154,8 +192,8 @@ def find_personal_data(docs: DataFrame, confidence: float = 0.6, support: int =
     """One row per row of (doc_id, text): doc_id, base and spans as arrays of (start, kind, end) with
     offsets in code points, end exclusive.
 
-    Spans of the fixed forms are the seeds. The two words before a seed are a lexical pattern;
-    identifier-like tokens outside all seeds that follow accepted patterns are added with the kind of
+    Spans of the fixed forms are the seeds. The two words before a seed, or the one where the text has no
+    two, are a lexical pattern; identifier-like tokens and numbers of several groups of digits outside all seeds that follow accepted patterns are added with the kind of
     the pattern. Documents are read once; what follows works on spans and tokens only.
 
     Nulls and empty texts have no spans. Rows with a null doc_id are judged like others; rows that
@@ -164,7 +202,7 @@ def find_personal_data(docs: DataFrame, confidence: float = 0.6, support: int =
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = src.select("doc_id", text_key().alias("k"), base_spans().alias("base"), _tokens().alias("all"))
     rows = rows.withColumn("free", F.expr("filter(all, t -> t.end > t.start and not exists(base, b -> b.start < t.end and t.start < b.end))"))
-    rows = written(rows.drop("all"), "spans")
+    rows = written(rows.select("doc_id", "k", "base", _candidates(F.col("free")).alias("free")), "spans")
     seeds, unknown = _edges(rows, "base"), _edges(rows, "free")
     patterns, scores = learn_patterns(seeds, unknown, confidence, support, rounds)
     good = scores.filter(F.col("score") >= confidence).select("instance", "kind")
