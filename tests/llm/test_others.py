@@ -119,6 +119,13 @@ def test_stages_keep_columns_and_clean_documents(spark, docs, no_docs, docs_rows
     assert got == sorted([*want, None], key=str)
 
 
+def test_near_dedup_of_repeated_ids(spark, docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    made = [(1, a), (5, a + " more"), (5, b), (7, b + " more"), (8, c), (8, c), (None, c), (None, c), (None, a), (None, None), (None, None)]
+    got = P.near_dedup_stage(spark, spark.createDataFrame(made, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (5, b), (8, c), (None, c), (None, a), (None, None)], key=str)
+
+
 def test_pipeline_stage_by_stage(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
