@@ -102,3 +102,13 @@ def test_gradient_steps_equal_a_separate_computation(spark):
             w = w - 0.5 * (step + 1e-4 * w)
         assert np.allclose(got, want, atol=1e-6)
     assert spark.catalog.listTables() == before
+
+
+def test_score_rows_weighs_every_component(spark, tmp_path):
+    from textlab.catalog.experiment import q_score_rows
+
+    wide = [(1, [0.0] * 68 + [3.0, 4.0])]
+    spark.createDataFrame(wide, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = q_score_rows(spark, str(tmp_path)).first()
+    w0, w1 = ([(i % m - c) / 10 for i in (68, 69)] for m, c in ((7, 3), (5, 2)))
+    assert abs(got.z0 - (3 * w0[0] + 4 * w0[1]) / 5) < 1e-6 and abs(got.z1 - (3 * w1[0] + 4 * w1[1]) / 5) < 1e-6

@@ -31,7 +31,7 @@ def q_text_features(spark, sf_dir):
     return longs(f.groupBy("doc_id").agg(F.count("*").alias("n_features"), F.sum("value").cast("bigint").alias("total")))
 
 
-def fixed_weights(spark, dim=64):
+def fixed_weights(spark, dim):
     """Model parameters: w0[i] = (i % 7 - 3) / 10, w1[i] = (i % 5 - 2) / 10."""
     r = spark.range(dim).withColumnRenamed("id", "feature")
     return r.select("feature", ((F.col("feature") % 7 - 3) / 10.0).alias("w0"),
@@ -48,7 +48,8 @@ def q_score_rows(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     feats = e.select("vec_id", F.posexplode("embedding").alias("feature", "value")) \
         .withColumn("feature", F.col("feature").cast("bigint")).withColumn("value", F.col("value").cast("double"))
-    s = X.score_rows(feats, fixed_weights(spark), "vec_id")
+    longest = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    s = X.score_rows(feats, fixed_weights(spark, longest), "vec_id")
     return longs(s.select("vec_id", r6("z0").alias("z0"), r6("z1").alias("z1")))
 
 
