@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from textlab.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, topk
+from textlab.llm import chat, decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality, runs, sharding, spelling, suffix_dedup, topk
 from textlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,52 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents (a tenth of them made to repeat), by a Re-Pair grammar."""
+    return runs.digests(runs.find_runs(runs.looped(table(spark, sf_dir, "documents"))))
+
+
+def _values(templates) -> str:
+    return ", ".join(f"({i}, '{label}', {str(phrase).lower()}, '{text}')" for i, (label, text, phrase) in enumerate(templates))
+
+
+@query(sql=rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+t0 AS (SELECT *, string_split(text, ' ') AS w
+       FROM (VALUES {_values([(*x, True) for x in licenses.PHRASES] + [(*x, False) for x in licenses.NOTICES])}) v(template, label, phrase, text)),
+t AS (SELECT *, len(w) AS size, CASE WHEN phrase THEN len(w) ELSE least(4, len(w)) END AS k FROM t0),
+g AS (SELECT template, label, phrase, size, k, tpos, array_to_string(w[tpos + 1:tpos + k], ' ') AS gram
+      FROM (SELECT *, unnest(range(0, size - k + 1)) AS tpos FROM t)),
+p AS (SELECT r, w, unnest(range(0, len(w))) AS pos FROM d),
+h AS (SELECT r, template, label, phrase, size, k, pos, tpos, pos - tpos AS diagonal
+      FROM (SELECT r, pos, array_to_string(w[pos + 1:pos + 2], ' ') AS gram FROM p
+            UNION SELECT r, pos, array_to_string(w[pos + 1:pos + 4], ' ') FROM p) JOIN g USING (gram)),
+o AS (SELECT DISTINCT r, template, phrase, diagonal FROM h),
+n AS (SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > 3, true)
+                     THEN 1 ELSE 0 END AS fresh FROM o),
+m AS (SELECT r, template, diagonal, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS grp FROM n),
+s AS (SELECT r, label, phrase, min(pos) AS start, count(DISTINCT tpos + j)::DOUBLE / max(size)::DOUBLE AS share
+      FROM (SELECT h.*, m.grp, unnest(range(0, h.k)) AS j FROM h JOIN m USING (r, template, diagonal)) GROUP BY r, template, label, phrase, grp)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(count(*) FILTER (WHERE phrase), 0)::BIGINT AS n_base,
+       min(start) FILTER (WHERE phrase) AS first_word, max(start) FILTER (WHERE phrase) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE share >= 0.7), '') AS labels, coalesce(max(share), 0) AS score
+FROM d LEFT JOIN s USING (r) GROUP BY d.r, d.doc_id, d.w""")
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents, by votes for diagonals."""
+    return licenses.digests(licenses.find_licenses(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary of all documents with each word's more frequent near word and the root of its chain."""
+    return spelling.variants(table(spark, sf_dir, "documents"), typo_of=31)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by way of all stages of the corpus pipeline: the shards of the final mix."""
