@@ -312,7 +312,7 @@ def test_mix_edges(docs, docs_rows, no_docs):
 def test_the_mix_itself(docs):
     d = docs.filter("doc_id is not null and doc_id not in (11, 12)")
     mixed = mixing.mix(d)
-    out = mixing.repeated(d, mixed)
+    out = mixing.mixture(d)
     assert out.columns == d.columns
     got = Counter()
     for r in out.collect():

@@ -47,6 +47,44 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     return s.withColumn("target", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(share)).drop("cap", "clamped")
 
 
+def _taken(docs: DataFrame, seed: str, max_epochs: int, cycle: tuple[int, ...]) -> DataFrame:
+    """Rows of ``docs`` with __size, __source_size, __target and __taken.
+
+    What a document gives follows from its own hash and its source's line in the plan, a small table. Only in
+    the bucket with a source's cut (about the square root of all rows) documents are put in order, text and all, so
+    that nothing has to be joined to the documents but the plan."""
+    sized = written(docs.select("doc_id", "source", word_count("text").alias("size"),
+                                seeded_hash(seed, F.col("doc_id")).alias("h")), "sized")
+    bits = max(1, sized.count().bit_length() // 2)
+    sums = sized.groupBy("source", F.shiftright("h", HASH_BITS - bits).alias("bucket")).agg(F.sum("size").alias("size"))
+    sums = written(sums, "sums")
+    sources = written(source_weights(sums.groupBy("source").agg(F.sum("size").alias("source_size")), cycle), "sources")
+    plan = water_fill(sources, max_epochs).withColumn("words", F.floor("target").cast("long"))
+    plan = (plan.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)))
+            .withColumn("rest", F.col("words") - F.col("whole") * F.col("source_size")))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket")
+                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = (sums.withColumn("before", before).withColumnRenamed("source", "_s")
+           .join(plan.select(F.col("source").alias("_p"), "rest"), F.col("_s").eqNullSafe(F.col("_p")))
+           .filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size")))
+           .select(F.col("_s"), F.col("bucket").alias("cut"), (F.col("rest") - F.col("before")).alias("left")))
+    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left")
+    plan, _ = broadcast_if_small(plan.select(
+        F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+        F.col("whole").alias("__whole"), F.col("cut").alias("__cut"), F.col("left").alias("__left")), max_bytes=8 << 20)
+    h = seeded_hash(seed, F.col("doc_id"))
+    d = docs.join(plan, docs["source"].eqNullSafe(plan["__s"])).withColumn("__h", h).withColumn("__bucket", F.shiftright("__h", HASH_BITS - bits))
+    at_cut = F.coalesce(F.col("__bucket") == F.col("__cut"), F.lit(False))  # without a cut bucket nothing of the source is left over
+    inside = d.filter(at_cut).withColumn("__size", word_count("text"))
+    up_to = F.coalesce(F.sum("__size").over(Window.partitionBy("__s").orderBy("__h", "doc_id", "__size")
+                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = inside.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__left") - up_to)))
+    outside = d.filter(~at_cut).withColumn("__size", word_count("text"))
+    outside = outside.withColumn("__extra", F.when(F.col("__bucket") < F.col("__cut"), F.col("__size")).otherwise(F.lit(0)))
+    out = inside.unionByName(outside).withColumn("__taken", (F.col("__whole") * F.col("__size") + F.col("__extra")).cast("long"))
+    return out.drop("__s", "__whole", "__cut", "__left", "__h", "__bucket", "__extra")
+
+
 def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """For each row of (doc_id, text, source): size in words, its source's size and target, and ``taken``,
     the words that the mix takes of it: ``taken // size`` whole repetitions, and the leading
@@ -62,47 +100,20 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, cycle: tuple[in
     hashes as the empty string. Repeated rows count one by one; among equal ones it does not matter
     which is cut. Empty tables give no rows. Other columns of ``docs`` are not read.
     """
-    sized = written(docs.select("doc_id", "source", word_count("text").alias("size"),
-                                seeded_hash(seed, F.col("doc_id")).alias("h")), "sized")
-    bits = max(1, sized.count().bit_length() // 2)
-    sized = sized.withColumn("bucket", F.shiftright("h", HASH_BITS - bits))
-    sums = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "sums")
-    sources = written(source_weights(sums.groupBy("source").agg(F.sum("size").alias("source_size")), cycle), "sources")
-    plan = water_fill(sources, max_epochs).withColumn("words", F.floor("target").cast("long"))
-    plan = (plan.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)))
-            .withColumn("rest", F.col("words") - F.col("whole") * F.col("source_size")))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket")
-                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = (sums.withColumn("before", before).withColumnRenamed("source", "_s")
-           .join(plan.select(F.col("source").alias("_p"), "rest"), F.col("_s").eqNullSafe(F.col("_p")))
-           .filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size")))
-           .select(F.col("_s"), F.col("bucket").alias("cut"), (F.col("rest") - F.col("before")).alias("left")))
-    plan, _ = broadcast_if_small(plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-                                 .withColumnRenamed("source", "_s"), max_bytes=8 << 20)
-    d = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    inside = d.filter(F.col("bucket") == F.col("cut"))
-    up_to = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id", "size")
-                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = inside.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - up_to)))
-    # without a cut bucket nothing of the source is left over
-    outside = (d.filter(F.col("cut").isNull() | (F.col("bucket") != F.col("cut")))
-               .withColumn("extra", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0))))
-    return inside.unionByName(outside).select("doc_id", "size", "source_size", "target",
-                                              (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-                                              "source")
-
-
-def repeated(docs: DataFrame, mixed: DataFrame, max_broadcast: int = 8 << 20) -> DataFrame:
-    """The mix itself: rows of ``docs`` (same columns), each whole repetition one row and the fractional
-    one a row with the leading words of the text. ``mixed`` is ``mix(docs)``; rows meet by doc_id,
-    source and size, and rows that repeat these share what their group takes evenly, rounded down."""
-    take = (mixed.groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"))
-            .agg(F.expr("sum(taken) div count(*)").alias("__taken")).filter("__taken > 0"))
-    take, _ = broadcast_if_small(take, max_broadcast)
-    d = docs.join(take, docs["doc_id"].eqNullSafe(take["__d"]) & docs["source"].eqNullSafe(take["__s"])
-                  & (word_count(docs["text"]) == take["__n"]))
-    whole = d.withColumn("__k", F.explode(F.when(F.expr("__taken >= __n"), F.sequence(F.lit(1).cast("long"), F.expr("__taken div __n")))))
-    some = d.filter("__taken % __n > 0")
-    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.expr("cast(__taken % __n as string)"), F.lit("}+"))
-    some = some.withColumn("text", F.regexp_substr("text", head))
-    return whole.select(*docs.columns).unionByName(some.select(*docs.columns))
+    out = _taken(docs.select("doc_id", "text", "source"), seed, max_epochs, cycle)
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+                      F.col("__target").alias("target"), F.col("__taken").alias("taken"), "source")
+
+
+def mixture(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The mix itself: rows of ``docs`` (same columns) as ``mix`` takes them, each whole repetition one row and
+    the fractional one a row with the leading words of the text. Column names that begin with two underscores are taken."""
+    d = _taken(docs, seed, max_epochs, cycle)
+    n, rest = F.expr("__taken div __size"), F.expr("__taken % __size")
+    # 0 stands for the fractional repetition
+    which = F.concat(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>")),
+                     F.when(rest > 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")))
+    d = d.filter("__taken > 0").withColumn("__k", F.explode(which))
+    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), rest.cast("string"), F.lit("}+"))
+    text = F.when(F.col("__k") == 0, F.regexp_substr("text", head)).otherwise(F.col("text"))
+    return d.withColumn("text", text).select(*docs.columns)
