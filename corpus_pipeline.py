@@ -84,7 +84,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents repeated whole, or left out, as the mix takes them;
     the document at a source's cut is a row with its leading words."""
-    return mixing.repeated(docs, mixing.mix(docs))
+    return mixing.mixture(docs)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
