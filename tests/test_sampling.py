@@ -91,3 +91,43 @@ def test_hash_batches_per_group(spark):
         for r in rows:
             sizes[r.batch_id] = sizes.get(r.batch_id, 0) + 1
         assert sizes == {0: 8, 1: 8, 2: 8, 3: 6}
+
+
+def test_cut_among_equal_rows(spark):
+    """Rows that repeat key and all, null keys, several histogram levels and a cut in the middle of equal rows."""
+    rows = [(None, "a")] * 7 + [(1, "a")] * 30 + [(2, "b")] * 5 + [(None, None)] * 4 + [(3, "a")]
+    df = spark.createDataFrame(rows, "row_id long, side string").repartition(3).withColumn("_h", F.col("row_id") * 1000)
+    df = df.withColumn("_h", F.coalesce("_h", F.lit(4294967295)))
+    for n in range(0, len(rows) + 2, 5):
+        got = indexing.take_smallest(df, "_h", ["row_id"], F.lit(n), flag="small").collect()
+        assert len(got) == len(rows) and sum(r.small for r in got) == min(n, len(rows))
+        small = max((r._h for r in got if r.small), default=-1)
+        assert all(r._h >= small for r in got if not r.small)
+    per = indexing.take_smallest(df, "_h", ["row_id"], F.col("n") - 1, group=["side"]).groupBy("side").count().collect()
+    assert {r.side: r["count"] for r in per} == {"a": 37, "b": 4, None: 3}
+
+
+def test_cut_over_many_rows_in_levels(spark, monkeypatch):
+    from textlab.functions.hashing import hash_u32
+    df = spark.range(5000).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("side")).withColumn("_h", hash_u32(1, "row_id"))
+    want = {(r.side, r.row_id) for r in df.orderBy("_h").limit(777).collect()}
+    for rows, level in ((1024, 16), (8, 4), (1, 16), (1, 5)):
+        monkeypatch.setattr(indexing, "BUCKET_ROWS", rows)
+        monkeypatch.setattr(indexing, "LEVEL_BITS", level)
+        assert {(r.side, r.row_id) for r in indexing.take_smallest(df, "_h", ["row_id"], F.lit(777)).collect()} == want
+        per = indexing.take_smallest(df, "_h", ["row_id"], F.floor(F.col("n") * 0.25), flag="small", group=["side"])
+        assert per.filter("small").count() == 416 + 416 + 416
+        assert per.filter("small").agg(F.max("_h")).first()[0] < per.filter("not small").agg(F.max("_h")).first()[0]
+
+
+def test_exact_split_reads_its_input_twice(spark):
+    """The input's files are in two scans: one for keys, one for the rows, and no row is shuffled."""
+    import contextlib
+    import io
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("row_id"), "text")
+    out = sampling.train_test_split(df, 0.2, 42)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        out.explain("simple")
+    assert text.getvalue().count("FileScan") == 1 and "Exchange" not in text.getvalue()
+    assert sorted(out.groupBy("split").count().collect()) == [("test", 40), ("train", 160)]

@@ -10,6 +10,8 @@ position inside its partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -61,41 +63,110 @@ def hash_dense_index(df: DataFrame, hash_col: str, tiebreak: Sequence[str], name
     return out.withColumn(name, (F.col("_off") + F.col("_r") - 1).cast("bigint")).drop("_b", "_r", "_off")
 
 
+#: rows of a bucket that selection aims at, and hash bits that one histogram tells apart
+BUCKET_ROWS, LEVEL_BITS = 1 << 10, 16
+
+
+def _same_group(g: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g])
+
+
+def _beside(df: DataFrame, state, g: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with its group's line of ``state``: a table keyed by _g_*, joined, or a single line, put in as constants."""
+    if g:
+        return df.join(state, _same_group(g), how)
+    return df.select("*", *[F.lit(v).alias(c) for c, v in state.items()])
+
+
+def _line(df: DataFrame, g: Sequence[str], empty: dict):
+    """``df`` measured for a broadcast, or without groups its only line."""
+    from textlab.operators.joins import broadcast_if_small
+    if g:
+        return broadcast_if_small(df)[0]
+    row = df.first()
+    return row.asDict() if row else empty
+
+
+def cut_rows(df: DataFrame, rank: Column, tiebreak: Sequence, k: Column, group: Sequence[str] = ()):
+    """The ``k``-th smallest row of each group in (rank, *tiebreak) order, by radix selection:
+    (group as _g_*, _cut_rank, _cut_tie, _take, _same), ``_same`` rows being equal to the cut and the first ``_take``
+    of them inside; without groups a dict. Groups whose ``k`` is 0 have no cut; past a group's end its last row is it.
+
+    ``rank`` holds unsigned 32-bit hash values; ``k`` is an expression over ``n``, the group's row count. The input is
+    read once, for its ranks and keys alone; histograms over the leading bits of the rank then
+    narrow the cut down, one level of at most 2**LEVEL_BITS buckets a group for as many as it takes until
+    buckets hold about BUCKET_ROWS rows, and only the last bucket is put in order."""
+    from textlab.session import cut_lineage
+    g = list(group)
+    names = [f"_g_{c}" for c in g]
+    tie = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"t{i}") for i, c in enumerate(tiebreak)])
+    keys = cut_lineage(df.select(*[F.col(c).alias(f"_g_{c}") for c in g], rank.cast("bigint").alias("_rank"), tie.alias("_tie")))
+    total = keys.count()
+    bits = min(32, (total // BUCKET_ROWS).bit_length())
+    sizes = keys.groupBy(*names).agg(F.count("*").alias("n")).select("*", *[F.col(f"_g_{c}").alias(c) for c in g])
+    state = sizes.select(*names, F.lit(0).cast("bigint").alias("_lo"), F.lit(1 << 32).alias("_hi"), F.least(k.cast("bigint"), F.col("n")).alias("_left"))
+    none = {"_lo": 0, "_hi": 0, "_left": 0}
+    state = _line(state.filter("_left > 0"), g, none)
+    keyed = keys.select("*", *[F.col(f"_g_{c}").alias(c) for c in g]).drop(*names) if g else keys
+    w = (Window.partitionBy(*names) if g else Window.partitionBy(F.lit(0)))
+
+    def inside():
+        return _beside(keyed, state, g).filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
+
+    def holding(counts: DataFrame, order: list[str]) -> DataFrame:
+        before = F.coalesce(F.sum("_c").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counts.withColumn("_before", before).filter((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_c")))
+
+    for done in range(0, bits, LEVEL_BITS):
+        shift = 32 - min(bits, done + LEVEL_BITS)
+        hist = inside().groupBy(*names, F.shiftright("_rank", shift).alias("_b"), "_left").agg(F.count("*").alias("_c"))
+        lo = F.shiftleft("_b", shift)
+        state = _line(holding(hist, ["_b"]).select(*names, lo.alias("_lo"), (lo + F.lit(1 << shift)).alias("_hi"),
+                                                   (F.col("_left") - F.col("_before")).alias("_left")), g, none)
+    equal = inside().groupBy(*names, "_left", "_rank", "_tie").agg(F.count("*").alias("_c"))
+    cut = holding(equal, ["_rank", "_tie"]).select(*names, F.col("_rank").alias("_cut_rank"), F.col("_tie").alias("_cut_tie"),
+                                                   (F.col("_left") - F.col("_before")).alias("_take"), F.col("_c").alias("_same"))
+    return _line(cut, g, {})
+
+
 def take_smallest(df: DataFrame, rank_col: str, tiebreak: Sequence[str], k: Column,
-                  bits: int = 16, flag: str | None = None, group: Sequence[str] = ()) -> DataFrame:
+                  flag: str | None = None, group: Sequence[str] = ()) -> DataFrame:
     """Rows whose position in (rank_col, *tiebreak) order is below ``k``, per ``group``.
 
-    ``rank_col`` holds unsigned 32-bit hash values.  A histogram over its top
-    ``bits`` bits (at most 2^bits rows per group, broadcast) finds the bucket
-    the cut falls in; only rows of that one bucket are ranked.  ``k`` is a
-    column expression over ``n`` (the group's row count), e.g.
+    ``cut_rows`` reads the input once for its keys; this reads it a second time and compares each row
+    with its group's cut, without any shuffle of rows. Only where rows equal in rank and tiebreak lie on both sides of
+    a cut are those numbered. ``k`` is a column expression over ``n`` (the group's row count), e.g.
     ``F.bround(F.col("n") * 0.2, 0)``.  With ``flag`` set, all rows are kept and
     ``flag`` says whether the row is among the smallest.
     """
     g = list(group)
-    shift = 32 - bits
-    d = df.withColumn("_b", F.shiftright(F.col(rank_col), shift))
-    hist = d.groupBy(*g, "_b").agg(F.count("*").alias("_c"))
-    wall = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    wcum = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_b") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    hist = (hist.withColumn("n", F.sum("_c").over(wall))
-            .withColumn("_before", F.coalesce(F.sum("_c").over(wcum), F.lit(0)))
-            .withColumn("_k", k.cast("bigint"))
-            .select(*g, "_b", "_c", "_before", "_k"))
-    j = d.join(F.broadcast(hist), [*g, "_b"])
-    inside = F.col("_before") + F.col("_c") <= F.col("_k")
-    cut = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") > F.col("_k"))
-    rw = Window.partitionBy(*g, "_b").orderBy(F.col(rank_col), *[F.col(c) for c in tiebreak])
-    cut_rows = j.filter(cut).withColumn("_r", F.row_number().over(rw))
-    helper = ["_b", "_c", "_before", "_k"]
-    if flag is None:
-        full = j.filter(inside).drop(*helper)
-        part = cut_rows.filter(F.col("_r") + F.col("_before") <= F.col("_k")).drop(*(helper + ["_r"]))
-        return full.unionByName(part)
-    rest = j.filter(~cut).withColumn(flag, inside).drop(*helper)
-    part = cut_rows.withColumn(flag, F.col("_r") + F.col("_before") <= F.col("_k")).drop(*(helper + ["_r"]))
-    return rest.unionByName(part)
+    cut = cut_rows(df, F.col(rank_col), tiebreak, k, g)
+    tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)])
+    at = F.struct(F.col(rank_col).cast("bigint").alias("r"), tie.alias("t"))
+    if g:
+        split = not cut.filter("_take < _same").isEmpty()
+        j = df.join(cut, _same_group(g), "left")
+        end = F.struct(F.col("_cut_rank").alias("r"), F.col("_cut_tie").alias("t"))
+        some, both = F.col("_cut_rank").isNotNull(), F.col("_take") < F.col("_same")
+        helper = [*[f"_g_{c}" for c in g], "_cut_rank", "_cut_tie", "_take", "_same"]
+    else:
+        j, helper = df, []
+        split = bool(cut) and cut["_take"] < cut["_same"]
+        some, both = F.lit(bool(cut)), F.lit(split)
+        kinds = dict(df.select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)]).dtypes)
+        values = cut["_cut_tie"].asDict() if cut else dict.fromkeys(kinds)
+        end = F.struct(F.lit(cut.get("_cut_rank")).cast("bigint").alias("r"),
+                       F.struct(*[F.lit(values[c]).cast(kind).alias(c) for c, kind in kinds.items()]).alias("t"))
+    if not split:
+        out = j.withColumn("_in", some & (at <= end))
+    else:
+        edge = some & (at == end) & both
+        w = Window.partitionBy(*[f"_g_{c}" for c in g], F.lit(0)).orderBy(F.lit(0))
+        take = F.col("_take") if g else F.lit(cut["_take"])
+        numbered = j.filter(edge).withColumn("_in", F.row_number().over(w) <= take)
+        out = j.filter(~edge).withColumn("_in", some & (at <= end)).unionByName(numbered)
+    out = out.drop(*helper)
+    return out.filter("_in").drop("_in") if flag is None else out.withColumnRenamed("_in", flag)
 
 
 def assign_batches(df: DataFrame, size: int, order: Sequence, name: str = "batch_id",

@@ -29,13 +29,23 @@ def sample_fraction(df: DataFrame, frac: float, seed, key, exact: bool = False,
 
 def undersample(df: DataFrame, fractions: Mapping[int, float], seed, key, label: str = "label",
                 exact: bool = False, group: Sequence[str] = ()) -> DataFrame:
-    """Thin the listed classes to their fraction; other classes pass whole (a repeatable sampleBy)."""
-    parts = []
-    rest = df
+    """Thin the listed classes to their fraction; other classes and nulls pass whole (a repeatable sampleBy).
+    All classes are thinned in the same passes over the input."""
+    classes = [F.col(label).eqNullSafe(F.lit(c)) for c in fractions]
+    if not exact:
+        h = df.withColumn("_h", hash_u32(seed, *_keys(key)))
+        keep = F.lit(True)
+        for cls, frac in zip(classes, fractions.values()):
+            keep = F.when(cls, F.col("_h") < F.lit(fraction_threshold(frac))).otherwise(keep)
+        return h.filter(keep).drop("_h")
+    share = F.lit(1.0)  # other classes are a group that is taken whole
     for cls, frac in fractions.items():
-        parts.append(sample_fraction(df.filter(F.col(label) == cls), frac, seed, key, exact, group))
-        rest = rest.filter(~F.col(label).eqNullSafe(F.lit(cls)))
-    return reduce(DataFrame.unionByName, parts, rest)
+        share = F.when(F.col("_class") == cls, F.lit(float(frac))).otherwise(share)
+    which = F.lit(None)
+    for cls, c in zip(classes, fractions):
+        which = F.when(cls, F.lit(c)).otherwise(which)
+    h = df.withColumn("_class", which).withColumn("_h", hash_u32(seed, *_keys(key)))
+    return take_smallest(h, "_h", _keys(key), F.bround(F.col("n") * share, 0), group=[*group, "_class"]).drop("_h", "_class")
 
 
 def undersample_negatives(df: DataFrame, frac: float = 0.55, seed: int = 42, key="row_id",
