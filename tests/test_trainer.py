@@ -11,11 +11,11 @@ def test_focal_training_loss_falls_and_repeats(spark):
     d = labelled_docs(spark, SF_SMALL)
     feats = X.text_features(d, "row_id", "text", 1 << 12)
     rows = d.select("row_id", "label")
-    _, log = X.train_focal(feats, rows, 2.0, 0.25, 4, 0.5, group=())
+    _, log = X.train_focal(feats, rows, 2.0, 0.25, 4, 0.5, group=(), n_features=1 << 12)
     losses = [r.loss for r in log.orderBy("epoch").collect()]
     assert losses[-1] < losses[0]
-    w1, _ = X.train_focal(feats, rows, 2.0, 0.25, 2, 0.5, group=())
-    w2, _ = X.train_focal(feats, rows, 2.0, 0.25, 2, 0.5, group=())
+    w1, _ = X.train_focal(feats, rows, 2.0, 0.25, 2, 0.5, group=(), n_features=1 << 12)
+    w2, _ = X.train_focal(feats, rows, 2.0, 0.25, 2, 0.5, group=(), n_features=1 << 12)
     a = sorted((r.feature, round(r.w1, 12)) for r in w1.collect())
     b = sorted((r.feature, round(r.w1, 12)) for r in w2.collect())
     assert a == b
@@ -46,8 +46,8 @@ def test_adagrad_moves_focal_loss_further(spark):
     d = labelled_docs(spark, SF_SMALL)
     feats = X.text_features(d, "row_id", "text", 1 << 12, hashing="xxhash64")
     rows = d.select("row_id", "label")
-    _, gd = X.train_focal(feats, rows, 4.0, 0.12, 3, 0.5, group=())
-    _, ada = X.train_focal(feats, rows, 4.0, 0.12, 3, 0.05, group=(), optimizer="adagrad")
+    _, gd = X.train_focal(feats, rows, 4.0, 0.12, 3, 0.5, group=(), n_features=1 << 12)
+    _, ada = X.train_focal(feats, rows, 4.0, 0.12, 3, 0.05, group=(), optimizer="adagrad", n_features=1 << 12)
     g = [r.loss for r in gd.orderBy("epoch").collect()]
     a = [r.loss for r in ada.orderBy("epoch").collect()]
     assert a[-1] < a[0] and (a[0] - a[-1]) > (g[0] - g[-1])
@@ -76,10 +76,10 @@ def test_gradient_steps_equal_a_separate_computation(spark):
     feats = X.text_features(df, n_features=32)
     before = spark.catalog.listTables()
     for gamma, alpha in ((0.0, None), (2.0, 0.3)):
-        _, log = X.train_focal(feats, df.select("row_id", "label"), gamma, alpha, 4, 0.5, 1e-4, group=())
+        _, log = X.train_focal(feats, df.select("row_id", "label"), gamma, alpha, 4, 0.5, 1e-4, group=(), n_features=32)
         got = [r.loss for r in log.orderBy("epoch").collect()]
         rows = {}
-        for r in feats.collect():
+        for r in X.tall_features(feats).collect():
             rows.setdefault(r.row_id, {})[r.feature] = r.value
         names = sorted({f for r in rows.values() for f in r})
         x = np.array([[rows[i].get(f, 0.0) for f in names] for i, _, _ in made])

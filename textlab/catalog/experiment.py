@@ -20,15 +20,26 @@ def labelled_docs(spark, sf_dir):
     return d.join(side, "row_id", "inner")
 
 
-@query("text_features", f"""
-SELECT doc_id::BIGINT AS doc_id, count(DISTINCT f)::BIGINT + 1 AS n_features, count(*)::BIGINT + 1 AS total
-FROM (SELECT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {NF} AS f
-      FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t FROM documents))
-GROUP BY doc_id""")
+FEATURES_SQL = f"""
+SELECT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {NF} AS feature, count(*)::DOUBLE AS value
+FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t FROM documents) GROUP BY 1, 2"""
+
+
+@query("text_features", f"SELECT doc_id::BIGINT AS doc_id, feature::BIGINT AS feature, value FROM ({FEATURES_SQL})")
 def q_text_features(spark, sf_dir):
+    """Every entry of every document's vector."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    f = X.text_features(d, "doc_id", "text", NF)
-    return longs(f.groupBy("doc_id").agg(F.count("*").alias("n_features"), F.sum("value").cast("bigint").alias("total")))
+    return X.tall_features(X.text_features(d, "doc_id", "text", NF), "doc_id", bias=False)
+
+
+@query("text_features_idf", f"""WITH f AS MATERIALIZED ({FEATURES_SQL}),
+n AS (SELECT count(*) AS n FROM documents), d AS (SELECT feature, count(*) AS df FROM f GROUP BY feature)
+SELECT doc_id::BIGINT AS doc_id, feature::BIGINT AS feature, round(value * ln((n + 1)::DOUBLE / (df + 1)), 6) AS value FROM f JOIN d USING (feature), n""")
+def q_text_features_idf(spark, sf_dir):
+    """The same with weights learned from how many documents hold a feature."""
+    feats = X.text_features(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", NF)
+    scaled = X.tall_features(X.with_idf(feats, X.document_frequencies(feats), NF), "doc_id", bias=False)
+    return scaled.select("doc_id", "feature", r6("value").alias("value"))
 
 
 def fixed_weights(spark, dim):
@@ -82,8 +93,8 @@ w{e + 1} AS MATERIALIZED (
 @query("train_focal", _focal_sql())
 def q_train_focal(spark, sf_dir):
     d = labelled_docs(spark, sf_dir)
-    feats = X.text_features(d, "row_id", "text", NF, hashing="md5")
-    _, log = X.train_focal(feats, d.select("row_id", "label"), 4.0, 0.12, 4, 0.5, group=())
+    feats = X.text_features(d, "row_id", "text", NF, hashing="md5", keep=["label"])
+    _, log = X.train_focal(feats, None, 4.0, 0.12, 4, 0.5, n_features=NF)
     return log.select("epoch", r6("loss").alias("loss"))
 
 

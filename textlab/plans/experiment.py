@@ -3,28 +3,29 @@ scoring, validation with checkpoint decisions, test reports, seed averages.
 
 The reference fine-tunes a transformer on one machine; what carries over to
 a cluster is the data-parallel cost-sensitive classifier around it.  Here a
-linear model over hashed token counts is trained by full-batch gradient
-descent under plain or focal loss, with every seed trained in the same jobs:
-features are a tall table ``(seed, row_id, feature, value)`` partitioned by
-row, the weights a table ``(seed, feature, w0, w1)`` bounded by
-``n_features x seeds`` rows (so it is broadcast), and each epoch is one
-aggregation of per-row gradients into per-feature sums (combined map-side).
+linear model over hashed token counts (``linear``) is trained by full-batch gradient
+descent under plain or focal loss, with every seed trained in the same passes over one
+table of features: a row's weight for each seed says whether it trains there and how many copies count.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textlab.functions.hashing import hash_u32
 from textlab.functions.mathfn import class_weight
 from textlab.operators import checkpoints, metrics, reports, sampling
-from textlab.operators.indexing import assign_hash_batches
+from textlab.operators.indexing import assign_hash_batches, cut_rows
 from textlab.operators.joins import broadcast_if_small
-from textlab.session import cut_lineage
+from textlab.plans.linear import (BIAS_FEATURE, Model, document_frequencies, gradient, score_vectors, tall_features,
+                                  text_features, token_counts, windowed_tokens, with_idf)
+from textlab.session import cut_lineage, written
 
-BIAS_FEATURE = -1
+__all__ = ["BIAS_FEATURE", "ExperimentConfig", "PRESETS", "SEEDS", "decide", "document_frequencies", "evaluate_test", "reference_metric",
+           "run_experiment", "score_rows", "tall_features", "text_features", "train_focal", "train_weighted", "validate_epoch", "with_idf"]
 
 
 # fixed values: the experiment grid (window, balancing, validation share, loss,
@@ -51,6 +52,7 @@ class ExperimentConfig:
     text_col: str = "text"
     policy: str = "previous"  # compare an epoch with the one before, or "best": with the best so far
     fbeta_compat: bool = False  # True: the reference's labels-against-labels F-beta
+    cut_copies: bool = False  # True: the reference's validation cut by row and copy, which may part copies of a row
     hashing: str = "xxhash64"
     optimizer: str = "gd"  # or "adagrad"
     n_features: int = 1 << 18
@@ -69,32 +71,6 @@ PRESETS = {
 }
 
 
-def text_features(df: DataFrame, key: str = "row_id", text: str = "text", n_features: int = 1 << 18,
-                  group: tuple = (), head: int | None = None, tail: int | None = None,
-                  hashing: str = "md5") -> DataFrame:
-    """M1: hashed token counts as a tall sparse table ``(*group, key, feature, value)``
-    plus a bias feature (value 1) per row.  The bucket is ``md5(token)`` mod
-    ``n_features`` (the same in DuckDB).  Tokens of one row never leave its
-    partition before the count, so the partial aggregate is final and the
-    shuffle moves one row per (row, feature).  Rows are scaled to unit L2 norm
-    inside the scoring aggregate, not here (that would cost a second shuffle)."""
-    from textlab.functions.arrays import head_tail_window
-    toks = F.split(F.lower(F.col(text)), " ", -1)
-    if head is not None:
-        toks = head_tail_window(toks, head, tail or 0)
-    g = list(group)
-    ex = df.select(*g, key, F.explode(toks).alias("_t"))
-    if hashing == "md5":  # reproducible in DuckDB
-        feat = F.pmod(F.conv(F.substring(F.md5(F.col("_t")), 1, 8), 16, 10).cast("bigint"), F.lit(n_features))
-    elif hashing == "xxhash64":  # Spark's native hash, far cheaper per token
-        feat = F.pmod(F.xxhash64(F.col("_t")), F.lit(n_features))
-    else:
-        raise ValueError("hashing is 'md5' or 'xxhash64'")
-    counts = ex.groupBy(*g, key, feat.alias("feature")).agg(F.count("*").cast("double").alias("value"))
-    bias = df.select(*g, key, F.lit(BIAS_FEATURE).cast("bigint").alias("feature"), F.lit(1.0).alias("value"))
-    return counts.unionByName(bias)
-
-
 def _is_bias():
     return F.col("feature") == BIAS_FEATURE
 
@@ -123,154 +99,42 @@ def score_rows(feats: DataFrame, weights: DataFrame, key: str = "row_id", group:
     return s.drop("_inv").withColumn("z", F.array("z0", "z1"))
 
 
-def _row_gradient(gamma: float):
-    """d(loss)/d(z_c) of ``w * (1 - pt)^gamma * CE`` for two classes, per row."""
-    m = F.greatest("z0", "z1")
-    e0, e1 = F.exp(F.col("z0") - m), F.exp(F.col("z1") - m)
-    p1 = e1 / (e0 + e1)
-    pt = F.when(F.col("label") == 1, p1).otherwise(1 - p1)
-    pt = F.greatest(pt, F.lit(1e-12))
-    ce = -F.log(pt)
-    loss = F.col("cw") * F.pow(1 - pt, F.lit(gamma)) * ce
-    # dL/dpt, then dpt/dz_c = pt * (onehot_c - p_c)
-    if gamma == 0:
-        dl_dpt = -F.col("cw") / pt
-    else:
-        dl_dpt = F.col("cw") * (F.lit(gamma) * F.pow(1 - pt, F.lit(gamma - 1)) * F.log(pt)
-                                - F.pow(1 - pt, F.lit(gamma)) / pt)
-    y1 = (F.col("label") == 1).cast("double")
-    g1 = dl_dpt * pt * (y1 - p1)
-    return loss, -g1, g1  # softmax over two logits: dz0 = -dz1
-
-
-def bucketed_table(df: DataFrame, cols: list[str], buckets: int | None = None, name: str = "features") -> DataFrame:
-    """Write ``df`` once as a table bucketed and sorted by ``cols`` in the shared
-    checkpoint folder and read it back.  Scans of a bucketed table report hash
-    partitioning on ``cols``, so later aggregations and joins on those columns
-    need no exchange, job after job (a checkpoint does not keep that promise)."""
-    import uuid
-
-    from textlab.session import scratch_dir
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"textlab_{name}_{uuid.uuid4().hex}"
-    (df.write.bucketBy(n, *cols).sortBy(*cols).option("path", scratch_dir(spark, name))
-     .mode("overwrite").saveAsTable(table))
-    out = spark.table(table)
-    out.bucketed_as = table
-    return out
-
-
-def drop_table(bucketed: DataFrame) -> None:
-    """Takes a ``bucketed_table`` out of the catalog once nothing will read it again."""
-    bucketed.sparkSession.sql(f"DROP TABLE IF EXISTS {bucketed.bucketed_as}")
-
-
-def _prepare(feats: DataFrame, rows: DataFrame, alpha, key: str, g: list[str]):
-    """Bucketed features and initial weights ``(group, feature, w0, w1, _n)``.
-
-    ``_n`` (rows per group) rides in the weights table: every row has exactly
-    one bias feature, so it is the bias feature's count, spread over the
-    group's features by a window on the weights table (at most n_features
-    rows per group); no join with a separate count table is needed."""
-    from pyspark.sql import Window
-
-    lab = rows.select(*g, key, "label", class_weight(F.col("label"), alpha).alias("cw"))
-    # bucketed by (group, row) once: every per-row window of every epoch
-    # runs without shuffling the features
-    f = bucketed_table(feats.join(lab, [*g, key], "inner"), [*g, key])
-    cnt = f.groupBy(*g, "feature").agg(F.count("*").alias("_cnt"))
-    wg = Window.partitionBy(*g)
-    w0 = cut_lineage(cnt.select(*g, "feature", F.lit(0.0).alias("w0"), F.lit(0.0).alias("w1"),
-                                F.max(F.when(_is_bias(), F.col("_cnt"))).over(wg).cast("double").alias("_n"),
-                                F.lit(0.0).alias("_a0"), F.lit(0.0).alias("_a1")))
-    return f, None, w0
-
-
-def _epoch_update(f: DataFrame, weights: DataFrame, n: DataFrame, gamma: float, lr: float, l2: float,
-                  key: str, g: list[str], optimizer: str = "gd") -> tuple[DataFrame, DataFrame]:
-    """One gradient step for every group at once; returns (new weights, mean loss per group).
-
-    One pass over the bucketed features: a window over each (group, row)
-    gives the row's logits on every one of its feature rows (the buckets
-    already cluster rows, so the window needs no exchange), the row's
-    gradient scales each feature value, and the per-feature sums are
-    combined map-side before the only shuffle.  Every row carries the bias
-    feature (value 1), so the row losses ride along as a third sum there.
-    """
-    from pyspark.sql import Window
-
-    side, _ = broadcast_if_small(weights.select(*g, "feature", "w0", "w1"), materialize=False)
-    j = f.join(side, [*g, "feature"], "left") \
-        .fillna(0.0, ["w0", "w1"])
-    w = Window.partitionBy(*g, key)
-    nb = ~_is_bias()
-    # all per-row sums in one select, so they share one Window operator
-    j = j.select("*",
-                 F.sum(F.when(_is_bias(), F.col("w0"))).over(w).alias("_b0"),
-                 F.sum(F.when(_is_bias(), F.col("w1"))).over(w).alias("_b1"),
-                 F.sum(F.when(nb, F.col("value") * F.col("w0"))).over(w).alias("_s0"),
-                 F.sum(F.when(nb, F.col("value") * F.col("w1"))).over(w).alias("_s1"),
-                 F.sum(F.when(nb, F.col("value") * F.col("value"))).over(w).alias("_nn"))
-    j = j.withColumn("_inv", F.when(F.col("_nn") > 0, 1.0 / F.sqrt("_nn")).otherwise(F.lit(0.0)))
-    j = (j.withColumn("z0", F.coalesce("_b0", F.lit(0.0)) + F.coalesce("_s0", F.lit(0.0)) * F.col("_inv"))
-         .withColumn("z1", F.coalesce("_b1", F.lit(0.0)) + F.coalesce("_s1", F.lit(0.0)) * F.col("_inv")))
-    loss, d0, d1 = _row_gradient(gamma)
-    scale = F.when(_is_bias(), F.lit(1.0)).otherwise(F.col("_inv")) * F.col("value")
-    grad = (j.select(*g, "feature", (scale * d0).alias("_g0"), (scale * d1).alias("_g1"),
-                     F.when(_is_bias(), loss).alias("_l"))
-            .groupBy(*g, "feature").agg(F.sum("_g0").alias("g0"), F.sum("_g1").alias("g1"),
-                                        F.sum("_l").alias("_loss")))
-    upd = weights.join(grad, [*g, "feature"], "left")
-
-    def full_grad(wc, gr):
-        return F.coalesce(F.col(gr), F.lit(0.0)) / F.col("_n") + F.lit(l2) * F.col(wc)
-
-    if optimizer == "gd":
-        cols = [(F.col(wc) - F.lit(lr) * full_grad(wc, gr)).alias(wc) for wc, gr in (("w0", "g0"), ("w1", "g1"))]
-        acc = [F.col("_a0"), F.col("_a1")]
-    elif optimizer == "adagrad":
-        # per-feature step lr / sqrt(sum of squared gradients): the accumulator rides in the weights table
-        acc = [(F.col(a) + full_grad(wc, gr) * full_grad(wc, gr)).alias(a)
-               for a, wc, gr in (("_a0", "w0", "g0"), ("_a1", "w1", "g1"))]
-        cols = [(F.col(wc) - F.lit(lr) * full_grad(wc, gr) / (F.sqrt(F.col(a) + full_grad(wc, gr) * full_grad(wc, gr))
-                                                             + F.lit(1e-8))).alias(wc)
-                for a, wc, gr in (("_a0", "w0", "g0"), ("_a1", "w1", "g1"))]
-    else:
-        raise ValueError("optimizer is 'gd' or 'adagrad'")
-    new = cut_lineage(upd.select(*g, "feature", *cols, "_n", *acc, (F.col("_loss") / F.col("_n")).alias("_loss")))
-    loss_df = new.filter(_is_bias()).select(*g, F.col("_loss").alias("loss"))
-    return new.drop("_loss"), loss_df
+def _weights_by_row(rows: DataFrame, key: str, g: list[str], groups: list[tuple]) -> DataFrame:
+    """(key, label, mult): how often each row counts for each of ``groups``, in their order."""
+    if not g:
+        return rows.select(key, "label", F.array(F.lit(1.0)).alias("mult"))
+    here = [F.count_if(F.struct(*g) == F.struct(*[F.lit(v) for v in values])).cast("double") for values in groups]
+    return rows.groupBy(key).agg(F.max("label").alias("label"), F.array(*here).alias("mult"))
 
 
-def train_focal(feats: DataFrame, rows: DataFrame, gamma: float = 4.0, alpha: float | None = 0.12,
+def train_focal(feats: DataFrame, rows: DataFrame | None = None, gamma: float = 4.0, alpha: float | None = 0.12,
                 epochs: int = 4, lr: float = 0.5, l2: float = 1e-4, key: str = "row_id",
-                group: tuple = ("seed",), optimizer: str = "gd") -> tuple[DataFrame, DataFrame]:
+                group: tuple = ("seed",), optimizer: str = "gd", n_features: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """M3: full-batch gradient descent on focal loss (``gamma=0``, ``alpha=None``
-    is plain cross entropy).  ``rows`` holds ``(*group, key, label)``.
+    is plain cross entropy).  ``feats`` is (key, indices, values), ``rows`` holds ``(*group, key, label)``, a line for each time a
+    row counts for a group; without ``rows``, ``feats`` has the label and each row counts once.
 
-    Each epoch: broadcast weights -> per-row logits (no shuffle: features are
-    partitioned by row) -> per-row gradient -> per-feature sums (one shuffle
-    of map-side partial sums) -> new weights, checkpointed to the shared
-    folder so the lineage stays one epoch long.  Returns the weights and the
+    The vectors are written once. Each epoch sends the weights to the tasks and is one pass over the vectors, in which each task
+    adds up one gradient vector for all groups; these are summed feature by feature, and the sums, no more than
+    ``n_features`` times the groups, make the next weights. Returns the weights and the
     epoch log ``(*group, epoch, loss)``.
     """
-    g = list(group)
-    if not g:
-        feats, rows, g = feats.withColumn("_grp", F.lit(0)), rows.withColumn("_grp", F.lit(0)), ["_grp"]
-    f, n, weights = _prepare(feats, rows, alpha, key, g)
-    logs = []
+    spark, g = feats.sparkSession, list(group)
+    if rows is None:
+        groups, table = [()], feats.withColumn("mult", F.array(F.lit(1.0)))
+        g = []
+    else:
+        groups = sorted(tuple(r) for r in rows.select(*g).distinct().collect()) if g else [()]
+        table = feats.join(_weights_by_row(rows, key, g, groups), key)
+    table = written(table.select("indices", "values", "label", "mult"), "vectors")
+    model, log = Model(groups, n_features), []
     for epoch in range(epochs):
-        weights, loss = _epoch_update(f, weights, n, gamma, lr, l2, key, g, optimizer)
-        logs.append(loss.withColumn("epoch", F.lit(epoch)))
-    drop_table(f)  # weights and losses are checkpointed
-    log = logs[0]
-    for x in logs[1:]:
-        log = log.unionByName(x)
-    weights = weights.drop("_n", "_a0", "_a1")
-    if "_grp" in g:
-        weights, log = weights.drop("_grp"), log.drop("_grp")
-    return weights, log
+        slope, loss = gradient(table, model, gamma, alpha)
+        model.step(slope, lr, l2, optimizer)
+        log += [(*line, epoch, float(x)) for line, x in zip(groups, loss)]
+    kinds = {f.name: f.dataType.simpleString() for f in (rows or feats).schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in g), "epoch int", "loss double"])
+    return model.table(spark, g), spark.createDataFrame(log, schema)
 
 
 def train_weighted(df: DataFrame, alpha: float | None = 0.12, text: str = "text", label: str = "label",
@@ -289,15 +153,27 @@ def train_weighted(df: DataFrame, alpha: float | None = 0.12, text: str = "text"
     return model, tf
 
 
-def validate_epoch(scored: DataFrame, seed_col: str = "seed", key: str = "row_id", batch_size: int = 8,
-                   beta: float = 3.0, compat: bool = False) -> DataFrame:
-    """M5: validation rows in a seeded random order cut into batches; batch
-    accuracy / recall / F-beta; unweighted mean over batches per seed."""
+def validate_epoch(scored: DataFrame, seed_col: str = "seed", key: str | list[str] = "row_id", batch_size: int = 8,
+                   beta: float = 3.0, compat: bool = False, checkpoint_metric: str = "accuracy", reference: DataFrame | None = None,
+                   num_thresholds: int = 127) -> DataFrame:
+    """M5, one row per seed: validation rows in a seeded random order cut into batches; batch
+    accuracy / recall / F-beta, unweighted mean over batches; the precision-recall ``curve`` of both classes as an array of
+    (cls, bucket, threshold, tp, fp, tn, fn, precision, recall); and the ``action`` that ``checkpoint_metric`` leads to
+    against ``reference`` (seed, metric), the first epoch's being to save.
+
+    The curve's counts are a histogram of at most ``num_thresholds`` buckets a class, added up across tasks."""
+    keys = [key] if isinstance(key, str) else list(key)
     s = metrics.with_predictions(scored, "z", "pred")
-    s = s.withColumn("_h", hash_u32(F.col(seed_col), key))
-    b = assign_hash_batches(s, batch_size, "_h", [key], group=[seed_col])
+    s = s.withColumn("_h", hash_u32(F.col(seed_col), *keys))
+    b = assign_hash_batches(s, batch_size, "_h", keys, group=[seed_col])
     bm = metrics.batch_metrics(b, [seed_col, "batch_id"], "label", "pred", beta, compat)
-    return metrics.mean_over_batches(bm, [seed_col])
+    out = metrics.mean_over_batches(bm, [seed_col])
+    point = F.struct("cls", "bucket", "threshold", "tp", "fp", "tn", "fn", "precision", "recall")
+    curve = metrics.pr_curve(scored, "z", "label", 2, num_thresholds, group=[seed_col]).groupBy(F.col(seed_col).alias("_seed")).agg(
+        F.array_sort(F.collect_list(point)).alias("curve"))
+    out = out.join(curve, F.col(seed_col).eqNullSafe(F.col("_seed")), "left").drop("_seed")
+    out = out.withColumn("metric", F.col(checkpoint_metric))
+    return decide(out, reference, seed_col).drop("metric")
 
 
 def evaluate_test(scored: DataFrame, seed_col: str = "seed") -> dict[str, DataFrame]:
@@ -314,11 +190,11 @@ def evaluate_test(scored: DataFrame, seed_col: str = "seed") -> dict[str, DataFr
     }
 
 
-def decide(metric: DataFrame, reference: DataFrame | None) -> DataFrame:
-    """(seed, epoch, metric, action): save above the reference metric, reload below, keep when equal."""
+def decide(metric: DataFrame, reference: DataFrame | None, seed: str = "seed") -> DataFrame:
+    """``metric`` (seed, metric, ...) with the action: save above the reference metric, reload below, keep when equal."""
     if reference is None:
         return metric.withColumn("action", F.lit("save"))
-    j = metric.join(reference.select("seed", F.col("metric").alias("_ref")), "seed", "left")
+    j = metric.join(reference.select(seed, F.col("metric").alias("_ref")), seed, "left")
     return j.withColumn("action", F.when(F.col("_ref").isNull() | (F.col("metric") > F.col("_ref")), "save")
                         .when(F.col("metric") < F.col("_ref"), "reload").otherwise("keep")).drop("_ref")
 
@@ -333,67 +209,99 @@ def reference_metric(metric: DataFrame, reference: DataFrame | None, policy: str
     return cut_lineage(both.groupBy("seed").agg(F.max("metric").alias("metric")))
 
 
+def _cuts(rows: DataFrame, key: list[str], k: Column, seeds) -> dict[int, tuple]:
+    """For each seed the (hash, *key) of the ``k``-th smallest row of ``rows`` (seed, *key) by hash; seeds without one are left out."""
+    cut = cut_rows(rows, hash_u32(F.col("seed"), *key), key, k, ["seed"])
+    return {r["_g_seed"]: (r["_cut_rank"], *r["_cut_tie"]) for r in cut.collect()}
+
+
+def _up_to(seed: int, key: list, cut: tuple | None, kinds: list[str]) -> Column:
+    """Whether a row's (hash, *key) for ``seed`` is not after ``cut``; ``key`` holds columns."""
+    if cut is None:
+        return F.lit(False)
+    at = F.struct(hash_u32(seed, *key).alias("h"), *[k.alias(f"t{i}") for i, k in enumerate(key)])
+    end = F.struct(F.lit(cut[0]).cast("bigint").alias("h"), *[F.lit(v).cast(t).alias(f"t{i}") for i, (v, t) in enumerate(zip(cut[1:], kinds))])
+    return at <= end
+
+
+def _sides(df: DataFrame, cfg: ExperimentConfig, key: str, label: str) -> tuple[Column, Column]:
+    """Two array columns with an entry for each seed, from a row's key and label alone: how many of its copies train, and the copies that
+    validate. Samples and cuts are exact for each seed: the cuts' values are found over all rows' keys, and rows compare with them."""
+    keys = written(df.select(key, label), "keys")
+    kind = dict(keys.dtypes)[key]
+    grid = sampling.seed_grid(keys, cfg.seeds, "seed")
+    thin, thinned = {}, F.coalesce(F.col(label) == 0, F.lit(False)) if cfg.neg_frac is not None else F.lit(False)
+    if cfg.neg_frac is not None:  # round(neg_frac * n) negatives with the smallest hashes
+        thin = _cuts(grid.filter(thinned), [key], F.bround(F.col("n") * F.lit(cfg.neg_frac), 0), cfg.seeds)
+    stays = {s: ~thinned | _up_to(s, [F.col(key)], thin.get(s), [kind]) for s in cfg.seeds}
+    copies = F.when(F.col(label) == 1, F.lit(cfg.pos_copies)).otherwise(F.lit(1))
+    of_seed = F.lit(False)
+    for s in cfg.seeds:
+        of_seed = F.when(F.col("seed") == s, stays[s]).otherwise(of_seed)
+    kept = grid.filter(of_seed)
+    # the last int(n * val_frac) rows of a seed's shuffled order validate
+    k = F.col("n") - F.floor(F.col("n") * F.lit(cfg.val_frac))
+    one = F.array(F.lit(1))
+    train, val = [], []
+    if cfg.cut_copies:
+        cut = _cuts(kept.withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies))).select("seed", key, "copy_no"), [key, "copy_no"], k, cfg.seeds)
+        for s in cfg.seeds:
+            later = F.filter(F.sequence(F.lit(1), copies), lambda c, s=s: ~_up_to(s, [F.col(key), c], cut.get(s), [kind, "int"]))
+            val.append(F.when(stays[s], later).otherwise(F.array().cast("array<int>")))
+            train.append(F.when(stays[s], copies - F.size(later)).otherwise(F.lit(0)).cast("double"))
+    else:  # copies follow their row
+        cut = _cuts(kept.select("seed", key), [key], k, cfg.seeds)
+        for s in cfg.seeds:
+            early = _up_to(s, [F.col(key)], cut.get(s), [kind])
+            val.append(F.when(stays[s] & ~early, one).otherwise(F.array().cast("array<int>")))
+            train.append(F.when(stays[s] & early, copies).otherwise(F.lit(0)).cast("double"))
+    return F.array(*train), F.array(*val)
+
+
 def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", label: str = "label",
                    test: DataFrame | None = None, l2: float = 1e-4) -> dict[str, DataFrame]:
     """M7: all seeds at once -> balance -> validation cut -> per epoch: train
     step, validation pass, save / reload / keep -> test on the saved weights
     -> report and averages over seeds.
 
-    ``df`` is ``(key, text, label)``; ``test`` the held-out rows (default: an
-    exact 20 % hash split of ``df``).  Text is featurised once per window
-    setting and shared by all seeds.  The decision compares with the previous
+    ``df`` is ``(key, text, label)`` with distinct keys; ``test`` the held-out rows (default: an
+    exact 20 % hash split of ``df``).  Each text is turned into one vector, whatever the seeds and copies: a row holds its
+    weight in each seed's training set and its copies in each seed's validation set. An epoch is one pass over the training rows
+    and one over the validation rows for all seeds. The decision compares with the previous
     epoch's validation metric or the best so far (``policy``); a reload puts the last saved weights back
-    before the next epoch, as the reference does.
+    before the next epoch, as the reference does. ``averages`` are over seeds.
     """
     if test is None:
-        sp = sampling.train_test_split(df, 0.2, 42, key)
+        sp = written(sampling.train_test_split(df.select(key, label, cfg.text_col), 0.2, 42, key), "rows")
         test = sp.filter(F.col("split") == "test").drop("split")
         df = sp.filter(F.col("split") == "train").drop("split")
-    grid = sampling.seed_grid(df.select(key, label), cfg.seeds, "seed")
-    if cfg.neg_frac is not None:
-        # exact per seed: round(neg_frac * n_neg) negatives with the smallest hash of (seed, row)
-        thin = sampling.undersample(grid, {0: cfg.neg_frac}, F.col("seed"), key, label, exact=True,
-                                    group=["seed"])
-        bal = sampling.oversample(thin, {1: cfg.pos_copies}, label)
-    else:
-        bal = grid.withColumn("copy_no", F.lit(1))
-    # exact validation cut per seed over the original rows (copies follow their row):
-    # the last int(n * val_frac) rows of the seed's shuffled order
-    orig = bal.filter(F.col("copy_no") == 1).select("seed", key)
-    sides = sampling.validation_split(orig, cfg.val_frac, F.col("seed"), key, "split", group=["seed"])
-    # the balanced, split seed grid is written once: every epoch reads it
-    bal = cut_lineage(bal.join(sides, ["seed", key], "inner"))
-    train_rows = (bal.filter(F.col("split") == "train")
-                  .withColumn("row_key", F.concat_ws(":", F.col(key).cast("string"), F.col("copy_no").cast("string"))))
-    val_rows = bal.filter((F.col("split") == "validation") & (F.col("copy_no") == 1)).select("seed", key, label)
-
-    feats = cut_lineage(text_features(df.select(key, cfg.text_col), key, cfg.text_col, cfg.n_features,
-                                      head=cfg.head, tail=cfg.tail, hashing=cfg.hashing))
-    tr_feats = train_rows.select("seed", key, "row_key").join(feats, key).drop(key).withColumnRenamed("row_key", key)
-    tr_rows = train_rows.select("seed", F.col("row_key").alias(key), label)
-    g = ["seed"]
-    f, n, weights = _prepare(tr_feats, tr_rows, cfg.alpha, key, g)
-    val_feats = cut_lineage(val_rows.select("seed", key).join(feats, key))
-
-    saved = weights
-    prev = None
-    logs, vals, decs = [], [], []
+    spark, seeds = df.sparkSession, list(cfg.seeds)
+    mult, val = _sides(df, cfg, key, label)
+    rows = df.withColumn("mult", mult).withColumn("val", val)
+
+    def vectors(d: DataFrame, head: int, tail: int, keep: list[str]) -> DataFrame:
+        return written(text_features(d.withColumnRenamed(label, "label"), key, cfg.text_col, cfg.n_features, head=head, tail=tail,
+                                     hashing=cfg.hashing, keep=["label", *keep]), "vectors")
+
+    feats = vectors(rows, cfg.head, cfg.tail, ["mult", "val"])
+    trains = feats.filter(F.exists("mult", lambda m: m > 0))
+    validates = feats.filter(F.exists("val", lambda c: F.size(c) > 0))
+    model = Model([(s,) for s in seeds], cfg.n_features)
+    saved, prev = model.copy(), None
+    losses, vals, decs = [], [], []
     for epoch in range(cfg.epochs):
-        cur, loss = _epoch_update(f, weights, n, cfg.gamma, cfg.lr, l2, key, g, cfg.optimizer)
-        scored = score_rows(val_feats, cur, key, ("seed",)).join(val_rows, ["seed", key])
-        v = cut_lineage(validate_epoch(scored, "seed", key, cfg.batch_size, compat=cfg.fbeta_compat)
-                        .withColumn("epoch", F.lit(epoch)))
-        m = v.select("seed", "epoch", F.col(cfg.checkpoint_metric).alias("metric"))
-        dec = cut_lineage(decide(m, prev))
-        act = F.broadcast(dec.select("seed", "action"))
-        # saved checkpoint: this epoch's weights where saved, else the old ones
-        saved = cut_lineage(cur.join(act.filter(F.col("action") == "save"), "seed", "left_semi")
-                            .unionByName(saved.join(act.filter(F.col("action") != "save"), "seed", "left_semi")))
-        # next epoch starts from the saved weights where reloaded
-        weights = cut_lineage(cur.join(act.filter(F.col("action") != "reload"), "seed", "left_semi")
-                              .unionByName(saved.join(act.filter(F.col("action") == "reload"), "seed", "left_semi")))
-        prev = reference_metric(m, prev, cfg.policy)
-        logs.append(loss.withColumn("epoch", F.lit(epoch)))
+        slope, loss = gradient(trains, model, cfg.gamma, cfg.alpha)
+        model.step(slope, cfg.lr, l2, cfg.optimizer)
+        scored = written(score_vectors(validates, model, key, "seed", "val"), "scored")
+        v = cut_lineage(validate_epoch(scored, "seed", [key, "copy_no"] if cfg.cut_copies else key, cfg.batch_size, compat=cfg.fbeta_compat,
+                                       checkpoint_metric=cfg.checkpoint_metric, reference=prev).withColumn("epoch", F.lit(epoch)))
+        dec = v.select("seed", "epoch", F.col(cfg.checkpoint_metric).alias("metric"), "action")
+        action = {r["seed"]: r["action"] for r in dec.collect()}
+        which = np.array([action.get(s) for s in seeds], dtype=object)
+        saved.take(model, which == "save")
+        model.take(saved, which == "reload")  # the next epoch starts from the saved weights
+        prev = reference_metric(dec.select("seed", "epoch", "metric"), prev, cfg.policy)
+        losses += [(s, float(x), epoch) for s, x in zip(seeds, loss)]
         vals.append(v)
         decs.append(dec)
 
@@ -403,17 +311,12 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
             out = out.unionByName(x)
         return out
 
-    test_feats = text_features(test.select(key, cfg.text_col), key, cfg.text_col, cfg.n_features,
-                               head=cfg.test_head, tail=cfg.test_tail, hashing=cfg.hashing)
-    tgrid = sampling.seed_grid(test.select(key, label), cfg.seeds, "seed")
-    scored_test = (score_rows(tgrid.select("seed", key).join(test_feats, key), saved, key, ("seed",))
-                   .join(tgrid, ["seed", key]))
+    scored_test = written(score_vectors(vectors(test, cfg.test_head, cfg.test_tail, []), saved, key, "seed"), "scored")
     out = evaluate_test(scored_test, "seed")
     decisions = union(decs).withColumnRenamed("seed", "run")
-    out["epoch_log"] = union(logs)
+    out["epoch_log"] = spark.createDataFrame(losses, "seed bigint, loss double, epoch int")
     out["validation"] = union(vals)
     out["decisions"] = checkpoints.selected_checkpoint(decisions, "run", "epoch")
     out["averages"] = metrics.average_runs(out["report"], "seed")
-    out["weights"] = saved.drop("_n", "_a0", "_a1")
-    drop_table(f)
+    out["weights"] = saved.table(spark, ["seed"])
     return out

@@ -83,3 +83,11 @@ def scratch_dir(spark: SparkSession, name: str = "io") -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/textlab-{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str = "table"):
+    """``df`` as Parquet under the shared checkpoint folder, read again: computed once, cut from its lineage, and columns
+    can be left unread (a checkpoint is read whole)."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
