@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from textlab.llm.common import text_key
+from textlab.llm.common import text_key, written
 
-#: words of lower-cased texts, and of any
-WORD, ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: words of lower-cased texts
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: words of a sequence (a shorter template is one), how far apart neighbouring diagonals are, and the share of a template's words
 #: that makes a span a notice
 GRAM, DRIFT, SHARE = 4, 3, 0.7
@@ -62,14 +62,23 @@ def template_grams(spark: SparkSession, phrases=PHRASES, notices=NOTICES, gram:
     return t.select("template", "label", "phrase", "size", "k", "tpos", h.alias("h"), "gram")
 
 
-def diagonals(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, key, template, label, phrase, size, k, diagonal, votes): the template places hit on each diagonal."""
+def hits(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, key, n_words, pos, template, label, phrase, size, k, tpos): every word sequence of the texts that is one of a
+    template's, and for each row of ``docs`` a line without a template."""
     d = docs.select("doc_id", text_key().alias("key"), _words(F.col("text")).alias("w"))
     # the outer form: for the other one Spark puts a filter in front that finds all words once more
     d = d.select("doc_id", "key", "w", F.posexplode_outer("w").alias("pos", "_"))
-    d = d.select("doc_id", "key", "w", "pos", F.explode(F.array(*[_gram(F.col("w"), F.col("pos"), k) for k in sizes])).alias("_h"))
+    d = d.select("doc_id", "key", "w", "pos", F.posexplode(F.array(*[_gram(F.col("w"), F.col("pos"), k) for k in sizes], F.lit(None).cast("long"))).alias("_i", "_h"))
+    d = d.filter((F.col("_i") < len(sizes)) | (F.coalesce("pos", F.lit(0)) == 0))
     # the templates are a parameter: a few sequences for each of their words, whatever the number of texts
-    hit = d.join(F.broadcast(grams), (F.col("_h") == F.col("h")) & (F.slice("w", F.col("pos") + 1, F.col("k")) == F.col("gram")))
+    hit = d.join(F.broadcast(grams), (F.col("_h") == F.col("h")) & (F.slice("w", F.col("pos") + 1, F.col("k")) == F.col("gram")), "left")
+    hit = hit.filter(F.col("template").isNotNull() | (F.col("_i") == len(sizes)))
+    n = F.greatest(F.coalesce(F.size("w"), F.lit(0)), F.lit(0)).cast("long")
+    return hit.select("doc_id", "key", n.alias("n_words"), "pos", "template", "label", "phrase", "size", "k", "tpos")
+
+
+def diagonals(hit: DataFrame) -> DataFrame:
+    """(doc_id, key, template, label, phrase, size, k, diagonal, votes): the template places hit on each diagonal."""
     return (hit.withColumn("diagonal", F.col("pos") - F.col("tpos"))
             .groupBy("doc_id", "key", "template", "label", "phrase", "size", "k", "diagonal").agg(F.collect_set("tpos").alias("votes")))
 
@@ -99,10 +108,11 @@ def find_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, gram: int =
     """
     grams = template_grams(docs.sparkSession, phrases, notices, gram)
     sizes = sorted({min(gram, len(x.split())) for _, x in notices} | {len(x.split()) for _, x in phrases})
-    found = spans(diagonals(docs, grams, sizes), drift)
+    every = written(hits(docs, grams, sizes), "hits")
+    found = spans(diagonals(every.filter("template is not null")), drift)
     found = found.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "label", "phrase", "share"))).alias("found"))
-    rows = docs.select("doc_id", text_key().alias("_key"), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    rows = every.filter("template is null").select("doc_id", F.col("key").alias("_key"), "n_words")
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
     none = F.array().cast("array<struct<start:int,end:int,label:string,phrase:boolean,share:double>>")
     return out.select("doc_id", "n_words", F.coalesce("found", none).alias("found"))
