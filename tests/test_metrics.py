@@ -75,3 +75,36 @@ def test_format_elapsed(spark):
     df = spark.createDataFrame([(0.4,), (59.5,), (3661.0,), (86400.0,), (2 * 86400 + 5.0,)], "s double")
     got = [r[0] for r in df.select(__import__("textlab.functions.formats", fromlist=["x"]).format_elapsed("s")).collect()]
     assert got == ["0:00:00", "0:01:00", "1:01:01", "1 day, 0:00:00", "2 days, 0:00:05"]
+
+
+def test_float_text_is_what_python_writes(spark):
+    import math
+    import random
+    import struct
+    rng = random.Random(1)
+    values = [0.0, -0.0, 1.0, 0.5, 0.1, 1 / 3, 2 / 3, 1e-4, 9.999e-5, 1.25e-7, 123456789.0, 1e15, 1e16, 1.5e16, 1e22, 1e23, 2.0e-3, 2 ** -44, 1.7976931348623157e308,
+              -0.07, math.inf, -math.inf, math.nan, 0.57 / 5, (0.12 + 0.27 + 0.3) / 3]
+    values += [rng.uniform(-1, 1) for _ in range(500)] + [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 20) for _ in range(500)]
+    values += [struct.unpack("d", rng.randbytes(8))[0] for _ in range(500)]
+    values = [v for v in values if v == 0 or not abs(v) < 2.2250738585072014e-308]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    from textlab.functions.formats import float_text
+    got = {r.i: r.t for r in df.select("i", float_text("v").alias("t")).collect()}
+    assert [got[i] for i in range(len(values))] == [repr(v) for v in values]
+
+
+def test_averages_add_up_in_order(spark):
+    rows = [(r, 0.1 * r, 0.7, 0.33, 0.2, 0.5, 1.0, 0.9, 0.123456789 / (r + 1)) for r in range(5)]
+    names = ["precision_0", "recall_0", "f1_0", "precision_1", "recall_1", "f1_1", "accuracy", "mcc"]
+    df = spark.createDataFrame(rows, "run long, " + ", ".join(f"{n} double" for n in names)).repartition(4)
+    mean = {}
+    for i, n in enumerate(names):
+        total = 0.0
+        for r in rows:
+            total += r[i + 1]
+        mean[n] = total / 5
+    got = [r.line for r in reports.format_averages(df).orderBy("line_no").collect()]
+    assert got[2] == f"precesion: {mean['precision_0']}, recall: {mean['recall_0']}, f1_score: {mean['f1_0']}" and got[6] == f"MCC : {mean['mcc']}"
+    final = [r.line for r in reports.format_averages(df, layout=reports.FINAL_RESULTS).orderBy("line_no").collect()]
+    assert final[1] == f"N: {mean['precision_0']},{mean['recall_0']},{mean['f1_0']}" and len(final) == 5
+    assert reports.format_averages(df.limit(0)).count() == 0

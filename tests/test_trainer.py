@@ -112,3 +112,61 @@ def test_score_rows_weighs_every_component(spark, tmp_path):
     got = q_score_rows(spark, str(tmp_path)).first()
     w0, w1 = ([(i % m - c) / 10 for i in (68, 69)] for m, c in ((7, 3), (5, 2)))
     assert abs(got.z0 - (3 * w0[0] + 4 * w0[1]) / 5) < 1e-6 and abs(got.z1 - (3 * w1[0] + 4 * w1[1]) / 5) < 1e-6
+
+
+def test_focal_loss_without_weights_agrees_with_the_library_classifier(spark):
+    """gamma 0 and no alpha is plain cross entropy: both classifiers tell the same rows apart, with close probabilities."""
+    import random
+    rng = random.Random(4)
+    made = []
+    for i in range(200):
+        y = i % 2
+        made.append((i, " ".join(rng.choice("abcdef" if y else "efghij") for _ in range(12)), y))
+    df = spark.createDataFrame(made, "row_id long, text string, label int")
+    model, tf = X.train_weighted(df, None, "text", "label", 1 << 10, 100)
+    pred = {r.row_id: r.prediction for r in model.transform(tf.transform(df.withColumn("_tokens", F.split(F.lower("text"), " ", -1)))).collect()}
+    feats = X.text_features(df, n_features=1 << 10, keep=["label"])
+    w, log = X.train_focal(feats, None, 0.0, None, 200, 2.0, 0.0, n_features=1 << 10)
+    losses = [r.loss for r in log.orderBy("epoch").collect()]
+    assert losses[0] > 0.69 and losses[-1] < 0.1
+    got = {r.row_id: float(r.z1 > r.z0) for r in X.score_rows(X.tall_features(feats), w).collect()}
+    assert sum(got[i] == pred[i] for i in got) >= 198
+
+
+def test_copies_and_seeds_are_row_weights(spark):
+    """What each seed trains and validates on equals the rows that copying them out gives, with cuts by row and by copy."""
+    from dataclasses import replace
+
+    from textlab.operators import sampling
+    df = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 7 == 0).cast("int").alias("label"), F.lit("a").alias("text"))
+    base = X.ExperimentConfig(neg_frac=0.55, pos_copies=3, val_frac=0.2, seeds=(42, 67))
+    for cfg in (base, replace(base, cut_copies=True), replace(base, neg_frac=None, pos_copies=1)):
+        grid = sampling.seed_grid(df.select("row_id", "label"), cfg.seeds, "seed")
+        if cfg.neg_frac:
+            grid = sampling.undersample(grid, {0: cfg.neg_frac}, F.col("seed"), "row_id", exact=True, group=["seed"])
+        every = sampling.oversample(grid, {1: cfg.pos_copies})
+        if cfg.cut_copies:
+            side = sampling.validation_split(every, 0.2, F.col("seed"), ["row_id", "copy_no"], group=["seed"])
+        else:
+            orig = sampling.validation_split(grid.select("seed", "row_id"), 0.2, F.col("seed"), "row_id", group=["seed"])
+            side = every.join(orig, ["seed", "row_id"])
+        train, val = {}, set()
+        for r in side.collect():
+            if r.split == "train":
+                train[r.seed, r.row_id] = train.get((r.seed, r.row_id), 0) + 1
+            elif cfg.cut_copies or r.copy_no == 1:
+                val.add((r.seed, r.row_id, r.copy_no))
+        mult, chosen = X._sides(df, cfg, "row_id", "label")
+        got_train, got_val = {}, set()
+        for r in df.select("row_id", mult.alias("m"), chosen.alias("v")).collect():
+            for s, m, v in zip(cfg.seeds, r.m, r.v):
+                if m:
+                    got_train[s, r.row_id] = m
+                got_val |= {(s, r.row_id, c) for c in v}
+        assert got_train == train and got_val == val
+
+
+def test_experiment_with_cut_copies(spark):
+    cfg = X.ExperimentConfig(neg_frac=0.55, pos_copies=3, epochs=2, seeds=(42, 67), val_frac=0.3, n_features=1 << 10, cut_copies=True)
+    out = X.run_experiment(labelled_docs(spark, SF_SMALL), cfg)
+    assert out["validation"].count() == 4 and out["metrics"].count() == 2

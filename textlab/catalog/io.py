@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.catalog.common import longs, r6, table, with_ctes
-from textlab.catalog.metrics import cm_sql, _report_sql, report_lines, batch_table
+from textlab.catalog.metrics import REPORT_LINES_SQL, cm_sql, _report_sql, logits, report_lines
+from textlab.functions import mathfn
+from textlab.operators import metrics, reports
 from textlab.registry import query
 from textlab.session import scratch_dir
 from textlab.sources import fixtures as fx, readers, writers
@@ -82,34 +84,60 @@ def q_read_report(spark, sf_dir):
     return longs(back.select(F.col("run").cast("bigint").alias("run"), "line_no", "line"))
 
 
-@query("write_test_report", with_ctes("logits", extra=cm_sql(True) + _report_sql()) + """
-SELECT run::BIGINT AS run, count(*)::BIGINT * 2 AS n_lines FROM lines GROUP BY run""")
+@query("write_test_report", with_ctes("logits", extra=cm_sql(True) + REPORT_LINES_SQL) + """,
+added AS (SELECT 0 AS append, run, o, line FROM records WHERE run < 4 UNION ALL SELECT 1, run, o, line FROM records)
+SELECT (row_number() OVER (ORDER BY append, run, o) - 1)::BIGINT // 12 AS record, o::BIGINT AS offset, append::BIGINT AS append, run::BIGINT AS run, line FROM added""")
 def q_write_report_append(spark, sf_dir):
+    """Two additions to one report, the second tried twice, read back in order and cut into records."""
     path = scratch_dir(spark, "report")
-    lines = report_lines(spark, sf_dir)
-    writers.write_test_report(lines, path, mode="append")
-    writers.write_test_report(lines, path, mode="append")
-    back = readers.read_report_lines(spark, path, "run")
-    return longs(back.groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("n_lines")))
-
-
-@query("write_epoch_log", with_ctes("epochs") + """
-SELECT run::BIGINT AS run, epoch::BIGINT AS epoch, round(metric, 6) AS metric FROM epochs""")
+    cm = metrics.confusion_matrix(logits(spark, sf_dir, 5), ["run"])
+    lines = reports.format_appended_report(cm)
+    writers.append_test_report(lines.filter("run < 4"), path, "first")
+    writers.append_test_report(lines.filter("run = 0"), path, "second")  # as if cut short
+    writers.append_test_report(lines, path, "second")
+    back = reports.frame_report_records(readers.read_appended_report(spark, path))
+    return longs(back.select("record", "offset", "append", F.col("run").cast("bigint").alias("run"), "line"))
+
+
+BATCH_SQL = """,
+b AS (SELECT vec_id % 5 AS run, batch_id, avg((pred = label01)::INT::DOUBLE) AS accuracy, count(*) FILTER (WHERE label01 = 1 AND pred = 1) AS tp,
+             count(*) FILTER (WHERE label01 = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE label01 = 0 AND pred = 1) AS fp, avg(ln(1 + exp(CASE label01 WHEN 1 THEN z0 - z1 ELSE z1 - z0 END))) AS loss
+      FROM (SELECT *, (z1 > z0)::INT AS pred FROM logits) GROUP BY ALL),
+m AS (SELECT run, batch_id, loss, accuracy, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS recall,
+             CASE WHEN 10 * tp + 9 * fn + fp = 0 THEN 0.0 ELSE 10.0 * tp / (10.0 * tp + 9.0 * fn + fp) END AS fbeta FROM b)"""
+
+
+def _batches(spark, sf_dir):
+    """(run, step, loss, accuracy, recall, fbeta) of each batch of each run."""
+    lg = logits(spark, sf_dir, 5)
+    b = metrics.batch_metrics(lg, ["run", "batch_id"], "label", "pred")
+    loss = lg.groupBy("run", "batch_id").agg(F.avg(mathfn.cross_entropy("z", "label")).alias("loss"))
+    return b.join(loss, ["run", "batch_id"]).select("run", F.col("batch_id").alias("step"), "loss", "accuracy", "recall", "fbeta")
+
+
+@query("write_epoch_log", with_ctes("logits", extra=BATCH_SQL) + """
+SELECT run::BIGINT AS run, (batch_id % 4)::BIGINT AS epoch, round(avg(loss), 6) AS loss, round(avg(accuracy), 6) AS accuracy,
+       round(avg(recall), 6) AS recall, round(avg(fbeta), 6) AS fbeta FROM m GROUP BY run, batch_id % 4""")
 def q_epoch_log(spark, sf_dir):
+    """Loss and metrics per run and epoch; the even runs are first written with other numbers and then replaced."""
     path = scratch_dir(spark, "epochlog")
-    writers.write_epoch_log(fx.epochs(spark, sf_dir), path)
-    back = spark.read.parquet(path)
-    return longs(back.select("run", "epoch", r6("metric").alias("metric")))
+    names = ["loss", "accuracy", "recall", "fbeta"]
+    log = _batches(spark, sf_dir).groupBy("run", (F.col("step") % 4).alias("epoch")).agg(*[F.avg(c).alias(c) for c in names])
+    writers.write_epoch_log(log.withColumn("loss", F.when(F.col("run") % 2 == 0, -1.0).otherwise(F.col("loss"))), path)
+    writers.write_epoch_log(log.filter("run % 2 = 0"), path)
+    return longs(spark.read.parquet(path).select("run", "epoch", *[r6(c).alias(c) for c in names]))
 
 
-@query("log_metrics", with_ctes("logits") + """
-SELECT tag, count(*)::BIGINT AS n, round(sum(v), 6) AS total FROM (
-  SELECT 'accuracy' AS tag, avg(((CASE WHEN z1 > z0 THEN 1 ELSE 0 END) = label01)::INT::DOUBLE) AS v
-  FROM logits GROUP BY batch_id) GROUP BY tag""")
+@query("log_metrics", with_ctes("logits", extra=BATCH_SQL) + """
+SELECT run::BIGINT AS run, batch_id::BIGINT AS step, unnest(['loss', 'accuracy', 'recall', 'fbeta']) AS tag,
+       round(unnest([loss, accuracy, recall, fbeta]), 6) AS value FROM m""")
 def q_log_metrics(spark, sf_dir):
+    """Every batch's numbers, logged in two parts; the second is tried twice and repeats steps of the first."""
     path = scratch_dir(spark, "metrics")
-    b = batch_table(spark, sf_dir).withColumnRenamed("batch_id", "step")
-    writers.log_metrics(b, path, [], ["accuracy"], "step")
-    back = spark.read.parquet(path)
-    return longs(back.groupBy("tag").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total")))
-
+    b, names = _batches(spark, sf_dir), ["loss", "accuracy", "recall", "fbeta"]
+    writers.log_metrics(b.withColumn("loss", F.when(F.col("step") % 3 == 0, 99.0).otherwise(F.col("loss"))), path, ["run"], names, name="all")
+    again = b.filter("step % 3 = 0")
+    writers.log_metrics(again.limit(1), path, ["run"], names, name="thirds")  # as if cut short
+    writers.log_metrics(again, path, ["run"], names, name="thirds")
+    back = readers.read_metrics(spark, path, ["run"])
+    return longs(back.select("run", "step", "tag", r6("value").alias("value")))

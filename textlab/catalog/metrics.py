@@ -169,7 +169,8 @@ def q_test_pr(spark, sf_dir):
 
 
 @query("mcc", with_ctes("logits", extra=cm_sql(True)) + f"""
-SELECT run::BIGINT AS run, round({reports.MCC_SQL}, 6) AS mcc FROM cm""")
+SELECT run::BIGINT AS run, round(CASE WHEN tp + fp = 0 OR tp + fn = 0 OR tn + fp = 0 OR tn + fn = 0 THEN 0.0
+  ELSE (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END, 6) AS mcc FROM cm""")
 def q_mcc(spark, sf_dir):
     t = metrics.test_metrics(metrics.confusion_matrix(logits(spark, sf_dir, 5), ["run"]))
     return longs(t.select("run", r6("mcc").alias("mcc")))
@@ -280,12 +281,59 @@ def report_lines(spark, sf_dir):
     return reports.format_report(metrics.confusion_matrix(logits(spark, sf_dir, 5), ["run"]))
 
 
+#: the report's layout and rounding written out for DuckDB, apart from the engine's own text: ``cells`` holds the two-decimal numbers
+#: of each run (ties to even, on whole numbers), ``lines`` the lines of its report, ``records`` those of the appended layout
+REPORT_LINES_SQL = """,
+ratios AS (
+  SELECT run, unnest(['p0', 'r0', 'f0', 'p1', 'r1', 'f1', 'acc']) AS k,
+         unnest([tn, tn, 2 * tn, tp, tp, 2 * tp, tp + tn])::HUGEINT AS a,
+         unnest([tn + fn, tn + fp, 2 * tn + fn + fp, tp + fp, tp + fn, 2 * tp + fn + fp, tp + fp + fn + tn])::HUGEINT AS b FROM cm),
+pairs AS (
+  SELECT x.run, x.k[1] AS m, CASE WHEN x.b = 0 THEN 0 ELSE x.a END AS a0, CASE WHEN x.b = 0 THEN 1 ELSE x.b END AS b0,
+         CASE WHEN y.b = 0 THEN 0 ELSE y.a END AS a1, CASE WHEN y.b = 0 THEN 1 ELSE y.b END AS b1, tn + fp AS n0, tp + fn AS n1, tp + fp + fn + tn AS n
+  FROM ratios x JOIN ratios y ON x.run = y.run AND x.k[1] = y.k[1] AND x.k[2] = '0' AND y.k[2] = '1' JOIN cm ON cm.run = x.run),
+every AS (
+  SELECT run, k, a, b FROM ratios
+  UNION ALL SELECT run, 'm' || m, a0 * b1 + a1 * b0, 2 * b0 * b1 FROM pairs
+  UNION ALL SELECT run, 'w' || m, a0 * b1 * n0 + a1 * b0 * n1, b0 * b1 * n FROM pairs),
+cells AS (
+  SELECT run, k, printf('%d.%02d', (c // 100)::BIGINT, (c % 100)::BIGINT) AS t FROM (
+    SELECT run, k, CASE WHEN b = 0 THEN 0 WHEN (200 * a + b) % (2 * b) = 0 AND (200 * a + b) // (2 * b) % 2 = 1 THEN (200 * a + b) // (2 * b) - 1
+                        ELSE (200 * a + b) // (2 * b) END AS c FROM every)),
+wide AS (
+  SELECT run, max(t) FILTER (WHERE k = 'p0') AS p0, max(t) FILTER (WHERE k = 'r0') AS r0, max(t) FILTER (WHERE k = 'f0') AS f0,
+         max(t) FILTER (WHERE k = 'p1') AS p1, max(t) FILTER (WHERE k = 'r1') AS r1, max(t) FILTER (WHERE k = 'f1') AS f1,
+         max(t) FILTER (WHERE k = 'mp') AS mp, max(t) FILTER (WHERE k = 'mr') AS mr, max(t) FILTER (WHERE k = 'mf') AS mf,
+         max(t) FILTER (WHERE k = 'wp') AS wp, max(t) FILTER (WHERE k = 'wr') AS wr, max(t) FILTER (WHERE k = 'wf') AS wf,
+         max(t) FILTER (WHERE k = 'acc') AS acc FROM cells GROUP BY run),
+numbers AS (
+  SELECT wide.*, (tn + fp)::VARCHAR AS n0, (tp + fn)::VARCHAR AS n1, (tp + fp + fn + tn)::VARCHAR AS n,
+         CASE WHEN tp + fp = 0 OR tp + fn = 0 OR tn + fp = 0 OR tn + fn = 0 THEN 0.0::DOUBLE
+              ELSE (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc
+  FROM wide JOIN cm USING (run)),
+body AS (
+  SELECT run, 0 AS i, '              precision    recall  f1-score   support' AS line FROM numbers
+  UNION ALL SELECT run, 1, '' FROM numbers
+  UNION ALL SELECT run, 2, printf('           0  %9s %9s %9s %9s', p0, r0, f0, n0) FROM numbers
+  UNION ALL SELECT run, 3, printf('           1  %9s %9s %9s %9s', p1, r1, f1, n1) FROM numbers
+  UNION ALL SELECT run, 4, '' FROM numbers
+  UNION ALL SELECT run, 5, printf('    accuracy                      %9s %9s', acc, n) FROM numbers
+  UNION ALL SELECT run, 6, printf('   macro avg  %9s %9s %9s %9s', mp, mr, mf, n) FROM numbers
+  UNION ALL SELECT run, 7, printf('weighted avg  %9s %9s %9s %9s', wp, wr, wf, n) FROM numbers),
+lines AS (
+  SELECT run, i AS line_no, line FROM body
+  UNION ALL SELECT run, 8, '============================' FROM numbers
+  UNION ALL SELECT run, 9, 'MCC: ' || mcc::VARCHAR FROM numbers),
+records AS (
+  SELECT run, 0 AS o, 'MCC: ' || printf('%.3f', mcc) AS line FROM numbers
+  UNION ALL SELECT run, i + 1, line FROM body
+  UNION ALL SELECT run, 9, '' FROM numbers
+  UNION ALL SELECT run, 10, '********************************' FROM numbers
+  UNION ALL SELECT run, 11, '' FROM numbers)"""
+
+
 def _report_sql():
-    rows = reports.report_rows_sql("duckdb")
-    parts = [f"SELECT run, {i} AS line_no, {e} AS line FROM cm" for i, e in rows]
-    parts.append(f"SELECT run, 8, '{reports.RULE_LINE}' FROM cm")
-    parts.append(f"SELECT run, 9, 'MCC: ' || printf('%.12f', {reports.MCC_SQL}) FROM cm")
-    return ",\nlines AS (" + "\nUNION ALL ".join(parts) + ")"
+    return REPORT_LINES_SQL
 
 
 @query("format_report", with_ctes("logits", extra=cm_sql(True) + _report_sql()) +
@@ -322,27 +370,40 @@ def q_average_parsed(spark, sf_dir):
     return a.select(*[r6(c).alias(c) for c in ["precision_0", "precision_1", "accuracy", "mcc"]], "n_runs")
 
 
-@query("frame_report_records", with_ctes("logits", extra=cm_sql(True)) + """,
-rk AS (SELECT run, dense_rank() OVER (ORDER BY run) - 1 AS rec FROM cm)
-SELECT (rec * 12 + o) // 12 AS record, o AS offset, run::BIGINT AS run FROM rk, (SELECT unnest(range(12)) AS o)""")
+@query("frame_report_records", with_ctes("logits", extra=cm_sql(True) + REPORT_LINES_SQL) + """
+SELECT (dense_rank() OVER (ORDER BY run) - 1)::BIGINT AS record, o::BIGINT AS offset, run::BIGINT AS run, line FROM records""")
 def q_frame(spark, sf_dir):
     cm = metrics.confusion_matrix(logits(spark, sf_dir, 5), ["run"])
     f = reports.frame_report_records(reports.format_appended_report(cm))
-    return longs(f.select("record", "offset", "run"))
+    return longs(f.select("record", "offset", "run", "line"))
+
+
+#: means of the numbers in report lines, added up in the order of the runs, as a loop would
+def _means_sql() -> str:
+    names = [("precision_0", 2, 20, 23), ("recall_0", 2, 30, 33), ("f1_0", 2, 40, 43), ("precision_1", 3, 20, 23), ("recall_1", 3, 30, 33),
+             ("f1_1", 3, 40, 43), ("accuracy", 5, 40, 44), ("mcc", 9, 6, 40)]
+    cols = ", ".join(f"list_reduce(list_prepend(0.0::DOUBLE, list(TRY_CAST(trim(line[{a}:{b}]) AS DOUBLE) ORDER BY run) FILTER (WHERE line_no = {n})), lambda x, y: x + y)"
+                     f" / count(*) FILTER (WHERE line_no = {n}) AS {name}" for name, n, a, b in names)
+    return f"means AS (SELECT {cols} FROM lines)"
 
 
-@query("concat_reports", with_ctes("logits", "epochs", extra=cm_sql(True) + _report_sql()) + """,
+@query("concat_reports", with_ctes("logits", "epochs", extra=cm_sql(True) + REPORT_LINES_SQL + ",\n" + _means_sql()) + """,
 doc AS (
-  SELECT min(run)::VARCHAR AS run, 0 AS section, 0 AS line_no, 'Results on test set' AS line FROM cm
-  UNION ALL SELECT DISTINCT run::VARCHAR, 1, 0, 'EXP ' || run || ' ' FROM cm
-  UNION ALL SELECT run::VARCHAR, 2, line_no, line FROM lines
-  UNION ALL SELECT run::VARCHAR, 3, epoch, 'epoch ' || epoch FROM epochs WHERE run < 5
-  UNION ALL SELECT DISTINCT run::VARCHAR, 4, 0, repeat('-', 64) FROM cm)
-SELECT (row_number() OVER (ORDER BY run, section, line_no) - 1)::BIGINT AS doc_line, line FROM doc""")
+  SELECT 0 AS e, min(run)::VARCHAR AS run, 0 AS section, 0 AS line_no, 'Results on test set' AS line FROM cm
+  UNION ALL SELECT DISTINCT 0, run::VARCHAR, 1, 0, 'EXP ' || run || ' ' FROM cm
+  UNION ALL SELECT 0, run::VARCHAR, 2, line_no, line FROM lines
+  UNION ALL SELECT 0, run::VARCHAR, 3, epoch, 'epoch ' || epoch FROM epochs WHERE run < 5
+  UNION ALL SELECT DISTINCT 0, run::VARCHAR, 4, 0, repeat('-', 64) FROM cm
+  UNION ALL SELECT 1, NULL, 5, unnest(range(7)), unnest([
+    'The average results to be reported', 'negative class:',
+    'precesion: ' || precision_0::VARCHAR || ', recall: ' || recall_0::VARCHAR || ', f1_score: ' || f1_0::VARCHAR, 'positive class:',
+    'precesion: ' || precision_1::VARCHAR || ', recall: ' || recall_1::VARCHAR || ', f1_score: ' || f1_1::VARCHAR,
+    'Accuracy: ' || accuracy::VARCHAR, 'MCC : ' || mcc::VARCHAR]) FROM means)
+SELECT (row_number() OVER (ORDER BY e, run, section, line_no) - 1)::BIGINT AS doc_line, line FROM doc""")
 def q_concat(spark, sf_dir):
     epochs = fx.epochs(spark, sf_dir).filter("run < 5").select("run", F.col("epoch").alias("line_no"),
                                                                F.concat(F.lit("epoch "), F.col("epoch").cast("string")).alias("line"))
-    return longs(reports.concat_reports(report_lines(spark, sf_dir), epochs).select("doc_line", "line"))
+    return longs(reports.concat_reports(report_lines(spark, sf_dir), epochs, averages=True).select("doc_line", "line"))
 
 
 @query("format_elapsed", """
@@ -357,17 +418,18 @@ def q_elapsed(spark, sf_dir):
     return longs(e.select("event_id", formats.format_elapsed(F.col("value") * 1000).alias("elapsed")))
 
 
-@query("average_appended_reports", with_ctes("logits", extra=cm_sql(True)) + f""",
-rk AS (SELECT run, tp, fp, fn, tn, dense_rank() OVER (ORDER BY run) - 1 AS rec FROM cm)
-SELECT round(avg(printf('%.3f', {reports.MCC_SQL})::DOUBLE), 6) AS mcc,
-       round(avg(({reports.ratio_sql("tp", "(tp + fp)", "duckdb")})::DOUBLE), 6) AS precision_1,
-       round(avg(({reports.ratio_sql("tp + tn", "(tp + fp + fn + tn)", "duckdb")})::DOUBLE), 6) AS accuracy,
-       count(*)::BIGINT AS n_records
-FROM rk""")
+@query("average_appended_reports", with_ctes("logits", extra=cm_sql(True) + REPORT_LINES_SQL) + """,
+nums AS (SELECT run, max(line[6:]) FILTER (WHERE o = 0) AS mcc, max(line[20:23]) FILTER (WHERE o = 3) AS p0, max(line[30:33]) FILTER (WHERE o = 3) AS r0,
+                max(line[40:43]) FILTER (WHERE o = 3) AS f0, max(line[20:23]) FILTER (WHERE o = 4) AS p1, max(line[30:33]) FILTER (WHERE o = 4) AS r1,
+                max(line[40:43]) FILTER (WHERE o = 4) AS f1, max(line[40:43]) FILTER (WHERE o = 6) AS acc FROM records GROUP BY run),
+long AS (SELECT run, unnest(['mcc', 'p0', 'r0', 'f0', 'p1', 'r1', 'f1', 'acc']) AS k, unnest([mcc, p0, r0, f0, p1, r1, f1, acc]) AS v FROM nums),
+m AS (SELECT k, (list_reduce(list_prepend(0.0::DOUBLE, list(trim(v)::DOUBLE ORDER BY run)), lambda x, y: x + y) / count(*))::VARCHAR AS t FROM long GROUP BY k),
+w AS (SELECT max(t) FILTER (WHERE k = 'mcc') AS mcc, max(t) FILTER (WHERE k = 'p0') AS p0, max(t) FILTER (WHERE k = 'r0') AS r0, max(t) FILTER (WHERE k = 'f0') AS f0,
+             max(t) FILTER (WHERE k = 'p1') AS p1, max(t) FILTER (WHERE k = 'r1') AS r1, max(t) FILTER (WHERE k = 'f1') AS f1, max(t) FILTER (WHERE k = 'acc') AS acc FROM m)
+SELECT unnest(range(5))::BIGINT AS line_no, unnest(['******************Final Results**********************', 'N: ' || p0 || ',' || r0 || ',' || f0,
+  'P: ' || p1 || ',' || r1 || ',' || f1, 'Acc:' || acc, 'MCC: ' || mcc]) AS line FROM w""")
 def q_average_appended(spark, sf_dir):
-    """Append-mode reports: framed into 12-line records, parsed, averaged."""
+    """Append-mode reports: framed into 12-line records, parsed, averaged, and the averages written out."""
     cm = metrics.confusion_matrix(logits(spark, sf_dir, 5), ["run"])
     framed = reports.frame_report_records(reports.format_appended_report(cm))
-    parsed = reports.parse_appended_report(framed)
-    return parsed.agg(r6(F.avg("mcc")).alias("mcc"), r6(F.avg("precision_1")).alias("precision_1"),
-                      r6(F.avg("accuracy")).alias("accuracy"), F.count("*").cast("bigint").alias("n_records"))
+    return longs(reports.format_averages(reports.parse_appended_report(framed), "record", reports.FINAL_RESULTS))

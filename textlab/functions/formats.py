@@ -44,3 +44,38 @@ def round_ratio_text(num, den, digits: int = 2) -> Column:
     v = ratio_half_even(num, den, digits)
     scale = 10 ** digits
     return F.format_string(f"%d.%0{digits}d", (v / scale).cast("bigint"), v % scale)
+
+
+def float_text(x) -> Column:
+    """A double as Python writes it: the fewest digits (15 to 17) that read back as the same number, positional from 1e-4 up to
+    1e16, else with an exponent of two digits or more. Subnormal numbers may get more digits than they need."""
+    v = _c(x).cast("double")
+
+    def shortest(v):
+        a = F.abs(v)
+        # 15, 16 and 17 digits, and the 17 without the last one
+        tried = [F.format_string(f"%.{p - 1}e", a) for p in (15, 16, 17)]
+        cut = F.regexp_replace(tried[2], "[0-9]e", "e")
+        return (F.when(tried[0].cast("double") == a, tried[0]).when(tried[1].cast("double") == a, tried[1])
+                .when(cut.cast("double") == a, cut).otherwise(tried[2]))
+
+    def parts(s):
+        digits = F.regexp_replace(F.replace(F.substring_index(s, "e", 1), F.lit("."), F.lit("")), "0+$", "")
+        return F.struct(F.when(digits == "", F.lit("0")).otherwise(digits).alias("d"), F.substring_index(s, "e", -1).cast("int").alias("e"))
+
+    def text(p):
+        d, e = p["d"], p["e"]
+        whole = F.rpad(F.substring(d, F.lit(1), e + 1), F.greatest(e + 1, F.lit(1)), F.lit("0"))
+        rest = F.substring(d, e + 2, F.length(d))
+        big = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
+        mantissa = F.concat(F.substring(d, 1, 1), F.when(F.length(d) > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), F.length(d)))).otherwise(F.lit("")))
+        power = F.concat(F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+        return F.when(e >= 16, F.concat(mantissa, power)).when(e >= 0, big).when(e >= -4, small).otherwise(F.concat(mantissa, power))
+
+    def let(value, body):
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    sign = F.when((v < 0) | (v.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
+    plain = F.concat(sign, let(let(shortest(v), parts), text))
+    return F.when(F.isnan(v), F.lit("nan")).when(v == float("inf"), F.lit("inf")).when(v == float("-inf"), F.lit("-inf")).otherwise(plain)

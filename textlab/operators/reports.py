@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textlab.functions.formats import report_slice
+from textlab.functions.formats import float_text, report_slice
 
 # fixed values: the report layout (class name column 12 wide, then 4 columns
 # of 1 space + 9 wide; 2 decimals; rows 2/3 classes, 5 accuracy, 9 MCC)
@@ -26,22 +26,6 @@ ACCURACY_SLICE = (39, 44)
 MCC_OFFSET = 5
 
 
-def ratio_sql(num: str, den: str, dialect: str = "spark", digits: int = 2) -> str:
-    """SQL text of ``num/den`` rounded half-to-even to ``digits`` decimals, as text.
-    0 when ``den`` is 0."""
-    big = "DECIMAL(38,0)" if dialect == "spark" else "HUGEINT"
-    div = " div " if dialect == "spark" else " // "
-    scale = 10 ** digits
-    n = f"(CAST(({num}) AS {big}) * {scale})"
-    d = f"CAST(({den}) AS {big})"
-    q = f"({n}{div}{d})"
-    r = f"({n} - {q} * {d})"
-    v = (f"(CASE WHEN {d} = 0 THEN CAST(0 AS {big}) "
-         f"WHEN 2 * {r} > {d} OR (2 * {r} = {d} AND {q} % 2 = 1) THEN {q} + 1 ELSE {q} END)")
-    return (f"(CAST(({v}{div}{scale}) AS {'STRING' if dialect == 'spark' else 'VARCHAR'}) || '.' || "
-            f"lpad(CAST(({v} % {scale}) AS {'STRING' if dialect == 'spark' else 'VARCHAR'}), {digits}, '0'))")
-
-
 def _cell(x: str) -> str:
     # ' {:>9}' : one space, right-aligned to 9, never truncated
     return f"lpad({x}, CAST(greatest(10, length({x}) + 1) AS INT), ' ')"
@@ -70,17 +54,16 @@ def ratio_parts() -> dict[str, tuple[str, str]]:
     return out
 
 
-def _lines_sql(text: dict[str, str], dialect: str) -> list[tuple[int, str]]:
-    s = "STRING" if dialect == "spark" else "VARCHAR"
+def _lines_sql(text: dict[str, str]) -> list[tuple[int, str]]:
     s0, s1, n = "(tn + fp)", "(tp + fn)", "(tp + fp + fn + tn)"
 
     def row(name, p, r, f, sup):
         return (f"lpad('{name}', 12, ' ') || ' ' || {_cell(text[p])} || {_cell(text[r])} || "
-                f"{_cell(text[f])} || {_cell(f'CAST({sup} AS {s})')}")
+                f"{_cell(text[f])} || {_cell(f'CAST({sup} AS STRING)')}")
 
     blank = "'" + " " * 10 + "'"
     acc = (f"lpad('accuracy', 12, ' ') || ' ' || {blank} || {blank} || {_cell(text['acc'])} || "
-           f"{_cell(f'CAST({n} AS {s})')}")
+           f"{_cell(f'CAST({n} AS STRING)')}")
     return [
         (0, f"'{HEADER_LINE}'"), (1, "''"),
         (2, row("0", "p0", "r0", "f0", s0)), (3, row("1", "p1", "r1", "f1", s1)),
@@ -89,12 +72,6 @@ def _lines_sql(text: dict[str, str], dialect: str) -> list[tuple[int, str]]:
     ]
 
 
-def report_rows_sql(dialect: str = "duckdb") -> list[tuple[int, str]]:
-    """(line_no, SQL expression) for the report of one confusion row (tp, fp, fn, tn), inline."""
-    text = {k: ratio_sql(a, b, dialect) for k, (a, b) in ratio_parts().items()}
-    return _lines_sql(text, dialect)
-
-
 def _report_text_columns(cm: DataFrame, keep: list[str]) -> DataFrame:
     """Spark: the same numbers in stages (num/den, quotient, rounded value, text),
     so no expression is repeated inside another."""
@@ -122,13 +99,13 @@ MCC_SQL = ("(CASE WHEN tp + fp = 0 OR tp + fn = 0 OR tn + fp = 0 OR tn + fn = 0
 
 def format_report(cm: DataFrame, run: str = "run") -> DataFrame:
     """Per-run report lines ``(run, line_no, line)`` from confusion counts:
-    the classification table, a rule, and ``MCC: x`` in full (12 decimals), so that averages over text lose nothing."""
+    the classification table, a rule, and ``MCC: x`` with all its digits, so that averages over text lose nothing."""
     staged = _report_text_columns(cm, [run])
-    rows = _lines_sql({k: f"_t_{k}" for k in ratio_parts()}, "spark")
+    rows = _lines_sql({k: f"_t_{k}" for k in ratio_parts()})
     lines = [F.struct(F.lit(i).alias("line_no"), F.expr(e).alias("line")) for i, e in rows]
     lines.append(F.struct(F.lit(8).alias("line_no"), F.lit(RULE_LINE).alias("line")))
     lines.append(F.struct(F.lit(9).alias("line_no"),
-                          F.concat(F.lit("MCC: "), F.format_string("%.12f", F.expr(MCC_SQL))).alias("line")))
+                          F.concat(F.lit("MCC: "), float_text(F.expr(MCC_SQL))).alias("line")))
     return staged.select(run, F.inline(F.array(*lines)))
 
 
@@ -136,7 +113,7 @@ def format_appended_report(cm: DataFrame, run: str = "run") -> DataFrame:
     """The append-mode layout: 12-line records ``MCC``, table, stars; line
     numbers run over all records in run order."""
     staged = _report_text_columns(cm, [run])
-    rows = _lines_sql({k: f"_t_{k}" for k in ratio_parts()}, "spark")
+    rows = _lines_sql({k: f"_t_{k}" for k in ratio_parts()})
     lines = [F.struct(F.lit(0).alias("off"),
                       F.concat(F.lit("MCC: "), F.format_string("%.3f", F.expr(MCC_SQL))).alias("line"))]
     lines += [F.struct(F.lit(i + 1).alias("off"), F.expr(e).alias("line")) for i, e in rows]
@@ -186,15 +163,55 @@ def average_parsed(parsed: DataFrame, metrics: Sequence[str] | None = None) -> D
     return parsed.agg(*[F.avg(c).alias(c) for c in cols], F.count("*").cast("bigint").alias("n_runs"))
 
 
+# fixed values: the blocks of averages that end a collected report and an appended one; {} stands for a number
+AVERAGES = (
+    "The average results to be reported",
+    "negative class:",
+    "precesion: {precision_0}, recall: {recall_0}, f1_score: {f1_0}",
+    "positive class:",
+    "precesion: {precision_1}, recall: {recall_1}, f1_score: {f1_1}",
+    "Accuracy: {accuracy}",
+    "MCC : {mcc}",
+)
+FINAL_RESULTS = (
+    "******************Final Results**********************",
+    "N: {precision_0},{recall_0},{f1_0}",
+    "P: {precision_1},{recall_1},{f1_1}",
+    "Acc:{accuracy}",
+    "MCC: {mcc}",
+)
+
+
+def format_averages(parsed: DataFrame, order: str = "run", layout: Sequence[str] = AVERAGES) -> DataFrame:
+    """(line_no, line): ``layout`` filled with the means of the parsed numbers over runs. The numbers are added up in the order of
+    ``order``, as a loop over the reports does, so that all digits agree; there is one row per run to add up. Without
+    reports there are no lines."""
+    import re
+    names = [c for c in parsed.columns if c != order]
+    rows = parsed.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *names))).alias("_r")).filter(F.size("_r") > 0)
+
+    def mean(c):
+        return F.aggregate("_r", F.lit(0.0), lambda s, r: s + r[c]) / F.size("_r")
+
+    rows = rows.select(*[float_text(mean(c)).alias(c) for c in names])
+    lines = []
+    for i, text in enumerate(layout):
+        parts = [F.lit(t) if k % 2 == 0 else F.col(t) for k, t in enumerate(re.split(r"\{(\w+)\}", text))]
+        lines.append(F.struct(F.lit(i).alias("line_no"), F.concat(*parts).alias("line")))
+    return rows.select(F.inline(F.array(*lines)))
+
+
 def concat_reports(lines: DataFrame, epoch_log: DataFrame | None = None, run: str = "run", line_no: str = "line_no",
-                   title: str = "Results on test set") -> DataFrame:
+                   title: str = "Results on test set", averages: bool = False) -> DataFrame:
     """All runs in one ordered document ``(doc_line, run, section, line)``: a title, then per run an
-    ``EXP i`` header, its report, its epoch log (lines in the same layout) and a separator. ``doc_line``
+    ``EXP i`` header, its report, its epoch log (lines in the same layout) and a separator; with ``averages``, the
+    averages over the reports at the end. ``doc_line``
     counts from 0 over the document; runs are in text order."""
     from textlab.operators.indexing import assign_row_id
 
-    def part(df: DataFrame, section: int, no, line) -> DataFrame:
-        return df.select(F.col(run).cast("string").alias(run), F.lit(section).alias("section"), no.cast("bigint").alias(line_no), line.alias("line"))
+    def part(df: DataFrame, section: int, no, line, end: bool = False) -> DataFrame:
+        return df.select(F.lit(end).alias("_end"), F.col(run).cast("string").alias(run), F.lit(section).alias("section"), no.cast("bigint").alias(line_no),
+                         line.alias("line"))
 
     runs = lines.select(run).distinct()
     name = F.col(run).cast("string")
@@ -203,7 +220,10 @@ def concat_reports(lines: DataFrame, epoch_log: DataFrame | None = None, run: st
              part(runs, 4, F.lit(0), F.lit("-" * 64))]
     if epoch_log is not None:
         parts.append(part(epoch_log, 3, F.col(line_no), F.col("line")))
+    if averages:
+        mean = format_averages(parse_report(lines, run, line_no), run).withColumn(run, F.lit(None).cast("string"))
+        parts.append(part(mean, 5, F.col("line_no"), F.col("line"), end=True))
     doc = parts[0]
     for p in parts[1:]:
         doc = doc.unionByName(p)
-    return assign_row_id(doc, [run, "section", line_no], "doc_line").select("doc_line", run, "section", "line")
+    return assign_row_id(doc, ["_end", run, "section", line_no], "doc_line").select("doc_line", run, "section", "line")

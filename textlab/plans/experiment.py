@@ -245,8 +245,11 @@ def _sides(df: DataFrame, cfg: ExperimentConfig, key: str, label: str) -> tuple[
     train, val = [], []
     if cfg.cut_copies:
         cut = _cuts(kept.withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies))).select("seed", key, "copy_no"), [key, "copy_no"], k, cfg.seeds)
+        def late(s):
+            return F.filter(F.sequence(F.lit(1), copies), lambda c: ~_up_to(s, [F.col(key), c], cut.get(s), [kind, "int"]))
+
         for s in cfg.seeds:
-            later = F.filter(F.sequence(F.lit(1), copies), lambda c, s=s: ~_up_to(s, [F.col(key), c], cut.get(s), [kind, "int"]))
+            later = late(s)
             val.append(F.when(stays[s], later).otherwise(F.array().cast("array<int>")))
             train.append(F.when(stays[s], copies - F.size(later)).otherwise(F.lit(0)).cast("double"))
     else:  # copies follow their row

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from textlab.operators.indexing import assign_row_id
+from textlab.sources import appends
+
 ANNOTATION_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("pub_title", T.StringType()),
     T.StructField("dataset_title", T.StringType()), T.StructField("dataset_label", T.StringType()),
@@ -92,6 +97,22 @@ def read_report_lines(spark: SparkSession, path: str, key: str = "run") -> DataF
         raw = spark.read.schema(f"value string, `{key}` string").text(path, wholetext=True)
     else:
         raw = raw.withColumn(key, F.col("_metadata.file_name"))
-    body = F.regexp_replace("value", r"\n$", "")
+    body = F.regexp_replace("value", r"\n\z", "")
     return raw.select(key, F.posexplode(F.split(body, "\n", -1)).alias("line_no", "line")) \
         .withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def read_appended_report(spark: SparkSession, path: str, key: str = "run") -> DataFrame:
+    """(append, key, line_no, line): what ``writers.append_test_report`` added, ``line_no`` counting through all lines in the order
+    in which they were added (within one addition by key)."""
+    raw = spark.read.schema(f"value string, append bigint, `{key}` string").text(f"{path}/data", wholetext=True)
+    raw = appends.committed(raw, path)
+    body = F.regexp_replace("value", r"\n\z", "")
+    lines = raw.select("append", key, F.posexplode(F.split(body, "\n", -1)).alias("_at", "line"))
+    return assign_row_id(lines, ["append", key, "_at"], "line_no").select("append", key, "line_no", "line")
+
+
+def read_metrics(spark: SparkSession, path: str, ids: Sequence[str], step: str = "step") -> DataFrame:
+    """(*ids, step, tag, value): the last value that ``writers.log_metrics`` put down for each (ids, step, tag)."""
+    rows = appends.committed(spark.read.parquet(f"{path}/data"), path)
+    return rows.groupBy(*ids, step, "tag").agg(F.max_by("value", "append").alias("value"))

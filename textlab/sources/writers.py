@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from textlab.sources import appends
+
 
 def write_delimited(df: DataFrame, path: str, sep: str = "$", mode: str = "overwrite") -> None:
     """``sep`` CSV with a header and no index; fields with the separator,
@@ -43,23 +45,33 @@ def write_epoch_log(df: DataFrame, path: str, run: str = "run") -> None:
      .partitionBy(run).parquet(path))
 
 
-def write_test_report(lines: DataFrame, path: str, mode: str = "overwrite", run: str = "run",
-                      line_no: str = "line_no") -> None:
-    """Report lines as text, one directory per run; ``mode="append"`` adds a
-    file per call (the appended-report layout).  A run's lines are joined in
-    line order into one text value (a report is a handful of lines), so the
-    file does not depend on physical row order."""
-    doc = (lines.groupBy(run)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col("line").alias("l"))))
-                .alias("_ls"))
-           .select(run, F.array_join(F.transform("_ls", lambda x: x["l"]), "\n").alias("value")))
-    doc.write.mode(mode).partitionBy(run).text(path)
+def _documents(lines: DataFrame, run: str, line_no: str) -> DataFrame:
+    """(run, value): a run's lines joined in line order (a report is a handful of lines)."""
+    return (lines.groupBy(run)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col("line").alias("l"))))
+                 .alias("_ls"))
+            .select(run, F.array_join(F.transform("_ls", lambda x: x["l"]), "\n").alias("value")))
+
+
+def write_test_report(lines: DataFrame, path: str, run: str = "run", line_no: str = "line_no") -> None:
+    """Report lines as text, one directory per run, replacing what is there.  A run's lines are joined in
+    line order into one text value, so the file does not depend on physical row order."""
+    _documents(lines, run, line_no).write.mode("overwrite").partitionBy(run).text(path)
+
+
+def append_test_report(lines: DataFrame, path: str, name: str, run: str = "run", line_no: str = "line_no") -> int:
+    """Report lines added after all that earlier calls added; the same ``name`` again replaces what it added, in its place.
+    Read back by ``readers.read_appended_report``."""
+    doc = _documents(lines, run, line_no)
+    return appends.append(lines.sparkSession, path, name, lambda at: doc.write.mode("overwrite").partitionBy(run).text(at))
 
 
 def log_metrics(wide: DataFrame, path: str, ids: Sequence[str], metrics: Sequence[str],
-                step: str = "step") -> DataFrame:
-    """Wide metric rows -> tall ``(ids..., tag, step, value)`` appended to a Parquet table."""
-    tall = wide.unpivot(list(ids) + ([step] if step in wide.columns else []), list(metrics), "tag", "value")
-    tall = tall.withColumn("value", F.col("value").cast("double"))
-    tall.write.mode("append").parquet(path)
+                step: str = "step", name: str | None = None) -> DataFrame:
+    """Wide metric rows -> tall ``(ids..., step, tag, value)``, added to the log at ``path``; the log holds one value for each
+    (ids, step, tag), the last one logged (``readers.read_metrics``). ``name`` names the addition: the same name
+    again replaces it (a retry); by default each call is a new one."""
+    import uuid
+    tall = wide.unpivot([*ids, step], list(metrics), "tag", "value").withColumn("value", F.col("value").cast("double"))
+    appends.append(wide.sparkSession, path, name or uuid.uuid4().hex, lambda at: tall.write.mode("overwrite").parquet(at))
     return tall
