@@ -139,3 +139,25 @@ def test_pr_curve_matches_numpy_histogram_formula(spark):
             r = got[(c, b)]
             assert (r.tp, r.fp) == (tp[b], fp[b])
             assert math.isclose(r.precision, prec[b], abs_tol=1e-12) and math.isclose(r.recall, rec[b], abs_tol=1e-12)
+
+
+def test_masks_leave_nothing_of_overlapping_names(spark):
+    import random
+
+    from textlab.functions.text import mask_mentions
+    rng = random.Random(6)
+    rows = [(0, "the Census data set of 2020", ["Census", "Census data set"]), (1, "aaa", ["aa"]), (2, "a.b*c \\E x", [".", "*", "\\E"]), (3, "x", []),
+            (4, "", ["a"]), (5, None, ["a"]), (6, "abc", [None, "", "b"]), (7, "😀ab😀", ["😀"]), (8, "abc", None)]
+    for i in range(300):
+        t = "".join(rng.choice("ab é") for _ in range(rng.randint(0, 40)))
+        rows.append((10 + i, t, ["".join(rng.choice("ab é") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 5))]))
+
+    def brute(t, names):
+        if t is None:
+            return None
+        gone = {j for m in names or [] if m for i in range(len(t)) if t.startswith(m, i) for j in range(i, i + len(m))}
+        return "".join(c for i, c in enumerate(t) if i not in gone)
+
+    df = spark.createDataFrame(rows, "i int, t string, m array<string>")
+    got = {r.i: r.x for r in df.select("i", mask_mentions("t", "m").alias("x")).collect()}
+    assert got == {i: brute(t, m) for i, t, m in rows}

@@ -49,26 +49,39 @@ def q_span_stats(spark, sf_dir):
     return spans.span_corpus_stats(spans.explode_mentions(fx.spans(spark, sf_dir)))
 
 
-@query("mask_mentions", with_ctes("spans") + """,
-mm AS (SELECT id, text, list_filter([substring(text, 1, 4), substring(text, 6, 4), substring(text, 11, 10)],
-                                      lambda x, i: stacked_label[i] = 3) AS ms FROM spans)
-SELECT id, list_reduce(list_prepend(text, ms), lambda acc, m: replace(acc, m, '')) AS masked_context FROM mm""")
+def _masked_sql(names: str) -> str:
+    """(id, masked): texts of ``named`` (id, text, names) without the characters that any occurrence of a name covers."""
+    return f"""named AS ({names}),
+starts AS (SELECT id, i, length(m) AS n FROM (SELECT id, text, m, unnest(range(1, length(text) - length(m) + 2)) AS i
+                                              FROM (SELECT id, text, unnest(list_distinct(names)) AS m FROM named) WHERE length(m) > 0) WHERE substring(text, i, length(m)) = m),
+covered AS (SELECT DISTINCT id, unnest(range(i, i + n)) AS i FROM starts),
+chars AS (SELECT id, unnest(range(1, length(text) + 1)) AS i, text FROM named),
+masked AS (SELECT n.id, coalesce(k.t, '') AS masked FROM named n LEFT JOIN (
+  SELECT id, string_agg(substring(text, i, 1), '' ORDER BY i) AS t FROM chars ANTI JOIN covered USING (id, i) GROUP BY id) k USING (id))"""
+
+
+@query("mask_mentions", with_ctes("spans") + ",\n" + _masked_sql(
+    "SELECT id, text, [substring(text, 5, 2), substring(text, 1, 6), substring(text, 4, 8), 'e', ''] AS names FROM spans") + """
+SELECT id, masked AS masked_context FROM masked""")
 def q_mask(spark, sf_dir):
-    m = spans.mention_spans(fx.spans(spark, sf_dir))
-    return m.select("id", spans.mask_mentions(F.col("text"), F.col("mentions")).alias("masked_context"))
+    """Names that overlap and lie in each other, the shorter one first."""
+    s = fx.spans(spark, sf_dir)
+    names = F.array(*[F.substring("text", a, n) for a, n in ((5, 2), (1, 6), (4, 8))], F.lit("e"), F.lit(""))
+    return s.select("id", spans.mask_mentions(F.col("text"), names).alias("masked_context"))
 
 
 @query("qa_records", with_ctes("spans") + """,
 hits AS (SELECT id, file_id, pos, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k, st, en, text FROM (
   SELECT id, file_id, pos, text, unnest(range(3)) AS i, unnest(stacked_start) AS st, unnest(stacked_end) AS en,
-         unnest(stacked_label) AS lb FROM spans) WHERE lb = 3)
+         unnest(stacked_label) AS lb FROM spans) WHERE lb = 3),
+""" + _masked_sql("SELECT id, any_value(text) AS text, list(substring(text, st + 1, en - st)) AS names FROM hits GROUP BY id") + """
 SELECT (row_number() OVER (ORDER BY h.file_id, h.pos, h.k))::VARCHAR AS id, h.text AS context, substring(h.text, h.st + 1, h.en - h.st) AS answer_text,
-       h.st::BIGINT AS answer_start, h.k::BIGINT AS span_no, '' AS question
-FROM hits h""")
+       h.st::BIGINT AS answer_start, h.k::BIGINT AS span_no, '' AS question, masked AS masked_context
+FROM hits h JOIN masked USING (id)""")
 def q_qa(spark, sf_dir):
     q = spans.qa_records(fx.spans(spark, sf_dir))
     return longs(q.select("id", "context", F.col("answers.text")[0].alias("answer_text"),
-                          F.col("answers.answer_start")[0].alias("answer_start"), "span_no", "question"))
+                          F.col("answers.answer_start")[0].alias("answer_start"), "span_no", "question", "masked_context"))
 
 
 @query("union_folds", with_ctes("folds") + """
