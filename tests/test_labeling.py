@@ -101,3 +101,27 @@ def test_label_corpus_repeatable_under_repartitioning(spark):
     for parts in (1, 17):
         again = corpus.label_corpus(ann.repartition(parts), secs.repartition(parts, "pos"))
         assert sorted(tuple(r) for r in again.collect()) == base
+
+
+def test_thousands_of_names_match_as_one_by_one(spark, monkeypatch):
+    """Publications with few, many and no names: the automaton's rows equal those of a plain loop, in blocks of any size."""
+    import random
+
+    from textlab.operators import labeling
+    rng = random.Random(8)
+
+    def word():
+        return "".join(rng.choice("abé ") for _ in range(rng.randint(1, 6)))
+
+    names = {"many": sorted({word() for _ in range(3000)} | {""}), "more": sorted({word() + "z" for _ in range(100)}), "few": ["a", "ab"], "none": []}
+    pubs = spark.createDataFrame([(k, k.upper(), i, v) for i, (k, v) in enumerate(names.items())], "file_id string, publication_name string, pub_order int, mentions array<string>")
+    made = [(rng.choice([*names, "other"]), i, None if i % 17 == 0 else "".join(rng.choice("abéz ") for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    secs = spark.createDataFrame(made, "file_id string, pos int, section_txt string").repartition(3)
+    want = {(f, i): [m for m in names[f] if t is not None and m in t] for f, i, t in made if f in names}
+    for block in (50_000, 7):
+        monkeypatch.setattr(labeling._automaton_matches, "__defaults__", (block,))
+        lab = labeling.label_sections(secs, pubs, keep_matches=True).collect()
+        assert {(r.file_id, r.pos): r.matches for r in lab} == want and len(lab) == len(want)
+        assert all(r.publication_name == r.file_id.upper() and r.label == bool(r.matches) for r in lab)
+        pairs = sorted((r.file_id, r.pos, r.mention) for r in labeling.match_mentions(secs, pubs).collect())
+        assert pairs == sorted((f, i, m) for (f, i), ms in want.items() for m in ms)

@@ -51,8 +51,9 @@ def test_encode_repeated_and_null_keys(spark):
     e = tokens.encode_tokens(df, v)
     assert sorted(map(str, (r.ids for r in e.collect()))) == sorted(map(str, ([4, 5, 1], [4, 5, 1], [5], [], [])))
     assert "Exchange" not in e._jdf.queryExecution().executedPlan().toString()
-    with pytest.raises(ValueError):
-        tokens.encode_tokens(df, v, max_vocab=1)
+    j = tokens.encode_tokens(df, v, max_broadcast_bytes=0)  # by a join
+    assert sorted(str((r.row_id, r.ids)) for r in j.collect()) == sorted(str((r.row_id, r.ids)) for r in e.collect())
+    assert j.columns == e.columns
 
 
 def test_vocab_ties_at_the_cut(spark):

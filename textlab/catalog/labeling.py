@@ -144,9 +144,12 @@ def q_min_length(spark, sf_dir):
 
 
 @query("drop_null_text", """
-SELECT doc_id::BIGINT AS doc_id, lang FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id::BIGINT AS doc_id, lang, text FROM (
+  SELECT doc_id, lang, CASE WHEN len(text) % 3 > 0 THEN text END AS text FROM documents) WHERE text IS NOT NULL""")
 def q_drop_null_text(spark, sf_dir):
-    return longs(cleaning.drop_null_text(fx.table(spark, sf_dir, "documents"), "text").select("doc_id", "lang"))
+    """Documents of which a third (those with a length that 3 divides) have lost their text."""
+    d = fx.table(spark, sf_dir, "documents").withColumn("text", F.when(F.length("text") % 3 > 0, F.col("text")))
+    return longs(cleaning.drop_null_text(d, "text").select("doc_id", "lang", "text"))
 
 
 @query("title_length_filter", with_ctes("sections") + """

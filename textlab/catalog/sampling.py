@@ -79,7 +79,9 @@ def q_balance(spark, sf_dir):
 SELECT doc_id::BIGINT AS doc_id, (row_number() OVER (ORDER BY {H}, doc_id) - 1)::BIGINT AS shuffle_pos
 FROM labels""")
 def q_shuffle(spark, sf_dir):
-    return longs(sampling.shuffle_order(labels(spark, sf_dir), 42, "doc_id").select("doc_id", "shuffle_pos"))
+    """The rows in their shuffled order; the positions are those in which they come out."""
+    rows = sampling.shuffle_rows(labels(spark, sf_dir), 42, "doc_id").withColumn("_out", F.monotonically_increasing_id())
+    return longs(indexing.assign_row_id(rows, ["_out"], "shuffle_pos").select("doc_id", "shuffle_pos"))
 
 
 @query("train_test_split_80_20", f"WITH {LABELS}, {EXACT20}" + """

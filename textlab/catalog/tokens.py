@@ -89,29 +89,36 @@ def q_pad(spark, sf_dir):
 
 
 @query("attention_mask", with_ctes("doc_tokens", extra=PADDED_SQL) + """
-SELECT doc_id::BIGINT AS doc_id, len(p)::BIGINT AS n,
-       len(list_filter(p, lambda x: x > 0))::BIGINT AS n_attend FROM padded""")
+SELECT doc_id::BIGINT AS doc_id, array_to_string(list_transform(p, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS mask FROM padded""")
 def q_mask(spark, sf_dir):
     p = padded(spark, sf_dir).withColumn("m", A.attention_mask("p"))
-    return longs(p.select("doc_id", F.size("m").alias("n"),
-                          F.aggregate("m", F.lit(0), lambda a, x: a + x).alias("n_attend")))
+    return longs(p.select("doc_id", A.array_to_text("m", "").alias("mask")))
 
 
 @query("max_tokens", with_ctes("doc_tokens", extra=VOCAB_SQL) + """
 SELECT max(len(ids) + 2)::BIGINT AS max_len FROM enc""")
 def q_max_tokens(spark, sf_dir):
-    e = tokens.encode_tokens(doc_tokens(spark, sf_dir), vocab(spark, sf_dir), "tokens", "ids")
-    return stats.max_tokens(e.withColumn("ids", A.add_special_tokens("ids", F.lit(2), F.lit(3))), "ids")
+    """Encoding keeps the number of tokens, so the longest row is known without it."""
+    return stats.max_tokens(doc_tokens(spark, sf_dir).withColumn("t", A.add_special_tokens("tokens")), "t")
+
+
+@query("encode_tokens_join", with_ctes("doc_tokens", extra=VOCAB_SQL) + """
+SELECT doc_id::BIGINT AS doc_id, array_to_string(ids, ' ') AS ids FROM enc""")
+def q_encode_join(spark, sf_dir):
+    """The way for vocabularies beyond the broadcast bound (here of no bytes)."""
+    e = tokens.encode_tokens(doc_tokens(spark, sf_dir), vocab(spark, sf_dir), "tokens", "ids", max_broadcast_bytes=0)
+    return longs(e.select("doc_id", A.array_to_text("ids").alias("ids")))
 
 
-@query("encode_text", with_ctes("doc_tokens") + """
-SELECT d.doc_id::BIGINT AS doc_id, 512::BIGINT AS n, (len(w) + 2)::BIGINT AS n_attend
-FROM (SELECT doc_id, """ + WIN.format(t="tokens") + """ AS w FROM doc_tokens) d""")
+@query("encode_text", with_ctes("doc_tokens", extra=PADDED_SQL) + """,
+longest AS (SELECT max(len(w)) AS n FROM wids)
+SELECT doc_id::BIGINT AS doc_id, array_to_string(list_concat(w, [0 for x in range(n - len(w))]), ' ') AS input_ids,
+       repeat('1', len(w)) || repeat('0', (n - len(w))::BIGINT) AS mask FROM wids, longest""")
 def q_encode_text(spark, sf_dir):
+    """Text to padded ids and mask by a vocabulary, padded to the longest row."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = tokens.encode_text(d, None, "text", 382, 128, 512)
-    return longs(e.select("doc_id", F.size("input_ids").alias("n"),
-                          F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attend")))
+    e = tokens.encode_text(d, vocab(spark, sf_dir), "text", 382, 128, "max")
+    return longs(e.select("doc_id", A.array_to_text("input_ids").alias("input_ids"), A.array_to_text("attention_mask", "").alias("mask")))
 
 
 @query("text_length", "SELECT doc_id::BIGINT AS doc_id, length(text)::BIGINT AS n_chars FROM documents")

@@ -22,19 +22,19 @@ def assign_row_id(df: DataFrame, order: Sequence, name: str = "row_id",
 
     Plan: range exchange on ``order`` -> sort inside partitions -> position
     inside the partition; that sorted, partition-tagged table is written once
-    to the shared checkpoint folder (a reliable checkpoint), so the count
-    branch and the row branch read the same partitions.  (Two independent
+    as Parquet in the shared checkpoint folder, so the count
+    branch and the row branch read the same partitions, the former only the tags.  (Two independent
     range exchanges may sample different bounds.)  Per-partition counts (one
     row per partition) become prefix-sum offsets, broadcast back.
     """
-    from textlab.session import cut_lineage
+    from textlab.session import written
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     r = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
          .withColumn("_p", F.spark_partition_id())
          .withColumn("_m", F.monotonically_increasing_id()))
-    r = cut_lineage(r)
+    r = written(r, "ordered")
     counts = r.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_p", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -49,7 +49,7 @@ def hash_dense_index(df: DataFrame, hash_col: str, tiebreak: Sequence[str], name
     unsigned 32-bit hash values.  Buckets are the top ``bits`` bits, a pure
     function of the row, so the count branch and the row branch always agree;
     the bucket histogram (at most 2^bits rows per group) gives offsets; rows
-    are ranked inside their bucket after a shuffle on (group, bucket)."""
+    are ranked inside their bucket after a shuffle on (group, bucket), and are then where their bucket's offset is, too."""
     g = list(group)
     shift = 32 - bits
     d = df.withColumn("_b", F.shiftright(F.col(hash_col), shift))
@@ -59,7 +59,7 @@ def hash_dense_index(df: DataFrame, hash_col: str, tiebreak: Sequence[str], name
     offs = hist.select(*g, "_b", F.coalesce(F.sum("_c").over(wcum), F.lit(0)).alias("_off"))
     rw = Window.partitionBy(*g, "_b").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
     ranked = d.withColumn("_r", F.row_number().over(rw))
-    out = ranked.join(F.broadcast(offs), [*g, "_b"])
+    out = ranked.join(offs, [*g, "_b"])
     return out.withColumn(name, (F.col("_off") + F.col("_r") - 1).cast("bigint")).drop("_b", "_r", "_off")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from textlab.operators.joins import broadcast_if_small
 from textlab.session import cut_lineage
@@ -54,33 +55,93 @@ def join_pub_sections(pubs: DataFrame, sections: DataFrame, key: str = "file_id"
     return sections.join(side, key, "inner")
 
 
+#: names from which on a publication's sections are read once for all of them, and sections that share one automaton's task
+MANY_NAMES, BLOCK_SECTIONS = 64, 50_000
+
+
+def _automaton_matches(sections: DataFrame, names: DataFrame, key: str, text_col: str, block: int = BLOCK_SECTIONS) -> DataFrame:
+    """``sections`` with ``_matches``, the names of their publication that the text contains, in the order of ``names`` (key, mentions).
+
+    Each publication's names become one automaton that reads a section once, however many there are. A publication's sections are
+    dealt out in blocks, and its names go to each block, in front of the sections; a task holds one automaton at a time."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    size = sections.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    sized, _ = broadcast_if_small(size.select(F.col(key).alias("_key"), "_blocks"))
+    same = F.col(key) == F.col("_key")
+    rows = sections.join(sized, same).withColumn("_block", F.pmod(F.xxhash64(*sections.columns), F.col("_blocks")).cast("int"))
+    rows = rows.select(F.col(key).alias("_key"), "_block", F.lit(1).alias("_kind"), F.lit(None).cast("array<string>").alias("_names"),
+                       F.struct(*[F.col(c) for c in sections.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    heads = names.join(sized, same).select("_key", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.lit(0).alias("_kind"),
+                                           F.col("mentions").alias("_names"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(None).cast("string").alias("_text"))
+    dealt = heads.unionByName(rows).repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        tree, every, blank = None, [], []
+        for batch in batches:
+            kind, text = batch.column("_kind").to_pylist(), batch.column("_text")
+            where, found = [], []
+            for i, k in enumerate(kind):
+                if k == 0:
+                    every = batch.column("_names")[i].as_py()
+                    blank = [j for j, m in enumerate(every) if m == ""]
+                    tree = ahocorasick.Automaton()
+                    for j, m in enumerate(every):
+                        if m:
+                            tree.add_word(m, j)
+                    tree.make_automaton()
+                    continue
+                t = text[i].as_py()
+                hits = set() if t is None else {j for _, j in tree.iter(t)} | set(blank) if len(tree) else set(blank)
+                where.append(i)
+                found.append([every[j] for j in sorted(hits)])
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(where, pa.int64())), pa.array(found, pa.list_(pa.string()))], names=["_row", "_matches"])
+
+    out = dealt.select("_kind", "_names", "_row", "_text").mapInArrow(run, StructType([rows.schema["_row"], StructField("_matches", ArrayType(StringType()))]))
+    return out.select("_row.*", "_matches")
+
+
+def _matched(sections: DataFrame, pubs: DataFrame, text_col: str, max_broadcast_bytes: int | None, key: str = "file_id",
+             many: int = MANY_NAMES) -> DataFrame:
+    """Sections with their publication's columns, and as ``_matches`` those of its mentions that the text contains.
+
+    Up to ``many`` names are looked for one by one inside the row; the sections of publications with more go through an automaton.
+    A stream of sections cannot be dealt out by publication and stays with the former."""
+    side, _ = broadcast_if_small(pubs, max_broadcast_bytes)
+    if sections.isStreaming:
+        many = 1 << 31
+    long = F.coalesce(F.size("mentions") > F.lit(many), F.lit(False))
+    few = sections.join(side.filter(~long), key, "inner")
+    few = few.withColumn("_matches", F.filter("mentions", lambda m: F.contains(F.col(text_col), m))).drop("mentions")
+    names = side.filter(long)
+    if names.isEmpty():
+        return few
+    rest = sections.join(names.drop("mentions"), key, "inner")
+    return few.unionByName(_automaton_matches(rest, names.select(key, "mentions"), key, text_col))
+
+
 def label_sections(sections: DataFrame, pubs: DataFrame, text_col: str = "section_txt",
                    negative: str = "None", keep_matches: bool = False,
                    max_broadcast_bytes: int | None = None) -> DataFrame:
     """Exactly one row per section: label 1 and the chosen mention when the text
     contains any mention of its publication, else label 0 and ``negative``."""
-    j = join_pub_sections(pubs, sections, max_broadcast_bytes=max_broadcast_bytes)
-    matches = F.filter("mentions", lambda m: F.contains(F.col(text_col), m))
-    out = (j.withColumn("_matches", matches)
-           .withColumn("dataset", F.coalesce(F.try_element_at(_longest_first(F.col("_matches")), F.lit(1)),
-                                             F.lit(negative)))
+    j = _matched(sections, pubs, text_col, max_broadcast_bytes)
+    out = (j.withColumn("dataset", F.coalesce(F.try_element_at(_longest_first(F.col("_matches")), F.lit(1)),
+                                              F.lit(negative)))
            .withColumn("label", (F.size("_matches") > 0).cast("int")))
-    if keep_matches:
-        out = out.withColumnRenamed("_matches", "matches")
-    else:
-        out = out.drop("_matches")
-    return out.drop("mentions")
+    return out.withColumnRenamed("_matches", "matches") if keep_matches else out.drop("_matches")
 
 
 def match_mentions(sections: DataFrame, pubs: DataFrame, text_col: str = "section_txt",
                    max_broadcast_bytes: int | None = None) -> DataFrame:
     """All (section, mention) pairs where the section's text contains a mention
     of its own publication.  Matching runs inside each section row over its
-    publication's mention array; no pair is formed that does not match."""
-    j = join_pub_sections(pubs, sections, max_broadcast_bytes=max_broadcast_bytes)
-    return (j.select("*", F.explode(F.filter("mentions", lambda m: F.contains(F.col(text_col), m)))
-                     .alias("mention"))
-            .drop("mentions"))
+    publication's names; no pair is formed that does not match."""
+    j = _matched(sections, pubs, text_col, max_broadcast_bytes)
+    return j.select("*", F.explode("_matches").alias("mention")).drop("_matches")
 
 
 def interior_tokens(text: Column) -> Column:

@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from textlab.functions.arrays import add_special_tokens, attention_mask, head_tail_window, pad_to_length
 from textlab.functions.text import tokenize_text
+from textlab.operators.joins import DEFAULT_BROADCAST_BYTES, measured_bytes
+from textlab.session import cut_lineage, written
 
 # fixed values: reserved ids and their tokens
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
+#: copies of a vocabulary's lines that rows share out among them
+SALTS = 16
 
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "tokens", pattern: str = " ",
@@ -37,8 +41,6 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
     index.  The final ranking window sees at most ``max_size`` rows.
     """
     from textlab.operators.indexing import assign_row_id
-    from textlab.session import cut_lineage
-
     counts = cut_lineage(df.select(F.explode(tokens).alias("token"))
                          .groupBy("token").agg(F.count("*").cast("bigint").alias("n"))
                          .filter(F.col("n") >= min_count))
@@ -60,29 +62,49 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids",
-                  max_vocab: int = 1_000_000) -> DataFrame:
-    """Token -> id lookup inside each row, unknown and null tokens -> UNK; a null list is empty.
+                  max_broadcast_bytes: int | None = None) -> DataFrame:
+    """Token -> id lookup, unknown and null tokens -> UNK; a null list is empty.
 
-    Rows need no key and nothing is shuffled: Arrow batches of token lists are looked up in the
-    vocabulary, which travels with the task.  A vocabulary is bounded by the size it was built for;
-    one of more than ``max_vocab`` tokens is an error.
+    A vocabulary whose measured size is under the bound is sent to the tasks once (a broadcast variable) and looked up inside each row:
+    rows need no key and nothing is shuffled. A larger one meets the distinct tokens of the rows in a join, in ``_encode_by_join``.
     """
-    rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
-    if len(rows) > max_vocab:
-        raise ValueError(f"the vocabulary has more than {max_vocab} tokens")
-    names, ids = [r[0] for r in rows], [r[1] for r in rows]
+    v = cut_lineage(vocab.select("token", F.col("id").cast("int").alias("id")))
+    limit = DEFAULT_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
+    if measured_bytes(v) > limit:
+        return _encode_by_join(df, v, tokens, out)
+    held = v.toArrow()
+    sent = df.sparkSession.sparkContext.broadcast(dict(zip(held.column("token").to_pylist(), held.column("id").to_pylist())))
+    unknown = UNK_ID
 
     @F.arrow_udf("array<int>")
     def lookup(lists: pa.Array) -> pa.Array:
+        ids = sent.value
         lists = pc.if_else(pc.is_null(lists), pa.scalar([], lists.type), lists) if lists.null_count else lists
-        at = pc.index_in(lists.flatten(), value_set=pa.array(names, lists.type.value_type))
-        found = pc.fill_null(pa.array(ids, pa.int32()).take(at), UNK_ID)
+        coded = lists.flatten().dictionary_encode()  # each distinct token of a batch is looked up once
+        known = pa.array([ids.get(t, unknown) for t in coded.dictionary.to_pylist()], pa.int32())
+        found = pc.fill_null(known.take(coded.indices), unknown)
         ends = pc.cumulative_sum(pc.list_value_length(lists)).cast(pa.int32())
         return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), found)
 
     return df.withColumn(out, lookup(F.col(tokens)))
 
 
+def _encode_by_join(df: DataFrame, vocab: DataFrame, tokens: str, out: str) -> DataFrame:
+    """``encode_tokens`` for a vocabulary too large for a task. The rows are written once, with a number each; a row's distinct tokens
+    meet the vocabulary and come back as the row's own small dictionary. A token's line is there ``SALTS`` times, and each row
+    looks in one of the copies, so that a token of all rows is no single task's."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "encode")
+    listed = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    need = rows.select("_row", F.explode(F.array_distinct(listed)).alias("token")).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    lines = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = (need.join(lines, ["token", "_salt"]).groupBy(F.col("_row").alias("_r"))
+           .agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_ids")))
+    ids = F.coalesce("_ids", F.create_map().cast("map<string,int>"))
+    j = rows.join(own, F.col("_row") == F.col("_r"), "left").withColumn("_ids", ids)
+    found = F.transform(listed, lambda t: F.coalesce(F.when(t.isNotNull(), F.try_element_at("_ids", t)), F.lit(UNK_ID)))
+    return j.withColumn(out, found).drop("_row", "_r", "_ids")
+
+
 def hash_encode(df: DataFrame, tokens: str = "tokens", out: str = "ids", buckets: int = 1 << 18) -> DataFrame:
     """Vocabulary-free ids: ``4 + pmod(xxhash64(token), buckets)`` (narrow, no join)."""
     return df.withColumn(out, F.transform(tokens, lambda t: (F.pmod(F.xxhash64(t), F.lit(buckets))
@@ -109,8 +131,8 @@ def encode_text(df: DataFrame, vocab: DataFrame | None, text: str = "text",
     else:
         e = encode_tokens(t, vocab, "_tok", "_ids")
     e = e.withColumn("_ids", F.concat(F.array(F.lit(CLS_ID)), F.col("_ids"), F.array(F.lit(SEP_ID))))
-    if pad_to == "max":
-        length = e.agg(F.max(F.size("_ids"))).scalar()
+    if pad_to == "max":  # encoding keeps the number of tokens
+        length = t.agg(F.max(F.coalesce(F.size("_tok"), F.lit(0))) + 2).scalar()
     else:
         length = F.lit(int(pad_to))
     e = e.withColumn("input_ids", pad_to_length(F.col("_ids"), length))
