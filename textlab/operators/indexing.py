@@ -64,29 +64,13 @@ def hash_dense_index(df: DataFrame, hash_col: str, tiebreak: Sequence[str], name
 
 
 #: rows of a bucket that selection aims at, and hash bits that one histogram tells apart
-BUCKET_ROWS, LEVEL_BITS = 1 << 10, 16
+BUCKET_ROWS, LEVEL_BITS = 1 << 14, 16
 
 
 def _same_group(g: Sequence[str]) -> Column:
     return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g])
 
 
-def _beside(df: DataFrame, state, g: Sequence[str], how: str = "inner") -> DataFrame:
-    """``df`` with its group's line of ``state``: a table keyed by _g_*, joined, or a single line, put in as constants."""
-    if g:
-        return df.join(state, _same_group(g), how)
-    return df.select("*", *[F.lit(v).alias(c) for c, v in state.items()])
-
-
-def _line(df: DataFrame, g: Sequence[str], empty: dict):
-    """``df`` measured for a broadcast, or without groups its only line."""
-    from textlab.operators.joins import broadcast_if_small
-    if g:
-        return broadcast_if_small(df)[0]
-    row = df.first()
-    return row.asDict() if row else empty
-
-
 def cut_rows(df: DataFrame, rank: Column, tiebreak: Sequence, k: Column, group: Sequence[str] = ()):
     """The ``k``-th smallest row of each group in (rank, *tiebreak) order, by radix selection:
     (group as _g_*, _cut_rank, _cut_tie, _take, _same), ``_same`` rows being equal to the cut and the first ``_take``
@@ -96,22 +80,28 @@ def cut_rows(df: DataFrame, rank: Column, tiebreak: Sequence, k: Column, group:
     read once, for its ranks and keys alone; histograms over the leading bits of the rank then
     narrow the cut down, one level of at most 2**LEVEL_BITS buckets a group for as many as it takes until
     buckets hold about BUCKET_ROWS rows, and only the last bucket is put in order."""
-    from textlab.session import cut_lineage
+    from textlab.session import written
     g = list(group)
     names = [f"_g_{c}" for c in g]
     tie = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"t{i}") for i, c in enumerate(tiebreak)])
-    keys = cut_lineage(df.select(*[F.col(c).alias(f"_g_{c}") for c in g], rank.cast("bigint").alias("_rank"), tie.alias("_tie")))
+    keys = written(df.select(*[F.col(c).alias(f"_g_{c}") for c in g], rank.cast("bigint").alias("_rank"), tie.alias("_tie")), "keys")
     total = keys.count()
     bits = min(32, (total // BUCKET_ROWS).bit_length())
-    sizes = keys.groupBy(*names).agg(F.count("*").alias("n")).select("*", *[F.col(f"_g_{c}").alias(c) for c in g])
-    state = sizes.select(*names, F.lit(0).cast("bigint").alias("_lo"), F.lit(1 << 32).alias("_hi"), F.least(k.cast("bigint"), F.col("n")).alias("_left"))
-    none = {"_lo": 0, "_hi": 0, "_left": 0}
-    state = _line(state.filter("_left > 0"), g, none)
-    keyed = keys.select("*", *[F.col(f"_g_{c}").alias(c) for c in g]).drop(*names) if g else keys
-    w = (Window.partitionBy(*names) if g else Window.partitionBy(F.lit(0)))
+    start = [F.lit(0).cast("bigint").alias("_lo"), F.lit(1 << 32).alias("_hi"), F.least(k.cast("bigint"), F.col("n")).alias("_left")]
+    if g:
+        sizes = keys.groupBy(*names).agg(F.count("*").alias("n")).select("*", *[F.col(f"_g_{c}").alias(c) for c in g])
+        state = sizes.select(*names, *start).filter("_left > 0")
+    else:
+        state = df.sparkSession.sql(f"SELECT {total}L AS n").select(*start).first().asDict()
+    w = Window.partitionBy(*names) if g else Window.partitionBy(F.lit(0))
 
     def inside():
-        return _beside(keyed, state, g).filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
+        if g:
+            part = keys.join(state.select(*[F.col(c).alias(f"_s{c}") for c in names], "_lo", "_hi", "_left"),
+                             reduce(and_, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in names]))
+        else:
+            part = keys.select("*", *[F.lit(v).alias(c) for c, v in state.items()])
+        return part.filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
 
     def holding(counts: DataFrame, order: list[str]) -> DataFrame:
         before = F.coalesce(F.sum("_c").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -121,50 +111,74 @@ def cut_rows(df: DataFrame, rank: Column, tiebreak: Sequence, k: Column, group:
         shift = 32 - min(bits, done + LEVEL_BITS)
         hist = inside().groupBy(*names, F.shiftright("_rank", shift).alias("_b"), "_left").agg(F.count("*").alias("_c"))
         lo = F.shiftleft("_b", shift)
-        state = _line(holding(hist, ["_b"]).select(*names, lo.alias("_lo"), (lo + F.lit(1 << shift)).alias("_hi"),
-                                                   (F.col("_left") - F.col("_before")).alias("_left")), g, none)
+        found = holding(hist, ["_b"]).select(*names, lo.alias("_lo"), (lo + F.lit(1 << shift)).alias("_hi"), (F.col("_left") - F.col("_before")).alias("_left"))
+        if g:
+            state = written(found, "cut")
+        else:
+            row = found.first()
+            state = row.asDict() if row else {"_lo": 0, "_hi": 0, "_left": 0}
     equal = inside().groupBy(*names, "_left", "_rank", "_tie").agg(F.count("*").alias("_c"))
     cut = holding(equal, ["_rank", "_tie"]).select(*names, F.col("_rank").alias("_cut_rank"), F.col("_tie").alias("_cut_tie"),
                                                    (F.col("_left") - F.col("_before")).alias("_take"), F.col("_c").alias("_same"))
-    return _line(cut, g, {})
+    if g:
+        return cut
+    row = cut.first()
+    return row.asDict() if row else {}
+
+
+def _cut_test(at: Column, cut: dict, kinds: dict[str, str]) -> tuple[Column, Column]:
+    """Whether ``at`` (rank, tie) is not after, and whether it equals, the single cut of ``cut_rows`` (whose ties have these types)."""
+    if not cut:
+        return F.lit(False), F.lit(False)
+    values = cut["_cut_tie"].asDict()
+    end = F.struct(F.lit(cut["_cut_rank"]).cast("bigint").alias("r"), F.struct(*[F.lit(values[c]).cast(kind).alias(c) for c, kind in kinds.items()]).alias("t"))
+    return at <= end, at == end
 
 
 def take_smallest(df: DataFrame, rank_col: str, tiebreak: Sequence[str], k: Column,
-                  flag: str | None = None, group: Sequence[str] = ()) -> DataFrame:
+                  flag: str | None = None, group: Sequence[str] = (), few: bool = False) -> DataFrame:
     """Rows whose position in (rank_col, *tiebreak) order is below ``k``, per ``group``.
 
     ``cut_rows`` reads the input once for its keys; this reads it a second time and compares each row
     with its group's cut, without any shuffle of rows. Only where rows equal in rank and tiebreak lie on both sides of
     a cut are those numbered. ``k`` is a column expression over ``n`` (the group's row count), e.g.
     ``F.bround(F.col("n") * 0.2, 0)``.  With ``flag`` set, all rows are kept and
-    ``flag`` says whether the row is among the smallest.
+    ``flag`` says whether the row is among the smallest. ``few`` says that there are no more groups than the caller has listed, so that
+    their cuts become constants of the plan.
     """
+    from textlab.operators.joins import broadcast_if_small
     g = list(group)
     cut = cut_rows(df, F.col(rank_col), tiebreak, k, g)
     tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)])
     at = F.struct(F.col(rank_col).cast("bigint").alias("r"), tie.alias("t"))
-    if g:
+    kinds = dict(df.select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)]).dtypes)
+    j, helper = df, ["_edge", "_first"]
+    if g and not few:
+        cut, _ = broadcast_if_small(cut)
         split = not cut.filter("_take < _same").isEmpty()
         j = df.join(cut, _same_group(g), "left")
-        end = F.struct(F.col("_cut_rank").alias("r"), F.col("_cut_tie").alias("t"))
-        some, both = F.col("_cut_rank").isNotNull(), F.col("_take") < F.col("_same")
-        helper = [*[f"_g_{c}" for c in g], "_cut_rank", "_cut_tie", "_take", "_same"]
+        end, some = F.struct(F.col("_cut_rank").alias("r"), F.col("_cut_tie").alias("t")), F.col("_cut_rank").isNotNull()
+        inside, edge, first = some & (at <= end), some & (at == end) & (F.col("_take") < F.col("_same")), F.col("_take")
+        helper += [*[f"_g_{c}" for c in g], "_cut_rank", "_cut_tie", "_take", "_same"]
     else:
-        j, helper = df, []
-        split = bool(cut) and cut["_take"] < cut["_same"]
-        some, both = F.lit(bool(cut)), F.lit(split)
-        kinds = dict(df.select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)]).dtypes)
-        values = cut["_cut_tie"].asDict() if cut else dict.fromkeys(kinds)
-        end = F.struct(F.lit(cut.get("_cut_rank")).cast("bigint").alias("r"),
-                       F.struct(*[F.lit(values[c]).cast(kind).alias(c) for c, kind in kinds.items()]).alias("t"))
+        lines = [r.asDict() for r in cut.collect()] if g else [cut]
+        split = any(c and c["_take"] < c["_same"] for c in lines)
+        inside, edge, first = F.lit(False), F.lit(False), F.lit(0)
+        for c in lines:
+            here = reduce(and_, [F.col(x).eqNullSafe(F.lit(c[f"_g_{x}"])) for x in g], F.lit(True))
+            before, equal = _cut_test(at, c, kinds)
+            inside = F.when(here, before).otherwise(inside) if g else before
+            if split:
+                cuts = F.lit(bool(c) and c["_take"] < c["_same"])
+                edge = F.when(here, equal & cuts).otherwise(edge)
+                first = F.when(here, F.lit(c.get("_take", 0))).otherwise(first)
     if not split:
-        out = j.withColumn("_in", some & (at <= end))
+        out = j.withColumn("_in", inside)
     else:
-        edge = some & (at == end) & both
-        w = Window.partitionBy(*[f"_g_{c}" for c in g], F.lit(0)).orderBy(F.lit(0))
-        take = F.col("_take") if g else F.lit(cut["_take"])
-        numbered = j.filter(edge).withColumn("_in", F.row_number().over(w) <= take)
-        out = j.filter(~edge).withColumn("_in", some & (at <= end)).unionByName(numbered)
+        j = j.withColumn("_edge", F.coalesce(edge, F.lit(False))).withColumn("_first", first)
+        w = Window.partitionBy(*g, F.lit(0)).orderBy(F.lit(0))
+        numbered = j.filter("_edge").withColumn("_in", F.row_number().over(w) <= F.col("_first"))
+        out = j.filter("not _edge").withColumn("_in", inside).unionByName(numbered)
     out = out.drop(*helper)
     return out.filter("_in").drop("_in") if flag is None else out.withColumnRenamed("_in", flag)
 

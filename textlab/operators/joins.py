@@ -21,13 +21,13 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None,
     """``(broadcast(df), True)`` when the measured size is at most ``max_bytes``,
     else ``(df, False)`` and the join shuffles (AQE splits skewed keys).
 
-    With ``materialize`` the side is first written to the shared checkpoint
+    With ``materialize`` the side is first written as Parquet to the shared checkpoint
     folder, so measuring it and joining it do not compute it twice.
     """
-    from textlab.session import cut_lineage
+    from textlab.session import written
     limit = DEFAULT_BROADCAST_BYTES if max_bytes is None else max_bytes
     if materialize:
-        df = cut_lineage(df)
+        df = written(df, "side")
     if measured_bytes(df) <= limit:
         return F.broadcast(df), True
     return df, False

@@ -45,7 +45,7 @@ def undersample(df: DataFrame, fractions: Mapping[int, float], seed, key, label:
     for cls, c in zip(classes, fractions):
         which = F.when(cls, F.lit(c)).otherwise(which)
     h = df.withColumn("_class", which).withColumn("_h", hash_u32(seed, *_keys(key)))
-    return take_smallest(h, "_h", _keys(key), F.bround(F.col("n") * share, 0), group=[*group, "_class"]).drop("_h", "_class")
+    return take_smallest(h, "_h", _keys(key), F.bround(F.col("n") * share, 0), group=[*group, "_class"], few=not group).drop("_h", "_class")
 
 
 def undersample_negatives(df: DataFrame, frac: float = 0.55, seed: int = 42, key="row_id",

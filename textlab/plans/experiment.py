@@ -296,8 +296,8 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig, key: str = "row_id", la
         slope, loss = gradient(trains, model, cfg.gamma, cfg.alpha)
         model.step(slope, cfg.lr, l2, cfg.optimizer)
         scored = written(score_vectors(validates, model, key, "seed", "val"), "scored")
-        v = cut_lineage(validate_epoch(scored, "seed", [key, "copy_no"] if cfg.cut_copies else key, cfg.batch_size, compat=cfg.fbeta_compat,
-                                       checkpoint_metric=cfg.checkpoint_metric, reference=prev).withColumn("epoch", F.lit(epoch)))
+        v = written(validate_epoch(scored, "seed", [key, "copy_no"] if cfg.cut_copies else key, cfg.batch_size, compat=cfg.fbeta_compat,
+                                       checkpoint_metric=cfg.checkpoint_metric, reference=prev).withColumn("epoch", F.lit(epoch)), "epoch")
         dec = v.select("seed", "epoch", F.col(cfg.checkpoint_metric).alias("metric"), "action")
         action = {r["seed"]: r["action"] for r in dec.collect()}
         which = np.array([action.get(s) for s in seeds], dtype=object)
