@@ -97,6 +97,20 @@ def test_repeated_bytes_random(spark, seed):
     assert rows(suffix_dedup.removed(df).drop("kept")) == sorted(brute.repeated_bytes(made), key=str)
 
 
+def test_repeated_bytes_of_texts_that_share_an_id(spark):
+    """A thousand different texts without a doc_id or with the same few: nothing unique goes, nothing crashes, and what repeats goes."""
+    rng = random.Random(11)
+    made = [(d, "".join(rng.choice("abcdefgh") for _ in range(rng.randint(90, 330)))) for d in [None] * 600 + [7] * 300 + [8, 9] * 50]
+    shared = "".join(rng.choice("xyz") for _ in range(150))
+    df = spark.createDataFrame(made + [(3, shared), (10, "q" * 50 + shared + "r" * 20)], "doc_id long, text string").repartition(3)
+    out = suffix_dedup.removed(df).collect()
+    assert len(out) == len(made) + 2
+    gone = sorted((r["doc_id"], r["n_removed"]) for r in out if r["n_removed"])
+    assert gone == [(10, 150)]
+    want = Counter((d, hashlib.sha256(t.encode()).hexdigest()) for d, t in made)
+    assert Counter((r["doc_id"], r["kept_sha256"]) for r in out if r["doc_id"] not in (3, 10)) == want
+
+
 def test_kept_bytes_have_the_digest(docs):
     for r in suffix_dedup.removed(docs).collect():
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]

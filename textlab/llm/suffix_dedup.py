@@ -1,15 +1,14 @@
-"""Repeated byte windows by a depth-limited radix sort of all suffixes.
+"""Repeated byte windows by refining groups of equal digests.
 
-Suffixes are ordered only through their first WIDTH bytes, by passes over digits from the most to the
-least significant; a suffix whose digits so far occur nowhere else leaves the sort, and the groups that
-are equal in the end are exactly the repeated windows. For equality the order of the digits is free as
-long as it depends on the window's bytes alone, so the first digit is the window's anchor: the stretch
+The dealt method, a depth-limited radix sort of all suffixes, would make a record of every byte for each pass. Only equal
+windows have to meet, which takes no order among the others, so groups of windows are refined by digests instead, from coarse to
+fine, and those that occur once leave early. A window's first digest is its anchor: the stretch
 of ANCHOR bytes in it with the smallest hash (the leftmost of equal ones). Equal windows have the same
-anchor at the same place. Neighbouring suffixes mostly share their anchor, so the first passes sort
+anchor at the same place. Neighbouring windows mostly share their anchor, so the first passes work on
 whole runs of them as one record:
 
-1. digit one, the anchor: runs whose anchor occurs once leave;
-2. digit two, the whole stretch of bytes that a run's windows span: in a group of equal runs all but
+1. by the anchor: runs whose anchor occurs once leave;
+2. by the whole stretch of bytes that a run's windows span: in a group of equal runs all but
    the first run are decided, every window of theirs starts earlier in the first;
 3. for the first runs of groups that share their anchor with another group: blocks of BLOCK windows,
    by the bytes common to a block's windows; blocks alone with these leave;
@@ -34,10 +33,10 @@ WIDTH, ANCHOR, BLOCK = 100, 32, 8
 _ONE, _TWO = Rolling(21), Rolling(22)
 
 
-def _pack(start: np.ndarray, more: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A run in one long that orders by start: first window's start, further windows, the anchor's
-    distance from the last window's start, and 16 bits of the row's text key."""
-    return (start << 30) | (more << 23) | (place << 16) | key
+def _pack(start: np.ndarray, more: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A run in one long that orders by start: first window's start, further windows, and the anchor's
+    distance from the last window's start."""
+    return (start << 30) | (more << 23) | (place << 16)
 
 
 def runs(data: np.ndarray, off: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR):
@@ -75,12 +74,12 @@ def _digest(one: np.ndarray, two: np.ndarray, start, end, more) -> np.ndarray:
 
 
 def _run_table(texts: DataFrame) -> DataFrame:
-    """(h, d, doc_id, pos): each run's anchor hash, the digest of its bytes, and where it is."""
+    """(h, d, doc_id, pos, k): each run's anchor hash, the digest of its bytes, and where it is."""
 
     def run(batches):
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            ids, key = batch.column("doc_id"), np.asarray(batch.column("k16"))
+            ids, key = batch.column("doc_id"), batch.column("k")
             for i, j in chunks(off):
                 o = off[i:j + 1] - off[i]
                 part = data[off[i]:off[j]]
@@ -91,19 +90,18 @@ def _run_table(texts: DataFrame) -> DataFrame:
                 row = np.searchsorted(o, first, side="right") - 1
                 h = mix64(_ONE.ranges(one, x, x + ANCHOR)).view(np.int64)
                 d = _digest(one, two, first, last + WIDTH, x - first)
-                pos = _pack(first - o[row], last - first, x - last, key[i + row])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), ids.take(pa.array(i + row)), pa.array(pos)],
-                                                 names=["h", "d", "doc_id", "pos"])
+                pos = _pack(first - o[row], last - first, x - last)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), ids.take(pa.array(i + row)), pa.array(pos), key.take(pa.array(i + row))],
+                                                 names=["h", "d", "doc_id", "pos", "k"])
 
-    return texts.mapInArrow(run, "h long, d long, doc_id long, pos long")
+    return texts.mapInArrow(run, "h long, d long, doc_id long, pos long, k long")
 
 
 def _run_bytes(places: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, run, bytes): the bytes that the windows of each run in ``places`` span. Texts are dealt
+    """(doc_id, k, run, bytes): the bytes that the windows of each run in ``places`` span. Texts are dealt
     out once for it, each with the list of its runs (bounded by the text)."""
-    p = (places.withColumn("_k", F.col("pos").bitwiseAND(65535)).groupBy(F.col("doc_id").alias("_d"), "_k")
-         .agg(F.collect_list("pos").alias("at")))
-    rows = texts.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k16") == F.col("_k"))).select("doc_id", "text", "at")
+    p = places.groupBy(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).agg(F.collect_set("pos").alias("at"))
+    rows = texts.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc_id", "k", "text", "at")
 
     def run(batches):
         for batch in batches:
@@ -119,13 +117,14 @@ def _run_bytes(places: DataFrame, texts: DataFrame) -> DataFrame:
                 cut = data[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
                 offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
                 column = pa.Array.from_buffers(pa.binary(), len(q), [None, offsets, pa.py_buffer(cut)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r)), pa.array(q), column], names=["doc_id", "run", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r)), batch.column("k").take(pa.array(r)), pa.array(q), column],
+                                                 names=["doc_id", "k", "run", "bytes"])
 
-    return rows.mapInArrow(run, "doc_id long, run long, bytes binary")
+    return rows.mapInArrow(run, "doc_id long, k long, run long, bytes binary")
 
 
 def _blocks(rows: DataFrame, single: bool) -> DataFrame:
-    """From (doc_id, run, bytes, pos): a record for each block of the windows in ``pos``, a part of the
+    """From (doc_id, k, run, bytes, pos): a record for each block of the windows in ``pos``, a part of the
     run (blocks are aligned by the windows' distance from the anchor), with the digest of the bytes common to
     a whole block's windows and the digest of all its bytes; or one for each single window."""
 
@@ -150,20 +149,20 @@ def _blocks(rows: DataFrame, single: bool) -> DataFrame:
                 s, e = anchor[src] - hi, anchor[src] - lo
                 # common to the windows of the whole block, also where a run has only some of them
                 core = _digest(one, two, anchor[src] - b * size, anchor[src] - b * size - size + 1 + WIDTH, b)
-                p = _pack(s - base[src] + (whole[i:j] >> 30)[src], e - s, lo, pos[src] & 65535)
-                ids = batch.column("doc_id").take(pa.array(i + src))
+                p = _pack(s - base[src] + (whole[i:j] >> 30)[src], e - s, lo)
+                ids, key = (batch.column(c).take(pa.array(i + src)) for c in ("doc_id", "k"))
                 if single:
-                    yield pa.RecordBatch.from_arrays([pa.array(core), ids, pa.array(p)], names=["h", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(core), ids, pa.array(p), key], names=["h", "doc_id", "pos", "k"])
                 else:
                     full = _digest(one, two, s, e + WIDTH, b + (hi << 8))
-                    yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(full), ids, pa.array(p), pa.array(whole[i:j][src])],
-                                                     names=["h", "d", "doc_id", "pos", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(full), ids, pa.array(p), key, pa.array(whole[i:j][src])],
+                                                     names=["h", "d", "doc_id", "pos", "k", "run"])
 
-    return rows.mapInArrow(run, "h long, doc_id long, pos long" if single else "h long, d long, doc_id long, pos long, run long")
+    return rows.mapInArrow(run, "h long, doc_id long, pos long, k long" if single else "h long, d long, doc_id long, pos long, k long, run long")
 
 
-def _sorted_groups(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """One pass over records (h, d, doc_id, pos and further columns): records whose h occurs once leave; of
+def _refined(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """One pass over records (h, d, doc_id, pos, k and further columns): records whose h occurs once leave; of
     equal (h, d) all but the first are decided; the first ones of the h that have several d go on."""
     often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("_h"))
     kept = written(found.join(often, found["h"] == often["_h"]).drop("_h"), name)
@@ -171,29 +170,35 @@ def _sorted_groups(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     groups = kept.groupBy("h", "d").agg(F.min(F.struct(*further)).alias("least"), F.count("*").alias("n"))
     lead = groups.filter("n > 1").select(F.col("h").alias("_h"), F.col("d").alias("_d"), F.expr("struct(least.doc_id as doc_id, shiftright(least.pos, 30) as at)").alias("least"))
     decided = (kept.join(lead, (kept["h"] == lead["_h"]) & (kept["d"] == lead["_d"]))
-               .filter(F.expr("struct(doc_id, shiftright(pos, 30) as at) > least")).select("doc_id", "pos"))
+               .filter(F.expr("struct(doc_id, shiftright(pos, 30) as at) > least")).select("doc_id", "pos", "k"))
     several = groups.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("h").alias("_h"))
     on = groups.join(several, F.col("h") == F.col("_h")).select("least.*")
     return decided, on
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, k16, spans): for each row of (doc_id, text) with any, the packed runs of windows of
-    WIDTH bytes that also start earlier. See the module for the method and ``removed`` for nulls."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, text) without null texts; doc_id and k tell different texts apart, so k is 0 where no doc_id (or null) has several
+    texts, and then takes no room."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("k16", text_key().bitwiseAND(65535)).select("doc_id", "k16", "text")
-    whole, edge = _sorted_groups(_run_table(texts), "runs")
+    keys = texts.select("doc_id", text_key().alias("k")).groupBy("doc_id").agg(F.min("k").alias("least"), F.max("k").alias("most"))
+    k = F.lit(0).cast("long") if keys.filter("least <> most").isEmpty() else text_key()
+    return texts.select("doc_id", k.alias("k"), "text")
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(doc_id, k, spans): for each text of (doc_id, k, text) with any, the packed runs of windows of
+    WIDTH bytes that also start earlier. See the module for the method and ``removed`` for nulls."""
+    whole, edge = _refined(_run_table(texts), "runs")
     cut = written(_run_bytes(edge, texts), "bytes")
-    blocks, edge = _sorted_groups(_blocks(cut.withColumn("pos", F.col("run")), single=False), "blocks")
-    part = edge.select(F.col("doc_id").alias("_d"), F.col("run").alias("_r"), "pos")
-    part = cut.join(part, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("run") == F.col("_r"))).drop("_d", "_r")
+    blocks, edge = _refined(_blocks(cut.withColumn("pos", F.col("run")), single=False), "blocks")
+    part = edge.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("run").alias("_r"), "pos")
+    part = cut.join(part, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("run") == F.col("_r"))).drop("_d", "_k", "_r")
     single = written(_blocks(part, single=True), "windows")
     least = single.groupBy(F.col("h").alias("_h")).agg(F.min(F.struct("doc_id", F.shiftright("pos", 30).alias("at"))).alias("least"), F.count("*").alias("n")).filter("n > 1")
     ones = (single.join(least, single["h"] == least["_h"]).filter(F.expr("struct(doc_id, shiftright(pos, 30) as at) > least"))
-            .select("doc_id", "pos"))
+            .select("doc_id", "pos", "k"))
     spans = whole.unionByName(blocks).unionByName(ones)
-    return (spans.withColumn("k16", F.col("pos").bitwiseAND(65535)).groupBy("doc_id", "k16")
-            .agg(F.collect_set("pos").alias("spans")))
+    return spans.groupBy("doc_id", "k").agg(F.collect_set("pos").alias("spans"))
 
 
 def covered(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,13 +215,12 @@ def removed(docs: DataFrame) -> DataFrame:
 
     A null text is empty; texts under WIDTH bytes lose nothing. Null doc_ids come before all others.
     Rows that repeat a doc_id are judged by (doc_id, start) like one document: of windows with equal
-    doc_id and start none is earlier, so exact repeats of a row fare alike. Other columns are not read;
+    doc_id and start none is earlier, so exact repeats of a row fare alike; different texts of one doc_id are told apart by 64 bits. Other columns are not read;
     empty tables give no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("k16", text_key().bitwiseAND(65535)).select("doc_id", "k16", "text")
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_d"), F.col("k16").alias("_k"), "spans")
-    rows = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k16") == F.col("_k")), "left") \
+    texts = _texts(docs)
+    spans = repeated_spans(texts).select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "spans")
+    rows = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")), "left") \
         .select("doc_id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
 
     def run(batches):
