@@ -19,7 +19,7 @@ _LOG = "append bigint, name string"
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """(append, name) of the appends that are whole."""
     try:
-        return spark.read.schema(_LOG).parquet(f"{path}/log")
+        return spark.read.schema(_LOG).parquet(f"{path}/log").select("append", "name")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
