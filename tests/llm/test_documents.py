@@ -351,6 +351,17 @@ def test_shards(docs, docs_rows, no_docs, limit):
     assert sharding.assign_shards(no_docs, limit).count() == 0
 
 
+def test_shards_of_texts_that_share_an_id(spark):
+    """A thousand texts without a doc_id, and as many with the same one, are dealt out like others."""
+    made = [(d, f"{i} " * (20 + i % 9)) for i in range(1000) for d in (None, 7)] + [(1, "copy " * 300)] * 5
+    got = sharding.assign_shards(spark.createDataFrame(made, "doc_id long, text string"), 4000).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["bytes"]
+    over = [s for s, n in size.items() if n > 4000]
+    assert len(got) == len(made) and len(over) == 1 and all(r["doc_id"] == 1 for r in got if r["shard"] == over[0])
+
+
 def test_shard_files(spark, docs, docs_rows, tmp_path):
     a = sharding.assign_shards(docs, 100_000)
     sharding.write_shards(docs, a, str(tmp_path / "out"))

@@ -119,7 +119,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql=r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(strlen(text), 0)::BIGINT AS bytes,
-         ('0x' || substr(md5('shard:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5('shard:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
 l AS (SELECT range AS depth FROM range(61)),
 n AS (SELECT depth, h >> (60 - depth) AS node, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM d, l GROUP BY ALL),
 f AS (SELECT r, min(depth) AS depth FROM d, l JOIN n USING (depth) WHERE n.node = d.h >> (60 - l.depth)

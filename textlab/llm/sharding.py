@@ -20,12 +20,14 @@ def assign_shards(docs: DataFrame, limit_bytes: int, seed: str = "shard") -> Dat
     finds the first bit at which each part fits, and hands the parts that still do not to the next pass.
     Texts themselves are read once, for their size.
 
-    Nulls: a null text has 0 bytes, a null doc_id hashes as the empty string. Rows with one doc_id hash
-    alike and stay together; a bucket of one hash cannot split, so a shard above the limit holds one
-    doc_id only (all 60 bits). Empty tables give no rows. Other columns are not read.
+    A document's hash is of its doc_id and its text, so that texts which share an id, or have none, are dealt out like others.
+    Nulls: a null text has 0 bytes and counts as an empty one, a null doc_id hashes as the empty string. Only rows equal in both hash
+    alike and stay together; a bucket of one hash cannot split, so a shard above the limit holds copies of one
+    row (all 60 bits). Empty tables give no rows. Other columns are not read.
     """
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
     rest = written(docs.select("doc_id", text_key().alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-                               seeded_hash(seed, F.col("doc_id")).alias("h")), "sizes")
+                               seeded_hash(seed, key).alias("h")), "sizes")
     out, at = None, 0
     while at < HASH_BITS:
         # the root itself is a bucket of the first pass
