@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from textlab.operators.joins import broadcast_if_small
-from textlab.session import cut_lineage
+from textlab.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small, measured_bytes
+from textlab.session import written
 
 
 def build_publications(ann: DataFrame, id_col: str = "id", title_col: str = "pub_title",
@@ -156,12 +157,12 @@ def interior_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(inner, lambda t: F.length(t) > 0))
 
 
-def _grams(token: Column) -> Column:
-    """Distinct character runs of one to three characters."""
+def _grams(token: Column, sizes: Sequence[int]) -> Column:
+    """Distinct character runs of the given sizes."""
     def of(n):
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: i + (n - 1) <= F.length(token))
         return F.transform(starts, lambda i: F.substring(token, i, F.lit(n)))
-    return F.array_distinct(F.concat(*[of(n) for n in (1, 2, 3)]))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
 def contain_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
@@ -171,44 +172,46 @@ def contain_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", do
     for a corpus-wide dictionary of passages.
 
     Blocking instead of a nested loop, by equi-joins on tokens.  A passage with
-    interior tokens is keyed by the one that the fewest documents hold.  A
+    interior tokens is keyed by the one that the fewest documents hold: the documents' tokens that are
+    interior to some passage are written once, counted, and met by the keys.  A
     shorter one (one or two words) can sit inside longer words: its first word
     meets the corpus's distinct tokens by a run of up to three characters, and
-    the tokens that contain it are its keys.  Candidates are (document, item)
+    the tokens that contain it are its keys; without such passages no run is made.  Candidates are (document, item)
     keys only; texts meet them once, to be verified with ``contains``.  A
     passage without any word is compared with every document, as its result is.
     """
     it = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_text is not null")
     it = it.withColumn("inner", interior_tokens(F.col("item_text")))
     first_word = F.get(F.filter(F.split("item_text", r"\s+", -1), lambda t: F.length(t) > 0), 0)
-    it = cut_lineage(it.withColumn("word", F.when(F.size("inner") == 0, first_word)))
+    it = written(it.withColumn("word", F.when(F.size("inner") == 0, first_word)).withColumn("n", F.length("word")), "items")
+    longer, sizes, blanks = it.agg(F.count_if(F.size("inner") > 0), F.collect_set(F.least("n", F.lit(3))), F.count_if((F.size("inner") == 0) & F.col("word").isNull())).first()
+    # words, keys and texts of the passages are all parts of these rows, so one measure holds for each of them
+    limit = DEFAULT_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
+    part = F.broadcast if measured_bytes(it) <= limit else (lambda df: df)
     d = docs.select(F.col(doc_key).alias("doc_id"), F.col(doc_text).alias("doc_text"))
     toks = d.select("doc_id", F.explode(F.array_distinct(F.split("doc_text", r"\s+", -1))).alias("token"))
-
-    # document frequency of the words that passages can be keyed by
-    inner = it.select("item_id", "item_text", F.explode("inner").alias("token"))
-    words, _ = broadcast_if_small(inner.select("token").distinct(), max_broadcast_bytes)
-    df = toks.join(words, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    keyed = (inner.join(df, "token").groupBy("item_id", "item_text")
-             .agg(F.min(F.struct("df", "token")).alias("k"), F.count("*").alias("found")))
-    # a passage one of whose words no document holds occurs nowhere
-    need = it.select("item_id", "item_text", F.size("inner").alias("need"))
-    keyed = keyed.join(need, ["item_id", "item_text"]).filter("found >= need").select("item_id", F.col("k.token").alias("token"))
-
-    short = it.filter("word is not null").select("item_id", "word", F.substring("word", 1, 3).alias("gram"))
-    short, _ = broadcast_if_small(short, max_broadcast_bytes)
-    grams = toks.select("token").distinct().select("token", F.explode(_grams(F.col("token"))).alias("gram"))
-    inside = grams.join(short, "gram").filter(F.contains("token", F.col("word"))).select("item_id", "token")
-
-    keys, _ = broadcast_if_small(keyed.unionByName(inside).distinct(), max_broadcast_bytes)
-    cand = toks.join(keys, "token").select("doc_id", "item_id").distinct()
-    cand, _ = broadcast_if_small(cand, max_broadcast_bytes)
-    texts, _ = broadcast_if_small(it.select("item_id", "item_text"), max_broadcast_bytes)
-    verified = (d.join(cand, "doc_id").join(texts, "item_id")
-                .filter(F.contains("doc_text", F.col("item_text"))).select("doc_id", "item_id"))
-    blank = it.filter("size(inner) = 0 and word is null").select("item_id", "item_text")
-    if not blank.limit(1).count():
-        return verified
-    blanks = blank.agg(F.collect_set(F.struct("item_id", "item_text")).alias("b")).scalar()
-    every = d.withColumn("blanks", blanks).select("doc_id", F.explode(F.filter("blanks", lambda x: F.contains(F.col("doc_text"), x["item_text"]))).alias("b"))
-    return verified.unionByName(every.select("doc_id", F.col("b.item_id").alias("item_id")))
+    found = []
+    if longer:
+        inner = it.select("item_id", F.xxhash64("item_text").alias("which"), F.size("inner").alias("need"), F.explode("inner").alias("token"))
+        hits = written(toks.join(part(inner.select("token").distinct()), "token", "left_semi"), "hits")
+        df = hits.groupBy("token").agg(F.count("*").alias("df"))
+        # a passage one of whose words no document holds occurs nowhere
+        keyed = (inner.join(df, "token").groupBy("item_id", "which", "need").agg(F.min(F.struct("df", "token")).alias("k"), F.count("*").alias("found"))
+                 .filter("found >= need").select("item_id", F.col("k.token").alias("token")))
+        found.append(hits.join(part(keyed), "token").select("doc_id", "item_id"))
+    if sizes:
+        short = it.filter("word is not null").select("item_id", "word", F.substring("word", 1, 3).alias("gram"))
+        grams = toks.select("token").distinct().select("token", F.explode(_grams(F.col("token"), sorted(sizes))).alias("gram"))
+        inside = grams.join(part(short), "gram").filter(F.contains("token", F.col("word"))).select("item_id", "token")
+        keys, _ = broadcast_if_small(inside, max_broadcast_bytes)
+        found.append(toks.join(keys, "token").select("doc_id", "item_id"))
+    pairs = d.select("doc_id", F.lit(None).cast(it.schema["item_id"].dataType).alias("item_id")).limit(0)
+    if found:
+        cand, _ = broadcast_if_small(reduce(DataFrame.unionByName, found).distinct(), max_broadcast_bytes)
+        pairs = (d.join(cand, "doc_id").join(part(it.select("item_id", "item_text")), "item_id")
+                 .filter(F.contains("doc_text", F.col("item_text"))).select("doc_id", "item_id"))
+    if not blanks:
+        return pairs
+    blank = it.filter("size(inner) = 0 and word is null").agg(F.collect_set(F.struct("item_id", "item_text")).alias("b")).scalar()
+    every = d.withColumn("blanks", blank).select("doc_id", F.explode(F.filter("blanks", lambda x: F.contains(F.col("doc_text"), x["item_text"]))).alias("b"))
+    return pairs.unionByName(every.select("doc_id", F.col("b.item_id").alias("item_id")))
