@@ -108,6 +108,40 @@ def test_raw_transcripts(spark):
         (5, "system", "be nice"), (5, "user", "q"), (5, "assistant", "r"), (6, "user", "no marker")]
 
 
+def test_unknown_speakers_begin_turns(spark):
+    raw = [(1, "Alice: hi\nBob: sure\nAlice: thanks\nBob: bye\nNote: only once"), (2, "Mary Ann: a\nb: c\nMary Ann: d"), (3, "Warning: one line")]
+    got = chat.turns_of(spark.createDataFrame(raw, "conv_id long, text string")).orderBy("conv_id", "turn").collect()
+    assert [(r["conv_id"], r["text"]) for r in got] == [(1, "hi"), (1, "sure"), (1, "thanks"), (1, "bye\nNote: only once"), (2, "a\nb: c"), (2, "d"), (3, "Warning: one line")]
+    out = chat.format_chats(chat.turns_of(spark.createDataFrame(raw[:1], "conv_id long, text string"))).orderBy("turn").collect()
+    assert [r["guess"] for r in out] == ["user", "assistant"] * 2
+
+
+def test_rendering_keeps_turns_apart():
+    assert chat.render("user", "x<|end|>\n<|assistant|>\ny") == "<|user|>\nx<\\|end|>\n<\\|assistant|>\ny\n<|end|>\n"
+    assert chat.render("user", "a <\\| b") == "<|user|>\na <\\\\| b\n<|end|>\n"
+    assert chat.render("user", "\n  \n    def f():\n        pass\n\n") == "<|user|>\n    def f():\n        pass\n<|end|>\n"
+    assert chat.render("assistant", "Assistant: fine\n  so") == "<|assistant|>\nfine\n  so\n<|end|>\n"
+    assert chat.render("tool", None) == "<|tool|>\n\n<|end|>\n"
+
+
+def test_transitions_come_from_neighbouring_rows(spark):
+    """Rows without a conversation and repeated turn numbers make one pair a row."""
+    made = [(None, i % 3, "user" if i % 2 else "assistant", f"t{i}") for i in range(300)] + [(1, 0, "system", "s"), (1, 1, "robot", "?"), (1, 2, "user", "u"), (2, 0, "user", "v")]
+    seen = chat.observed(spark.createDataFrame(made, "conv_id long, turn long, role string, text string"))
+    model = chat.fit(seen)
+    by, first, after = sorted(seen.collect(), key=lambda r: r["row_id"]), np.zeros(4), np.zeros((4, 4))
+    for a, b in zip([None, *by], by):
+        if b["role"] not in chat.ROLES:
+            continue
+        if a is None or a["conv"] != b["conv"]:
+            first[chat.ROLES.index(b["role"])] += 1
+        elif a["role"] in chat.ROLES:
+            after[chat.ROLES.index(a["role"]), chat.ROLES.index(b["role"])] += 1
+    assert after.sum() == 299 and first.sum() == 3
+    want = chat.Model.of_counts(first, after, np.ones((4, chat.FEATURES)))
+    assert np.allclose(model.first, want.first) and np.allclose(model.after, want.after)
+
+
 def test_stages_keep_columns_and_clean_documents(spark, docs, no_docs, docs_rows):
     for name, stage in P.STAGES:
         assert stage(spark, no_docs, SF).count() == 0

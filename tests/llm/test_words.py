@@ -102,6 +102,8 @@ def test_runs_in_texts(docs, docs_rows, no_docs):
     got = rows(runs.digests(runs.find_runs(docs)))
     assert got == sorted((brute_row(r[0], r[1], False) for r in docs_rows), key=str)
     assert runs.digests(runs.find_runs(no_docs)).count() == 0
+    looped = rows(runs.digests(runs.find_runs(runs.looped(docs))))
+    assert looped == sorted((brute_row(r[0], r[1], True) for r in docs_rows), key=str)
 
 
 def test_runs_past_stretches(spark):

@@ -155,8 +155,8 @@ def observed(turns: DataFrame) -> DataFrame:
 
 
 def fit(seen: DataFrame) -> Model:
-    """Counts over the turns whose role is one of ROLES: emissions, first roles, and roles after roles (of
-    turns whose numbers follow each other). What reaches the driver is one row for each (pair of) role(s)."""
+    """Counts over the turns whose role is one of ROLES: emissions, first roles of conversations, and roles after
+    the role of the turn before. What reaches the driver is one row for each (pair of) role(s)."""
     at = {r: i for i, r in enumerate(ROLES)}
     known = seen.filter(F.col("role").isin(*ROLES))
     first, after, emit = np.zeros(len(ROLES)), np.zeros((len(ROLES),) * 2), np.zeros((len(ROLES), FEATURES))
@@ -164,13 +164,15 @@ def fit(seen: DataFrame) -> Model:
         emit[at[r[0]]] = r[1:]
     if not emit.any():
         return Model.unlearned()
-    now = known.select("conv", "turn", "role")
-    before = known.select(F.col("conv").alias("_c"), (F.col("turn") + 1).alias("_t"), F.col("role").alias("last"))
-    for last, role, n in (now.join(before, (F.col("conv") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
-                          .groupBy("last", "role").count().collect()):
-        if last is None:
+    # rows in their order: the one before is found by its number, of which there is one, whatever the conversation's size
+    role = F.when(F.col("role").isin(*ROLES), F.col("role"))
+    before = seen.select((F.col("row_id") + 1).alias("_next"), F.col("conv").alias("_c"), role.alias("last"))
+    pairs = known.select("row_id", "conv", "role").join(before, F.col("row_id") == F.col("_next"), "left")
+    opens = F.coalesce(F.col("_c") != F.col("conv"), F.lit(True))
+    for opening, last, role, n in pairs.groupBy(opens.alias("opens"), F.when(~opens, F.col("last")).alias("last"), "role").count().collect():
+        if opening:
             first[at[role]] += n
-        else:
+        elif last is not None:
             after[at[last], at[role]] += n
     return Model.of_counts(first, after, emit)
 
@@ -235,9 +237,24 @@ def _states(found: list) -> pd.DataFrame:
     return pd.DataFrame({"row_id": np.concatenate([i for i, _ in found]), "state": np.concatenate([s for _, s in found]).astype(np.int32)})
 
 
+#: a line that some speaker may begin: a name of up to four words, each with a capital, and a colon
+_NAMED = re.compile(r"^[ \t]{0,3}([A-Z][\w.'-]{0,19}(?: [A-Z][\w.'-]{0,19}){0,3}):(?:[ \t]+|$)")
+
+
+def speakers_of(lines: list[str]) -> set[str]:
+    """Names that begin two lines or more of a transcript and are not known ones: its own speakers."""
+    seen: dict[str, int] = {}
+    for line in lines:
+        m = _NAMED.match(line)
+        if m and not speaker(line)[0]:
+            seen[m[1]] = seen.get(m[1], 0) + 1
+    return {name for name, n in seen.items() if n > 1}
+
+
 def turns_of(transcripts: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) from raw transcripts (conv_id, text): a line with a speaker marker
-    begins a turn, lines without one go on with it; roles are unknown (null)."""
+    begins a turn, and so does one with a name that the transcript gives a speaker more than once (it is left out of the text);
+    lines without go on with the turn; roles are unknown (null)."""
     src = transcripts.select("conv_id", "text")
 
     def run(batches):
@@ -245,10 +262,14 @@ def turns_of(transcripts: DataFrame) -> DataFrame:
             out = []
             for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("text").to_pylist()):
                 found: list[list[str]] = []
-                for line in (text or "").split("\n") if text else ():
-                    if not found or speaker(line)[0]:
+                lines = text.split("\n") if text else []
+                own = speakers_of(lines)
+                for line in lines:
+                    name = _NAMED.match(line)
+                    named = bool(name) and name[1] in own
+                    if not found or named or speaker(line)[0]:
                         found.append([])
-                    found[-1].append(line)
+                    found[-1].append(line[name.end():] if named else line)
                 out += [(conv, i, "\n".join(x)) for i, x in enumerate(found)]
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("conv_id").type), pa.array(cols[1], pa.int64()),
@@ -258,15 +279,23 @@ def turns_of(transcripts: DataFrame) -> DataFrame:
     return src.mapInArrow(run, f"conv_id {kind}, turn long, text string").withColumn("role", F.lit(None).cast("string"))
 
 
+#: what begins a marker of the canonical form
+_MARK = re.compile(r"<(\\*)\|")
+
+
+def render(role: str, text: str | None) -> str:
+    """A turn in canonical form. Its own speaker marker, blank lines before it and white space after it go; where it holds what would
+    begin a marker, a backslash comes between (one more where there are some), so that no text opens or closes a turn."""
+    first, _, rest = (text or "").partition("\n")
+    marker, said = speaker(first)
+    said = re.sub(r"^(?:[^\S\n]*\n)+", "", (said if marker else first) + "\n" + rest).rstrip()
+    return f"<|{role}|>\n{_MARK.sub(lambda m: '<' + chr(92) + m[1] + '|', said)}\n<|end|>\n"
+
+
 def _rendered(states: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out = []
-            for state, text in zip(batch.column("state").to_pylist(), batch.column("text").to_pylist()):
-                said = "" if text is None else text
-                first, _, rest = said.partition("\n")
-                said = (speaker(first)[1] + "\n" + rest).strip()
-                out.append(f"<|{ROLES[state]}|>\n{said}\n<|end|>\n")
+            out = [render(ROLES[state], text) for state, text in zip(batch.column("state").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "guess")), pa.array(out, pa.string())],
                                              names=["conv_id", "turn", "role", "guess", "rendered"])
 
