@@ -39,7 +39,8 @@ def word_count(text: str | Column) -> Column:
 
 # ---- texts as numpy arrays, inside Arrow tasks -------------------------------------------
 
-CHUNK = 1 << 20
+#: bytes of text that a task turns into arrays at once
+CHUNK = 1 << 19
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -100,7 +100,7 @@ def _run_table(texts: DataFrame) -> DataFrame:
 def _run_bytes(places: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, k, run, bytes): the bytes that the windows of each run in ``places`` span. Texts are dealt
     out once for it, each with the list of its runs (bounded by the text)."""
-    p = places.groupBy(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).agg(F.collect_set("pos").alias("at"))
+    p = places.groupBy(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).agg(F.collect_list("pos").alias("at"))
     rows = texts.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc_id", "k", "text", "at")
 
     def run(batches):
@@ -180,8 +180,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     """(doc_id, k, text) without null texts; doc_id and k tell different texts apart, so k is 0 where no doc_id (or null) has several
     texts, and then takes no room."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = texts.select("doc_id", text_key().alias("k")).groupBy("doc_id").agg(F.min("k").alias("least"), F.max("k").alias("most"))
-    k = F.lit(0).cast("long") if keys.filter("least <> most").isEmpty() else text_key()
+    shared = not texts.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if shared:  # only then texts have to be read to tell
+        keys = texts.select("doc_id", text_key().alias("k")).groupBy("doc_id").agg(F.min("k").alias("least"), F.max("k").alias("most"))
+        shared = not keys.filter("least <> most").isEmpty()
+    k = text_key() if shared else F.lit(0).cast("long")
     return texts.select("doc_id", k.alias("k"), "text")
 
 
