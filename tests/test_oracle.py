@@ -37,7 +37,8 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_query_matches_duckdb(spark, duck, key):
     df = QUERIES[key](spark, SF_SMALL)
-    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
     rel = duck.sql(ORACLE[key])
     d_cols, d_rows = rel.columns, rel.fetchall()

@@ -176,8 +176,13 @@ def take_smallest(df: DataFrame, rank_col: str, tiebreak: Sequence[str], k: Colu
         out = j.withColumn("_in", inside)
     else:
         j = j.withColumn("_edge", F.coalesce(edge, F.lit(False))).withColumn("_first", first)
-        w = Window.partitionBy(*g, F.lit(0)).orderBy(F.lit(0))
-        numbered = j.filter("_edge").withColumn("_in", F.row_number().over(w) <= F.col("_first"))
+        # equal rows are told apart by where they happen to be; they are numbered across partitions and written, so that each keeps its number
+        nth = assign_row_id(j.filter("_edge").withColumn("_place", F.monotonically_increasing_id()), [*g, "_place"], "_nth")
+        if g:
+            least = nth.groupBy(*[F.col(c).alias(f"_n_{c}") for c in g]).agg(F.min("_nth").alias("_least"))
+            nth = nth.join(least, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in g])).withColumn("_nth", F.col("_nth") - F.col("_least"))
+            nth = nth.drop("_least", *[f"_n_{c}" for c in g])
+        numbered = nth.withColumn("_in", F.col("_nth") < F.col("_first")).drop("_nth", "_place")
         out = j.filter("not _edge").withColumn("_in", inside).unionByName(numbered)
     out = out.drop(*helper)
     return out.filter("_in").drop("_in") if flag is None else out.withColumnRenamed("_in", flag)

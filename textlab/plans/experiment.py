@@ -132,7 +132,7 @@ def train_focal(feats: DataFrame, rows: DataFrame | None = None, gamma: float =
         slope, loss = gradient(table, model, gamma, alpha)
         model.step(slope, lr, l2, optimizer)
         log += [(*line, epoch, float(x)) for line, x in zip(groups, loss)]
-    kinds = {f.name: f.dataType.simpleString() for f in (rows or feats).schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in (feats if rows is None else rows).schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in g), "epoch int", "loss double"])
     return model.table(spark, g), spark.createDataFrame(log, schema)
 
