@@ -62,3 +62,15 @@ def test_label_corpus_filters_below_the_join(spark):
     # the length filters sit under the join, on the section side
     import re
     assert re.search(r"length\(section_txt#\d+\)", plan[join_at:])
+
+
+def test_folds_are_written_without_a_sort_by_folder(spark, tmp_path):
+    """The many copies of a paragraph go to their folders as they come; no setting stays changed."""
+    from textlab.sources import readers, writers
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    df = spark.range(2000, numPartitions=1).selectExpr("cast(id as string) AS id", "cast(id % 10 as int) AS fold", "if(id % 3 = 0, 'test', 'train') AS split")
+    writers.write_folds(df, str(tmp_path / "folds"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    back = readers.read_folds(spark, str(tmp_path / "folds"), None)
+    assert sorted(map(tuple, back.select("id", "fold", "split").collect())) == sorted(map(tuple, df.collect()))
+    assert all(f.endswith(".zstd.parquet") for f in back.inputFiles()) and len(back.inputFiles()) == 20

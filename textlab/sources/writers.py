@@ -35,8 +35,21 @@ def write_sections_json(sections: DataFrame, root: str, key: str = "file_id", po
     per_pub.write.mode("overwrite").partitionBy(key, "chunk").text(root)
 
 
+#: folders that a task fills at once, and bytes of a Parquet row group that each of them holds in memory
+OPEN_FOLDERS, FOLD_GROUP_BYTES = 64, 8 << 20
+
+
 def write_folds(folds: DataFrame, root: str) -> None:
-    folds.write.mode("overwrite").partitionBy("fold", "split").parquet(root)
+    """Parquet under ``fold=<i>/split=<name>/``. A task keeps a file of each of its folders open (``OPEN_FOLDERS`` at most; beyond
+    that Spark sorts what is left), so that paragraphs that recur in the folds are not sorted, and spilled, by folder."""
+    conf, name = folds.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(max(int(before), OPEN_FOLDERS)))
+    try:
+        (folds.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", FOLD_GROUP_BYTES)
+         .partitionBy("fold", "split").parquet(root))
+    finally:
+        conf.set(name, before)
 
 
 def write_epoch_log(df: DataFrame, path: str, run: str = "run") -> None:
