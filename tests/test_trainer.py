@@ -170,3 +170,22 @@ def test_experiment_with_cut_copies(spark):
     cfg = X.ExperimentConfig(neg_frac=0.55, pos_copies=3, epochs=2, seeds=(42, 67), val_frac=0.3, n_features=1 << 10, cut_copies=True)
     out = X.run_experiment(labelled_docs(spark, SF_SMALL), cfg)
     assert out["validation"].count() == 4 and out["metrics"].count() == 2
+
+
+def test_features_are_counted_in_slices(spark):
+    """A slice's tokens are hashed once each; rows of no tokens and null rows have no features."""
+    import numpy as np
+    import pyarrow as pa
+
+    from textlab.plans import linear
+    lists = pa.array([["b", "a", "b"], None, [], ["c", None, "a"], ["a"] * 5])
+    want = [([1, 2], [1.0, 2.0]), ([], []), ([], []), ([1, 3], [1.0, 1.0]), ([1], [5.0])]
+    for size in (1, 2, 4, 100):
+        count = linear._counter(lambda flat: np.array([ord(t) % 32 for t in flat.to_pylist()], np.int64), 32, size)
+        assert [(r["indices"], r["values"]) for r in count(lists).to_pylist()] == want
+        assert len(count(lists.slice(0, 0))) == 0
+    for hashing in ("md5", "xxhash64"):
+        df = spark.createDataFrame([(1, "a b  a"), (2, None), (3, "")], "row_id long, text string")
+        feats = linear.text_features(df, n_features=64, hashing=hashing)
+        assert "md5(" not in feats._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.row_id: sum(r.values) for r in feats.collect()} == {1: 4.0, 2: 0, 3: 1.0}

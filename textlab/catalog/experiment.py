@@ -8,7 +8,7 @@ from textlab.catalog.common import longs, r6, table
 from textlab.plans import experiment as X
 from textlab.operators.joins import broadcast_if_small
 from textlab.registry import query
-from textlab.session import cut_lineage
+from textlab.session import cut_lineage, written
 
 NF = 1 << 18
 
@@ -38,7 +38,7 @@ n AS (SELECT count(*) AS n FROM documents), d AS (SELECT feature, count(*) AS df
 SELECT doc_id::BIGINT AS doc_id, feature::BIGINT AS feature, round(value * ln((n + 1)::DOUBLE / (df + 1)), 6) AS value FROM f JOIN d USING (feature), n""")
 def q_text_features_idf(spark, sf_dir):
     """The same with weights learned from how many documents hold a feature."""
-    feats = X.text_features(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", NF)
+    feats = written(X.text_features(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", NF), "vectors")
     scaled = X.tall_features(X.with_idf(feats, X.document_frequencies(feats), NF), "doc_id", bias=False)
     return scaled.select("doc_id", "feature", r6("value").alias("value"))
 

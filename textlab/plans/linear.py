@@ -9,10 +9,12 @@ oversampled class, and no epoch joins, sorts or moves a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textlab.functions.arrays import head_tail_window
@@ -22,32 +24,58 @@ BIAS_FEATURE = -1
 _LOSS, _ROWS = -2, -3
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: tokens of a batch that a task counts at once
+SLICE_TOKENS = 1 << 18
+
+
+def _counter(bucket: Callable[[pa.Array], np.ndarray], n_features: int, slice_tokens: int = SLICE_TOKENS) -> Callable[[pa.Array], pa.Array]:
+    """The function that tasks count a batch by (made here, it is sent to them whole; they need not have this module)."""
+    def counts_of(lists: pa.Array) -> pa.Array:
+        """Each list's distinct buckets, sorted, and how often they stand there; nulls count nothing. A batch is worked off in slices of
+        rows of about ``slice_tokens`` tokens, by sorting a slice's (row, bucket) numbers and counting equal neighbours."""
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes, indices, values, at = [], [], [], 0
+        while at < len(lists):
+            done = ends[at - 1] if at else 0
+            cut = max(at + 1, int(np.searchsorted(ends, done + slice_tokens, "right")))
+            flat = lists.slice(at, cut - at).flatten()  # null lists hold nothing
+            row = np.repeat(np.arange(cut - at), np.diff(ends[at:cut], prepend=done))
+            if flat.null_count:
+                row, flat = row[flat.is_valid().to_numpy(zero_copy_only=False)], flat.drop_null()
+            places, counts = np.unique(row * n_features + bucket(flat), return_counts=True)
+            sizes.append(np.bincount(places // n_features, minlength=cut - at))
+            indices.append(places % n_features)
+            values.append(counts.astype(np.float64))
+            at = cut
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else [0], pa.int32())
+        parts = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(p) if p else [], kind)) for p, kind in ((indices, pa.int64()), (values, pa.float64()))]
+        return pa.StructArray.from_arrays(parts, ["indices", "values"])
+
+    return counts_of
 
 
 def token_counts(tokens: Column, n_features: int, hashing: str = "md5") -> Column:
-    """Struct of sorted distinct ``indices`` and their counts ``values`` of an array of tokens, by sorting
-    the row's hashes and counting equal neighbours."""
+    """Struct of sorted distinct ``indices`` and their counts ``values`` of an array of tokens, inside the row."""
     if hashing == "md5":  # reproducible in DuckDB
-        def bucket(t):
-            return F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(n_features))
-    elif hashing == "xxhash64":  # Spark's native hash, far cheaper per token
-        def bucket(t):
-            return F.pmod(F.xxhash64(t), F.lit(n_features))
+        def bucket(flat):  # each distinct token of a slice is hashed once
+            coded = flat.dictionary_encode()
+            of = [int.from_bytes(md5(t.encode()).digest()[:4]) % n_features for t in coded.dictionary.to_pylist()]
+            return np.array(of, np.int64)[coded.indices.to_numpy()]
+    elif hashing == "xxhash64":  # Spark's native hash
+        tokens = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(n_features)))
+
+        def bucket(flat):
+            return flat.to_numpy()
     else:
         raise ValueError("hashing is 'md5' or 'xxhash64'")
 
-    def runs(ids):
-        first = F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: (i == 0) | (F.get(ids, i) != F.get(ids, i - 1)))
-        return _let(first, lambda s: F.struct(
-            F.transform(s, lambda i: F.get(ids, i)).alias("indices"),
-            F.transform(s, lambda i, j: (F.coalesce(F.get(s, j + 1), F.size(ids)) - i).cast("double")).alias("values")))
+    counts_of = _counter(bucket, n_features)
 
-    none = F.struct(F.array().cast("array<bigint>").alias("indices"), F.array().cast("array<double>").alias("values"))
-    some = _let(F.array_sort(F.transform(tokens, bucket)), runs)
-    return F.when(F.coalesce(F.size(tokens), F.lit(0)) > 0, some).otherwise(none)
+    @F.arrow_udf("indices array<bigint>, values array<double>")
+    def counted(lists: pa.Array) -> pa.Array:
+        return counts_of(lists)
+
+    return counted(tokens)
 
 
 def windowed_tokens(text: str | Column, head: int | None = None, tail: int | None = None) -> Column:
