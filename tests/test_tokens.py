@@ -63,3 +63,14 @@ def test_vocab_ties_at_the_cut(spark):
     assert len(small) == 15
     got = {r[0] for r in small}
     assert "common" in got and all(f"v{i}" in got for i in range(10))  # counts 5 and 2 beat the ties at 1
+
+
+def test_join_encoding_looks_up_no_map(spark):
+    """A row's dictionary is no map, which each token would search from its beginning: a long row of distinct tokens."""
+    n = 3000
+    df = spark.createDataFrame([(1, [f"t{i}" for i in range(n)] + ["t7", "new"]), (2, ["t5"]), (3, ["none"])], "row_id long, tokens array<string>")
+    v = spark.createDataFrame([(f"t{i}", 4 + i) for i in range(n)], "token string, id int")
+    e = tokens.encode_tokens(df, v, max_broadcast_bytes=0)
+    assert "map_from_entries" not in e._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.row_id: r.ids for r in e.collect()}
+    assert got == {1: [*range(4, n + 4), 11, 1], 2: [9], 3: [1]}

@@ -6,6 +6,9 @@ The vocabulary reserves 0 = PAD, 1 = UNK, 2 = CLS, 3 = SEP (so a mask of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,6 +23,8 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 #: copies of a vocabulary's lines that rows share out among them
 SALTS = 16
+#: tokens of a batch that a task turns into ids at once
+SLICE_TOKENS = 1 << 18
 
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "tokens", pattern: str = " ",
@@ -61,6 +66,26 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = 30000,
     return chosen.select("token", (F.row_number().over(w) - 1 + len(SPECIAL_TOKENS)).cast("int").alias("id"), "n")
 
 
+def _encoder(slice_tokens: int = SLICE_TOKENS) -> Callable[[pa.Array, dict], pa.Array]:
+    """The function that tasks turn a batch into ids by (made here, it is sent to them whole; they need not have this module)."""
+    def ids_of(lists: pa.Array, ids: dict) -> pa.Array:
+        """Lists of tokens as lists of their ``ids``, unknown and null tokens as UNK, a null list as an empty one. A batch is worked
+        off in slices of rows of about ``slice_tokens`` tokens; each distinct token of a slice is looked up once."""
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        found, at = [], 0
+        while at < len(lists):
+            done = ends[at - 1] if at else 0
+            cut = max(at + 1, int(np.searchsorted(ends, done + slice_tokens, "right")))
+            coded = lists.slice(at, cut - at).flatten().dictionary_encode()  # null lists hold nothing
+            known = pa.array([ids.get(t, UNK_ID) for t in coded.dictionary.to_pylist()], pa.int32())
+            found.append(pc.fill_null(known.take(coded.indices), UNK_ID))
+            at = cut
+        flat = pa.concat_arrays(found) if found else pa.array([], pa.int32())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat)
+
+    return ids_of
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids",
                   max_broadcast_bytes: int | None = None) -> DataFrame:
     """Token -> id lookup, unknown and null tokens -> UNK; a null list is empty.
@@ -74,17 +99,11 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out:
         return _encode_by_join(df, v, tokens, out)
     held = v.toArrow()
     sent = df.sparkSession.sparkContext.broadcast(dict(zip(held.column("token").to_pylist(), held.column("id").to_pylist())))
-    unknown = UNK_ID
+    ids_of = _encoder()
 
     @F.arrow_udf("array<int>")
     def lookup(lists: pa.Array) -> pa.Array:
-        ids = sent.value
-        lists = pc.if_else(pc.is_null(lists), pa.scalar([], lists.type), lists) if lists.null_count else lists
-        coded = lists.flatten().dictionary_encode()  # each distinct token of a batch is looked up once
-        known = pa.array([ids.get(t, unknown) for t in coded.dictionary.to_pylist()], pa.int32())
-        found = pc.fill_null(known.take(coded.indices), unknown)
-        ends = pc.cumulative_sum(pc.list_value_length(lists)).cast(pa.int32())
-        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), found)
+        return ids_of(lists, sent.value)
 
     return df.withColumn(out, lookup(F.col(tokens)))
 
@@ -98,11 +117,19 @@ def _encode_by_join(df: DataFrame, vocab: DataFrame, tokens: str, out: str) -> D
     need = rows.select("_row", F.explode(F.array_distinct(listed)).alias("token")).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
     lines = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = (need.join(lines, ["token", "_salt"]).groupBy(F.col("_row").alias("_r"))
-           .agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_ids")))
-    ids = F.coalesce("_ids", F.create_map().cast("map<string,int>"))
-    j = rows.join(own, F.col("_row") == F.col("_r"), "left").withColumn("_ids", ids)
-    found = F.transform(listed, lambda t: F.coalesce(F.when(t.isNotNull(), F.try_element_at("_ids", t)), F.lit(UNK_ID)))
-    return j.withColumn(out, found).drop("_row", "_r", "_ids")
+           .agg(F.collect_list(F.struct("token", "id")).alias("_own")))
+    ids_of = _encoder()
+
+    @F.arrow_udf("array<int>")
+    def lookup(lists: pa.Array, names: pa.Array, numbers: pa.Array) -> pa.Array:
+        # a token has the same id in every row, so the dictionaries of a batch's rows are one
+        coded = names.flatten().dictionary_encode()
+        ids = np.zeros(len(coded.dictionary), np.int32)
+        ids[coded.indices.to_numpy()] = numbers.flatten().to_numpy()
+        return ids_of(lists, dict(zip(coded.dictionary.to_pylist(), ids.tolist())))
+
+    j = rows.join(own, F.col("_row") == F.col("_r"), "left")
+    return j.withColumn(out, lookup(F.col(tokens), F.col("_own.token"), F.col("_own.id"))).drop("_row", "_r", "_own")
 
 
 def hash_encode(df: DataFrame, tokens: str = "tokens", out: str = "ids", buckets: int = 1 << 18) -> DataFrame:
