@@ -74,3 +74,22 @@ def test_folds_are_written_without_a_sort_by_folder(spark, tmp_path):
     back = readers.read_folds(spark, str(tmp_path / "folds"), None)
     assert sorted(map(tuple, back.select("id", "fold", "split").collect())) == sorted(map(tuple, df.collect()))
     assert all(f.endswith(".zstd.parquet") for f in back.inputFiles()) and len(back.inputFiles()) == 20
+
+
+def test_dedup_leaves_unused_texts_behind(spark):
+    """What follows the digest carries no text that the caller does not use."""
+    from textlab.operators import cleaning
+    df = spark.createDataFrame([(1, "t", "a"), (2, "t", "b"), (3, None, "c")], "pos long, section_txt string, dataset string")
+    kept = cleaning.dedup_keep_first(df, ["section_txt"], ["pos"])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.filter("pos <> 2").collect())) and kept.columns == df.columns
+    plan = _plan(kept.select("pos", "dataset"))
+    import re
+    for step in re.findall(r"(?:Sort |Exchange ).*", plan):
+        assert "section_txt" not in step
+    assert not re.search(r"first\(section_txt", plan) and not re.search(r"struct\([^)]*section_txt", plan)
+
+
+def test_the_span_split_works_its_rows_out_once(spark):
+    """Both readings of the split take written rows, no dedup of the folds."""
+    plan = _plan(QUERIES["span_split_profile"](spark, SF_SMALL))
+    assert "documents.parquet" not in plan and "Generate" not in plan

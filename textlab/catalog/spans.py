@@ -9,6 +9,7 @@ from textlab.catalog.common import longs, sql_hash, with_ctes
 from textlab.operators import cleaning, indexing, sampling, spans
 from textlab.plans import corpus
 from textlab.registry import query
+from textlab.session import written
 from textlab.sources import fixtures as fx
 
 EXPLODED_SQL = """exploded AS (
@@ -121,7 +122,8 @@ sp AS (SELECT *, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS
 SELECT split, count(*)::BIGINT AS n, count(*) FILTER (WHERE label = 1)::BIGINT AS n_pos,
        count(DISTINCT dataset)::BIGINT AS n_names FROM sp GROUP BY split""")
 def q_span_profile(spark, sf_dir):
-    c = corpus.span_corpus(fx.folds(spark, sf_dir))
+    # the split reads its rows twice; they are worked out once, without their texts
+    c = written(corpus.span_corpus(fx.folds(spark, sf_dir)).select("id", "span_no", "label", "dataset"), "spans")
     s = sampling.ordered_split(c, 0.8, 42, ["id", "span_no"])
     return s.groupBy("split").agg(F.count("*").cast("bigint").alias("n"),
                                   F.count_if(F.col("label") == 1).cast("bigint").alias("n_pos"),

@@ -72,13 +72,15 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     each map task as one row, and rows are sorted and dealt out by 16 bytes
     whatever the keys' length.  ``order`` should be unique; otherwise ties fall
     to the remaining columns, still deterministically (``dropDuplicates`` keeps
-    an arbitrary row).
+    an arbitrary row).  The keys, the same in a whole group, stand beside the struct:
+    a text that the caller does not use afterwards is neither sorted nor moved.
     """
     keys, order = list(keys), list(order)
-    rest = [c for c in df.columns if c not in order]
+    same = [c for c in keys if c not in order]
+    rest = [c for c in df.columns if c not in order and c not in same]
     first = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_w")
-    agg = df.groupBy(digest(*keys).alias("_key")).agg(first)
-    return agg.select(*[F.col(f"_w.{c}").alias(c) for c in df.columns])
+    agg = df.groupBy(digest(*keys).alias("_key")).agg(first, *[F.first(c).alias(f"_k_{c}") for c in same])
+    return agg.select(*[F.col(f"_k_{c}" if c in same else f"_w.{c}").alias(c) for c in df.columns])
 
 
 def dedup_cascade(df: DataFrame, text: str = "section_txt", label: str = "label",
