@@ -23,3 +23,17 @@ def test_stream_resumes_from_checkpoint(spark):
     q.awaitTermination()
     got = sorted((r.file_id, r.pos, r.dataset, r.label) for r in spark.read.parquet(out).collect())
     assert got == [(1, 0, "alpha", 1), (1, 1, "None", 0), (2, 0, "beta", 1)]
+
+
+def test_arrivals_grow_in_number_not_in_size(spark):
+    """More text gives more files; one long publication is no single file. All rows arrive."""
+    from textlab.streaming.labeling import write_arrivals
+    secs = spark.range(4000).selectExpr("if(id < 3000, 0, id) AS file_id", "cast(id as int) AS pos", "'t' AS section_title", "repeat('x', 100) AS section_txt")
+    few, many = scratch_dir(spark, "few"), scratch_dir(spark, "many")
+    assert write_arrivals(secs, few) == 4
+    assert write_arrivals(secs, many, 20_000) == 22  # 404,000 bytes
+    back = spark.read.parquet(many)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, secs.collect()))
+    sizes = [r[0] for r in back.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) == 22 and max(sizes) < 400
+    assert write_arrivals(secs.limit(0), scratch_dir(spark, "none")) == 4
