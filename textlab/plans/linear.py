@@ -34,7 +34,8 @@ def _counter(bucket: Callable[[pa.Array], np.ndarray], n_features: int, slice_to
         """Each list's distinct buckets, sorted, and how often they stand there; nulls count nothing. A batch is worked off in slices of
         rows of about ``slice_tokens`` tokens, by sorting a slice's (row, bucket) numbers and counting equal neighbours."""
         ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        sizes, indices, values, at = [], [], [], 0
+        total = ends[-1] if len(ends) else 0
+        sizes, indices, values, at, n = [np.array([0])], np.empty(total, np.int64), np.empty(total), 0, 0
         while at < len(lists):
             done = ends[at - 1] if at else 0
             cut = max(at + 1, int(np.searchsorted(ends, done + slice_tokens, "right")))
@@ -44,11 +45,10 @@ def _counter(bucket: Callable[[pa.Array], np.ndarray], n_features: int, slice_to
                 row, flat = row[flat.is_valid().to_numpy(zero_copy_only=False)], flat.drop_null()
             places, counts = np.unique(row * n_features + bucket(flat), return_counts=True)
             sizes.append(np.bincount(places // n_features, minlength=cut - at))
-            indices.append(places % n_features)
-            values.append(counts.astype(np.float64))
-            at = cut
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else [0], pa.int32())
-        parts = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(p) if p else [], kind)) for p, kind in ((indices, pa.int64()), (values, pa.float64()))]
+            indices[n:n + len(places)], values[n:n + len(places)] = places % n_features, counts
+            at, n = cut, n + len(places)
+        offsets = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
+        parts = [pa.ListArray.from_arrays(offsets, pa.array(p[:n])) for p in (indices, values)]
         return pa.StructArray.from_arrays(parts, ["indices", "values"])
 
     return counts_of
