@@ -65,6 +65,17 @@ def test_vocab_ties_at_the_cut(spark):
     assert "common" in got and all(f"v{i}" in got for i in range(10))  # counts 5 and 2 beat the ties at 1
 
 
+def test_encode_in_slices(spark):
+    """A batch is worked off in slices; nulls, empty and long rows come out as from one go."""
+    import pyarrow as pa
+    lists = pa.array([["a", "b", None], None, [], ["z"] * 9, ["b"], None])
+    want = [[4, 5, 1], [], [], [1] * 9, [5], []]
+    for size in (1, 2, 3, 100):
+        assert tokens._encoder(size)(lists, {"a": 4, "b": 5}).to_pylist() == want
+        assert tokens._encoder(size)(lists.slice(2, 3), {"a": 4, "b": 5}).to_pylist() == want[2:5]
+    assert tokens._encoder()(lists.slice(0, 0), {}).to_pylist() == []
+
+
 def test_join_encoding_looks_up_no_map(spark):
     """A row's dictionary is no map, which each token would search from its beginning: a long row of distinct tokens."""
     n = 3000

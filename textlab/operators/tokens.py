@@ -72,16 +72,15 @@ def _encoder(slice_tokens: int = SLICE_TOKENS) -> Callable[[pa.Array, dict], pa.
         """Lists of tokens as lists of their ``ids``, unknown and null tokens as UNK, a null list as an empty one. A batch is worked
         off in slices of rows of about ``slice_tokens`` tokens; each distinct token of a slice is looked up once."""
         ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        found, at = [], 0
+        found, at = np.empty(ends[-1] if len(ends) else 0, np.int32), 0
         while at < len(lists):
             done = ends[at - 1] if at else 0
             cut = max(at + 1, int(np.searchsorted(ends, done + slice_tokens, "right")))
             coded = lists.slice(at, cut - at).flatten().dictionary_encode()  # null lists hold nothing
-            known = pa.array([ids.get(t, UNK_ID) for t in coded.dictionary.to_pylist()], pa.int32())
-            found.append(pc.fill_null(known.take(coded.indices), UNK_ID))
+            known = np.array([*(ids.get(t, UNK_ID) for t in coded.dictionary.to_pylist()), UNK_ID], np.int32)
+            found[done:ends[cut - 1]] = known[coded.indices.fill_null(len(known) - 1).to_numpy()]
             at = cut
-        flat = pa.concat_arrays(found) if found else pa.array([], pa.int32())
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(found))
 
     return ids_of
 
