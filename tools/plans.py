@@ -22,7 +22,7 @@ NOTES = {
     "split_profile": "labelled corpus read from its checkpoint; one (split, name) aggregate feeds all measures",
     "contain_pairs": "equi-joins on the rarest word of each passage; candidate keys meet the texts once; no nested loop",
     "encode_tokens": "looked up inside each row in Arrow batches; the vocabulary is a broadcast variable",
-    "text_features": "sorted hashes counted inside the row; no exchange",
+    "text_features": "hashes sorted and counted inside the row, a batch at a time; no exchange",
     "validation_split": "the cut is found while the query is built; rows are compared with a constant",
     "train_focal": "the epochs run while the query is built, each one pass over the vectors and one sum by feature; what is left is the log",
 }
