@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from textlab.operators.indexing import assign_row_id
-from textlab.sources import appends
+from textlab.sources import appends, files
 
 ANNOTATION_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("pub_title", T.StringType()),
@@ -48,15 +52,8 @@ def read_annotations(spark: SparkSession, path: str, schema: T.StructType = ANNO
                                               F.monotonically_increasing_id().alias("line")))
 
 
-def read_sections_json(spark: SparkSession, root: str, id_from: str = "file_name",
-                       chunk_size: int = 10000) -> DataFrame:
-    """JSON files holding arrays of ``{section_title, text}``, one publication per file
-    (``<id>.json``) or per ``file_id=<id>/chunk=<c>/`` directory.
-
-    Each file is one row (``wholetext``); the array is parsed with a fixed
-    schema and ``posexplode`` keeps the section order (a chunk adds
-    ``chunk * chunk_size``).
-    """
+def _section_texts(spark: SparkSession, root: str, id_from: str) -> DataFrame:
+    """(file_id, chunk, value) of the files in ``root``, as Spark lists and reads them."""
     reader = spark.read.option("recursiveFileLookup", id_from == "file_name")
     if id_from != "file_name":  # ids are text: "007" stays "007"
         reader = reader.schema("value string, file_id string, chunk int")
@@ -65,6 +62,70 @@ def read_sections_json(spark: SparkSession, root: str, id_from: str = "file_name
         raw = raw.withColumn("file_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
     if "chunk" not in raw.columns:
         raw = raw.withColumn("chunk", F.lit(0))
+    return raw.select("file_id", "chunk", "value")
+
+
+#: what a URI quotes, as file names in ``_metadata`` are
+_QUOTED = r"""[\x00-\x20"#%<>?\[\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"""
+
+
+def _section_ids(id_from: str) -> Callable[[Iterable[str]], tuple[list[str | None], list[int | None]]]:
+    """file_id and chunk of paths within a root: the file's name as Spark's ``_metadata`` has it, or ``name=value`` parts of
+    folders' names and of the file's own (there between commas)."""
+    def of_names(paths):
+        names = [re.sub(_QUOTED, lambda m: quote(m[0], safe=""), p.rpartition("/")[2]) for p in paths]
+        return [n.removesuffix(".json") for n in names], [0] * len(names)
+
+    def value(v):
+        return None if v in ("", "__HIVE_DEFAULT_PARTITION__") else re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), v)
+
+    def of_parts(paths):
+        ids, chunks = [], []
+        for path in paths:
+            *folders, name = path.split("/")
+            parts = dict(p.partition("=")[::2] for p in [*name.removesuffix(".json").split(","), *folders] if "=" in p)
+            if "file_id" not in parts:
+                raise ValueError(f"no file_id in the path {path}")
+            chunk = value(parts.get("chunk", "0"))
+            ids.append(value(parts["file_id"]))
+            chunks.append(None if chunk is None else int(chunk))
+        return ids, chunks
+    return of_names if id_from == "file_name" else of_parts
+
+
+def _section_texts_in_tasks(spark: SparkSession, folder: str, id_from: str) -> DataFrame | None:
+    """The same of a folder that tasks can open; None if it has packed files."""
+    listed = files.list_files(spark, folder)
+    n, size, packed = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)),
+                                 F.coalesce(F.bool_or(F.col("path").rlike(files.PACKED)), F.lit(False))).first()
+    if packed:
+        return None
+
+    ids_of = _section_ids(id_from)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, chunks = ids_of(b.column("path").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(chunks, pa.int32()), b.column("value")], ["file_id", "chunk", "value"])
+
+    raw = files.read_files(listed, folder, n, size).mapInArrow(run, "file_id string, chunk int, value binary")
+    return raw.withColumn("value", F.col("value").cast("string"))
+
+
+def read_sections_json(spark: SparkSession, root: str, id_from: str = "file_name",
+                       chunk_size: int = 10000) -> DataFrame:
+    """JSON files holding arrays of ``{section_title, text}``, one publication per file
+    (``<id>.json``), per file ``file_id=<id>,chunk=<c>.json`` or per ``file_id=<id>/chunk=<c>/`` directory.
+
+    Each file is one row; the array is parsed with a fixed
+    schema and ``posexplode`` keeps the section order (a chunk adds
+    ``chunk * chunk_size``). The files of a folder that tasks can open are listed and read
+    inside tasks (``files``), others by Spark's ``wholetext``, which lists them on the driver.
+    """
+    folder = files.shared_folder(spark, root)
+    raw = _section_texts_in_tasks(spark, folder, id_from) if folder is not None and os.path.isdir(folder) else None
+    if raw is None:
+        raw = _section_texts(spark, root, id_from)
     parsed = raw.select("file_id", "chunk", F.posexplode(F.from_json("value", SECTIONS_JSON)).alias("pos", "s"))
     return parsed.select("file_id", (F.col("chunk") * chunk_size + F.col("pos")).cast("int").alias("pos"),
                          F.col("s.section_title").alias("section_title"), F.col("s.text").alias("section_txt"))

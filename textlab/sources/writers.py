@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from textlab.sources import appends
+from textlab.sources import appends, files
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "$", mode: str = "overwrite") -> None:
@@ -17,14 +18,32 @@ def write_delimited(df: DataFrame, path: str, sep: str = "$", mode: str = "overw
      .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+#: what Spark escapes in the name of a partition, the comma, and a leading underscore
+_UNSAFE = re.compile(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^,]|^_""")
+
+
+def _section_file(key: str):
+    """Name of the file of a publication's chunk: ``<key>=<id>,chunk=<c>.json``, or folders of these names if it is too long for one."""
+    def field(name: str, v) -> str:
+        v = "__HIVE_DEFAULT_PARTITION__" if v is None else _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", str(v))
+        return f"{name}={v}"
+
+    def name(id_, chunk) -> str:
+        parts = [field(key, id_), field("chunk", chunk)]
+        flat = ",".join(parts) + ".json"
+        return flat if len(flat.encode()) <= 255 else "/".join([*parts, "part.json"])
+    return name
+
+
 def write_sections_json(sections: DataFrame, root: str, key: str = "file_id", pos: str = "pos",
                         title: str = "section_title", text: str = "section_txt",
                         chunk_size: int = 10000) -> None:
-    """JSON arrays of ``{section_title, text}`` per publication, in section order,
-    under ``<root>/<key>=<id>/chunk=<c>/``.  A publication's sections are
+    """JSON arrays of ``{section_title, text}`` per publication, in section order, a file each:
+    ``<root>/part-<n>/<key>=<id>,chunk=<c>.json``.  A publication's sections are
     gathered in chunks of at most ``chunk_size`` (a publication holding a third
     of the corpus still spreads over many tasks); most publications are one
-    chunk, i.e. one file."""
+    chunk, i.e. one file.  In a file system that only Spark opens each file has folders of its own,
+    ``<root>/<key>=<id>/chunk=<c>/``."""
     chunk = F.expr(f"cast(`{pos}` as bigint) div {int(chunk_size)}")
     per_pub = (sections.groupBy(key, chunk.alias("chunk"))
                .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(title).alias("section_title"),
@@ -32,7 +51,11 @@ def write_sections_json(sections: DataFrame, root: str, key: str = "file_id", po
                .select(key, "chunk",
                        F.to_json(F.transform("_s", lambda s: F.struct(s["section_title"].alias("section_title"),
                                                                       s["text"].alias("text")))).alias("value")))
-    per_pub.write.mode("overwrite").partitionBy(key, "chunk").text(root)
+    folder = files.shared_folder(sections.sparkSession, root)
+    if folder is None:
+        per_pub.write.mode("overwrite").partitionBy(key, "chunk").text(root)
+    else:
+        files.write_files(per_pub.withColumn(key, F.col(key).cast("string")), folder, _section_file(key))
 
 
 #: folders that a task fills at once, and bytes of a Parquet row group that each of them holds in memory
